@@ -150,6 +150,7 @@ def alarm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     97th payload is cut short and must land in the dead-letter table."""
     f = alarm_events_flat(spark, sf_dir)
     payload = F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("id"),
         F.col("source"),
         F.col("detail_type").alias("detail-type"),
         F.col("region"),

@@ -34,6 +34,7 @@ def get_spark(master: str | None = None, app: str = "tidemark",
         builder = builder.master(master)
     conf = dict(RECOMMENDED_CONF)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

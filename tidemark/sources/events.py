@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from tidemark import vocab
 
 ALARM_EVENT_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()),
     T.StructField("source", T.StringType()),
     T.StructField("detail-type", T.StringType()),
     T.StructField("region", T.StringType()),
@@ -42,6 +43,7 @@ def flatten_alarm_event(parsed: DataFrame) -> DataFrame:
     keep = [c for c in parsed.columns if c not in ("event", "parse_ok", "payload")]
     return parsed.select(
         *keep,
+        F.col("event.id").alias("id"),
         F.col("event.source").alias("source"),
         F.col("event.`detail-type`").alias("detail_type"),
         F.col("event.region").alias("region"),
