@@ -1 +1,143 @@
-"""placeholder"""
+"""Forecast queries: demand history, baseline and pandas scoring, records, accuracy."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import scalars as S
+from tidemark.operators import forecast as FC
+from tidemark.operators import validate as Val
+from tidemark.plans import views as V
+from tidemark.plans.oracle_views import baseline_sql, next_period_sql
+from tidemark.plans.registry import register
+
+WHAT_IF_SCALE = 1.5
+WHAT_IF_HORIZON = 3
+
+
+def _valid_requests(spark, sf):
+    r = Val.validate_inference_request(V.inference_requests(spark, sf))
+    return r.filter(F.col("status_code") == 200).select("product_id", "history", "horizon")
+
+
+@register("monthly_demand", "SELECT product_id, period, demand FROM demand_history", ("demand_history",))
+def monthly_demand(spark, sf):
+    return V.demand_history(spark, sf)
+
+
+@register("collect_history", """
+SELECT product_id, count(*) AS n_points, min(period) AS first_period, max(period) AS last_period,
+       string_agg(period || ':' || CAST(demand AS VARCHAR), ',' ORDER BY period) AS history
+FROM demand_history GROUP BY product_id""", ("demand_history",))
+def collect_history(spark, sf):
+    h = FC.collect_history(V.demand_history(spark, sf))
+    text = F.array_join(F.transform("history", lambda x: F.concat(x["period"], F.lit(":"),
+                                                                   x["demand"].cast("bigint").cast("string"))), ",")
+    return h.select("product_id", F.size("history").alias("n_points"),
+                    F.element_at("history", 1)["period"].alias("first_period"),
+                    F.element_at("history", -1)["period"].alias("last_period"), text.alias("history"))
+
+
+@register("context_tail", """
+SELECT product_id, period, demand FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY period DESC) AS rn FROM demand_history) t
+WHERE rn <= 96""", ("demand_history",))
+def context_tail(spark, sf):
+    h = FC.collect_history(V.demand_history(spark, sf))
+    t = h.select("product_id", F.explode(S.context_tail(F.col("history"))).alias("p"))
+    return t.select("product_id", F.col("p.period").alias("period"), F.col("p.demand").cast("bigint").alias("demand"))
+
+
+@register("round2", "SELECT product_id, round_even(avg(demand), 2) AS mean_demand FROM demand_history GROUP BY product_id",
+          ("demand_history",))
+def round2(spark, sf):
+    h = V.demand_history(spark, sf)
+    return h.groupBy("product_id").agg(S.round_half_even(F.avg("demand"), 2).alias("mean_demand"))
+
+
+@register("baseline_quantiles",
+          f"SELECT product_id, step, period, demand, lower, upper FROM ({baseline_sql('demand_history', 6)}) t",
+          ("demand_history",))
+def baseline_quantiles(spark, sf):
+    return FC.baseline_quantiles(V.demand_history(spark, sf), horizon=6) \
+             .select("product_id", "step", "period", "demand", "lower", "upper")
+
+
+@register("score_forecast",
+          f"SELECT product_id, step, period, demand, lower, upper FROM ({baseline_sql('inference_valid', 'horizon')}) t",
+          ("inference_valid",))
+def score_forecast(spark, sf):
+    return FC.score_forecast(_valid_requests(spark, sf)).select("product_id", "step", "period", "demand", "lower", "upper")
+
+
+@register("what_if_score", f"""
+SELECT product_id, step, period, demand, lower, upper FROM (
+  {baseline_sql('inference_valid', WHAT_IF_HORIZON, demand_expr=f'CAST(demand AS DOUBLE) * {WHAT_IF_SCALE}')}) t""",
+          ("inference_valid",))
+def what_if_score(spark, sf):
+    r = _valid_requests(spark, sf).select(
+        "product_id", F.lit(WHAT_IF_HORIZON).alias("horizon"),
+        F.transform("history", lambda x: F.struct(x["period"].alias("period"),
+                                                  (x["demand"] * WHAT_IF_SCALE).alias("demand"))).alias("history"))
+    return FC.score_forecast(r).select("product_id", "step", "period", "demand", "lower", "upper")
+
+
+@register("next_periods", f"""
+SELECT product_id, step, {next_period_sql('last_period', 'step')} AS period FROM (
+  SELECT product_id, last_period, unnest(generate_series(1, horizon)) AS step
+  FROM (SELECT product_id, max(period) AS last_period, max(horizon) AS horizon FROM inference_valid GROUP BY 1) a) b""",
+          ("inference_valid",))
+def next_periods(spark, sf):
+    r = _valid_requests(spark, sf)
+    last = F.element_at("history", -1)["period"]
+    return r.select("product_id", F.posexplode(S.next_periods(last, F.col("horizon"))).alias("i", "period")) \
+            .select("product_id", (F.col("i") + 1).alias("step"), "period")
+
+
+@register("validate_inference_request", """
+SELECT product_id, CAST(CAST(product_id AS BIGINT) % 30 AS INTEGER) AS horizon,
+       CASE WHEN CAST(product_id AS BIGINT) % 17 = 0 THEN 400
+            WHEN CAST(product_id AS BIGINT) % 30 NOT BETWEEN 1 AND 24 THEN 400 ELSE 200 END AS status_code,
+       CASE WHEN CAST(product_id AS BIGINT) % 17 = 0 THEN 'historicalData must be a non-empty array'
+            WHEN CAST(product_id AS BIGINT) % 30 NOT BETWEEN 1 AND 24
+            THEN 'forecastHorizon must be an integer between 1 and 24' END AS error
+FROM (SELECT DISTINCT product_id FROM demand_history) p""", ("demand_history",))
+def validate_inference_request(spark, sf):
+    r = Val.validate_inference_request(V.inference_requests(spark, sf))
+    return r.select("product_id", "horizon", "status_code", "error")
+
+
+@register("forecast_record", """
+SELECT 'fc-' || product_id AS forecast_id, product_id, count(*) AS n_predictions, min(period) AS first_period,
+       0.8 AS confidence, 'baseline-quantile-v1' AS model_version, 'active' AS status,
+       CAST(strptime(max(last_period) || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS created_at
+FROM fc_preds GROUP BY product_id""", ("fc_preds",))
+def forecast_record(spark, sf):
+    f = V.forecasts(spark, sf)
+    return f.select("forecast_id", "product_id", F.size("predictions").alias("n_predictions"),
+                    F.element_at("predictions", 1)["period"].alias("first_period"),
+                    "confidence", "model_version", "status", "created_at")
+
+
+@register("interval_confidence", "SELECT 'fc-' || product_id AS forecast_id, 0.8 AS confidence FROM fc_preds GROUP BY 1",
+          ("fc_preds",))
+def interval_confidence(spark, sf):
+    return V.forecasts(spark, sf).select("forecast_id", "confidence")
+
+
+@register("forecast_vs_actual", """
+SELECT 'fc-' || f.product_id AS forecast_id, f.period, f.step, f.demand, CAST(a.demand AS DOUBLE) AS actual,
+       CASE WHEN a.demand IS NOT NULL AND f.demand <> 0 THEN round(CAST(a.demand AS DOUBLE) * 100 / f.demand, 1) END AS accuracy
+FROM fc_preds f LEFT JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period""",
+          ("fc_preds", "demand_history"))
+def forecast_vs_actual(spark, sf):
+    return FC.forecast_vs_actual(V.forecasts(spark, sf), V.demand_history(spark, sf)) \
+             .select("forecast_id", "period", "step", "demand", "actual", "accuracy")
+
+
+@register("latest_forecast", """
+SELECT 'fc-' || product_id AS forecast_id, step, period, demand, lower, upper FROM fc_preds
+WHERE 'fc-' || product_id = (SELECT forecast_id FROM forecasts ORDER BY created_at DESC NULLS LAST, forecast_id DESC LIMIT 1)""",
+          ("fc_preds", "forecasts"))
+def latest_forecast(spark, sf):
+    return FC.latest_forecast(V.forecasts(spark, sf)).select("forecast_id", "step", "period", "demand", "lower", "upper")

@@ -1 +1,100 @@
-"""placeholder"""
+"""Metric windows, alarms, transitions and counters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import forecast as FC
+from tidemark.operators import metrics as M
+from tidemark.operators import updates as U
+from tidemark.plans import views as V
+from tidemark.plans.registry import register
+
+_P = 300
+
+
+def _stats(spark, sf):
+    return M.window_stats(V.metrics(spark, sf))
+
+
+def _consecutive(spark, sf):
+    return M.alarm_consecutive(M.evaluate_rules(_stats(spark, sf), M.alarm_rules(spark)))
+
+
+@register("window_stats", """
+SELECT metric_id, period_start, period_end, round(sum, 6) AS sum, max, round(avg, 6) AS avg, samples, p50, p99
+FROM window_stats""", ("window_stats",))
+def window_stats(spark, sf):
+    s = _stats(spark, sf)
+    return s.select("metric_id", "period_start", "period_end", F.round("sum", 6).alias("sum"), "max",
+                    F.round("avg", 6).alias("avg"), "samples", "p50", "p99")
+
+
+def threshold_alarm_batch(spark, sf):
+    """Batch twin of the streaming threshold alarm (used by tests)."""
+    t = M.threshold_alarm(V.metrics(spark, sf), spark)
+    return t.select("alarm", "period_start", F.round("stat_value", 6).alias("stat_value"))
+
+
+@register("alarm_consecutive", """
+SELECT alarm, period_start, round(stat_value, 6) AS stat_value, breach, in_alarm FROM consecutive""",
+          ("consecutive",))
+def alarm_consecutive(spark, sf):
+    c = _consecutive(spark, sf)
+    return c.select("alarm", "period_start", F.round("stat_value", 6).alias("stat_value"), "breach", "in_alarm")
+
+
+@register("alarm_transitions", f"""
+SELECT alarm, period_start AS changed_at, 'ALARM' AS state FROM (
+  SELECT alarm, period_start, lag(period_start) OVER (PARTITION BY alarm ORDER BY period_start) AS prev
+  FROM consecutive WHERE in_alarm) a
+WHERE prev IS NULL OR prev <> period_start - to_seconds({_P})
+UNION ALL
+SELECT alarm, period_start + to_seconds({_P}) AS changed_at, 'OK' AS state FROM (
+  SELECT alarm, period_start, lead(period_start) OVER (PARTITION BY alarm ORDER BY period_start) AS nxt
+  FROM consecutive WHERE in_alarm) b
+WHERE (nxt IS NULL OR nxt <> period_start + to_seconds({_P}))
+  AND period_start + to_seconds({_P}) <= (SELECT max(period_start) FROM consecutive)""", ("consecutive",))
+def alarm_transitions(spark, sf):
+    return M.alarm_transitions(_consecutive(spark, sf)).select("alarm", "changed_at", "state")
+
+
+@register("metric_sum_by_dimension", """
+SELECT namespace, metric_name, dimensions, sum(value) AS total, count(*) AS events FROM (
+  SELECT 'Alerts' AS namespace, 'AlertsCreated' AS metric_name,
+         'AlertType=' || alert_type || ';Category=' || category AS dimensions, 1.0 AS value FROM alerts
+  UNION ALL
+  SELECT 'ML', 'ForecastGenerated', '', 1.0 FROM forecasts
+  UNION ALL
+  SELECT 'Operations', 'ReportGenerated', 'ReportType=' || COALESCE(p.report_type, 'operational'), 1.0
+  FROM reports p JOIN (SELECT DISTINCT report_id FROM report_requests) r ON p.report_id = r.report_id) e
+GROUP BY namespace, metric_name, dimensions""", ("alerts", "forecasts", "reports", "report_requests"))
+def metric_sum_by_dimension(spark, sf):
+    al = V.alerts(spark, sf).select(
+        F.lit("Alerts").alias("namespace"), F.lit("AlertsCreated").alias("metric_name"),
+        M.dims_text(("AlertType", F.col("alert_type")), ("Category", F.col("category"))).alias("dimensions"),
+        F.lit(1.0).alias("value"))
+    fc = V.forecasts(spark, sf).select(F.lit("ML").alias("namespace"), F.lit("ForecastGenerated").alias("metric_name"),
+                                       F.lit("").alias("dimensions"), F.lit(1.0).alias("value"))
+    snap, _ = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
+    rp = snap.filter(F.col("updated")).select(
+        F.lit("Operations").alias("namespace"), F.lit("ReportGenerated").alias("metric_name"),
+        M.dims_text(("ReportType", F.coalesce(F.col("report_type"), F.lit("operational")))).alias("dimensions"),
+        F.lit(1.0).alias("value"))
+    return M.metric_sum_by_dimension(al.unionByName(fc).unionByName(rp))
+
+
+@register("forecast_accuracy_metric", """
+SELECT forecast_id, 'ForecastAccuracy' AS metric_name, 'Percent' AS unit,
+       round(avg(accuracy), 4) AS accuracy_avg, count(*) AS points
+FROM (SELECT 'fc-' || f.product_id AS forecast_id,
+             CASE WHEN f.demand <> 0 THEN round(CAST(a.demand AS DOUBLE) * 100 / f.demand, 1) END AS accuracy
+      FROM fc_preds f JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period) t
+WHERE accuracy IS NOT NULL GROUP BY forecast_id""", ("fc_preds", "demand_history"))
+def forecast_accuracy_metric(spark, sf):
+    fva = FC.forecast_vs_actual(V.forecasts(spark, sf), V.demand_history(spark, sf))
+    return (fva.filter(F.col("accuracy").isNotNull())
+               .groupBy("forecast_id")
+               .agg(F.round(F.avg("accuracy"), 4).alias("accuracy_avg"), F.count(F.lit(1)).alias("points"))
+               .select("forecast_id", F.lit("ForecastAccuracy").alias("metric_name"), F.lit("Percent").alias("unit"),
+                       "accuracy_avg", "points"))

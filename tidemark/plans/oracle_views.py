@@ -337,3 +337,71 @@ def with_views(names: list[str] | tuple[str, ...], select: str) -> str:
         return select.strip()
     body = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in order)
     return f"WITH {body}\n{select.strip()}"
+
+
+# --- metric windows and alarm rules -------------------------------------------
+
+def _rules_values() -> str:
+    rows = ", ".join(f"({q(a)}, {q(n)}, {q(d)}, {q(s)}, {q(c)}, {t!r}, {p})" for a, n, d, s, c, t, p in vocab.ALARM_RULES)
+    return f"SELECT * FROM (VALUES {rows}) v(alarm, name, dim_value, statistic, comparison, threshold, periods)"
+
+
+cte("alarm_rules", (), _rules_values())
+
+_P = vocab.ALARM_PERIOD_SECONDS
+
+cte("window_stats", ("metrics",), f"""
+SELECT metric_id, name, dim_value, ps AS period_start, ps + to_seconds({_P}) AS period_end,
+       sum(value) AS sum, max(value) AS max, avg(value) AS avg, count(*) AS samples,
+       quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99
+FROM (SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(floor(epoch(ts) / {_P}) * {_P} AS BIGINT)) AS ps
+      FROM metrics) m
+GROUP BY metric_id, name, dim_value, ps""")
+
+cte("evaluated", ("window_stats", "alarm_rules"), """
+SELECT alarm, name, dim_value, statistic, threshold, periods, period_start, period_end, stat_value,
+       COALESCE(CASE comparison WHEN '>=' THEN stat_value >= threshold WHEN '>' THEN stat_value > threshold
+                                WHEN '<' THEN stat_value < threshold WHEN '<=' THEN stat_value <= threshold END,
+                FALSE) AS breach
+FROM (SELECT s.*, r.alarm, r.statistic, r.comparison, r.threshold, r.periods,
+             CASE r.statistic WHEN 'sum' THEN s.sum WHEN 'max' THEN s.max WHEN 'avg' THEN s.avg
+                              WHEN 'p50' THEN s.p50 WHEN 'p99' THEN s.p99 END AS stat_value
+      FROM window_stats s JOIN alarm_rules r ON s.name = r.name AND s.dim_value = r.dim_value) j""")
+
+
+def _consecutive_sql() -> str:
+    ns = sorted({r[6] for r in vocab.ALARM_RULES})
+    whens = " ".join(
+        f"WHEN periods = {n} THEN (sum(CAST(breach AS INTEGER)) OVER (PARTITION BY alarm ORDER BY ep "
+        f"RANGE BETWEEN {(n - 1) * _P} PRECEDING AND CURRENT ROW)) = {n}" for n in ns)
+    return (f"SELECT * EXCLUDE (ep), COALESCE(CASE {whens} END, FALSE) AS in_alarm "
+            f"FROM (SELECT *, epoch(period_start) AS ep FROM evaluated) e")
+
+
+cte("consecutive", ("evaluated",), _consecutive_sql())
+
+
+# --- baseline forecast --------------------------------------------------------
+
+def baseline_sql(source: str, horizon: str | int, demand_expr: str = "CAST(demand AS DOUBLE)",
+                 where: str = "TRUE", extra_cols: str = "") -> str:
+    """Quantiles (0.1, 0.5, 0.9) of the last CONTEXT_LENGTH points per product,
+    flat over ``horizon`` steps (an int or a column of ``source``)."""
+    qs = ", ".join(repr(x) for x in vocab.QUANTILES)
+    hcol = f"{horizon}" if isinstance(horizon, int) else f"max({horizon})"
+    return f"""
+SELECT product_id, step, {next_period_sql('last_period', 'step')} AS period,
+       round_even(q[2], 2) AS demand, round_even(q[1], 2) AS lower, round_even(q[3], 2) AS upper, last_period{extra_cols}
+FROM (SELECT product_id, q, last_period, unnest(generate_series(1, h)) AS step
+      FROM (SELECT product_id, quantile_cont({demand_expr}, [{qs}]) AS q, max(period) AS last_period, {hcol} AS h
+            FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY period DESC) AS rn
+                  FROM {source} WHERE {where}) hh
+            WHERE rn <= {vocab.CONTEXT_LENGTH} GROUP BY product_id) a) b"""
+
+
+CTES["fc_preds"] = (("demand_history",), baseline_sql("demand_history", V.FORECAST_HORIZON,
+                                                      where=f"period < {q(V.FORECAST_CUTOFF)}"))
+
+cte("inference_valid", ("demand_history",), """
+SELECT d.*, CAST(CAST(product_id AS BIGINT) % 30 AS INTEGER) AS horizon FROM demand_history d
+WHERE CAST(product_id AS BIGINT) % 17 <> 0 AND CAST(product_id AS BIGINT) % 30 BETWEEN 1 AND 24""")

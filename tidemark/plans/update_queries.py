@@ -1 +1,203 @@
-"""placeholder"""
+"""Guarded updates and record jobs as batch joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import vocab
+from tidemark.operators import updates as U
+from tidemark.operators import validate as Val
+from tidemark.plans import views as V
+from tidemark.plans.oracle_views import iso_sql, q
+from tidemark.plans.registry import register
+from tidemark.session import scratch_path
+from tidemark.sources import files
+
+_KNOWN = "[" + ", ".join(q(p) for p in vocab.KNOWN_PERMISSIONS) + "]"
+
+
+def _latest(table: str, key: str) -> str:
+    return (f"(SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY requested_at DESC NULLS LAST) AS rn "
+            f"FROM {table}) x WHERE rn = 1)")
+
+
+@register("update_existing", f"""
+SELECT i.alert_id, COALESCE(r.alert_id IS NOT NULL, FALSE) AS updated,
+       CASE WHEN r.alert_id IS NOT NULL THEN TRUE ELSE i.acknowledged END AS acknowledged,
+       r.requested_at AS acknowledged_at
+FROM inventory_alerts i LEFT JOIN {_latest('inventory_ack_requests', 'alert_id')} r ON i.alert_id = r.alert_id""",
+          ("inventory_alerts", "inventory_ack_requests"))
+def update_existing(spark, sf):
+    snap = U.acknowledge(V.inventory_alerts(spark, sf), V.inventory_ack_requests(spark, sf))
+    return snap.select("alert_id", "updated", "acknowledged", "acknowledged_at")
+
+
+@register("acknowledge_alerts", f"""
+SELECT a.alert_id, CASE WHEN r.alert_id IS NOT NULL THEN TRUE ELSE a.acknowledged END AS acknowledged,
+       CASE WHEN r.alert_id IS NOT NULL THEN r.requested_at ELSE a.acknowledged_at END AS acknowledged_at
+FROM alerts a LEFT JOIN {_latest('alert_ack_requests', 'alert_id')} r ON a.alert_id = r.alert_id""",
+          ("alerts", "alert_ack_requests"))
+def acknowledge_alerts(spark, sf):
+    snap = U.acknowledge(V.alerts(spark, sf), V.alert_ack_requests(spark, sf))
+    return snap.select("alert_id", "acknowledged", "acknowledged_at")
+
+
+@register("update_not_found", """
+SELECT r.alert_id, r.requested_at FROM alert_ack_requests r
+WHERE NOT EXISTS (SELECT 1 FROM alerts a WHERE a.alert_id = r.alert_id)""", ("alerts", "alert_ack_requests"))
+def update_not_found(spark, sf):
+    return U.update_not_found(V.alerts(spark, sf), V.alert_ack_requests(spark, sf), "alert_id") \
+            .select("alert_id", "requested_at")
+
+
+@register("apply_if_proposed", """
+SELECT r.optimization_id, r.requested_at,
+       CASE WHEN r.requested_at = f.first_at AND o.status = 'proposed' THEN 'applied' ELSE 'not_found_or_applied' END AS outcome,
+       CASE WHEN r.requested_at = f.first_at AND o.status = 'proposed' THEN 200 ELSE 404 END AS status_code
+FROM apply_requests r
+JOIN (SELECT optimization_id, min(requested_at) AS first_at FROM apply_requests GROUP BY 1) f
+  ON r.optimization_id = f.optimization_id
+LEFT JOIN optimizations o ON r.optimization_id = o.optimization_id""", ("apply_requests", "optimizations"))
+def apply_if_proposed(spark, sf):
+    _, outcomes = U.apply_if_proposed(V.optimizations(spark, sf), V.apply_requests(spark, sf))
+    return outcomes.select("optimization_id", "requested_at", "outcome", "status_code")
+
+
+_AUDIT_SQL = f"""
+SELECT 'access_control_change' AS audit, COALESCE(r.actor, 'anonymous') AS actor, r.user_id AS subject,
+       array_to_string(list_sort(a.permissions), ',') AS before,
+       array_to_string(list_sort(r.permissions), ',') AS after, r.requested_at AS at
+FROM access_requests r JOIN access_controls a ON r.user_id = a.user_id
+WHERE len(list_filter(r.permissions, lambda x: NOT list_contains({_KNOWN}, x))) = 0"""
+
+
+def _audit_text(df):
+    return df.select("audit", "actor", "subject", F.array_join("before", ",").alias("before"),
+                     F.array_join("after", ",").alias("after"), "at")
+
+
+@register("audit_before_after", _AUDIT_SQL, ("access_requests", "access_controls"))
+def audit_before_after(spark, sf):
+    _, _, audit = U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))
+    return _audit_text(audit)
+
+
+@register("sink_audit", _AUDIT_SQL, ("access_requests", "access_controls"))
+def sink_audit(spark, sf):
+    _, _, audit = U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))
+    path = scratch_path(spark, "audit")
+    files.sink_append(audit, path)
+    return _audit_text(spark.read.parquet(path))
+
+
+@register("access_replace", f"""
+SELECT r.user_id, r.requested_at,
+       CASE WHEN len(u.unknown) > 0 THEN 400 WHEN a.user_id IS NULL THEN 404 ELSE 200 END AS status_code,
+       CASE WHEN len(u.unknown) > 0 THEN 'Unknown permission(s): ' || array_to_string(u.unknown, ', ') END AS error
+FROM access_requests r
+JOIN (SELECT user_id, requested_at,
+             list_sort(list_distinct(list_filter(permissions, lambda x: NOT list_contains({_KNOWN}, x)))) AS unknown
+      FROM access_requests) u ON r.user_id = u.user_id AND r.requested_at = u.requested_at
+LEFT JOIN access_controls a ON r.user_id = a.user_id""", ("access_requests", "access_controls"))
+def access_replace(spark, sf):
+    _, outcomes, _ = U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))
+    return outcomes.select("user_id", "requested_at", "status_code", "error")
+
+
+@register("permissions_unknown", f"""
+SELECT user_id, array_to_string(list_sort(list_distinct(list_filter(permissions,
+       lambda x: NOT list_contains({_KNOWN}, x)))), ',') AS unknown FROM access_controls""", ("access_controls",))
+def permissions_unknown(spark, sf):
+    from tidemark.functions import scalars as S
+    a = V.access_controls(spark, sf)
+    return a.select("user_id", F.array_join(S.permissions_unknown("permissions"), ",").alias("unknown"))
+
+
+@register("permissions_sorted", "SELECT user_id, array_to_string(list_sort(permissions), ',') AS sorted FROM access_controls",
+          ("access_controls",))
+def permissions_sorted(spark, sf):
+    from tidemark.functions import scalars as S
+    a = V.access_controls(spark, sf)
+    return a.select("user_id", F.array_join(S.permissions_sorted("permissions"), ",").alias("sorted"))
+
+
+@register("validate_enum", """
+SELECT forecast_id, status, CASE WHEN status IN ('active', 'superseded', 'archived') THEN 200 ELSE 400 END AS status_code
+FROM forecast_status_requests""", ("forecast_status_requests",))
+def validate_enum(spark, sf):
+    r = Val.validate_enum(V.forecast_status_requests(spark, sf), "status", vocab.FORECAST_STATUSES)
+    return r.select("forecast_id", "status", "status_code")
+
+
+@register("forecast_status_update", """
+SELECT r.forecast_id, r.status,
+       CASE WHEN r.status NOT IN ('active', 'superseded', 'archived') THEN 400
+            WHEN f.forecast_id IS NULL THEN 404 ELSE 200 END AS status_code
+FROM forecast_status_requests r LEFT JOIN forecasts f ON r.forecast_id = f.forecast_id""",
+          ("forecast_status_requests", "forecasts"))
+def forecast_status_update(spark, sf):
+    _, outcomes = U.forecast_status_update(V.forecasts(spark, sf), V.forecast_status_requests(spark, sf))
+    return outcomes.select("forecast_id", "status", "status_code")
+
+
+_PATCH_CASE = """
+  CASE WHEN s_suppkey % 3 = 0 THEN 'records_processed,status' WHEN s_suppkey % 3 = 1 THEN 'status' ELSE '' END"""
+
+
+@register("whitelist_update_fields", f"""
+SELECT CASE WHEN s_suppkey % 17 = 0 THEN 'ds-missing-' ELSE 'ds-' END || CAST(s_suppkey AS VARCHAR) AS source_id,
+       {_PATCH_CASE} AS kept_fields
+FROM supplier""")
+def whitelist_update_fields(spark, sf):
+    p = V.source_patches(spark, sf)
+    kept = Val.whitelist_update_fields("patch")
+    return p.select("source_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept_fields"))
+
+
+@register("data_source_patch", """
+SELECT d.source_id,
+       CASE WHEN p.k % 3 = 0 THEN 'error' ELSE d.status END AS status,
+       CASE WHEN p.k % 3 = 0 THEN p.k * 1000 + 500 ELSE d.records_processed END AS records_processed,
+       CASE WHEN p.k % 3 = 0 THEN p.requested_at ELSE d.updated_at END AS updated_at
+FROM data_sources d LEFT JOIN (
+  SELECT s_suppkey AS k, 'ds-' || CAST(s_suppkey AS VARCHAR) AS source_id,
+         TIMESTAMP '2024-03-01 00:00:00' + to_minutes(CAST(s_suppkey AS BIGINT)) AS requested_at
+  FROM supplier WHERE s_suppkey % 17 <> 0) p ON d.source_id = p.source_id""", ("data_sources",))
+def data_source_patch(spark, sf):
+    snap, _ = U.data_source_patch(V.data_sources(spark, sf), V.source_patches(spark, sf))
+    return snap.select("source_id", "status", "records_processed", "updated_at")
+
+
+@register("report_generate", f"""
+SELECT p.report_id, 'ready' AS status, r.requested_at AS generated_at,
+       'reports/' || p.report_id || '/' || {iso_sql('r.requested_at')} || '.json' AS object_key
+FROM reports p JOIN {_latest('report_requests', 'report_id')} r ON p.report_id = r.report_id""",
+          ("reports", "report_requests"))
+def report_generate(spark, sf):
+    snap, _ = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
+    return snap.filter(F.col("updated")).select("report_id", "status", "generated_at", "object_key")
+
+
+@register("sink_report_json", f"""
+SELECT p.report_id, 'reports/' || p.report_id || '/' || {iso_sql('r.requested_at')} || '.json' AS object_key,
+       p.report_type AS report_type, {iso_sql('r.requested_at')} AS generated_at
+FROM reports p JOIN {_latest('report_requests', 'report_id')} r ON p.report_id = r.report_id""",
+          ("reports", "report_requests"))
+def sink_report_json(spark, sf):
+    _, artifacts = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
+    path = scratch_path(spark, "report_artifacts")
+    files.sink_json_lines(artifacts, path, ("generated_date",))
+    back = spark.read.schema("report_id string, object_key string, artifact string, generated_date date").json(path)
+    return back.select("report_id", "object_key",
+                       F.get_json_object("artifact", "$.reportType").alias("report_type"),
+                       F.get_json_object("artifact", "$.generatedAt").alias("generated_at"))
+
+
+@register("scenario_run_record", """
+SELECT r.run_id, r.scenario_id, CASE WHEN s.scenario_id IS NULL THEN 'rejected' ELSE 'queued' END AS run_status,
+       CASE WHEN s.scenario_id IS NULL THEN 404 ELSE 200 END AS status_code
+FROM scenario_run_requests r LEFT JOIN scenarios s ON r.scenario_id = s.scenario_id""",
+          ("scenario_run_requests", "scenarios"))
+def scenario_run_record(spark, sf):
+    _, runs = U.scenario_run_record(V.scenarios(spark, sf), V.scenario_run_requests(spark, sf))
+    return runs.select("run_id", "scenario_id", "run_status", "status_code")

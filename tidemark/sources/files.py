@@ -60,6 +60,7 @@ def sink_append(df: DataFrame, path: str) -> None:
 def sink_json_lines(df: DataFrame, path: str, partition_cols: tuple[str, ...] = ()) -> None:
     w = df.write.mode("overwrite")
     if partition_cols:
+        w = df.hint("rebalance", *partition_cols).write.mode("overwrite")
         w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_cols)
     w.json(path)
 
