@@ -1 +1,90 @@
-"""placeholder"""
+"""Streaming queries: run with ``availableNow`` over files staged from the
+views, then read the sink back.  Oracles compare closed windows only
+(window end <= max event time - lateness)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import vocab
+from tidemark.plans import views as V
+from tidemark.plans.alert_queries import SUBJECT_PREFIX, _NOTIFY_SQL
+from tidemark.plans.registry import register
+from tidemark.session import scratch_path
+from tidemark.sources import files
+from tidemark.streaming import alarms as ST
+
+_CLOSED = "period_end <= (SELECT max(ts) FROM metrics) - INTERVAL 10 MINUTE"
+assert vocab.DEFAULT_LATENESS == "10 minutes"
+
+
+def _intake(spark, sf):
+    base = scratch_path(spark, "alarm_intake")
+    files.sink_text(V.alarm_events(spark, sf).select("payload"), f"{base}/landing")
+    ST.run_alarm_intake(spark, f"{base}/landing", f"{base}/out", f"{base}/_checkpoint", SUBJECT_PREFIX)
+    return base
+
+
+def _staged_metrics(spark, sf):
+    base = scratch_path(spark, "metric_stream")
+    m = V.metrics(spark, sf)
+    files.sink_parquet(m, f"{base}/landing")
+    return base, m.schema
+
+
+@register("stream_alarm_intake", """
+SELECT alert_id, alert_type, category, title, message, source, action_required, date_trunc('second', ts) AS ts
+FROM alerts""", ("alerts",))
+def stream_alarm_intake(spark, sf):
+    base = _intake(spark, sf)
+    a = spark.read.parquet(f"{base}/out/alerts")
+    return a.select("alert_id", "alert_type", "category", "title", "message", "source", "action_required", "ts")
+
+
+@register("stream_critical_fanout", _NOTIFY_SQL, ("alerts",))
+def stream_critical_fanout(spark, sf):
+    base = _intake(spark, sf)
+    return spark.read.parquet(f"{base}/out/notifications").select("alert_id", "subject", "body")
+
+
+@register("stream_tumbling_metrics", f"""
+SELECT metric_id, period_start, period_end, round(sum, 6) AS sum, max, samples, p99
+FROM window_stats WHERE {_CLOSED}""", ("window_stats",))
+def stream_tumbling_metrics(spark, sf):
+    base, schema = _staged_metrics(spark, sf)
+    ST.run_tumbling_metrics(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/_checkpoint")
+    s = spark.read.parquet(f"{base}/out")
+    return s.select("metric_id", "period_start", "period_end", F.round("sum", 6).alias("sum"), "max", "samples", "p99")
+
+
+@register("stream_threshold_alarm", f"""
+SELECT alarm, period_start, round(stat_value, 6) AS stat_value FROM evaluated WHERE breach AND {_CLOSED}""",
+          ("evaluated", "metrics"))
+def stream_threshold_alarm(spark, sf):
+    base, schema = _staged_metrics(spark, sf)
+    ST.run_threshold_alarm(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/_checkpoint")
+    s = spark.read.parquet(f"{base}/out")
+    return s.select("alarm", "period_start", F.round("stat_value", 6).alias("stat_value"))
+
+
+def _consecutive_sql() -> str:
+    p = vocab.ALARM_PERIOD_SECONDS
+    parts = []
+    for n in sorted({r[6] for r in vocab.ALARM_RULES if r[6] > 1}):
+        starts = ", ".join(f"period_start - to_seconds({k * p})" for k in range(n - 1, -1, -1))
+        parts.append(f"""
+SELECT alarm, periods, ws AS window_start, ws + to_seconds({n * p}) AS window_end,
+       count(*) FILTER (WHERE breach) AS breaching_periods, count(*) AS periods_with_data,
+       count(*) FILTER (WHERE breach) = {n} AS in_alarm
+FROM (SELECT alarm, periods, breach, unnest([{starts}]) AS ws FROM evaluated WHERE periods = {n}) x
+WHERE ws + to_seconds({n * p}) <= (SELECT max(ts) FROM metrics) - INTERVAL 10 MINUTE
+GROUP BY alarm, periods, ws""")
+    return " UNION ALL ".join(parts)
+
+
+@register("stream_consecutive_alarm", _consecutive_sql(), ("evaluated", "metrics"))
+def stream_consecutive_alarm(spark, sf):
+    base, schema = _staged_metrics(spark, sf)
+    ST.run_consecutive_alarm(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/_checkpoint")
+    return spark.read.parquet(f"{base}/out").select("alarm", "periods", "window_start", "window_end",
+                                                      "breaching_periods", "periods_with_data", "in_alarm")

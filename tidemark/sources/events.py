@@ -51,6 +51,7 @@ def flatten_alarm_event(parsed: DataFrame) -> DataFrame:
         F.col("event.detail.alarmName").alias("alarm_name"),
         F.col("event.detail.state.value").alias("state"),
         F.col("event.detail.state.reason").alias("reason"),
+        F.to_timestamp_ntz(F.col("event.time")).alias("event_time"),
     )
 
 
