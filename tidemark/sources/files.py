@@ -17,6 +17,11 @@ RAW_SALES_SCHEMA = T.StructType([
 ])
 
 
+def as_nullable(schema: T.StructType) -> T.StructType:
+    """The same schema with every field nullable (what a CSV scan returns)."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
 def scan_csv_schema(spark: SparkSession, path: str, schema: T.StructType = RAW_SALES_SCHEMA,
                     keep_corrupt: bool = False) -> DataFrame:
     """Header CSV under ``path`` with a declared schema; malformed fields -> null.
