@@ -69,14 +69,20 @@ def forecast_status_update(forecasts: DataFrame, requests: DataFrame) -> tuple[D
     valid = checked.filter(F.col("status_code") == 200).drop("status_code", "error")
     snapshot = update_existing(forecasts, valid, "forecast_id",
                                {"status": F.col("status"), "updated_at": F.col("requested_at")})
-    found = request_outcomes(forecasts, valid, "forecast_id").select("forecast_id", "requested_at", "status_code")
-    outcomes = (checked.join(found.withColumnRenamed("status_code", "_found_code"), ["forecast_id", "requested_at"], "left")
-                       .withColumn("status_code", F.when(F.col("status_code") == 400, F.lit(400))
-                                   .otherwise(F.col("_found_code")))
-                       .drop("_found_code"))
+    outcomes = _outcomes(forecasts, checked.drop("status_code"), "forecast_id")
     return snapshot, outcomes
 
 
+def _outcomes(target: DataFrame, checked: DataFrame, key: str) -> DataFrame:
+    """One join: 400 when the request failed validation (``error`` set),
+    else 200 / 404 by key existence."""
+    keys = target.select(key).withColumn("_exists", F.lit(True))
+    j = checked.join(keys, key, "left")
+    code = (F.when(F.col("error").isNotNull(), F.lit(400))
+             .when(F.col("_exists"), F.lit(200)).otherwise(F.lit(404)))
+    return j.withColumn("status_code", code).drop("_exists")
+
+
 def data_source_patch(sources: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Whitelisted patch + updated_at.  Rejected: no mutable field, bad status."""
     kept = V.whitelist_update_fields("patch")
@@ -105,10 +111,7 @@ def data_source_patch(sources: DataFrame, patches: DataFrame) -> tuple[DataFrame
         else:
             cols.append(F.col(c))
     snapshot = j.select(*cols)
-    found = request_outcomes(sources, valid.select("source_id", "requested_at"), "source_id")
-    outcomes = (checked.select("source_id", "requested_at", "error")
-                .join(found, ["source_id", "requested_at"], "left")
-                .withColumn("status_code", F.when(F.col("error").isNotNull(), F.lit(400)).otherwise(F.col("status_code"))))
+    outcomes = _outcomes(sources, checked.select("source_id", "requested_at", "error"), "source_id")
     return snapshot, outcomes
 
 
@@ -125,10 +128,7 @@ def access_replace(acl: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     valid = checked.filter(F.col("error").isNull()).drop("unknown", "error")
     snapshot = update_existing(acl, valid.select("user_id", "permissions", "requested_at"), "user_id",
                                {"permissions": F.col("permissions"), "updated_at": F.col("requested_at")})
-    found = request_outcomes(acl, valid.select("user_id", "requested_at"), "user_id")
-    outcomes = (checked.select("user_id", "requested_at", "error")
-                .join(found, ["user_id", "requested_at"], "left")
-                .withColumn("status_code", F.when(F.col("error").isNotNull(), F.lit(400)).otherwise(F.col("status_code"))))
+    outcomes = _outcomes(acl, checked.select("user_id", "requested_at", "error"), "user_id")
     audit = audit_before_after(acl, valid)
     return snapshot, outcomes, audit
 

@@ -22,13 +22,18 @@ from tidemark.sources import files
 
 def run_etl(spark: SparkSession, raw: DataFrame, curated_path: str, quarantine_path: str,
             metrics_path: str | None = None, environment: str = "prod",
-            run_at: _dt.datetime | None = None) -> dict[str, int]:
+            run_at: _dt.datetime | None = None,
+            storage_level: StorageLevel | None = StorageLevel.MEMORY_AND_DISK) -> dict[str, int]:
+    """Run the ETL; ``storage_level=None`` re-reads the source for the
+    quarantine write instead of keeping the parsed rows (cheap sources)."""
     read_obs = Observation("etl_read")
     typed = etl.classify(raw).observe(
         read_obs,
         F.count(F.lit(1)).alias("RowsRead"),
         F.count_if(~F.col("is_valid")).alias("RowsQuarantined"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    if storage_level is not None:
+        typed = typed.persist(storage_level)
     try:
         cur_obs = Observation("etl_curated")
         curated = etl.project_curated(etl.dedupe_latest(etl.filter_valid_sales(typed)))
@@ -38,7 +43,8 @@ def run_etl(spark: SparkSession, raw: DataFrame, curated_path: str, quarantine_p
         files.sink_parquet(quarantined, quarantine_path)
         counts = {**read_obs.get, **cur_obs.get}
     finally:
-        typed.unpersist()
+        if storage_level is not None:
+            typed.unpersist()
     counts = {k: int(counts[k]) for k in vocab.ETL_METRIC_NAMES}
     if metrics_path:
         at = run_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
