@@ -114,44 +114,45 @@ def run_threshold_alarm(spark, source_path, schema, out_path, checkpoint, latene
     return _run(w, available_now)
 
 
-def _rule_stat(stat: str):
-    return {"sum": F.sum("value"), "max": F.max("value"), "avg": F.avg("value"),
-            "p50": F.percentile_approx("value", 0.5, M.PERCENTILE_ACCURACY),
-            "p99": F.percentile_approx("value", 0.99, M.PERCENTILE_ACCURACY)}[stat]
-
-
-def _compare(col, op: str, thr: float):
-    return {">=": col >= thr, ">": col > thr, "<": col < thr, "<=": col <= thr}[op]
-
-
-def consecutive_alarm(stream: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS) -> DataFrame:
+def consecutive_alarm(stream: DataFrame, rules: DataFrame,
+                      period_seconds: int = vocab.ALARM_PERIOD_SECONDS) -> DataFrame:
     """For each rule with N > 1: breaching periods among the last N, per
-    sliding window of N periods (chained windows over window_time)."""
-    outs = []
-    for alarm, name, dim, stat, op, thr, n in vocab.ALARM_RULES:
-        if n <= 1:
-            continue
-        s = stream.filter((F.col("name") == name) & (F.col("dim_value") == dim))
-        per = (s.groupBy(F.window("event_time", f"{period_seconds} seconds").alias("w"))
-                .agg(_rule_stat(stat).alias("stat_value")))
-        per = per.withColumn("breach", _compare(F.col("stat_value"), op, thr))
-        slide = (per.groupBy(F.window(F.window_time("w"), f"{n * period_seconds} seconds",
-                                      f"{period_seconds} seconds").alias("s"))
-                    .agg(F.count_if("breach").alias("breaching_periods"), F.count(F.lit(1)).alias("periods_with_data")))
-        outs.append(slide.select(F.lit(alarm).alias("alarm"), F.lit(n).alias("periods"),
-                                 F.col("s.start").cast("timestamp_ntz").alias("window_start"),
-                                 F.col("s.end").cast("timestamp_ntz").alias("window_end"),
-                                 "breaching_periods", "periods_with_data",
-                                 (F.col("breaching_periods") == n).alias("in_alarm")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    sliding window of N periods (chained windows over ``window_time``).
+
+    The first window aggregates every series: a filter on the rule's metric
+    placed before it would be pushed below the watermark, which would then
+    follow that one metric instead of the whole stream.  The rule's series
+    is picked afterwards by a join with the (static, 9-row) rule table.
+    """
+    w = F.window("event_time", f"{period_seconds} seconds")
+    per = stream.groupBy(w.alias("w"), "name", "dim_value").agg(
+        F.sum("value").alias("sum"), F.max("value").alias("max"), F.avg("value").alias("avg"),
+        F.percentile_approx("value", [0.5, 0.99], M.PERCENTILE_ACCURACY).alias("_q"))
+    per = per.withColumn("p50", F.col("_q")[0]).withColumn("p99", F.col("_q")[1]).drop("_q")
+    multi = rules.filter(F.col("periods") > 1)
+    ev = per.join(F.broadcast(multi), ["name", "dim_value"])
+    stat = M._stat(F.col("statistic"))
+    thr = F.col("threshold")
+    breach = (F.when(F.col("comparison") == ">=", stat >= thr).when(F.col("comparison") == ">", stat > thr)
+               .when(F.col("comparison") == "<", stat < thr).when(F.col("comparison") == "<=", stat <= thr))
+    ev = ev.withColumn("breach", F.coalesce(breach, F.lit(False)))
+    n_max = max(r[6] for r in vocab.ALARM_RULES)
+    if len({r[6] for r in vocab.ALARM_RULES if r[6] > 1}) != 1:
+        raise NotImplementedError("one sliding length per query: split rules by N")
+    slide = (ev.groupBy(F.window(F.window_time("w"), f"{n_max * period_seconds} seconds",
+                                 f"{period_seconds} seconds").alias("s"), "alarm", "periods")
+               .agg(F.count_if("breach").alias("breaching_periods"), F.count(F.lit(1)).alias("periods_with_data")))
+    return slide.select("alarm", "periods",
+                        F.col("s.start").cast("timestamp_ntz").alias("window_start"),
+                        F.col("s.end").cast("timestamp_ntz").alias("window_end"),
+                        "breaching_periods", "periods_with_data",
+                        (F.col("breaching_periods") == F.col("periods")).alias("in_alarm"))
 
 
 def run_consecutive_alarm(spark, source_path, schema, out_path, checkpoint, lateness=vocab.DEFAULT_LATENESS,
                           available_now=True, max_files_per_trigger=None):
-    res = consecutive_alarm(metric_stream(spark, source_path, schema, lateness, max_files_per_trigger))
+    res = consecutive_alarm(metric_stream(spark, source_path, schema, lateness, max_files_per_trigger),
+                            M.alarm_rules(spark))
     w = (res.writeStream.outputMode("append").format("parquet")
          .option("path", out_path).option("checkpointLocation", checkpoint))
     return _run(w, available_now)
