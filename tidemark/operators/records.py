@@ -149,8 +149,10 @@ def top_alerts(inv: DataFrame, n: int = 3) -> DataFrame:
 
 def get_by_key(table: DataFrame, requests: DataFrame, key: str) -> DataFrame:
     """Batch single-record fetch: every requested key with ``found``."""
-    marked = table.withColumn("_found", F.lit(True))
-    out = requests.join(marked, key, "left")
+    # table rows for requested keys only (table streamed through a semi join),
+    # then the request batch keeps its own rows with a left join
+    hits = table.join(requests.select(key).distinct(), key, "left_semi")
+    out = requests.join(hits.withColumn("_found", F.lit(True)), key, "left")
     return out.withColumn("found", F.coalesce(F.col("_found"), F.lit(False))).drop("_found")
 
 

@@ -41,14 +41,25 @@ def update_existing(target: DataFrame, updates: DataFrame, key: str,
     return j.select(*out, *extra, hit.alias("updated"))
 
 
+def existing_keys(target: DataFrame, requests: DataFrame, key: str) -> DataFrame:
+    """Target keys that some request names.
+
+    The target is the streamed side of a semi join against the distinct
+    request keys (broadcast by AQE when the request batch is small), so a
+    small batch never shuffles a large target; the result is at most as
+    large as the request key set and is itself cheap to join back.
+    """
+    return target.select(key).join(requests.select(key).distinct(), key, "left_semi")
+
+
 def update_not_found(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """The 404 set of a batch of updates."""
-    return updates.join(target.select(key), key, "left_anti")
+    return updates.join(existing_keys(target, updates, key), key, "left_anti")
 
 
 def request_outcomes(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """Every request with 200 (key exists) or 404."""
-    keys = target.select(key).withColumn("_exists", F.lit(True))
+    keys = existing_keys(target, updates, key).withColumn("_exists", F.lit(True))
     j = updates.join(keys, key, "left")
     return j.withColumn("status_code", F.when(F.col("_exists"), F.lit(200)).otherwise(F.lit(404))).drop("_exists")
 
@@ -76,7 +87,7 @@ def forecast_status_update(forecasts: DataFrame, requests: DataFrame) -> tuple[D
 def _outcomes(target: DataFrame, checked: DataFrame, key: str) -> DataFrame:
     """One join: 400 when the request failed validation (``error`` set),
     else 200 / 404 by key existence."""
-    keys = target.select(key).withColumn("_exists", F.lit(True))
+    keys = existing_keys(target, checked, key).withColumn("_exists", F.lit(True))
     j = checked.join(keys, key, "left")
     code = (F.when(F.col("error").isNotNull(), F.lit(400))
              .when(F.col("_exists"), F.lit(200)).otherwise(F.lit(404)))
@@ -203,7 +214,8 @@ def apply_if_proposed(optimizations: DataFrame, requests: DataFrame) -> tuple[Da
     # earliest request per key by a partial aggregate (a hot key costs one row
     # per map task), then a join: requests are unique on (key, requested_at)
     first = requests.groupBy("optimization_id").agg(F.min("requested_at").alias("_first_at"))
-    cur = optimizations.select("optimization_id", F.col("status").alias("_status"))
+    cur = (optimizations.select("optimization_id", F.col("status").alias("_status"))
+                        .join(first.select("optimization_id"), "optimization_id", "left_semi"))
     j = requests.join(first, "optimization_id").join(cur, "optimization_id", "left")
     applies = F.coalesce((F.col("requested_at") == F.col("_first_at")) & (F.col("_status") == "proposed"),
                          F.lit(False))

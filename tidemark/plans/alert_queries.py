@@ -164,7 +164,7 @@ def validate_required(spark, sf):
 
 
 @register("sink_metric_event", f"""
-SELECT 'Alerts' AS namespace, 'AlertsCreated' AS metric_name, 1.0 AS value, 'Count' AS unit,
+SELECT 'Alerts' AS namespace, 'AlertsCreated' AS metric_name, CAST(1.0 AS DOUBLE) AS value, 'Count' AS unit,
        'AlertType=' || alert_type || ';Category=' || category AS dimensions, alert_id AS source_key
 FROM alerts""", ("alerts",))
 def sink_metric_event(spark, sf):

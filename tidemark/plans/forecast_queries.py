@@ -26,7 +26,7 @@ def monthly_demand(spark, sf):
 
 
 @register("collect_history", """
-SELECT product_id, count(*) AS n_points, min(period) AS first_period, max(period) AS last_period,
+SELECT product_id, CAST(count(*) AS INTEGER) AS n_points, min(period) AS first_period, max(period) AS last_period,
        string_agg(period || ':' || CAST(demand AS VARCHAR), ',' ORDER BY period) AS history
 FROM demand_history GROUP BY product_id""", ("demand_history",))
 def collect_history(spark, sf):
@@ -84,7 +84,7 @@ def what_if_score(spark, sf):
 
 @register("next_periods", f"""
 SELECT product_id, step, {next_period_sql('last_period', 'step')} AS period FROM (
-  SELECT product_id, last_period, unnest(generate_series(1, horizon)) AS step
+  SELECT product_id, last_period, CAST(unnest(generate_series(1, horizon)) AS INTEGER) AS step
   FROM (SELECT product_id, max(period) AS last_period, max(horizon) AS horizon FROM inference_valid GROUP BY 1) a) b""",
           ("inference_valid",))
 def next_periods(spark, sf):
@@ -108,8 +108,8 @@ def validate_inference_request(spark, sf):
 
 
 @register("forecast_record", """
-SELECT 'fc-' || product_id AS forecast_id, product_id, count(*) AS n_predictions, min(period) AS first_period,
-       0.8 AS confidence, 'baseline-quantile-v1' AS model_version, 'active' AS status,
+SELECT 'fc-' || product_id AS forecast_id, product_id, CAST(count(*) AS INTEGER) AS n_predictions, min(period) AS first_period,
+       CAST(0.8 AS DOUBLE) AS confidence, 'baseline-quantile-v1' AS model_version, 'active' AS status,
        CAST(strptime(max(last_period) || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS created_at
 FROM fc_preds GROUP BY product_id""", ("fc_preds",))
 def forecast_record(spark, sf):
@@ -119,7 +119,7 @@ def forecast_record(spark, sf):
                     "confidence", "model_version", "status", "created_at")
 
 
-@register("interval_confidence", "SELECT 'fc-' || product_id AS forecast_id, 0.8 AS confidence FROM fc_preds GROUP BY 1",
+@register("interval_confidence", "SELECT 'fc-' || product_id AS forecast_id, CAST(0.8 AS DOUBLE) AS confidence FROM fc_preds GROUP BY 1",
           ("fc_preds",))
 def interval_confidence(spark, sf):
     return V.forecasts(spark, sf).select("forecast_id", "confidence")

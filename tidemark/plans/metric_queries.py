@@ -62,11 +62,11 @@ def alarm_transitions(spark, sf):
 @register("metric_sum_by_dimension", """
 SELECT namespace, metric_name, dimensions, sum(value) AS total, count(*) AS events FROM (
   SELECT 'Alerts' AS namespace, 'AlertsCreated' AS metric_name,
-         'AlertType=' || alert_type || ';Category=' || category AS dimensions, 1.0 AS value FROM alerts
+         'AlertType=' || alert_type || ';Category=' || category AS dimensions, CAST(1.0 AS DOUBLE) AS value FROM alerts
   UNION ALL
-  SELECT 'ML', 'ForecastGenerated', '', 1.0 FROM forecasts
+  SELECT 'ML', 'ForecastGenerated', '', CAST(1.0 AS DOUBLE) FROM forecasts
   UNION ALL
-  SELECT 'Operations', 'ReportGenerated', 'ReportType=' || COALESCE(p.report_type, 'operational'), 1.0
+  SELECT 'Operations', 'ReportGenerated', 'ReportType=' || COALESCE(p.report_type, 'operational'), CAST(1.0 AS DOUBLE)
   FROM reports p JOIN (SELECT DISTINCT report_id FROM report_requests) r ON p.report_id = r.report_id) e
 GROUP BY namespace, metric_name, dimensions""", ("alerts", "forecasts", "reports", "report_requests"))
 def metric_sum_by_dimension(spark, sf):

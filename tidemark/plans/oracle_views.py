@@ -145,7 +145,7 @@ FROM curated GROUP BY product_id, strftime(order_date, '%Y-%m')""")
 cte("fc_preds", ("demand_history",), f"""
 SELECT product_id, step, {next_period_sql('last_period', 'step')} AS period,
        round_even(q[2], 2) AS demand, round_even(q[1], 2) AS lower, round_even(q[3], 2) AS upper, last_period
-FROM (SELECT product_id, q, last_period, unnest(generate_series(1, {V.FORECAST_HORIZON})) AS step
+FROM (SELECT product_id, q, last_period, CAST(unnest(generate_series(1, {V.FORECAST_HORIZON})) AS INTEGER) AS step
       FROM (SELECT product_id, quantile_cont(CAST(demand AS DOUBLE), [0.1, 0.5, 0.9]) AS q, max(period) AS last_period
             FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY period DESC) AS rn
                   FROM demand_history WHERE period < {q(V.FORECAST_CUTOFF)}) h
@@ -154,7 +154,7 @@ FROM (SELECT product_id, q, last_period, unnest(generate_series(1, {V.FORECAST_H
 cte("forecasts", ("fc_preds",), f"""
 SELECT 'fc-' || product_id AS forecast_id, product_id,
        CAST(strptime(max(last_period) || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS created_at,
-       0.8 AS confidence, {q(V.BASELINE_MODEL_VERSION)} AS model_version, 'active' AS status
+       CAST(0.8 AS DOUBLE) AS confidence, {q(V.BASELINE_MODEL_VERSION)} AS model_version, 'active' AS status
 FROM fc_preds GROUP BY product_id""")
 
 cte("metrics", (), f"""
@@ -392,7 +392,7 @@ def baseline_sql(source: str, horizon: str | int, demand_expr: str = "CAST(deman
     return f"""
 SELECT product_id, step, {next_period_sql('last_period', 'step')} AS period,
        round_even(q[2], 2) AS demand, round_even(q[1], 2) AS lower, round_even(q[3], 2) AS upper, last_period{extra_cols}
-FROM (SELECT product_id, q, last_period, unnest(generate_series(1, h)) AS step
+FROM (SELECT product_id, q, last_period, CAST(unnest(generate_series(1, h)) AS INTEGER) AS step
       FROM (SELECT product_id, quantile_cont({demand_expr}, [{qs}]) AS q, max(period) AS last_period, {hcol} AS h
             FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY period DESC) AS rn
                   FROM {source} WHERE {where}) hh

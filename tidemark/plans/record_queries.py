@@ -46,7 +46,7 @@ def get_by_key(spark, sf):
 
 @register("forecasts_by_product", f"""
 SELECT forecast_id, product_id, created_at,
-       ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY created_at DESC NULLS LAST, forecast_id DESC) AS pos
+       CAST(ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY created_at DESC NULLS LAST, forecast_id DESC) AS INTEGER) AS pos
 FROM forecasts QUALIFY pos <= {vocab.DEFAULT_PAGE_SIZE}""", ("forecasts",))
 def forecasts_by_product(spark, sf):
     return R.forecasts_by_product(V.forecasts(spark, sf)).select("forecast_id", "product_id", "created_at", "pos")
@@ -59,7 +59,7 @@ def alerts_by_category(spark, sf):
 
 @register("inventory_alerts_by_product", f"""
 SELECT product_id, alert_id, severity,
-       ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY severity, alert_id) AS pos
+       CAST(ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY severity, alert_id) AS INTEGER) AS pos
 FROM inventory_alerts QUALIFY pos <= {vocab.MAX_PAGE_SIZE}""", ("inventory_alerts",))
 def inventory_alerts_by_product(spark, sf):
     inv = V.inventory_alerts(spark, sf)
@@ -137,7 +137,7 @@ def critical_inventory_count(spark, sf):
 
 
 @register("ingestion_stats", """
-SELECT sum(records_processed) AS total_records,
+SELECT CAST(sum(records_processed) AS BIGINT) AS total_records,
        CAST(floor(sum(records_processed) * 0.05) AS BIGINT) AS processed_today,
        floor(avg(data_quality) * 10 + 0.5) / 10.0 AS data_quality_avg,
        floor(count(*) FILTER (WHERE status = 'active') / count(*) * 100 * 10 + 0.5) / 10.0 AS pipeline_health
