@@ -34,7 +34,11 @@ def parse_event_json(df: DataFrame, text_col: str = "payload",
     """
     parsed = F.from_json(F.col(text_col), schema,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    out = df.withColumn("event", parsed)
+    # Parse inside a generator: filters on the parsed fields cannot be pushed
+    # below a Generate, so each payload is parsed once instead of once per
+    # predicate (from_json falls back from codegen, and a pushed-down filter
+    # would repeat it for every conjunct).
+    out = df.select("*", F.inline(F.array(F.struct(parsed.alias("event")))))
     ok = F.col("event").isNotNull() & F.col("event._corrupt").isNull() & F.trim(F.col(text_col)).startswith("{")
     return out.withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
 
