@@ -107,3 +107,14 @@ def test_stream_windows_equal_batch_on_closed_windows(spark):
     batch = M.window_stats(m).filter(F.col("period_end") <= F.lit(wm)).select("metric_id", "period_start", "sum", "samples")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
     assert streamed.count() > 0
+
+
+def test_round_exact_matches_python_round(spark):
+    import random
+    random.seed(3)
+    vals = [32.175, 12.125, 2.675, 0.125, 1.005, 4769.465, 329.195, 2.5, 3.5, 0.0]
+    vals += [random.randint(0, 10**6) / random.choice([8, 40, 200, 1000]) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(S.round_half_even("x", 2)).collect()]
+    assert got == [round(v, 2) for v in vals]
+    assert df.filter("x = 32.175").select(S.round_half_even("x", 2)).first()[0] == 32.17

@@ -127,3 +127,40 @@ def test_ingestion_stats_dashboard_rows(spark):
                                "name string, source_type string, status string, records_processed long, data_quality double")
     r = M.ingestion_stats(ds).collect()[0]
     assert (r.total_records, r.processed_today, r.data_quality_avg, r.pipeline_health) == (3062260, 153113, 97.1, 50.0)
+
+
+def test_horizon_truncates_before_range_check(spark):
+    req = spark.createDataFrame([("a", [("2026-01", 1.0)], 24.9), ("b", [("2026-01", 1.0)], 25.2), ("c", [("2026-01", 1.0)], 0.5)],
+                                "product_id string, history array<struct<period:string,demand:double>>, horizon double")
+    out = {r.product_id: (r.status_code, r.horizon) for r in Val.validate_inference_request(req).collect()}
+    assert out == {"a": (200, 24), "b": (400, 25), "c": (400, 0)}
+
+
+def test_page_size_text_rules(spark):
+    lim = spark.createDataFrame([(" 7 ",), ("5.5",), ("0",), ("200",), ("201",)], "limit string")
+    assert [r.status_code for r in Val.validate_page_size(lim).collect()] == [200, 400, 400, 200, 400]
+
+
+def test_metric_emission_is_best_effort(spark):
+    from tidemark.sources import files
+    m = spark.createDataFrame([("x", 1.0)], "metric_name string, value double")
+    assert files.emit_metrics(m, "/proc/not-writable/metrics") is False
+
+
+def test_dead_letter_retention(spark):
+    from tidemark.sources import events as E
+    dead = spark.createDataFrame([("{bad", dt.datetime(2026, 1, 1)), ("{bad2", dt.datetime(2026, 1, 20))], "payload string, ts timestamp_ntz")
+    kept = E.dead_letters(dead, as_of=dt.datetime(2026, 1, 16)).collect()
+    assert [r.payload for r in kept] == ["{bad2"]
+
+
+def test_catalog_table_recovers_new_partitions(spark):
+    from tidemark.session import scratch_path
+    from tidemark.sources import files
+    base = scratch_path(spark, "test_catalog")
+    df = spark.createDataFrame([(1, 2026, 1)], "v int, year int, month int")
+    files.sink_parquet_partitioned(df, base)
+    assert files.catalog_table(spark, "t_catalog_probe", base).count() == 1
+    files.sink_parquet_partitioned(spark.createDataFrame([(2, 2026, 2)], df.schema), base)
+    t = files.catalog_table(spark, "t_catalog_probe", base)
+    assert sorted((r.year, r.month) for r in t.select("year", "month").collect()) == [(2026, 1), (2026, 2)]

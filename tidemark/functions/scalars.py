@@ -102,9 +102,50 @@ def stable_id(prefix: str, *keys: str | Column) -> Column:
 
 # --- rounding -----------------------------------------------------------------
 
+_SPLIT = 134217729.0  # 2**27 + 1, Veltkamp split of a double into two 26-bit halves
+
+
+def round_exact(col: str | Column, scale: int, ties: str = "even") -> Column:
+    """Round a double to ``scale`` places by its exact binary value.
+
+    Python's ``round(x, n)`` (ties to even) and SQL engines that round doubles
+    decide on the exact binary value: 32.175 is stored as 32.17499999... and
+    rounds down.  Spark's ``bround``/``round`` on doubles decide on the printed
+    value ("32.175") instead.  Here p = x * 10**s is computed together with its
+    exact rounding error e (Dekker: x is split into two 26-bit halves, each
+    product with a small integer is exact), so a tie of p is resolved by the
+    sign of e; only an exact binary tie uses the ``ties`` rule ("even" or
+    "up" = away from zero for positive values).  The result is r / 10**s,
+    the double nearest the decimal, like Python.  Built-ins only, so it stays
+    inside whole-stage codegen.
+    """
+    if not 0 <= scale <= 7:
+        raise ValueError("scale must be in 0..7 (10**scale must fit 26 bits)")
+    x = _c(col).cast("double")
+    m = float(10 ** scale)
+    p = x * F.lit(m)
+    c = x * F.lit(_SPLIT)
+    xh = c - (c - x)
+    xl = x - xh
+    e = (xh * F.lit(m) - p) + xl * F.lit(m)
+    n = F.floor(p).cast("double")
+    tie = (p - n) == F.lit(0.5)
+    if ties == "even":
+        exact_tie = F.when(F.pmod(n, F.lit(2.0)) == 0, n).otherwise(n + 1)
+    elif ties == "up":
+        exact_tie = n + 1
+    else:
+        raise ValueError("ties must be 'even' or 'up'")
+    r = (F.when(tie & (e > 0), n + 1)
+          .when(tie & (e < 0), n)
+          .when(tie, exact_tie)
+          .otherwise(F.rint(p)))
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(r / F.lit(m))
+
+
 def round_half_even(col: str | Column, scale: int) -> Column:
-    """Python ``round(x, n)`` on floats (half-even; exact ties differ, see README)."""
-    return F.bround(_c(col), scale)
+    """Python ``round(x, n)`` on floats."""
+    return round_exact(col, scale, "even")
 
 
 def js_round(col: str | Column, scale: int = 1) -> Column:

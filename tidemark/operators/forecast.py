@@ -96,6 +96,21 @@ def _next_period_list(last: str, horizon: int) -> list[str]:
     return [f"{(base + i) // 12:04d}-{(base + i) % 12 + 1:02d}" for i in range(1, horizon + 1)]
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _cached_scorer(factory: Callable[[], Scorer]) -> Scorer:
+    """Build the scorer once per Python worker (workers are reused across
+    tasks), keyed by the pickled factory so different models never mix."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    key = hashlib.sha1(cloudpickle.dumps(factory)).hexdigest()
+    if key not in _SCORERS:
+        _SCORERS[key] = factory()
+    return _SCORERS[key]
+
+
 SCORE_SCHEMA = T.StructType([
     T.StructField("product_id", T.StringType()),
     T.StructField("step", T.IntegerType()),
@@ -112,8 +127,8 @@ def score_forecast(requests: DataFrame, scorer_factory: Callable[[], Scorer] = b
     """Score (product_id, history array<struct<period,demand>>, horizon) rows.
 
     ``mapInPandas`` hands the scorer Arrow batches of products; the scorer is
-    built once per task by ``scorer_factory`` (load weights there), not once
-    per product.  The history is cut to the context on the JVM side first.
+    built by ``scorer_factory`` (load weights there) once per Python worker,
+    not once per product or task.  The history is cut to the context on the JVM side first.
     """
     prepared = requests.select(
         "product_id", "horizon",
@@ -122,7 +137,7 @@ def score_forecast(requests: DataFrame, scorer_factory: Callable[[], Scorer] = b
     ).select("product_id", "horizon", "last_period", F.col("tail.demand").alias("series"))
 
     def run(batches):
-        scorer = scorer_factory()
+        scorer = _cached_scorer(scorer_factory)
         for pdf in batches:
             out = []
             for pid, h, last, series in zip(pdf["product_id"], pdf["horizon"], pdf["last_period"], pdf["series"]):
@@ -177,7 +192,7 @@ def forecast_vs_actual(forecasts: DataFrame, monthly: DataFrame) -> DataFrame:
     a = monthly.select("product_id", "period", F.col("demand").cast("double").alias("actual"))
     j = p.join(a, ["product_id", "period"], "left")
     acc = F.when(F.col("actual").isNotNull() & (F.col("demand") != 0),
-                 F.round(F.col("actual") * 100 / F.col("demand"), 1))
+                 S.round_exact(F.col("actual") * 100 / F.col("demand"), 1, "up"))
     return j.select("forecast_id", "product_id", "period", "step", "demand", "actual", acc.alias("accuracy"))
 
 

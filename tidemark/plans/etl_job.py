@@ -50,5 +50,5 @@ def run_etl(spark: SparkSession, raw: DataFrame, curated_path: str, quarantine_p
         at = run_at or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         rows = [(name, float(counts[name]), "Count", environment, at) for name in vocab.ETL_METRIC_NAMES]
         m = spark.createDataFrame(rows, "metric_name string, value double, unit string, environment string, ts timestamp_ntz")
-        files.sink_append(m, metrics_path)
+        files.emit_metrics(m, metrics_path)
     return counts

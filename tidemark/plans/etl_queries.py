@@ -46,9 +46,10 @@ def sink_quarantine(spark, sf):
           "SELECT year, month, count(*) AS row_count, sum(line_total) AS revenue FROM curated GROUP BY year, month",
           ("curated",))
 def catalog_partitions(spark, sf):
+    import uuid
     path = scratch_path(spark, "curated_catalog")
     files.sink_parquet_partitioned(V.curated_sales(spark, sf), path)
-    t = files.read_partitioned(spark, path)  # partition discovery: year, month
+    t = files.catalog_table(spark, f"curated_sales_{uuid.uuid4().hex[:12]}", path)  # partitions recovered
     return t.groupBy("year", "month").agg(F.count(F.lit(1)).alias("row_count"), F.sum("line_total").alias("revenue"))
 
 

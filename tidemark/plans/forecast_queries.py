@@ -8,7 +8,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import forecast as FC
 from tidemark.operators import validate as Val
 from tidemark.plans import views as V
-from tidemark.plans.oracle_views import baseline_sql, next_period_sql
+from tidemark.plans.oracle_views import baseline_sql, next_period_sql, round_exact_sql
 from tidemark.plans.registry import register
 
 WHAT_IF_SCALE = 1.5
@@ -48,7 +48,7 @@ def context_tail(spark, sf):
     return t.select("product_id", F.col("p.period").alias("period"), F.col("p.demand").cast("bigint").alias("demand"))
 
 
-@register("round2", "SELECT product_id, round_even(avg(demand), 2) AS mean_demand FROM demand_history GROUP BY product_id",
+@register("round2", f"SELECT product_id, {round_exact_sql('avg(demand)', 2)} AS mean_demand FROM demand_history GROUP BY product_id",
           ("demand_history",))
 def round2(spark, sf):
     h = V.demand_history(spark, sf)
@@ -125,9 +125,10 @@ def interval_confidence(spark, sf):
     return V.forecasts(spark, sf).select("forecast_id", "confidence")
 
 
-@register("forecast_vs_actual", """
+@register("forecast_vs_actual", f"""
 SELECT 'fc-' || f.product_id AS forecast_id, f.period, f.step, f.demand, CAST(a.demand AS DOUBLE) AS actual,
-       CASE WHEN a.demand IS NOT NULL AND f.demand <> 0 THEN round(CAST(a.demand AS DOUBLE) * 100 / f.demand, 1) END AS accuracy
+       CASE WHEN a.demand IS NOT NULL AND f.demand <> 0
+            THEN {round_exact_sql('CAST(a.demand AS DOUBLE) * 100 / f.demand', 1, 'up')} END AS accuracy
 FROM fc_preds f LEFT JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period""",
           ("fc_preds", "demand_history"))
 def forecast_vs_actual(spark, sf):

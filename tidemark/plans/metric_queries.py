@@ -8,6 +8,8 @@ from tidemark.operators import forecast as FC
 from tidemark.operators import metrics as M
 from tidemark.operators import updates as U
 from tidemark.plans import views as V
+from tidemark.functions import scalars as S
+from tidemark.plans.oracle_views import round_exact_sql
 from tidemark.plans.registry import register
 
 _P = 300
@@ -84,17 +86,17 @@ def metric_sum_by_dimension(spark, sf):
     return M.metric_sum_by_dimension(al.unionByName(fc).unionByName(rp))
 
 
-@register("forecast_accuracy_metric", """
+@register("forecast_accuracy_metric", f"""
 SELECT forecast_id, 'ForecastAccuracy' AS metric_name, 'Percent' AS unit,
-       round(avg(accuracy), 4) AS accuracy_avg, count(*) AS points
+       {round_exact_sql('avg(accuracy)', 4, 'up')} AS accuracy_avg, count(*) AS points
 FROM (SELECT 'fc-' || f.product_id AS forecast_id,
-             CASE WHEN f.demand <> 0 THEN round(CAST(a.demand AS DOUBLE) * 100 / f.demand, 1) END AS accuracy
+             CASE WHEN f.demand <> 0 THEN {round_exact_sql('CAST(a.demand AS DOUBLE) * 100 / f.demand', 1, 'up')} END AS accuracy
       FROM fc_preds f JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period) t
 WHERE accuracy IS NOT NULL GROUP BY forecast_id""", ("fc_preds", "demand_history"))
 def forecast_accuracy_metric(spark, sf):
     fva = FC.forecast_vs_actual(V.forecasts(spark, sf), V.demand_history(spark, sf))
     return (fva.filter(F.col("accuracy").isNotNull())
                .groupBy("forecast_id")
-               .agg(F.round(F.avg("accuracy"), 4).alias("accuracy_avg"), F.count(F.lit(1)).alias("points"))
+               .agg(S.round_exact(F.avg("accuracy"), 4, "up").alias("accuracy_avg"), F.count(F.lit(1)).alias("points"))
                .select("forecast_id", F.lit("ForecastAccuracy").alias("metric_name"), F.lit("Percent").alias("unit"),
                        "accuracy_avg", "points"))

@@ -142,15 +142,6 @@ cte("demand_history", ("curated",), """
 SELECT product_id, strftime(order_date, '%Y-%m') AS period, CAST(SUM(quantity) AS BIGINT) AS demand
 FROM curated GROUP BY product_id, strftime(order_date, '%Y-%m')""")
 
-cte("fc_preds", ("demand_history",), f"""
-SELECT product_id, step, {next_period_sql('last_period', 'step')} AS period,
-       round_even(q[2], 2) AS demand, round_even(q[1], 2) AS lower, round_even(q[3], 2) AS upper, last_period
-FROM (SELECT product_id, q, last_period, CAST(unnest(generate_series(1, {V.FORECAST_HORIZON})) AS INTEGER) AS step
-      FROM (SELECT product_id, quantile_cont(CAST(demand AS DOUBLE), [0.1, 0.5, 0.9]) AS q, max(period) AS last_period
-            FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY period DESC) AS rn
-                  FROM demand_history WHERE period < {q(V.FORECAST_CUTOFF)}) h
-            WHERE rn <= {vocab.CONTEXT_LENGTH} GROUP BY product_id) a) b""")
-
 cte("forecasts", ("fc_preds",), f"""
 SELECT 'fc-' || product_id AS forecast_id, product_id,
        CAST(strptime(max(last_period) || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS created_at,
@@ -381,6 +372,27 @@ def _consecutive_sql() -> str:
 cte("consecutive", ("evaluated",), _consecutive_sql())
 
 
+# --- exact rounding of doubles (twin of functions.scalars.round_exact) ---------
+
+def round_exact_sql(x: str, scale: int, ties: str = "even") -> str:
+    """Round the exact binary value of ``x``: ties of x*10**s resolved by the
+    sign of the product's rounding error (Dekker split); exact ties by
+    ``ties``.  DuckDB's own round() loses that error on near-ties."""
+    m = f"CAST({10 ** scale} AS DOUBLE)"
+    X = f"CAST({x} AS DOUBLE)"
+    p = f"({X} * {m})"
+    c = f"({X} * CAST(134217729 AS DOUBLE))"
+    xh = f"({c} - ({c} - {X}))"
+    xl = f"({X} - {xh})"
+    e = f"(({xh} * {m} - {p}) + {xl} * {m})"
+    n = f"floor({p})"
+    tie = f"({p} - {n} = 0.5)"
+    exact = f"(CASE WHEN {n} % 2 = 0 THEN {n} ELSE {n} + 1 END)" if ties == "even" else f"({n} + 1)"
+    r = (f"CASE WHEN {tie} AND {e} > 0 THEN {n} + 1 WHEN {tie} AND {e} < 0 THEN {n} "
+         f"WHEN {tie} THEN {exact} ELSE round_even({p}, 0) END")
+    return f"(({r}) / {m})"
+
+
 # --- baseline forecast --------------------------------------------------------
 
 def baseline_sql(source: str, horizon: str | int, demand_expr: str = "CAST(demand AS DOUBLE)",
@@ -391,7 +403,8 @@ def baseline_sql(source: str, horizon: str | int, demand_expr: str = "CAST(deman
     hcol = f"{horizon}" if isinstance(horizon, int) else f"max({horizon})"
     return f"""
 SELECT product_id, step, {next_period_sql('last_period', 'step')} AS period,
-       round_even(q[2], 2) AS demand, round_even(q[1], 2) AS lower, round_even(q[3], 2) AS upper, last_period{extra_cols}
+       {round_exact_sql('q[2]', 2)} AS demand, {round_exact_sql('q[1]', 2)} AS lower,
+       {round_exact_sql('q[3]', 2)} AS upper, last_period{extra_cols}
 FROM (SELECT product_id, q, last_period, CAST(unnest(generate_series(1, h)) AS INTEGER) AS step
       FROM (SELECT product_id, quantile_cont({demand_expr}, [{qs}]) AS q, max(period) AS last_period, {hcol} AS h
             FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY period DESC) AS rn

@@ -79,10 +79,14 @@ def filter_alarm_state(flat: DataFrame) -> DataFrame:
 
 
 def dead_letters(dead: DataFrame, as_of_col: str = "ts",
-                 retention_days: int = vocab.DEAD_LETTER_RETENTION_DAYS) -> DataFrame:
-    """Dead-letter rows with their expiry; rows past retention are dropped."""
-    return (dead.withColumn("expires_at", F.timestamp_add("DAY", F.lit(retention_days), F.col(as_of_col)))
-                .withColumn("error", F.lit("payload is not a valid alarm event object")))
+                 retention_days: int = vocab.DEAD_LETTER_RETENTION_DAYS, as_of=None) -> DataFrame:
+    """Dead-letter rows with their expiry; with ``as_of`` (a timestamp) rows
+    already past retention are dropped."""
+    out = (dead.withColumn("expires_at", F.timestamp_add("DAY", F.lit(retention_days), F.col(as_of_col)))
+               .withColumn("error", F.lit("payload is not a valid alarm event object")))
+    if as_of is not None:
+        out = out.filter(F.col("expires_at") > F.lit(as_of))
+    return out
 
 
 def read_alarm_events_json(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -62,6 +64,25 @@ def sink_append(df: DataFrame, path: str) -> None:
     sink_parquet(df, path, "append")
 
 
+def emit_metrics(df: DataFrame, path: str) -> bool:
+    """Append metric rows; a failure is logged and never fails the caller."""
+    try:
+        sink_append(df, path)
+        return True
+    except Exception as exc:  # noqa: BLE001 - observability is best effort
+        logging.getLogger(__name__).warning("metric emission to %s failed: %s", path, exc)
+        return False
+
+
+def catalog_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """Register a partitioned Parquet folder as an external catalog table and
+    pick up partitions added since (the nightly discovery step)."""
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path=path, source="parquet")
+    spark.catalog.recoverPartitions(name)
+    return spark.table(name)
+
+
 def sink_json_lines(df: DataFrame, path: str, partition_cols: tuple[str, ...] = ()) -> None:
     w = df.write.mode("overwrite")
     if partition_cols:
