@@ -132,7 +132,8 @@ SELECT 'fc-' || f.product_id AS forecast_id, f.period, f.step, f.demand, CAST(a.
 FROM fc_preds f LEFT JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period""",
           ("fc_preds", "demand_history"))
 def forecast_vs_actual(spark, sf):
-    return FC.forecast_vs_actual(V.forecasts(spark, sf), V.demand_history(spark, sf)) \
+    monthly = V.demand_history(spark, sf)
+    return FC.forecast_vs_actual(V.forecasts(spark, sf, monthly), monthly) \
              .select("forecast_id", "period", "step", "demand", "actual", "accuracy")
 
 

@@ -94,7 +94,8 @@ FROM (SELECT 'fc-' || f.product_id AS forecast_id,
       FROM fc_preds f JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period) t
 WHERE accuracy IS NOT NULL GROUP BY forecast_id""", ("fc_preds", "demand_history"))
 def forecast_accuracy_metric(spark, sf):
-    fva = FC.forecast_vs_actual(V.forecasts(spark, sf), V.demand_history(spark, sf))
+    monthly = V.demand_history(spark, sf)
+    fva = FC.forecast_vs_actual(V.forecasts(spark, sf, monthly), monthly)
     return (fva.filter(F.col("accuracy").isNotNull())
                .groupBy("forecast_id")
                .agg(S.round_exact(F.avg("accuracy"), 4, "up").alias("accuracy_avg"), F.count(F.lit(1)).alias("points"))

@@ -185,10 +185,14 @@ def demand_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.monthly_demand(curated_sales(spark, sf_dir))
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baseline forecasts from history before FORECAST_CUTOFF, horizon 6."""
+def forecasts(spark: SparkSession, sf_dir: str, monthly: DataFrame | None = None) -> DataFrame:
+    """Baseline forecasts from history before FORECAST_CUTOFF, horizon 6.
+
+    Pass ``monthly`` (the demand history DataFrame) when the same query also
+    reads the actuals: one lineage lets Spark reuse its shuffles."""
     from tidemark.operators import forecast
-    hist = demand_history(spark, sf_dir).filter(F.col("period") < FORECAST_CUTOFF)
+    monthly = demand_history(spark, sf_dir) if monthly is None else monthly
+    hist = monthly.filter(F.col("period") < FORECAST_CUTOFF)
     preds = forecast.baseline_quantiles(hist, horizon=FORECAST_HORIZON)
     return forecast.forecast_record(preds, model_version=BASELINE_MODEL_VERSION)
 
