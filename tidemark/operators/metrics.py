@@ -94,14 +94,25 @@ def alarm_consecutive(evaluated: DataFrame, period_seconds: int = vocab.ALARM_PE
     return df.withColumn("in_alarm", F.coalesce(in_alarm, F.lit(False))).drop("_epoch")
 
 
-def alarm_transitions(consecutive: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS) -> DataFrame:
+def last_period(metrics: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS, ts: str = "ts"):
+    """Start of the period holding the newest metric point of any series: the
+    evaluation clock ("now").  A one-column max over the scan, used as an
+    uncorrelated scalar subquery."""
+    newest = metrics.agg(F.max(ts).alias("_m"))
+    return newest.select(F.window("_m", f"{period_seconds} seconds")["start"]).scalar()
+
+
+def alarm_transitions(consecutive: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
+                      last=None) -> DataFrame:
     """State changes ALARM / OK per alarm from the sparse in-alarm periods.
 
     A run of in-alarm periods starts with an ALARM change; the period right
     after the run (data or not: missing is not breaching) is an OK change,
-    emitted when it is not past the last evaluated period.
+    emitted when it is not past ``last``, the last evaluated period (see
+    ``last_period``; defaults to the newest period in ``consecutive``).
     """
-    last = consecutive.select(F.max("period_start")).scalar()
+    if last is None:
+        last = consecutive.select(F.max("period_start")).scalar()
     hot = consecutive.filter(F.col("in_alarm")).select("alarm", "period_start")
     w = Window.partitionBy("alarm").orderBy("period_start")
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(period_seconds))

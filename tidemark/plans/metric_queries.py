@@ -56,9 +56,12 @@ SELECT alarm, period_start + to_seconds({_P}) AS changed_at, 'OK' AS state FROM
   SELECT alarm, period_start, lead(period_start) OVER (PARTITION BY alarm ORDER BY period_start) AS nxt
   FROM consecutive WHERE in_alarm) b
 WHERE (nxt IS NULL OR nxt <> period_start + to_seconds({_P}))
-  AND period_start + to_seconds({_P}) <= (SELECT max(period_start) FROM consecutive)""", ("consecutive",))
+  AND period_start + to_seconds({_P}) <= (
+      SELECT TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(floor(epoch(max(ts)) / {_P}) * {_P} AS BIGINT))
+      FROM metrics)""", ("consecutive", "metrics"))
 def alarm_transitions(spark, sf):
-    return M.alarm_transitions(_consecutive(spark, sf)).select("alarm", "changed_at", "state")
+    now = M.last_period(V.metrics(spark, sf))
+    return M.alarm_transitions(_consecutive(spark, sf), last=now).select("alarm", "changed_at", "state")
 
 
 @register("metric_sum_by_dimension", """
