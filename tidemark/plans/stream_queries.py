@@ -47,14 +47,31 @@ def stream_critical_fanout(spark, sf):
     return spark.read.parquet(f"{base}/out/notifications").select("alert_id", "subject", "body")
 
 
-@register("stream_tumbling_metrics", f"""
-SELECT metric_id, period_start, period_end, round(sum, 6) AS sum, max, samples, p99
-FROM window_stats WHERE {_CLOSED}""", ("window_stats",))
+def _tumbling_sql(period: int) -> str:
+    return f"""
+SELECT metric_id, ps AS period_start, ps + to_seconds({period}) AS period_end, round(sum(value), 6) AS sum,
+       max(value) AS max, count(*) AS samples, quantile_disc(value, 0.99) AS p99, {period} AS period_seconds
+FROM (SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(floor(epoch(ts) / {period}) * {period} AS BIGINT)) AS ps
+      FROM metrics) m
+GROUP BY metric_id, ps
+HAVING ps + to_seconds({period}) <= (SELECT max(ts) FROM metrics) - INTERVAL 10 MINUTE"""
+
+
+TUMBLING_PERIODS = (300, 3600)  # 5-minute alarm periods and hourly business sums
+
+
+@register("stream_tumbling_metrics", " UNION ALL ".join(_tumbling_sql(p) for p in TUMBLING_PERIODS), ("metrics",))
 def stream_tumbling_metrics(spark, sf):
     base, schema = _staged_metrics(spark, sf)
-    ST.run_tumbling_metrics(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/_checkpoint")
-    s = spark.read.parquet(f"{base}/out")
-    return s.select("metric_id", "period_start", "period_end", F.round("sum", 6).alias("sum"), "max", "samples", "p99")
+    out = None
+    for period in TUMBLING_PERIODS:
+        ST.run_tumbling_metrics(spark, f"{base}/landing", schema, f"{base}/out_{period}",
+                                f"{base}/_checkpoint_{period}", period_seconds=period)
+        s = spark.read.parquet(f"{base}/out_{period}").select(
+            "metric_id", "period_start", "period_end", F.round("sum", 6).alias("sum"), "max", "samples", "p99",
+            F.lit(period).alias("period_seconds"))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 @register("stream_threshold_alarm", f"""
