@@ -107,3 +107,9 @@ def test_partition_filter_reaches_scan(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "month" in plan
     assert df.count() == 1
+
+
+def test_curated_key_is_unique(spark):
+    from tidemark.plans import views as V
+    cur = V.curated_sales(spark, "/root/testdata/sf0.001")
+    assert cur.groupBy("order_id", "product_id").count().filter("count > 1").count() == 0

@@ -14,7 +14,8 @@ from tidemark.streaming import alarms as ST
 
 def test_next_periods_rules(spark):
     cases = {"2026-12": ["2027-01", "2027-02"], "2026": ["t+1", "t+2"], "2026-13": ["2027-01", "2027-02"],
-             "2026-6": ["2026-07", "2026-08"], "foo": ["t+1", "t+2"], "2026-07-15": ["2026-08", "2026-09"], "": ["t+1", "t+2"]}
+             "2026-6": ["2026-07", "2026-08"], "foo": ["t+1", "t+2"], "2026-07-15": ["2026-08", "2026-09"], "": ["t+1", "t+2"],
+             "9999-12": ["10000-01", "10000-02"], "0-0": ["0000-01", "0000-02"]}
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     got = {r.p: r.n for r in df.select("p", S.next_periods("p", 2).alias("n")).collect()}
     assert got == cases

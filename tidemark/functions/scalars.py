@@ -203,7 +203,7 @@ def next_periods(last_period: str | Column, horizon: str | Column | int) -> Colu
         total = base + i
         yy = F.floor(total / 12).cast("int")
         mm = (total - yy * 12 + 1).cast("int")
-        dated = F.concat(F.lpad(yy.cast("string"), 4, "0"), F.lit("-"), F.lpad(mm.cast("string"), 2, "0"))
+        dated = F.format_string("%04d-%02d", yy, mm)  # lpad would cut a 5-digit year
         return F.when(ok, dated).otherwise(F.concat(F.lit("t+"), i.cast("string")))
 
     return F.transform(F.sequence(F.lit(1), h.cast("int")), step)

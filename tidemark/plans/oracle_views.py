@@ -65,8 +65,8 @@ def next_period_sql(last: str, i: str) -> str:
     ok = (f"(len({parts}) >= 2 AND regexp_full_match({y_txt}, '\\s*\\+?[0-9]+\\s*')"
           f" AND regexp_full_match({m_txt}, '\\s*\\+?[0-9]+\\s*'))")
     base = f"(TRY_CAST(trim({y_txt}) AS INTEGER) * 12 + least(TRY_CAST(trim({m_txt}) AS INTEGER), 12) - 1 + ({i}))"
-    dated = (f"lpad(CAST(CAST(floor({base} / 12) AS BIGINT) AS VARCHAR), 4, '0') || '-' || "
-             f"lpad(CAST(CAST({base} - floor({base} / 12) * 12 + 1 AS BIGINT) AS VARCHAR), 2, '0')")
+    dated = (f"printf('%04d-%02d', CAST(floor({base} / 12) AS BIGINT), "
+             f"CAST({base} - floor({base} / 12) * 12 + 1 AS BIGINT))")
     return f"(CASE WHEN {ok} THEN {dated} ELSE 't+' || CAST({i} AS VARCHAR) END)"
 
 

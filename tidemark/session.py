@@ -26,13 +26,35 @@ RECOMMENDED_CONF = {
 }
 
 
+# Sizing for the large-cluster target (~100 TB, ~1000 executors).  Shuffles
+# start with many partitions and AQE coalesces them to ~256 MB each, so a
+# partition fits executor memory without spilling and small stages do not pay
+# for 16k tiny tasks; scans split files into 512 MB input partitions; a side
+# is broadcast at run time only when AQE has measured it under 64 MB.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "16384",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.optimizeSkewsInRebalancePartitions": "true",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
 def get_spark(master: str | None = None, app: str = "tidemark",
               shuffle_partitions: int | None = None,
-              extra: dict[str, str] | None = None) -> SparkSession:
+              extra: dict[str, str] | None = None, profile: str = "local") -> SparkSession:
+    """Session with the recommended settings; ``profile="cluster"`` adds the
+    partition sizing for the large-cluster target (CLUSTER_CONF)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(RECOMMENDED_CONF)
+    if profile == "cluster":
+        conf.update(CLUSTER_CONF)
     conf["spark.ui.enabled"] = "false"
     conf["spark.ui.showConsoleProgress"] = "false"
     if shuffle_partitions:
