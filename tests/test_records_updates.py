@@ -164,3 +164,18 @@ def test_catalog_table_recovers_new_partitions(spark):
     files.sink_parquet_partitioned(spark.createDataFrame([(2, 2026, 2)], df.schema), base)
     t = files.catalog_table(spark, "t_catalog_probe", base)
     assert sorted((r.year, r.month) for r in t.select("year", "month").collect()) == [(2026, 1), (2026, 2)]
+
+
+def test_null_permissions_and_null_status_are_rejected(spark):
+    acl = spark.createDataFrame([("u-1", ["view_forecasts"], None)], "user_id string, permissions array<string>, updated_at timestamp_ntz")
+    req = spark.createDataFrame([("u-1", None, "a", T), ("u-1", ["data_access", None], "a", T)],
+                                "user_id string, permissions array<string>, actor string, requested_at timestamp_ntz")
+    snap, out, audit = U.access_replace(acl, req)
+    assert [r.status_code for r in out.collect()] == [400, 400]
+    assert snap.collect()[0].permissions == ["view_forecasts"] and audit.count() == 0
+    ds = spark.createDataFrame([("ds-1", "n", "active", 5, 90.0, None)],
+                               "source_id string, name string, status string, records_processed long, "
+                               "data_quality double, updated_at timestamp_ntz")
+    p = spark.sql("select 'ds-1' source_id, map('status', cast(null as string)) patch, timestamp_ntz'2026-01-01 00:00:00' requested_at")
+    snap2, out2 = U.data_source_patch(ds, p)
+    assert out2.collect()[0].status_code == 400 and snap2.collect()[0].status == "active"

@@ -98,8 +98,11 @@ def data_source_patch(sources: DataFrame, patches: DataFrame) -> tuple[DataFrame
     """Whitelisted patch + updated_at.  Rejected: no mutable field, bad status."""
     kept = V.whitelist_update_fields("patch")
     status_val = F.element_at(kept, F.lit("status"))
-    err = (F.when(F.size(kept) == 0, F.lit("No updatable fields provided; allowed: " + ", ".join(vocab.MUTABLE_SOURCE_FIELDS)))
-            .when(status_val.isNotNull() & ~status_val.isin(*vocab.SOURCE_STATUSES),
+    has_status = F.coalesce(F.map_contains_key(kept, F.lit("status")), F.lit(False))
+    err = (F.when(F.coalesce(F.size(kept), F.lit(0)) <= 0,
+                  F.lit("No updatable fields provided; allowed: " + ", ".join(vocab.MUTABLE_SOURCE_FIELDS)))
+            # a status key that is present must hold a known status (null included)
+            .when(has_status & ~F.coalesce(status_val.isin(*vocab.SOURCE_STATUSES), F.lit(False)),
                   F.lit("status must be one of: " + ", ".join(vocab.SOURCE_STATUSES))))
     checked = patches.withColumn("kept", kept).withColumn("error", err)
     valid = checked.filter(F.col("error").isNull())
@@ -133,8 +136,10 @@ def access_replace(acl: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     unknown users get 404; accepted changes write one audit row each.
     """
     unknown = S.permissions_unknown("permissions")
+    not_strings = F.col("permissions").isNull() | F.exists("permissions", lambda p: p.isNull())
     checked = requests.withColumn("unknown", unknown).withColumn(
-        "error", F.when(F.size(F.col("unknown")) > 0,
+        "error", F.when(not_strings, F.lit("permissions must be an array of strings"))
+                  .when(F.size(F.col("unknown")) > 0,
                         F.concat(F.lit("Unknown permission(s): "), F.array_join(F.col("unknown"), ", "))))
     valid = checked.filter(F.col("error").isNull()).drop("unknown", "error")
     snapshot = update_existing(acl, valid.select("user_id", "permissions", "requested_at"), "user_id",
