@@ -30,12 +30,6 @@ def _run(writer, available_now: bool = True):
     return q
 
 
-def _batch_writer(base: str):
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
-    return write
-
-
 # --- alarm intake --------------------------------------------------------------
 
 def alarm_intake_frames(raw: DataFrame, subject_prefix: str = "Critical Alert: ") -> dict[str, DataFrame]:
