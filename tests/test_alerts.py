@@ -101,3 +101,11 @@ def test_acknowledge_missing_is_not_found_and_existing_is_updated(spark):
     snap = U.acknowledge(inv, req).collect()
     assert len(snap) == 1 and snap[0].acknowledged is True and snap[0].acknowledged_at is not None
     assert [r.alert_id for r in U.update_not_found(inv, req, "alert_id").collect()] == ["a-missing"]
+
+
+def test_notification_body_uses_json_dumps_format(spark):
+    alerts, notes, _ = intake(spark, [alarm_payload("critical-inventory-stockout", reason='a "b" \\ c')])
+    a, n = alerts.collect()[0], notes.collect()[0]
+    expect = json.dumps({"title": a.title, "message": a.message, "category": a.category,
+                         "timestamp": a.ts.strftime("%Y-%m-%dT%H:%M:%S")})
+    assert n.body == expect

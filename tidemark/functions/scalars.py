@@ -83,6 +83,18 @@ def notify_subject(title: str | Column, prefix: str = "Critical Alert: ") -> Col
     return F.substring(F.concat(F.lit(prefix), _c(title)), 1, vocab.NOTIFY_SUBJECT_MAX)
 
 
+def json_object_text(*pairs: tuple[str, Column]) -> Column:
+    """JSON object text with Python ``json.dumps`` separators (``", "`` and
+    ``": "``); each value is JSON-escaped by ``to_json``.  (Non-ASCII text is
+    written as UTF-8, where ``json.dumps`` would use \\u escapes.)"""
+    parts = []
+    for i, (key, value) in enumerate(pairs):
+        encoded = F.regexp_extract(F.to_json(F.array(value)), r"^\[(.*)\]$", 1)
+        parts += [F.lit(("{" if i == 0 else ", ") + '"' + key + '": '), F.coalesce(encoded, F.lit("null"))]
+    parts.append(F.lit("}"))
+    return F.concat(*parts)
+
+
 def iso_utc(col: str | Column) -> Column:
     """Render a timestamp as ISO-8601 text (seconds precision) at the edge."""
     return F.date_format(_c(col), "yyyy-MM-dd'T'HH:mm:ss")

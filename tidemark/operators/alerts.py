@@ -68,8 +68,8 @@ def alert_defaults(requests: DataFrame) -> DataFrame:
 def notify_payload(alerts: DataFrame, subject_prefix: str = "Critical Alert: ") -> DataFrame:
     """Critical alerts -> notification rows (subject <= 100 chars, JSON body)."""
     crit = alerts.filter(F.col("alert_type") == "critical")
-    body = F.to_json(F.struct(F.col("title"), F.col("message"), F.col("category"),
-                              S.iso_utc(F.col("ts")).alias("timestamp")))
+    body = S.json_object_text(("title", F.col("title")), ("message", F.col("message")),
+                              ("category", F.col("category")), ("timestamp", S.iso_utc(F.col("ts"))))
     return crit.select("alert_id", S.notify_subject(F.col("title"), subject_prefix).alias("subject"),
                        body.alias("body"), "ts")
 

@@ -38,7 +38,8 @@ _ACCEPTED = (f"parse_ok AND source = {q(vocab.ALARM_EVENT_SOURCE)} "
 
 _NOTIFY_SQL = f"""
 SELECT alert_id, substr({q(SUBJECT_PREFIX)} || title, 1, {vocab.NOTIFY_SUBJECT_MAX}) AS subject,
-       json_object('title', title, 'message', message, 'category', category, 'timestamp', {iso_sql('ts')})::VARCHAR AS body
+       '{{"title": ' || to_json(title) || ', "message": ' || to_json(message) || ', "category": ' || to_json(category)
+       || ', "timestamp": ' || to_json({iso_sql('ts')}) || '}}' AS body
 FROM alerts WHERE alert_type = 'critical'"""
 
 
