@@ -130,6 +130,8 @@ def score_forecast(requests: DataFrame, scorer_factory: Callable[[], Scorer] = b
     built by ``scorer_factory`` (load weights there) once per Python worker,
     not once per product or task.  The history is cut to the context on the JVM side first.
     """
+    from tidemark.session import ship_package
+    ship_package(requests.sparkSession)  # the scorer runs in executors' Python workers
     prepared = requests.select(
         "product_id", "horizon",
         S.context_tail(F.col("history"), context).alias("tail"),

@@ -91,3 +91,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def session_time_zone_is_utc(spark: SparkSession) -> bool:
     return spark.conf.get("spark.sql.session.timeZone", "UTC") in ("UTC", "Etc/UTC", "GMT", "Z")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (once per application).
+
+    Functions that run in executors (the pandas scorer) are pickled by
+    reference to their modules, so executors need the package: it is zipped
+    and added with ``addPyFile``, which Spark distributes to every executor.
+    The zip goes to the shared checkpoint folder when that is a local or
+    ``file:`` path, else to a driver-side temporary folder (executors fetch it
+    from the driver, never from that path).
+    """
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = checkpoint_root(spark)
+    local_root = root[len("file:"):] if root.startswith("file:") else root
+    if "://" in local_root or not os.path.isabs(local_root):
+        local_root = tempfile.mkdtemp(prefix="tidemark-pyfiles-")
+    out_dir = os.path.join(local_root, "tidemark", "pyfiles", app)
+    os.makedirs(out_dir, exist_ok=True)
+    zpath = os.path.join(out_dir, "tidemark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, names in os.walk(pkg_dir):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(base, n)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
