@@ -59,3 +59,21 @@ def test_stream_alarm_intake_end_to_end(spark):
     # replaying the stream from its checkpoint adds nothing
     ST.run_alarm_intake(spark, f"{base}/landing", f"{base}/out", f"{base}/ck")
     assert spark.read.parquet(f"{base}/out/alerts").count() == batch.count()
+
+
+def test_pandas_scorer_runs_outside_the_repo(tmp_path):
+    """Executors import the package from the shipped zip, not from the cwd."""
+    import subprocess
+    import sys as _sys
+    repo = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('se', {repo + '/__spark_entry__.py'!r})\n"
+        "se = importlib.util.module_from_spec(spec); spec.loader.exec_module(se)\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '4').getOrCreate()\n"
+        "print('ROWS', se.queries()['score_forecast'](spark, '/root/testdata/sf0.001').count())\n")
+    out = subprocess.run([_sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert "ROWS " in out.stdout, out.stderr[-2000:]
+    assert int(out.stdout.split("ROWS ")[1].split()[0]) > 0
