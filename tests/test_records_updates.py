@@ -179,3 +179,37 @@ def test_null_permissions_and_null_status_are_rejected(spark):
     p = spark.sql("select 'ds-1' source_id, map('status', cast(null as string)) patch, timestamp_ntz'2026-01-01 00:00:00' requested_at")
     snap2, out2 = U.data_source_patch(ds, p)
     assert out2.collect()[0].status_code == 400 and snap2.collect()[0].status == "active"
+
+
+def test_report_generate_snapshot_and_artifact(spark):
+    import json
+    rep = spark.createDataFrame([("r1", "Q1", None, "generating", T, None, None), ("r2", "Q2", "executive", "generating", None, None, None)],
+                                "report_id string, title string, report_type string, status string, created_at timestamp_ntz, "
+                                "generated_at timestamp_ntz, object_key string")
+    req = spark.createDataFrame([("r1", dt.datetime(2026, 2, 1, 8, 30)), ("r9", T)], "report_id string, requested_at timestamp_ntz")
+    snap, art = U.report_generate(rep, req)
+    s = {r.report_id: r for r in snap.collect()}
+    assert (s["r1"].status, s["r1"].object_key) == ("ready", "reports/r1/2026-02-01T08:30:00.json")
+    assert s["r2"].status == "generating" and "r9" not in s
+    a = art.collect()
+    assert len(a) == 1
+    doc = json.loads(a[0].artifact)
+    assert doc["reportType"] == "operational" and doc["generatedAt"] == "2026-02-01T08:30:00"
+    assert doc["definition"]["title"] == "Q1"
+
+
+def test_latest_forecast_breaks_ties_by_id(spark):
+    from tidemark.operators import forecast as FC
+    preds = "array<struct<period:string,demand:double,lower:double,upper:double>>"
+    fc = spark.createDataFrame([("fc-a", "p", [("2026-01", 1.0, 0.0, 2.0)], T), ("fc-b", "p", [("2026-01", 5.0, 0.0, 9.0)], T),
+                                ("fc-c", "p", [("2026-01", 7.0, 0.0, 9.0)], None)],
+                               f"forecast_id string, product_id string, predictions {preds}, created_at timestamp_ntz")
+    rows = FC.latest_forecast(fc).collect()
+    assert [(r.forecast_id, r.demand) for r in rows] == [("fc-b", 5.0)]
+
+
+def test_get_by_key_keeps_every_request(spark):
+    t = spark.createDataFrame([("k1", "a"), ("k2", "b")], "k string, v string")
+    req = spark.createDataFrame([("k1",), ("k1",), ("k3",)], "k string")
+    out = sorted((r.k, r.v, r.found) for r in R.get_by_key(t, req, "k").collect())
+    assert out == [("k1", "a", True), ("k1", "a", True), ("k3", None, False)]
