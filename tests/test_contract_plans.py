@@ -54,6 +54,7 @@ def test_stream_alarm_intake_end_to_end(spark):
     assert alerts.count() == batch.count()
     assert notes.count() == batch.filter("alert_type = 'critical'").count()
     assert dead.count() == V.alarm_events(spark, SF).filter("event_id % 97 = 0").count()
+    assert spark.read.parquet(f"{base}/out/metrics").count() == batch.count()
     body = json.loads(notes.first().body)
     assert set(body) == {"title", "message", "category", "timestamp"}
     # replaying the stream from its checkpoint adds nothing

@@ -64,10 +64,11 @@ def sink_append(df: DataFrame, path: str) -> None:
     sink_parquet(df, path, "append")
 
 
-def emit_metrics(df: DataFrame, path: str) -> bool:
-    """Append metric rows; a failure is logged and never fails the caller."""
+def emit_metrics(df: DataFrame, path: str, mode: str = "append") -> bool:
+    """Write metric rows (append, or overwrite for a per-batch folder that a
+    replay must rewrite); a failure is logged and never fails the caller."""
     try:
-        sink_append(df, path)
+        sink_parquet(df, path, mode)
         return True
     except Exception as exc:  # noqa: BLE001 - observability is best effort
         logging.getLogger(__name__).warning("metric emission to %s failed: %s", path, exc)

@@ -21,6 +21,7 @@ from tidemark import vocab
 from tidemark.operators import alerts as A
 from tidemark.operators import metrics as M
 from tidemark.sources import events as E
+from tidemark.sources import files
 
 
 def _run(writer, available_now: bool = True):
@@ -40,7 +41,11 @@ def alarm_intake_frames(raw: DataFrame, subject_prefix: str = "Critical Alert: "
     alerts = A.alarm_to_alert(accepted, id_col=F.concat(F.lit("al-"), F.col("id")))
     _, notes = A.critical_fanout(alerts, subject_prefix)
     dead = dead.select("payload", F.lit(vocab.DEAD_LETTER_RETENTION_DAYS).alias("retention_days"))
-    return {"alerts": alerts, "notifications": notes, "dead_letters": dead}
+    metrics = alerts.select(F.lit("Alerts").alias("namespace"), F.lit("AlertsCreated").alias("metric_name"),
+                            F.lit(1.0).alias("value"), F.lit("Count").alias("unit"),
+                            M.dims_text(("AlertType", F.col("alert_type")), ("Category", F.col("category"))).alias("dimensions"),
+                            F.col("alert_id").alias("source_key"), F.col("ts"))
+    return {"alerts": alerts, "notifications": notes, "dead_letters": dead, "metrics": metrics}
 
 
 def run_alarm_intake(spark: SparkSession, source_path: str, out_path: str, checkpoint: str,
@@ -55,7 +60,11 @@ def run_alarm_intake(spark: SparkSession, source_path: str, out_path: str, check
         df = df.persist()
         try:
             for name, frame in alarm_intake_frames(df, subject_prefix).items():
-                frame.write.mode("overwrite").parquet(f"{out_path}/{name}/batch_id={batch_id}")
+                target = f"{out_path}/{name}/batch_id={batch_id}"
+                if name == "metrics":
+                    files.emit_metrics(frame, target, "overwrite")  # best effort; replay-safe
+                else:
+                    frame.write.mode("overwrite").parquet(target)
         finally:
             df.unpersist()
 
