@@ -133,12 +133,22 @@ def page_keyset(df: DataFrame, key: str, page_size: int, after: Column | str | N
     return df.orderBy(key).limit(page_size)
 
 
+def first_pages(df: DataFrame, key: str, page_size: int, pages: int = 2) -> DataFrame:
+    """The first ``pages`` keyset pages in one scan.
+
+    For a unique key, the page after a cursor (the last key of the previous
+    page) holds exactly the next ``page_size`` keys, so one global top-k of
+    ``pages * page_size`` rows (partial top-k per task, then a merge) gives
+    every page; the page number is assigned over those k rows only.
+    """
+    top = df.orderBy(key).limit(pages * page_size)
+    rank = F.row_number().over(Window.orderBy(key))  # over at most pages * page_size rows
+    return top.withColumn("page", (F.floor((rank - 1) / page_size) + 1).cast("int"))
+
+
 def first_two_pages(df: DataFrame, key: str, page_size: int) -> DataFrame:
     """Page 1 and the page after its cursor (last key of page 1)."""
-    p1 = page_keyset(df, key, page_size)
-    cursor = p1.select(F.max(key)).scalar()  # uncorrelated scalar subquery
-    p2 = page_keyset(df, key, page_size, cursor)
-    return p1.withColumn("page", F.lit(1)).unionByName(p2.withColumn("page", F.lit(2)))
+    return first_pages(df, key, page_size, 2)
 
 
 def top_alerts(inv: DataFrame, n: int = 3) -> DataFrame:
