@@ -66,7 +66,8 @@ def sink_metrics_batch(spark, sf):
 
 @register("project_curated", f"SELECT {CURATED_COLS} FROM curated", ("curated",))
 def project_curated(spark, sf):
-    return V.curated_sales(spark, sf)
+    deduped = etl.dedupe_latest(etl.filter_valid_sales(etl.classify(V.sales_raw(spark, sf))))
+    return etl.project_curated(deduped)
 
 
 @register("project_drop", f"SELECT {RAW_COLS}, reject_reason FROM quarantine", ("quarantine",))
@@ -117,7 +118,9 @@ def price_to_decimal(spark, sf):
 
 @register("line_total", "SELECT order_id, product_id, quantity, unit_price, line_total FROM curated", ("curated",))
 def line_total(spark, sf):
-    return V.curated_sales(spark, sf).select("order_id", "product_id", "quantity", "unit_price", "line_total")
+    d = etl.dedupe_latest(etl.filter_valid_sales(etl.classify(V.sales_raw(spark, sf))))
+    return d.select("order_id", "product_id", "quantity", F.col("unit_price_decimal").alias("unit_price"),
+                    S.line_total("quantity", "unit_price_decimal").alias("line_total"))
 
 
 @register("default_channel",
@@ -133,7 +136,8 @@ SELECT year, month, count(*) AS orders, sum(line_total) AS revenue FROM curated
           ("curated",))
 def year_month(spark, sf):
     c = V.curated_sales(spark, sf)
-    return c.groupBy("year", "month").agg(F.count(F.lit(1)).alias("orders"), F.sum("line_total").alias("revenue"))
+    return (c.groupBy(S.year_of("order_date").alias("year"), S.month_of("order_date").alias("month"))
+             .agg(F.count(F.lit(1)).alias("orders"), F.sum("line_total").alias("revenue")))
 
 
 assert vocab.DEFAULT_CHANNEL == "unknown"

@@ -22,7 +22,7 @@ def _valid_requests(spark, sf):
 
 @register("monthly_demand", "SELECT product_id, period, demand FROM demand_history", ("demand_history",))
 def monthly_demand(spark, sf):
-    return V.demand_history(spark, sf)
+    return FC.monthly_demand(V.curated_sales(spark, sf))
 
 
 @register("collect_history", """
@@ -113,7 +113,8 @@ SELECT 'fc-' || product_id AS forecast_id, product_id, CAST(count(*) AS INTEGER)
        CAST(strptime(max(last_period) || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS created_at
 FROM fc_preds GROUP BY product_id""", ("fc_preds",))
 def forecast_record(spark, sf):
-    f = V.forecasts(spark, sf)
+    hist = V.demand_history(spark, sf).filter(F.col("period") < V.FORECAST_CUTOFF)
+    f = FC.forecast_record(FC.baseline_quantiles(hist, horizon=V.FORECAST_HORIZON), model_version=V.BASELINE_MODEL_VERSION)
     return f.select("forecast_id", "product_id", F.size("predictions").alias("n_predictions"),
                     F.element_at("predictions", 1)["period"].alias("first_period"),
                     "confidence", "model_version", "status", "created_at")
@@ -122,7 +123,9 @@ def forecast_record(spark, sf):
 @register("interval_confidence", "SELECT 'fc-' || product_id AS forecast_id, CAST(0.8 AS DOUBLE) AS confidence FROM fc_preds GROUP BY 1",
           ("fc_preds",))
 def interval_confidence(spark, sf):
-    return V.forecasts(spark, sf).select("forecast_id", "confidence")
+    hist = V.demand_history(spark, sf).filter(F.col("period") < V.FORECAST_CUTOFF)
+    rec = FC.forecast_record(FC.baseline_quantiles(hist, horizon=V.FORECAST_HORIZON))  # confidence = q_hi - q_lo
+    return rec.select("forecast_id", "confidence")
 
 
 @register("forecast_vs_actual", f"""

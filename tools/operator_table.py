@@ -7,6 +7,7 @@ import ast
 import inspect
 import os
 import re
+import textwrap
 import sys
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -17,10 +18,30 @@ ALIASES = {"etl": "operators.etl", "R": "operators.records", "U": "operators.upd
            "E": "sources.events", "files": "sources.files", "ST": "streaming.alarms", "V": "plans.views"}
 
 
+def _trees(fn, seen=None):
+    """The function's syntax tree plus those of module-local helpers it calls."""
+    seen = set() if seen is None else seen
+    if fn in seen:
+        return []
+    seen.add(fn)
+    tree = ast.parse(textwrap.dedent(inspect.getsource(fn)))
+    out = [tree]
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
+            helper = fn.__globals__.get(node.func.id)
+            if inspect.isfunction(helper) and helper.__module__ == fn.__module__:
+                out += _trees(helper, seen)
+    return out
+
+
+def _walk(fn):
+    for tree in _trees(fn):
+        yield from ast.walk(tree)
+
+
 def views_used(fn) -> list[str]:
-    tree = ast.parse(inspect.cleandoc(inspect.getsource(fn)))
     out = []
-    for node in ast.walk(tree):
+    for node in _walk(fn):
         if (isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute)
                 and isinstance(node.func.value, ast.Name) and node.func.value.id == "V"
                 and node.func.attr not in out):
@@ -29,10 +50,8 @@ def views_used(fn) -> list[str]:
 
 
 def calls(fn) -> list[str]:
-    src = inspect.getsource(fn)
-    tree = ast.parse(src.split("\n", 1)[1] if src.startswith("@") and False else inspect.cleandoc(src))
     out = []
-    for node in ast.walk(tree):
+    for node in _walk(fn):
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name):
             mod = ALIASES.get(node.func.value.id)
             if mod and mod != "plans.views":
