@@ -78,3 +78,16 @@ def test_pandas_scorer_runs_outside_the_repo(tmp_path):
     out = subprocess.run([_sys.executable, str(script)], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
     assert "ROWS " in out.stdout, out.stderr[-2000:]
     assert int(out.stdout.split("ROWS ")[1].split()[0]) > 0
+
+
+def test_no_cross_joins_and_python_only_in_scorers(spark):
+    """Audit every registered plan: no Cartesian / nested-loop joins, and
+    Python runs only in the two pandas scoring queries."""
+    banned = ("CartesianProduct", "BroadcastNestedLoopJoin")
+    found = {}
+    for name, fn in entry_mod.queries().items():
+        plan = _plan(fn(spark, SF))
+        hits = [k for k in banned + PY_NODES if k in plan]
+        if hits:
+            found[name] = hits
+    assert found == {"score_forecast": ["MapInPandas"], "what_if_score": ["MapInPandas"]}
