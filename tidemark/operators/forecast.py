@@ -17,14 +17,6 @@ from pyspark.sql import types as T
 from tidemark import vocab
 from tidemark.functions import scalars as S
 
-PREDICTION_TYPE = T.ArrayType(T.StructType([
-    T.StructField("period", T.StringType()),
-    T.StructField("demand", T.DoubleType()),
-    T.StructField("lower", T.DoubleType()),
-    T.StructField("upper", T.DoubleType()),
-]))
-
-
 def monthly_demand(curated: DataFrame) -> DataFrame:
     """(product_id, period yyyy-MM, demand = sum(quantity)) from curated sales."""
     return (curated.groupBy("product_id", S.period_of("order_date").alias("period"))

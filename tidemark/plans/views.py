@@ -42,7 +42,6 @@ UNKNOWN_PERMISSION = "audit_logs"
 MODEL_COMPONENTS = ("demand-model", "pricing-model", "routing-model", "supplier-model")
 BIAS_TYPES = ("seasonal", "regional", "channel")
 BIAS_STATUSES = ("detected", "mitigating", "resolved")
-GOV_STATUSES = ("compliant", "warning", "violation")
 INSIGHT_CATEGORIES = ("demand", "inventory", "supplier", "logistics")
 SCENARIO_STATUSES = ("draft", "completed", "failed")
 

@@ -89,10 +89,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/tidemark/{name}/{uuid.uuid4().hex}"
 
 
-def session_time_zone_is_utc(spark: SparkSession) -> bool:
-    return spark.conf.get("spark.sql.session.timeZone", "UTC") in ("UTC", "Etc/UTC", "GMT", "Z")
-
-
 _SHIPPED: set[str] = set()
 
 
