@@ -109,3 +109,37 @@ def test_notification_body_uses_json_dumps_format(spark):
     expect = json.dumps({"title": a.title, "message": a.message, "category": a.category,
                          "timestamp": a.ts.strftime("%Y-%m-%dT%H:%M:%S")})
     assert n.body == expect
+
+
+# Fixed expectations of FIXTURES B.1: (rule suffix, category by the keyword rule, severity)
+B1 = [("critical-forecasts-errors", "demand", "critical"), ("critical-alerts-errors", "system", "critical"),
+      ("data-platform-errors", "system", "warning"), ("optimization-errors", "system", "warning"),
+      ("analytics-errors", "system", "warning"), ("critical-governance-errors", "system", "critical"),
+      ("critical-dlq-depth", "system", "critical"), ("critical-api-5xx", "system", "critical"),
+      ("api-latency-p99", "system", "warning")]
+
+
+def test_rule_alarm_names_classify_as_fixture_b1(spark):
+    from tidemark import vocab
+    assert [r[0] for r in vocab.ALARM_RULES] == [b[0] for b in B1]
+    df = spark.createDataFrame([(n,) for n, _, _ in B1], "name string")
+    got = [(r.name, r.c, r.s) for r in df.select("name", S.classify_category("name").alias("c"),
+                                                  S.classify_severity("name").alias("s")).collect()]
+    assert got == B1
+
+
+def test_alarm_path_metrics_to_alerts(spark):
+    import datetime as dt
+    from tidemark.plans.alarm_path import alerts_from_metrics
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [("Latency:api", t0 + dt.timedelta(seconds=300 * p + 10), "Latency", "api", v)
+            for p, v in [(0, 3500.0), (1, 3600.0), (2, 3700.0), (3, 10.0), (4, 10.0)]]
+    rows += [("Errors:forecasts", t0 + dt.timedelta(seconds=30), "Errors", "forecasts", 2.0)]
+    m = spark.createDataFrame(rows, "metric_id string, ts timestamp_ntz, name string, dim_value string, value double")
+    alerts, notes = alerts_from_metrics(spark, m)
+    got = sorted((r.title, r.alert_type, r.category) for r in alerts.collect())
+    assert got == [("CloudWatch Alarm: api-latency-p99", "warning", "system"),
+                   ("CloudWatch Alarm: critical-forecasts-errors", "critical", "demand")]
+    assert [r.subject for r in notes.collect()] == ["Critical Alert: CloudWatch Alarm: critical-forecasts-errors"]
+    again = sorted(r.alert_id for r in alerts_from_metrics(spark, m)[0].collect())
+    assert again == sorted(r.alert_id for r in alerts.collect())  # re-runs give the same ids
