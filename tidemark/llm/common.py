@@ -96,3 +96,37 @@ def byte_codes(seed: int) -> np.ndarray:
 
 def local_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_CODES = byte_codes(1)
+_BASE = np.uint64(0xD1342543DE82EF95)
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words of all texts, and how many words come
+    before each text (n + 1 numbers).  A word never crosses a text's border."""
+    inside = ~space[data]
+    begin, end = inside.copy(), inside.copy()
+    if len(data):
+        begin[1:] &= ~inside[:-1]
+        end[:-1] &= ~inside[1:]
+        edge = offsets[(offsets > 0) & (offsets < len(data))]
+        begin[edge] = inside[edge]
+        end[edge - 1] = inside[edge - 1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lens = ends - starts
+    first = np.cumsum(lens) - lens
+    at = np.arange(int(lens.sum())) - np.repeat(first, lens)
+    powers = np.cumprod(np.full(int(lens.max()), _BASE, np.uint64))
+    codes = _CODES[data[at + np.repeat(starts, lens)]]
+    codes *= powers[at]
+    return mix64(np.add.reduceat(codes, first) ^ lens.astype(np.uint64))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, sharding, url_filter
+from tidemark.llm import exact_dedup, mixing, pii, quality, sharding, url_filter
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                   read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+
+
 @register("op3_exact_dedup", """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
@@ -75,6 +81,11 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
 
 
+@register("op8_pii")
+def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.personal_data(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"('{r.name}', '{r.pattern}', '{r.verdict}', {r.rank}, {'NULL' if r.shown is None else repr(r.shown)})"
                       for r in url_filter.default_rules())
