@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, pii, quality, sharding, url_filter
+from tidemark.llm import decontaminate, exact_dedup, mixing, pii, quality, sharding, token_counts, url_filter
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
 
 
+@register("op2_token_counts")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 @register("op3_exact_dedup", """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
@@ -81,6 +86,15 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
 
 
+@register("op7_decontaminate")
+def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                               read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+                        F.size("near_items").cast("long").alias("n_near_items"))
+
+
 @register("op8_pii")
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.personal_data(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
