@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, mixing, pii, quality, sharding, token_counts, url_filter
+from tidemark.llm import decontaminate, exact_dedup, mixing, near_dup, pii, quality, sharding, token_counts, url_filter
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,11 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
 
 
+@register("op6_near_dup")
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_groups(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 @register("op7_decontaminate")
 def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
