@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, mixing, near_dup, pii, quality, sharding, token_counts, url_filter
+from tidemark.llm import decontaminate, exact_dedup, mixing, near_dup, pii, quality, sharding, suffix_dedup, token_counts, url_filter
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,11 @@ FROM u LEFT JOIN m USING (n)
 @register("op9_url_filter", _url_sql())
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"]))
+
+
+@register("op10_suffix_dedup")
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    lengths = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+    return found.select("doc_id", "n_bytes", lengths.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                        "kept_sha256")
