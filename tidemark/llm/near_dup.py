@@ -136,13 +136,19 @@ def _signed(docs: DataFrame) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * keys.shape[1], pa.int32()),
                                              pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").combine_chunks(), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(set_ids(sets), pa.binary()), bands, pa.array([x.tobytes() for x in print_], pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "bands", "print"])
+                [block.column("doc_id").combine_chunks(), block.column("text_hash").combine_chunks(),
+                 pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids(sets), pa.binary()), bands,
+                 pa.array([x.tobytes() for x in print_], pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "set_id", "bands", "print"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return stage(docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, n_shingles long, set_id binary, bands array<long>, print binary"), "signatures")
+    return stage(docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(
+        run, f"doc_id {id_type}, text_hash long, n_shingles long, set_id binary, bands array<long>, print binary"), "signatures")
+
+
+def text_hash() -> Column:
+    """Tells rows of one doc_id apart that hold different texts."""
+    return F.xxhash64("text")
 
 
 def _id_hash() -> Column:
@@ -290,7 +296,7 @@ def _left_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id and kept.
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id, kept.
 
     Two texts are linked when they share at least SIMILAR per cent of the union of
     their sets; component_id is the smallest doc_id that links lead to.  Null and
@@ -311,8 +317,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
              .select("set_id", "first_id", F.coalesce("root", "set_id").alias("root")))
     least = stage(first.groupBy("root").agg(F.min("first_id").alias("component_id")), "component_ids")
     known = stage(first.join(least, "root").select("set_id", "component_id"), "class_components")
-    grouped = rows.filter(F.col("set_id").isNotNull()).join(known, "set_id").select("doc_id", "n_shingles", "component_id")
-    empty = rows.filter(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    grouped = rows.filter(F.col("set_id").isNotNull()).join(known, "set_id").select(
+        "doc_id", "text_hash", "n_shingles", "component_id")
+    empty = rows.filter(F.col("set_id").isNull()).select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

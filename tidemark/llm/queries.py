@@ -88,7 +88,7 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_near_dup")
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_groups(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return near_dup.near_groups(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).drop("text_hash")
 
 
 @register("op7_decontaminate")
