@@ -32,14 +32,16 @@ from tidemark.llm.components import components
 
 WORDS = 5
 SIMILAR = 75          # per cent of the union that two sets share at least
-PLACES = 128          # components of a signature
+PLACES = 256          # components of a signature
+BANDED = 128          # components that make bands; all of them make estimates
 ROWS = 4              # components of a band: a pair at 75 % misses all 32 bands once in 190,000
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 VERIFY_BLOCK = 4 << 20
 STAR_ROUNDS = 4       # rounds of pivots at most before signatures are compared
 HARDLY_ANY = 0.01     # links confirmed per member in the last round of pivots
 SPLIT_AT = 64         # components in one bucket from which a second band must agree
-NEAR = 0.655          # estimate from which a pair is confirmed: 2.5 deviations under SIMILAR
+GROUP = 4096          # members of a bucket compared in one task; larger ones are split by the second band
+NEAR = 0.682          # estimate from which a pair is confirmed: 2.5 deviations under SIMILAR
 COMPARE = 256         # members compared with one another at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -131,7 +133,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         for block in byte_blocks(batches, "text", BLOCK):
             sets = shingle_sets(block.column("text"))
             signatures = superminhash(sets)
-            keys = band_keys(signatures).view(np.int64)
+            keys = band_keys(signatures[:, :BANDED]).view(np.int64)
             print_ = signatures.astype(np.uint8)  # the lowest byte of each component
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * keys.shape[1], pa.int32()),
                                              pa.array(keys.reshape(-1)))
@@ -208,17 +210,17 @@ def _star_pairs(buckets: DataFrame, seed: int) -> DataFrame:
 
 
 def _open_buckets(placed: DataFrame) -> DataFrame:
-    """Buckets that still hold several components, with their number."""
-    roots = placed.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"))
+    """Buckets that still hold several components, with their number and that of members."""
+    roots = placed.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.sum("count").alias("n"))
     return stage(roots.filter("roots > 1"), "open_buckets")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each group (equal meet, rows come sorted by
-    it) that are near by their signatures.  A pair meets in several groups and is
-    given by one of them: a group of two bands (one, two) gives it when these are
-    the first crowded band and the first other band that the pair shares, a group
-    of one band when it is the first one and no shared band is crowded.
+    it) that are near by their signatures.  A pair that shares a crowded band must
+    share another one.  A pair meets in several groups and is given by one of them:
+    that of the first crowded band it shares, else of the first band; where a band's
+    bucket is split by the second band, that of the first other band.
     """
     def groups() -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
@@ -242,7 +244,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = {r: i for i, r in enumerate(dict.fromkeys(root))}
         own = np.array([code[r] for r in root])
         prints = np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint8).reshape(len(v), -1)
-        bands = PLACES // ROWS
+        bands = BANDED // ROWS
         crowded = (group.column("crowded").to_numpy()[:, None] >> np.arange(bands)) & 1 == 1
         one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
         found: list[tuple[bytes, bytes]] = []
@@ -257,16 +259,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 same = prints[x] == prints[y]
                 near = same.mean(axis=1) >= NEAR
                 x, y, same = x[near], y[near], same[near]
-                shared = same.reshape(len(x), bands, ROWS).all(axis=2)
+                shared = same[:, :BANDED].reshape(len(x), bands, ROWS).all(axis=2)
                 first = shared & crowded[x] & crowded[y]
                 some = first.any(axis=1)
-                if two < 0:
-                    given = ~some & (np.argmax(shared, axis=1) == one) if len(x) else some
-                else:
-                    lead = np.argmax(first, axis=1) if len(x) else np.zeros(0, np.int64)
-                    rest = shared.copy()
-                    rest[np.arange(len(x)), lead] = False
-                    given = some & (lead == one) & (np.argmax(rest, axis=1) == two) if len(x) else some
+                if not len(x):
+                    continue
+                lead = np.argmax(np.where(some[:, None], first, shared), axis=1)
+                rest = shared.copy()
+                rest[np.arange(len(x)), lead] = False
+                given = (lead == one) & (~some | rest.any(axis=1))
+                if two >= 0:
+                    given &= np.argmax(rest, axis=1) == two
                 found += [(max(v[p], v[q]), min(v[p], v[q])) for p, q in zip(x[given].tolist(), y[given].tolist())]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()),
                                           pa.array([b for _, b in found], pa.binary())], ["a", "b"])
@@ -277,21 +280,19 @@ def _left_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
     signatures.  Where a bucket holds many components (it is crowded) two bands must
     agree, which a similar pair fails once in 12,000."""
     open_ = _open_buckets(placed)
-    rows = placed.join(open_, "key").withColumn("many", F.col("roots") > SPLIT_AT)
-    mask = F.sum(F.when(F.col("many"), F.expr("shiftleft(1L, band)")).otherwise(0))
+    crowded = F.col("roots") > SPLIT_AT
+    rows = placed.join(open_, "key").withColumn("crowded", crowded).withColumn("split", crowded & (F.col("n") > GROUP))
+    mask = F.sum(F.when(F.col("crowded"), F.expr("shiftleft(1L, band)")).otherwise(0))
     marks = stage(rows.groupBy("v").agg(mask.alias("crowded"))
                   .join(classes.select(F.col("set_id").alias("v"), "print", "bands"), "v"), "left_marks")
-    few = rows.filter(~F.col("many")).select("v", "root", F.col("key").alias("meet"), F.col("band").alias("one"),
-                                             F.lit(-1).alias("two")).join(marks.drop("bands"), "v")
-    many = rows.filter("many").select("v", "root", "key", F.col("band").alias("one")).join(marks, "v")
-    many = many.select("v", "root", "key", "one", "crowded", "print", F.posexplode("bands").alias("two", "other"))
-    many = many.filter("two <> one").withColumn("meet", F.xxhash64("key", "other"))
+    rows = rows.drop("crowded")
+    whole = rows.filter(~F.col("split")).select("v", "root", F.col("key").alias("meet"), F.col("band").alias("one"),
+                                                F.lit(-1).alias("two")).join(marks.drop("bands"), "v")
+    parts = rows.filter("split").select("v", "root", "key", F.col("band").alias("one")).join(marks, "v")
+    parts = parts.select("v", "root", "key", "one", "crowded", "print", F.posexplode("bands").alias("two", "other"))
+    parts = parts.filter("two <> one").withColumn("meet", F.xxhash64("key", "other"))
     columns = ["meet", "one", "two", "v", "root", "crowded", "print"]
-    left = few.select(columns).union(many.select(columns))
-    # rows that meet no other component are dropped before any signature travels
-    meets = stage(left.groupBy("meet").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                  .filter("low <> high").select("meet"), "left_meets")
-    left = left.join(meets, "meet").repartition("meet").sortWithinPartitions("meet")
+    left = whole.select(columns).union(parts.select(columns)).repartition("meet").sortWithinPartitions("meet")
     return left.mapInArrow(_compare, "a binary, b binary").distinct()
 
 
