@@ -69,7 +69,9 @@ def rebalance(old: SlotMap, weights: list[int], shards: int) -> SlotMap:
 
     Slots of shards that go away are dealt to the lightest; then the heaviest
     shard gives its best-fitting slot to the lightest while that narrows the gap.
+    When shards are added, only these take slots.
     """
+    takers = range(old.shards, shards) or range(shards)
     owner = list(old.owner)
     load = [0] * shards
     held: list[set[int]] = [set() for _ in range(shards)]
@@ -89,7 +91,7 @@ def rebalance(old: SlotMap, weights: list[int], shards: int) -> SlotMap:
     for i in sorted(orphans, key=lambda i: (-weights[i], i)):
         move(i, min(range(shards), key=lambda s: (load[s], len(held[s]), s)))
     for _ in range(len(owner)):
-        high, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
+        high, low = max(range(shards), key=load.__getitem__), min(takers, key=load.__getitem__)
         gap = load[high] - load[low]
         fits = [i for i in held[high] if 0 < weights[i] < gap]
         if not fits:
