@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -19,8 +20,6 @@ def test_next_periods_rules(spark):
     df = spark.createDataFrame([(k,) for k in cases], "p string")
     got = {r.p: r.n for r in df.select("p", S.next_periods("p", 2).alias("n")).collect()}
     assert got == cases
-    for k, v in cases.items():  # the pandas scorer uses the same rule
-        assert FC._next_period_list(k, 2) == v
 
 
 def test_context_tail_shorter_and_longer(spark):
@@ -48,19 +47,59 @@ def test_pandas_scorer_equals_native_baseline(spark):
     assert [r.period for r in scored.filter("product_id = 'b'").orderBy("step").collect()] == ["2027-01", "2027-02", "2027-03"]
 
 
-def test_plugin_scorer_and_record(spark):
-    import numpy as np
+AS_OF = dt.datetime(2026, 8, 1)
+
 
+def test_plugin_scorer_and_record(spark):
     def factory():
-        return lambda series, h: np.tile([series.min(), series.mean(), series.max()], (h, 1))
+        def score(series, lengths, horizon):
+            rows = [[np.nanmin(r), np.nanmean(r), np.nanmax(r)] for r in series]
+            return np.repeat(np.array(rows)[:, None, :], horizon, axis=1)
+        return score
 
-    monthly = spark.createDataFrame([("p-1", "2026-07", 100)], "product_id string, period string, demand long")
+    monthly = spark.createDataFrame([("p-1", "2026-07", 100), ("p-2", "foo", 7), ("p-2", "bar", 9)],
+                                    "product_id string, period string, demand long")
     req = FC.collect_history(monthly).withColumn("horizon", F.lit(3))
     preds = FC.score_forecast(req, factory)
-    rec = FC.forecast_record(preds).collect()[0]
-    assert rec.forecast_id == "fc-p-1" and rec.status == "active" and rec.model_version == "unknown"
-    assert [p.period for p in rec.predictions] == ["2026-08", "2026-09", "2026-10"]
-    assert rec.confidence == 0.8 and rec.accuracy is None
+    rec = {r.product_id: r for r in FC.forecast_record(preds, AS_OF).collect()}
+    one = rec["p-1"]
+    assert one.forecast_id.startswith("fc-") and one.status == "active" and one.model_version == "unknown"
+    assert [p.period for p in one.predictions] == ["2026-08", "2026-09", "2026-10"] and one.created_at == AS_OF
+    # this model states neither confidence nor accuracy; an unparsable period is kept
+    assert one.confidence is None and one.accuracy is None
+    assert [(p.period, p.demand, p.lower, p.upper) for p in rec["p-2"].predictions][0] == ("t+1", 8.0, 7.0, 9.0)
+
+
+def test_forecast_records_of_several_runs(spark):
+    """The id names product, run and version: a re-run repeats it, the next run does not."""
+    monthly = spark.createDataFrame([("p-1", "2026-07", 100)], "product_id string, period string, demand long")
+    preds = FC.baseline_quantiles(monthly, 3)
+    ids = [FC.forecast_record(preds, at, v).collect()[0].forecast_id
+           for at, v in ((AS_OF, "v1"), (AS_OF, "v1"), (AS_OF + dt.timedelta(days=1), "v1"), (AS_OF, "v2"))]
+    assert ids[0] == ids[1] and len(set(ids)) == 3
+    assert FC.forecast_record(preds, AS_OF).collect()[0].confidence == 0.8
+    stated = preds.withColumn("confidence", F.lit(0.91)).withColumn("accuracy", F.lit(96.5))
+    rec = FC.forecast_record(stated, AS_OF).collect()[0]
+    assert (rec.confidence, rec.accuracy) == (0.91, 96.5)
+
+
+def test_null_demand_is_rejected(spark):
+    req = spark.createDataFrame([("p-1", [("2026-07", None)], 3), ("p-2", [("2026-06", 2.0), ("2026-07", 1.0)], 3)],
+                                "product_id string, history array<struct<period:string,demand:double>>, horizon int")
+    assert {r.product_id: r.status_code for r in Val.validate_inference_request(req).collect()} == {"p-1": 400, "p-2": 200}
+
+
+def test_backtest_equals_records_joined_with_actuals(spark):
+    rows = [("a", f"2025-{m:02d}", d) for m, d in zip(range(1, 13), [5, 9, 2, 14, 7, 7, 30, 1, 8, 12, 4, 6])]
+    rows += [("b", "2025-11", 10), ("b", "2025-05", 20), ("c", "2025-11", 3)]
+    monthly = spark.createDataFrame(rows, "product_id string, period string, demand long")
+    got = FC.backtest(monthly, "2025-08", 3)
+    past = FC.forecast_record(FC.baseline_quantiles(monthly.filter("period < '2025-08'"), 3), AS_OF)
+    want = FC.forecast_vs_actual(past, monthly)
+    cols = ["product_id", "period", "step", "demand", "actual", "accuracy"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 2
 
 
 def test_forecast_vs_actual_demo_values(spark):

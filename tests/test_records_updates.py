@@ -46,12 +46,57 @@ def test_ttl_retention(spark):
     assert sorted(r.id for r in R.ttl_retention(df, 200).collect()) == ["b", "c"]
 
 
-def test_keyset_pages_continue_after_cursor(spark):
+def test_keyset_pages_walk_the_cursor(spark):
     df = spark.range(0, 25).select(F.format_string("k%03d", "id").alias("k"))
-    pages = R.first_two_pages(df, "k", 10).collect()
-    p1 = sorted(r.k for r in pages if r.page == 1)
-    p2 = sorted(r.k for r in pages if r.page == 2)
-    assert p1[-1] < p2[0] and len(p1) == len(p2) == 10 and p2[0] == "k010"
+    first = R.page_keyset(df, "k", 10)
+    assert [r.k for r in first.items.collect()] == [f"k{i:03d}" for i in range(10)]
+    assert R.decode_page_token(first.next_token) == {"k": "k009"}
+    second = R.page_keyset(df, "k", 10, first.next_token)
+    third = R.page_keyset(df, "k", 10, second.next_token)
+    assert [r.k for r in third.items.collect()] == [f"k{i:03d}" for i in range(20, 25)] and third.next_token is None
+    pages = R.pages(df, "k", 10).collect()
+    assert sorted((r.k, r.page) for r in pages) == [(f"k{i:03d}", i // 10 + 1) for i in range(25)]
+    assert R.page_keyset(df, "k", 25).next_token is None  # a full last page has no next one
+    assert R.page_keyset(df.limit(0), "k", 10).next_token is None
+
+
+def test_page_tokens(spark):
+    key = {"forecastId": "fc-1", "createdAt": "2026-01-01T00:00:00Z"}
+    assert R.decode_page_token(R.encode_page_token(key)) == key
+    assert R.encode_page_token(None) is None and R.decode_page_token(None) is None
+    for bad in ("!!not-base64!!", "bm90IGpzb24=", "WzFd"):
+        with pytest.raises(R.InvalidPageToken):
+            R.decode_page_token(bad)
+    with pytest.raises(R.InvalidPageToken):
+        R.page_keyset(spark.range(3), "id", 2, R.encode_page_token({"other": 1}))
+
+
+def test_inventory_alerts_have_no_limit(spark):
+    inv = spark.range(0, 450).select(F.format_string("ia-%03d", "id").alias("alert_id"), F.lit("p-1").alias("product_id"),
+                                     F.lit("low").alias("severity"))
+    assert R.inventory_alerts_by_product(inv).count() == 450
+
+
+def test_positions_follow_the_order_across_tasks(spark):
+    rows = [(None if i % 7 == 0 else ("hot" if i % 3 else f"k{i % 5}"), (i * 37) % 1000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(7)
+    got = R.with_positions(df, "k", [F.col("v").desc()]).collect()
+    by_key = {}
+    for r in sorted(got, key=lambda r: r.pos):
+        by_key.setdefault(r.k, []).append((r.pos, r.v))
+    for k, seen in by_key.items():
+        assert [p for p, _ in seen] == list(range(1, len(seen) + 1))
+        assert [v for _, v in seen] == sorted((v for key, v in rows if key == k), reverse=True)
+    assert R.with_positions(df.limit(0), "k", [F.col("v")]).collect() == []
+
+
+def test_index_scan_pushes_the_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).select(F.format_string("m%d", F.col("id") % 5).alias("metric_id"), F.col("id").alias("ts")).write.parquet(path)
+    df = R.scan_index_eq(spark.read.parquet(path), "metric_id", ["m1", "m3"], [F.col("ts").desc()])
+    assert df.count() == 40
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(metric_id" in plan
 
 
 def test_missing_fields_list(spark):

@@ -7,16 +7,17 @@ collected, so the per-product arrays are bounded by the number of months
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql import types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import vocab
 from tidemark.functions import scalars as S
 
+
 def monthly_demand(curated: DataFrame) -> DataFrame:
     """(product_id, period yyyy-MM, demand = sum(quantity)) from curated sales."""
     return (curated.groupBy("product_id", S.period_of("order_date").alias("period"))
@@ -36,56 +37,83 @@ def context_points(monthly: DataFrame, n: int = vocab.CONTEXT_LENGTH) -> DataFra
     return monthly.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
+def array_quantile(sorted_values: Column, q: float) -> Column:
+    """Interpolated quantile of a non-empty sorted array of doubles."""
+    place = (F.size(sorted_values) - 1) * F.lit(float(q))
+    low = F.floor(place).cast("int")
+    above = F.element_at(sorted_values, F.least(low + 1, F.size(sorted_values) - 1) + 1)
+    part = place - low
+    return F.when(part == 0, F.element_at(sorted_values, low + 1)).otherwise(
+        (F.lit(1.0) - part) * F.element_at(sorted_values, low + 1) + part * above)
+
+
+def interval_width(quantiles: tuple[float, ...] = vocab.QUANTILES) -> float:
+    """A model's stated confidence: the share between its outer quantiles."""
+    return round(float(quantiles[-1]) - float(quantiles[0]), 4)
+
+
 def baseline_quantiles(monthly: DataFrame, horizon: int = vocab.DEFAULT_FORECAST_HORIZON,
                        quantiles: tuple[float, ...] = vocab.QUANTILES,
                        context: int = vocab.CONTEXT_LENGTH) -> DataFrame:
     """Native stand-in model: quantiles of the context tail, flat over the horizon.
 
     Output: product_id, step, period, demand (median), lower, upper, rounded to
-    2 places, plus last_period of the history.
+    2 places, confidence, plus last_period of the history.
     """
     tail = context_points(monthly, context)
     q = tail.groupBy("product_id").agg(
         F.percentile(F.col("demand").cast("double"), F.array(*[F.lit(x) for x in quantiles])).alias("_q"),
         F.max("period").alias("last_period"),
     )
-    steps = q.select("product_id", "last_period", "_q",
-                     F.posexplode(S.next_periods(F.col("last_period"), horizon)).alias("_i", "period"))
-    return steps.select(
-        "product_id",
-        (F.col("_i") + 1).alias("step"),
-        "period",
-        S.round_half_even(F.col("_q")[len(quantiles) // 2], 2).alias("demand"),
-        S.round_half_even(F.col("_q")[0], 2).alias("lower"),
-        S.round_half_even(F.col("_q")[len(quantiles) - 1], 2).alias("upper"),
-        "last_period",
-    )
+    rows = q.select("product_id", "last_period", F.lit(horizon).alias("horizon"),
+                    F.array(F.col("_q")[0], F.col("_q")[len(quantiles) // 2], F.col("_q")[len(quantiles) - 1]).alias("_q"),
+                    F.lit(interval_width(quantiles)).alias("confidence"))
+    return _steps(rows.withColumn("_all", F.array_repeat("_q", F.col("horizon"))))
+
 
+def _steps(rows: DataFrame) -> DataFrame:
+    """One row per step from ``_all`` (per step: lower, middle, upper): periods and
+    rounding are made here, for every model alike."""
+    made = rows.select("product_id", "last_period", "confidence",
+                       S.next_periods(F.col("last_period"), F.col("horizon")).alias("_periods"),
+                       F.posexplode("_all").alias("_i", "_q"))
+    return made.select(
+        "product_id", (F.col("_i") + 1).alias("step"), F.element_at("_periods", F.col("_i") + 1).alias("period"),
+        S.round_half_even(F.col("_q")[1], 2).alias("demand"), S.round_half_even(F.col("_q")[0], 2).alias("lower"),
+        S.round_half_even(F.col("_q")[2], 2).alias("upper"), "confidence", "last_period")
 
-# --- pluggable scorer (pandas, Arrow batches) ---------------------------------
 
-Scorer = Callable[[np.ndarray, int], np.ndarray]
+# --- pluggable scorer (Arrow batches) -------------------------------------------
 
+# (series, lengths, horizon): series has shape (batch, context), the last ``lengths``
+# points of a row are its history, oldest first; returns (batch, horizon, 3): lower, middle, upper.
+Scorer = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
 
-def baseline_scorer(quantiles: tuple[float, ...] = vocab.QUANTILES) -> Scorer:
-    """numpy twin of ``baseline_quantiles``: (series, horizon) -> (horizon, 3)."""
-    qs = np.asarray(quantiles, dtype=float)
 
-    def score(series: np.ndarray, horizon: int) -> np.ndarray:
-        row = np.quantile(series.astype(float), qs, method="linear")
-        return np.tile(row[[0, len(qs) // 2, len(qs) - 1]], (horizon, 1))
+class BaselineScorer:
+    """numpy twin of ``baseline_quantiles`` for a whole batch at once."""
 
-    return score
+    def __init__(self, quantiles: tuple[float, ...] = vocab.QUANTILES) -> None:
+        self.quantiles = (quantiles[0], quantiles[len(quantiles) // 2], quantiles[-1])
+        self.confidence = interval_width(quantiles)
 
+    def __call__(self, series: np.ndarray, lengths: np.ndarray, horizon: int) -> np.ndarray:
+        n, width = series.shape
+        unused = np.arange(width)[None, :] < (width - lengths)[:, None]
+        ordered = np.sort(np.where(unused, np.inf, series), axis=1)  # unused places go last
+        rows = np.arange(n)
+        out = np.empty((n, horizon, 3))
+        for k, q in enumerate(self.quantiles):
+            place = (lengths - 1) * q
+            low = np.floor(place).astype(int)
+            part = place - low
+            below, above = ordered[rows, low], ordered[rows, np.minimum(low + 1, lengths - 1)]
+            out[:, :, k] = np.where(part == 0, below, (1 - part) * below + part * above)[:, None]
+        return out
 
-def _next_period_list(last: str, horizon: int) -> list[str]:
-    parts = (last or "").split("-")
-    try:
-        y, m = int(parts[0]), int(parts[1])
-    except (ValueError, IndexError):
-        return [f"t+{i}" for i in range(1, horizon + 1)]
-    base = y * 12 + min(m, 12) - 1
-    return [f"{(base + i) // 12:04d}-{(base + i) % 12 + 1:02d}" for i in range(1, horizon + 1)]
+
+def baseline_scorer() -> Scorer:
+    return BaselineScorer()
 
 
 _SCORERS: dict[str, Scorer] = {}
@@ -103,67 +131,69 @@ def _cached_scorer(factory: Callable[[], Scorer]) -> Scorer:
     return _SCORERS[key]
 
 
-SCORE_SCHEMA = T.StructType([
-    T.StructField("product_id", T.StringType()),
-    T.StructField("step", T.IntegerType()),
-    T.StructField("period", T.StringType()),
-    T.StructField("demand", T.DoubleType()),
-    T.StructField("lower", T.DoubleType()),
-    T.StructField("upper", T.DoubleType()),
-    T.StructField("last_period", T.StringType()),
-])
-
-
 def score_forecast(requests: DataFrame, scorer_factory: Callable[[], Scorer] = baseline_scorer,
                    context: int = vocab.CONTEXT_LENGTH) -> DataFrame:
     """Score (product_id, history array<struct<period,demand>>, horizon) rows.
 
-    ``mapInPandas`` hands the scorer Arrow batches of products; the scorer is
-    built by ``scorer_factory`` (load weights there) once per Python worker,
-    not once per product or task.  The history is cut to the context on the JVM side first.
+    The history is cut to the context on the JVM side; the scorer, built by
+    ``scorer_factory`` once per Python worker, gets each Arrow batch as one matrix
+    and gives numbers only (and its ``confidence``, if it states one).  Periods,
+    rounding and one row per step are made on the JVM side.
     """
     from tidemark.session import ship_package
     ship_package(requests.sparkSession)  # the scorer runs in executors' Python workers
     prepared = requests.select(
-        "product_id", "horizon",
+        "product_id", F.col("horizon").cast("int").alias("horizon"),
         S.context_tail(F.col("history"), context).alias("tail"),
         F.element_at(F.col("history"), -1)["period"].alias("last_period"),
-    ).select("product_id", "horizon", "last_period", F.col("tail.demand").alias("series"))
+    ).select("product_id", "horizon", "last_period", F.col("tail.demand").cast("array<double>").alias("series"))
 
     def run(batches):
         scorer = _cached_scorer(scorer_factory)
-        for pdf in batches:
-            out = []
-            for pid, h, last, series in zip(pdf["product_id"], pdf["horizon"], pdf["last_period"], pdf["series"]):
-                h = int(h)
-                pred = scorer(np.asarray(series, dtype=float), h)
-                periods = _next_period_list(last, h)
-                for i in range(h):
-                    lo, med, hi = pred[i]
-                    out.append((pid, i + 1, periods[i], round(float(med), 2), round(float(lo), 2),
-                                round(float(hi), 2), last))
-            yield pd.DataFrame(out, columns=[f.name for f in SCORE_SCHEMA.fields])
-
-    return prepared.mapInPandas(run, SCORE_SCHEMA)
-
-
-def forecast_record(preds: DataFrame, model_version: str = vocab.DEFAULT_MODEL_VERSION,
-                    quantiles: tuple[float, ...] = vocab.QUANTILES) -> DataFrame:
-    """Long predictions -> one forecast record per product (status active)."""
-    conf = round(float(quantiles[-1]) - float(quantiles[0]), 4)
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            lists = batch.column("series")
+            lengths = np.diff(lists.offsets.to_numpy()).astype(int)
+            width = max(int(lengths.max()), 1)
+            series = np.full((n, width), np.nan)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            series[np.repeat(np.arange(n), lengths), np.repeat(width - lengths, lengths) + at] = flat
+            horizons = batch.column("horizon").to_numpy()
+            made = np.asarray(scorer(series, lengths, int(horizons.max())), dtype=float)
+            steps = [pred[:h].tolist() for pred, h in zip(made, horizons.tolist())]
+            confidence = getattr(scorer, "confidence", None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("product_id"), batch.column("horizon"), batch.column("last_period"),
+                 pa.array(steps, pa.list_(pa.list_(pa.float64()))), pa.array([confidence] * n, pa.float64())],
+                ["product_id", "horizon", "last_period", "_all", "confidence"])
+
+    return _steps(prepared.mapInArrow(run, "product_id string, horizon int, last_period string, "
+                                           "_all array<array<double>>, confidence double"))
+
+
+def forecast_record(preds: DataFrame, as_of: dt.datetime | Column,
+                    model_version: str = vocab.DEFAULT_MODEL_VERSION) -> DataFrame:
+    """Long predictions -> one forecast record per product (status active).
+
+    ``as_of`` is when the record is made.  The id is a hash of product, ``as_of`` and
+    model version: a re-run gives the same record, the next run another one.
+    Confidence and accuracy are the model's own (null where it states none).
+    """
+    created = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    stated = {c: (F.max(c) if c in preds.columns else F.lit(None).cast("double")).alias(c) for c in ("confidence", "accuracy")}
     g = preds.groupBy("product_id").agg(
-        F.array_sort(F.collect_list(F.struct("step", "period", "demand", "lower", "upper"))).alias("_p"),
-        F.max("last_period").alias("last_period"),
-    )
-    created = F.add_months(F.to_date(F.concat(F.col("last_period"), F.lit("-01"))), 1).cast("timestamp_ntz")
+        F.array_sort(F.collect_list(F.struct("step", "period", "demand", "lower", "upper"))).alias("_p"), *stated.values())
     return g.select(
-        F.concat(F.lit("fc-"), F.col("product_id")).alias("forecast_id"),
+        S.stable_id("fc-", "product_id", created, F.lit(model_version)).alias("forecast_id"),
         "product_id",
         F.transform(F.col("_p"), lambda x: F.struct(x["period"].alias("period"), x["demand"].alias("demand"),
                                                     x["lower"].alias("lower"), x["upper"].alias("upper"))
                     ).alias("predictions"),
-        F.lit(conf).alias("confidence"),
-        F.lit(None).cast("double").alias("accuracy"),
+        "confidence",
+        "accuracy",
         F.lit(model_version).alias("model_version"),
         F.lit("active").alias("status"),
         created.alias("created_at"),
@@ -179,15 +209,41 @@ def explode_predictions(forecasts: DataFrame) -> DataFrame:
                             F.col("p.lower").alias("lower"), F.col("p.upper").alias("upper"))
 
 
+def _accuracy(actual: Column, predicted: Column) -> Column:
+    return F.when(actual.isNotNull() & (predicted != 0), S.round_exact(actual * 100 / predicted, 1, "up"))
+
+
 def forecast_vs_actual(forecasts: DataFrame, monthly: DataFrame) -> DataFrame:
     """Predicted vs actual demand per (product, period); accuracy =
     round(100 * actual / predicted, 1), null when there is no actual."""
     p = explode_predictions(forecasts)
     a = monthly.select("product_id", "period", F.col("demand").cast("double").alias("actual"))
     j = p.join(a, ["product_id", "period"], "left")
-    acc = F.when(F.col("actual").isNotNull() & (F.col("demand") != 0),
-                 S.round_exact(F.col("actual") * 100 / F.col("demand"), 1, "up"))
-    return j.select("forecast_id", "product_id", "period", "step", "demand", "actual", acc.alias("accuracy"))
+    return j.select("forecast_id", "product_id", "period", "step", "demand", "actual",
+                    _accuracy(F.col("actual"), F.col("demand")).alias("accuracy"))
+
+
+def backtest(monthly: DataFrame, cutoff: str, horizon: int = vocab.DEFAULT_FORECAST_HORIZON,
+             quantiles: tuple[float, ...] = vocab.QUANTILES, context: int = vocab.CONTEXT_LENGTH) -> DataFrame:
+    """Baseline forecasts from the months before ``cutoff`` against the actual
+    demand of the months they are for: product_id, period, step, demand, actual, accuracy.
+
+    One grouped row per product holds its months (bounded by their number); the
+    context, the quantiles and the actuals all come from that row, so the demand
+    history is aggregated and shuffled once.
+    """
+    months = F.transform("history", lambda x: x["period"])
+    known = collect_history(monthly).withColumn("_past", F.filter("history", lambda x: x["period"] < cutoff))
+    known = known.filter(F.size("_past") > 0).withColumn("_tail", S.context_tail(F.col("_past"), context))
+    values = F.array_sort(F.transform("_tail", lambda x: x["demand"]))
+    made = known.withColumn("_sorted", values).select(
+        "product_id", months.alias("_months"), F.transform("history", lambda x: x["demand"]).alias("_demands"),
+        S.round_half_even(array_quantile(F.col("_sorted"), quantiles[len(quantiles) // 2]), 2).alias("demand"),
+        F.posexplode(S.next_periods(F.element_at("_past", -1)["period"], horizon)).alias("_i", "period"))
+    found = F.array_position("_months", F.col("period"))
+    actual = F.when(found > 0, F.element_at("_demands", F.greatest(found, F.lit(1)).cast("int")))
+    made = made.select("product_id", "period", (F.col("_i") + 1).alias("step"), "demand", actual.alias("actual"))
+    return made.withColumn("accuracy", _accuracy(F.col("actual"), F.col("demand")))
 
 
 def latest_forecast(forecasts: DataFrame) -> DataFrame:

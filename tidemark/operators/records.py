@@ -9,10 +9,29 @@ shuffle.
 
 from __future__ import annotations
 
+import base64
+import binascii
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark import vocab
 from tidemark.functions import scalars as S
+from tidemark.session import scratch_path
+
+
+def newest(ts: str, *ties: str) -> list[Column]:
+    """Newest first, missing times last, ties by the given columns."""
+    return [F.col(ts).desc_nulls_last(), *[F.col(c) for c in ties]]
+
+
+def kpi_order() -> list[Column]:
+    return newest("ts", "label", "value", "trend")
+
+
+def series_order() -> list[Column]:
+    return newest("ts", "value")
 
 
 def _restrict(df: DataFrame, key: str, keys: DataFrame | None) -> DataFrame:
@@ -31,9 +50,36 @@ def index_read(df: DataFrame, key: str, order: list[Column], keys: DataFrame | N
     return df.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
 
 
-def scan_index_eq(df: DataFrame, key: str, value, order: list[Column]) -> DataFrame:
-    """One index read: key = value, ordered (filter is pushed to the Parquet scan)."""
-    return df.filter(F.col(key) == F.lit(value)).orderBy(*order)
+def with_positions(df: DataFrame, key: str | None, order: list[Column]) -> DataFrame:
+    """``df`` in the order (key, order) with ``pos``, from 1 within each key.
+
+    The rows are range-sorted and written once to the shared folder with their
+    task and place; a key's rows before each task are a prefix sum over
+    (key, task) counts.  No window runs over the rows, so a key that holds a
+    third of them is numbered by as many tasks as it fills.  ``order`` must
+    decide between any two rows that are to have a defined order.
+    """
+    spark = df.sparkSession
+    group = F.lit(0) if key is None else F.col(key)
+    path = scratch_path(spark, "ordered_read")
+    placed = df.withColumn("_key", group).orderBy("_key", *order)
+    placed = placed.withColumns({"_task": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
+    runs = placed.groupBy("_key", "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("_key").alias("_run_key"), F.col("_task").alias("_run_task"), "_first",
+                       F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = placed.join(runs, F.col("_key").eqNullSafe(F.col("_run_key")) & (F.col("_task") == F.col("_run_task")))
+    pos = F.col("_before") + F.col("_at") - F.col("_first") + 1
+    return numbered.select(*df.columns, pos.cast("long").alias("pos"))
+
+
+def scan_index_eq(df: DataFrame, key: str, values, order: list[Column]) -> DataFrame:
+    """Index reads: key equal to one of ``values``, ordered.  ``df`` must store the
+    key as a column, so that the filter is pushed to the Parquet scan."""
+    values = [values] if isinstance(values, str) else list(values)
+    return df.filter(F.col(key).isin(*values)).orderBy(F.col(key), *order)
 
 
 def forecasts_by_product(forecasts: DataFrame, limit: int = vocab.DEFAULT_PAGE_SIZE,
@@ -54,11 +100,11 @@ def inventory_alerts_by_product(inv: DataFrame, products: DataFrame | None = Non
 
 
 def kpi_history(kpis: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    return index_read(kpis, "kpi_id", [F.col("ts").desc_nulls_last()], ids)
+    return index_read(kpis, "kpi_id", kpi_order(), ids)
 
 
 def metric_series(metrics: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    return index_read(metrics, "metric_id", [F.col("ts").desc_nulls_last()], ids)
+    return index_read(metrics, "metric_id", series_order(), ids)
 
 
 def data_sources_by_type(ds: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -74,7 +120,7 @@ def access_by_role(acl: DataFrame, roles: DataFrame | None = None) -> DataFrame:
 
 
 def governance_series(gov: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    return index_read(gov, "metric_id", [F.col("ts").desc_nulls_last()], ids)
+    return index_read(gov, "metric_id", series_order(), ids)
 
 
 def bias_by_model(bias: DataFrame, components: DataFrame | None = None) -> DataFrame:
@@ -126,29 +172,72 @@ def critical_inventory_count(inv: DataFrame) -> DataFrame:
     return inv.agg(F.count_if(F.col("severity") == "critical").alias("critical_count"))
 
 
-def page_keyset(df: DataFrame, key: str, page_size: int, after: Column | str | None = None) -> DataFrame:
-    """Keyset page: rows with key strictly after the cursor, ordered, n rows."""
-    if after is not None:
-        df = df.filter(F.col(key) > (F.lit(after) if isinstance(after, str) else after))
-    return df.orderBy(key).limit(page_size)
+class InvalidPageToken(ValueError):
+    """The token is not one that ``encode_page_token`` made."""
 
 
-def first_pages(df: DataFrame, key: str, page_size: int, pages: int = 2) -> DataFrame:
-    """The first ``pages`` keyset pages in one scan.
+def encode_page_token(last_key: dict | None) -> str | None:
+    """The cursor as opaque URL-safe text; None when there is no further page."""
+    if not last_key:
+        return None
+    return base64.urlsafe_b64encode(json.dumps(last_key, sort_keys=True).encode()).decode()
+
+
+def decode_page_token(token: str | None) -> dict | None:
+    """The cursor of a token; None for no token.  Raises InvalidPageToken."""
+    if not token:
+        return None
+    try:
+        key = json.loads(base64.b64decode(token.encode(), altchars=b"-_", validate=True).decode())
+    except (ValueError, binascii.Error) as exc:
+        raise InvalidPageToken("Invalid pagination token") from exc
+    if not isinstance(key, dict):
+        raise InvalidPageToken("Invalid pagination token")
+    return key
 
-    For a unique key, the page after a cursor (the last key of the previous
-    page) holds exactly the next ``page_size`` keys, so one global top-k of
-    ``pages * page_size`` rows (partial top-k per task, then a merge) gives
-    every page; the page number is assigned over those k rows only.
-    """
-    top = df.orderBy(key).limit(pages * page_size)
-    rank = F.row_number().over(Window.orderBy(key))  # over at most pages * page_size rows
-    return top.withColumn("page", (F.floor((rank - 1) / page_size) + 1).cast("int"))
 
+@dataclass(frozen=True)
+class Page:
+    items: DataFrame
+    next_token: str | None
 
-def first_two_pages(df: DataFrame, key: str, page_size: int) -> DataFrame:
-    """Page 1 and the page after its cursor (last key of page 1)."""
-    return first_pages(df, key, page_size, 2)
+
+def page_keyset(df: DataFrame, key: str, page_size: int, token: str | None = None) -> Page:
+    """One page: the ``page_size`` rows after the token's cursor in the order of the
+    unique ``key``, and the token of the next page if there is one.
+
+    A page is a top-k (partial top-k per task, then a merge) over a range filter
+    that reaches the scan.  One row more than the page tells whether there is a
+    next page; the cursor, a single key, is all that reaches the driver.
+    """
+    if not 1 <= page_size <= vocab.MAX_PAGE_SIZE:
+        raise ValueError(f"limit must be between 1 and {vocab.MAX_PAGE_SIZE}")
+    cursor = decode_page_token(token)
+    if cursor is not None:
+        if key not in cursor:
+            raise InvalidPageToken("Invalid pagination token")
+        df = df.filter(F.col(key) > F.lit(cursor[key]))
+    tail = df.select(key).orderBy(key).limit(page_size + 1).orderBy(F.col(key).desc()).limit(2)
+    count = df.select(key).orderBy(key).limit(page_size + 1).count()
+    last = [r[0] for r in tail.collect()]
+    more = count > page_size
+    next_token = encode_page_token({key: last[1]}) if more else None
+    return Page(df.orderBy(key).limit(page_size), next_token)
+
+
+def pages(df: DataFrame, key: str, page_size: int, most: int | None = None) -> DataFrame:
+    """The rows of the first ``most`` pages (all when None) with ``page`` from 1,
+    walked through the cursor."""
+    token, number, out = None, 0, None
+    while most is None or number < most:
+        page = page_keyset(df, key, page_size, token)
+        number += 1
+        rows = page.items.withColumn("page", F.lit(number))
+        out = rows if out is None else out.unionByName(rows)
+        token = page.next_token
+        if token is None:
+            break
+    return out
 
 
 def top_alerts(inv: DataFrame, n: int = 3) -> DataFrame:

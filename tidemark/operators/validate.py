@@ -47,12 +47,15 @@ def validate_page_size(df: DataFrame, col: str = "limit") -> DataFrame:
 
 
 def validate_inference_request(df: DataFrame) -> DataFrame:
-    """product_id present; history a non-empty array; horizon integer 1..24 (default 6)."""
+    """product_id present; history a non-empty array whose points all have a demand;
+    horizon integer 1..24 (default 6)."""
     # truncate toward zero first, as int() does, then check the range
     h = F.coalesce(F.col("horizon"), F.lit(vocab.DEFAULT_FORECAST_HORIZON)).try_cast("int")
     err = (F.when(is_missing("product_id", T.StringType()), F.lit("Missing required field(s): productId"))
             .when(F.col("history").isNull() | (F.size(F.col("history")) == 0),
                   F.lit("historicalData must be a non-empty array"))
+            .when(F.exists("history", lambda x: x.isNull() | x["demand"].isNull()),
+                  F.lit("historicalData points must have a demand"))
             .when(~F.coalesce(h.between(1, vocab.MAX_FORECAST_HORIZON), F.lit(False)),
                   F.lit(f"forecastHorizon must be an integer between 1 and {vocab.MAX_FORECAST_HORIZON}")))
     return (df.withColumn("horizon", h)

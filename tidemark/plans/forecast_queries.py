@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import vocab
 from tidemark.functions import scalars as S
 from tidemark.operators import forecast as FC
 from tidemark.operators import validate as Val
 from tidemark.plans import views as V
-from tidemark.plans.oracle_views import baseline_sql, next_period_sql, round_exact_sql
+from tidemark.plans.oracle_views import baseline_sql, forecast_id_sql, next_period_sql, q, round_exact_sql
 from tidemark.plans.registry import register
 
 WHAT_IF_SCALE = 1.5
@@ -39,13 +40,16 @@ def collect_history(spark, sf):
 
 
 @register("context_tail", """
-SELECT product_id, period, demand FROM (
+SELECT product_id, period, demand, context FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY period DESC) AS rn FROM demand_history) t
-WHERE rn <= 96""", ("demand_history",))
+JOIN (SELECT unnest([96, 12]) AS context) c ON rn <= context""", ("demand_history",))
 def context_tail(spark, sf):
+    """The model context of 96 months, and a context of 12 that cuts most histories."""
     h = FC.collect_history(V.demand_history(spark, sf))
-    t = h.select("product_id", F.explode(S.context_tail(F.col("history"))).alias("p"))
-    return t.select("product_id", F.col("p.period").alias("period"), F.col("p.demand").cast("bigint").alias("demand"))
+    tails = F.explode(F.array(*[F.struct(F.lit(n).alias("context"), S.context_tail(F.col("history"), n).alias("tail"))
+                                for n in (vocab.CONTEXT_LENGTH, 12)])).alias("c")
+    t = h.select("product_id", tails).select("product_id", "c.context", F.explode("c.tail").alias("p"))
+    return t.select("product_id", F.col("p.period").alias("period"), F.col("p.demand").cast("bigint").alias("demand"), "context")
 
 
 @register("round2", f"SELECT product_id, {round_exact_sql('avg(demand)', 2)} AS mean_demand FROM demand_history GROUP BY product_id",
@@ -95,54 +99,58 @@ def next_periods(spark, sf):
 
 
 @register("validate_inference_request", """
-SELECT product_id, CAST(CAST(product_id AS BIGINT) % 30 AS INTEGER) AS horizon,
-       CASE WHEN CAST(product_id AS BIGINT) % 17 = 0 THEN 400
-            WHEN CAST(product_id AS BIGINT) % 30 NOT BETWEEN 1 AND 24 THEN 400 ELSE 200 END AS status_code,
-       CASE WHEN CAST(product_id AS BIGINT) % 17 = 0 THEN 'historicalData must be a non-empty array'
-            WHEN CAST(product_id AS BIGINT) % 30 NOT BETWEEN 1 AND 24
-            THEN 'forecastHorizon must be an integer between 1 and 24' END AS error
-FROM (SELECT DISTINCT product_id FROM demand_history) p""", ("demand_history",))
+SELECT product_id, horizon,
+       CASE WHEN n_points = 0 THEN 400 WHEN n_points > n_demands THEN 400 WHEN horizon NOT BETWEEN 1 AND 24 THEN 400 ELSE 200 END
+         AS status_code,
+       CASE WHEN n_points = 0 THEN 'historicalData must be a non-empty array'
+            WHEN n_points > n_demands THEN 'historicalData points must have a demand'
+            WHEN horizon NOT BETWEEN 1 AND 24 THEN 'forecastHorizon must be an integer between 1 and 24' END AS error
+FROM (SELECT product_id, max(horizon) AS horizon, count(period) AS n_points, count(demand) AS n_demands
+      FROM inference_requests GROUP BY product_id) r""", ("inference_requests",))
 def validate_inference_request(spark, sf):
     r = Val.validate_inference_request(V.inference_requests(spark, sf))
     return r.select("product_id", "horizon", "status_code", "error")
 
 
-@register("forecast_record", """
-SELECT 'fc-' || product_id AS forecast_id, product_id, CAST(count(*) AS INTEGER) AS n_predictions, min(period) AS first_period,
-       CAST(0.8 AS DOUBLE) AS confidence, 'baseline-quantile-v1' AS model_version, 'active' AS status,
-       CAST(strptime(max(last_period) || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS created_at
-FROM fc_preds GROUP BY product_id""", ("fc_preds",))
+@register("forecast_record", f"""
+SELECT {forecast_id_sql('product_id')} AS forecast_id, product_id, CAST(count(*) AS INTEGER) AS n_predictions,
+       min(period) AS first_period, sum(demand) AS total_demand, CAST(0.8 AS DOUBLE) AS confidence,
+       CAST(NULL AS DOUBLE) AS accuracy, {q(V.BASELINE_MODEL_VERSION)} AS model_version, 'active' AS status,
+       TIMESTAMP '{V.FORECAST_AS_OF:%Y-%m-%d %H:%M:%S}' AS created_at
+FROM ({baseline_sql('inference_valid', 'horizon')}) t GROUP BY product_id""", ("inference_valid",))
 def forecast_record(spark, sf):
-    hist = V.demand_history(spark, sf).filter(F.col("period") < V.FORECAST_CUTOFF)
-    f = FC.forecast_record(FC.baseline_quantiles(hist, horizon=V.FORECAST_HORIZON), model_version=V.BASELINE_MODEL_VERSION)
+    """Create-forecast end to end: validate, score, store the model's output."""
+    f = FC.forecast_record(FC.score_forecast(_valid_requests(spark, sf)), V.FORECAST_AS_OF, V.BASELINE_MODEL_VERSION)
     return f.select("forecast_id", "product_id", F.size("predictions").alias("n_predictions"),
                     F.element_at("predictions", 1)["period"].alias("first_period"),
-                    "confidence", "model_version", "status", "created_at")
+                    F.aggregate("predictions", F.lit(0.0), lambda a, x: a + x["demand"]).alias("total_demand"),
+                    "confidence", "accuracy", "model_version", "status", "created_at")
 
 
-@register("interval_confidence", "SELECT 'fc-' || product_id AS forecast_id, CAST(0.8 AS DOUBLE) AS confidence FROM fc_preds GROUP BY 1",
-          ("fc_preds",))
+@register("interval_confidence", """
+SELECT product_id, round(CAST(0.9 AS DOUBLE) - CAST(0.1 AS DOUBLE), 4) AS confidence, count(*) AS steps
+FROM (SELECT product_id, CAST(unnest(generate_series(1, h)) AS INTEGER) AS step
+      FROM (SELECT product_id, max(horizon) AS h FROM inference_valid GROUP BY 1) a) s GROUP BY 1""", ("inference_valid",))
 def interval_confidence(spark, sf):
-    hist = V.demand_history(spark, sf).filter(F.col("period") < V.FORECAST_CUTOFF)
-    rec = FC.forecast_record(FC.baseline_quantiles(hist, horizon=V.FORECAST_HORIZON))  # confidence = q_hi - q_lo
-    return rec.select("forecast_id", "confidence")
+    """The confidence that the model states with each prediction."""
+    scored = FC.score_forecast(_valid_requests(spark, sf))
+    return scored.groupBy("product_id", "confidence").agg(F.count(F.lit(1)).alias("steps"))
 
 
 @register("forecast_vs_actual", f"""
-SELECT 'fc-' || f.product_id AS forecast_id, f.period, f.step, f.demand, CAST(a.demand AS DOUBLE) AS actual,
+SELECT f.product_id, f.period, f.step, f.demand, CAST(a.demand AS DOUBLE) AS actual,
        CASE WHEN a.demand IS NOT NULL AND f.demand <> 0
             THEN {round_exact_sql('CAST(a.demand AS DOUBLE) * 100 / f.demand', 1, 'up')} END AS accuracy
-FROM fc_preds f LEFT JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period""",
-          ("fc_preds", "demand_history"))
+FROM backtest_preds f LEFT JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period""",
+          ("backtest_preds", "demand_history"))
 def forecast_vs_actual(spark, sf):
-    monthly = V.demand_history(spark, sf)
-    return FC.forecast_vs_actual(V.forecasts(spark, sf, monthly), monthly) \
-             .select("forecast_id", "period", "step", "demand", "actual", "accuracy")
+    return FC.backtest(V.demand_history(spark, sf), V.BACKTEST_CUTOFF, V.FORECAST_HORIZON).select(
+        "product_id", "period", "step", "demand", "actual", "accuracy")
 
 
 @register("latest_forecast", """
-SELECT 'fc-' || product_id AS forecast_id, step, period, demand, lower, upper FROM fc_preds
-WHERE 'fc-' || product_id = (SELECT forecast_id FROM forecasts ORDER BY created_at DESC NULLS LAST, forecast_id DESC LIMIT 1)""",
-          ("fc_preds", "forecasts"))
+SELECT f.forecast_id, p.step, p.period, p.demand, p.lower, p.upper
+FROM fc_preds p JOIN (SELECT * FROM forecasts ORDER BY created_at DESC NULLS LAST, forecast_id DESC LIMIT 1) f
+  ON p.product_id = f.product_id""", ("fc_preds", "forecasts"))
 def latest_forecast(spark, sf):
     return FC.latest_forecast(V.forecasts(spark, sf)).select("forecast_id", "step", "period", "demand", "lower", "upper")

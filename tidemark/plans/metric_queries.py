@@ -90,17 +90,16 @@ def metric_sum_by_dimension(spark, sf):
 
 
 @register("forecast_accuracy_metric", f"""
-SELECT forecast_id, 'ForecastAccuracy' AS metric_name, 'Percent' AS unit,
+SELECT product_id, 'ForecastAccuracy' AS metric_name, 'Percent' AS unit,
        {round_exact_sql('avg(accuracy)', 4, 'up')} AS accuracy_avg, count(*) AS points
-FROM (SELECT 'fc-' || f.product_id AS forecast_id,
+FROM (SELECT f.product_id,
              CASE WHEN f.demand <> 0 THEN {round_exact_sql('CAST(a.demand AS DOUBLE) * 100 / f.demand', 1, 'up')} END AS accuracy
-      FROM fc_preds f JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period) t
-WHERE accuracy IS NOT NULL GROUP BY forecast_id""", ("fc_preds", "demand_history"))
+      FROM backtest_preds f JOIN demand_history a ON f.product_id = a.product_id AND f.period = a.period) t
+WHERE accuracy IS NOT NULL GROUP BY product_id""", ("backtest_preds", "demand_history"))
 def forecast_accuracy_metric(spark, sf):
-    monthly = V.demand_history(spark, sf)
-    fva = FC.forecast_vs_actual(V.forecasts(spark, sf, monthly), monthly)
-    return (fva.filter(F.col("accuracy").isNotNull())
-               .groupBy("forecast_id")
-               .agg(S.round_exact(F.avg("accuracy"), 4, "up").alias("accuracy_avg"), F.count(F.lit(1)).alias("points"))
-               .select("forecast_id", F.lit("ForecastAccuracy").alias("metric_name"), F.lit("Percent").alias("unit"),
-                       "accuracy_avg", "points"))
+    tested = FC.backtest(V.demand_history(spark, sf), V.BACKTEST_CUTOFF, V.FORECAST_HORIZON)
+    return (tested.filter(F.col("accuracy").isNotNull())
+                  .groupBy("product_id")
+                  .agg(S.round_exact(F.avg("accuracy"), 4, "up").alias("accuracy_avg"), F.count(F.lit(1)).alias("points"))
+                  .select("product_id", F.lit("ForecastAccuracy").alias("metric_name"), F.lit("Percent").alias("unit"),
+                          "accuracy_avg", "points"))

@@ -142,12 +142,23 @@ cte("demand_history", ("curated",), """
 SELECT product_id, strftime(order_date, '%Y-%m') AS period, CAST(SUM(quantity) AS BIGINT) AS demand
 FROM curated GROUP BY product_id, strftime(order_date, '%Y-%m')""")
 
+def forecast_id_sql(product: str, created: str | None = None) -> str:
+    created = f"strftime({created}, '%Y-%m-%d %H:%M:%S')" if created else q(f"{V.FORECAST_AS_OF:%Y-%m-%d %H:%M:%S}")
+    return stable_id_sql("fc-", f"({product} || '|' || {created} || '|' || {q(V.BASELINE_MODEL_VERSION)})")
+
+
+_AS_OF = f"TIMESTAMP '{V.FORECAST_AS_OF:%Y-%m-%d %H:%M:%S}'"
+
 cte("forecasts", ("fc_preds",), f"""
-SELECT 'fc-' || product_id AS forecast_id, product_id,
-       CAST(strptime(max(last_period) || '-01', '%Y-%m-%d') + INTERVAL 1 MONTH AS TIMESTAMP) AS created_at,
+SELECT {forecast_id_sql('product_id')} AS forecast_id, product_id, {_AS_OF} AS created_at,
        CAST(0.8 AS DOUBLE) AS confidence, {q(V.BASELINE_MODEL_VERSION)} AS model_version, 'active' AS status
 FROM fc_preds GROUP BY product_id""")
 
+cte("forecast_runs", ("forecasts",), f"""
+SELECT {forecast_id_sql('product_id', 'created_at')} AS forecast_id, product_id, created_at
+FROM (SELECT product_id, {_AS_OF} - to_days(CAST(unnest(generate_series(0, {V.FORECAST_RUNS - 1})) AS INTEGER)) AS created_at
+      FROM forecasts) r""")
+
 cte("metrics", (), f"""
 SELECT name || ':' || dim_value AS metric_id, ts, name, dim_name, dim_value, value * scale AS value, unit,
        {epoch_s('ts')} + 604800 AS ttl
@@ -270,7 +281,7 @@ SELECT CASE WHEN p_partkey % 37 = 0 THEN 'ia-missing-' || CAST(p_partkey AS VARC
 FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 37 = 0""")
 
 cte("forecast_status_requests", (), f"""
-SELECT 'fc-' || CAST(p_partkey AS VARCHAR) AS forecast_id, {pick(('superseded', 'archived', 'bogus'), 'p_partkey % 4')} AS status,
+SELECT {forecast_id_sql('CAST(p_partkey AS VARCHAR)')} AS forecast_id, {pick(('superseded', 'archived', 'bogus'), 'p_partkey % 4')} AS status,
        {ts_plus_minutes(__import__('datetime').datetime(2001, 7, 1), 'p_partkey')} AS requested_at
 FROM part WHERE p_partkey % 4 <> 3""")
 
@@ -412,9 +423,19 @@ FROM (SELECT product_id, q, last_period, CAST(unnest(generate_series(1, h)) AS I
             WHERE rn <= {vocab.CONTEXT_LENGTH} GROUP BY product_id) a) b"""
 
 
-CTES["fc_preds"] = (("demand_history",), baseline_sql("demand_history", V.FORECAST_HORIZON,
-                                                      where=f"period < {q(V.FORECAST_CUTOFF)}"))
+CTES["fc_preds"] = (("demand_history",), baseline_sql("demand_history", V.FORECAST_HORIZON))
+# the backtest of the two accuracy queries forecasts from the months before the cutoff
+CTES["backtest_preds"] = (("demand_history",), baseline_sql("demand_history", V.FORECAST_HORIZON,
+                                                            where=f"period < {q(V.BACKTEST_CUTOFF)}"))
+
+cte("inference_requests", ("demand_history",), """
+SELECT p.product_id, CAST(CAST(p.product_id AS BIGINT) % 30 AS INTEGER) AS horizon, d.period,
+       CASE WHEN CAST(p.product_id AS BIGINT) % 19 = 0 AND d.period = p.last_period THEN NULL ELSE CAST(d.demand AS DOUBLE) END
+         AS demand
+FROM (SELECT product_id, max(period) AS last_period FROM demand_history GROUP BY 1) p
+LEFT JOIN demand_history d ON p.product_id = d.product_id AND CAST(p.product_id AS BIGINT) % 17 <> 0""")
 
-cte("inference_valid", ("demand_history",), """
-SELECT d.*, CAST(CAST(product_id AS BIGINT) % 30 AS INTEGER) AS horizon FROM demand_history d
-WHERE CAST(product_id AS BIGINT) % 17 <> 0 AND CAST(product_id AS BIGINT) % 30 BETWEEN 1 AND 24""")
+cte("inference_valid", ("inference_requests",), """
+SELECT product_id, period, demand, horizon FROM inference_requests
+WHERE horizon BETWEEN 1 AND 24 AND period IS NOT NULL
+  AND product_id NOT IN (SELECT product_id FROM inference_requests WHERE period IS NOT NULL AND demand IS NULL)""")

@@ -11,6 +11,8 @@ from tidemark.operators import records as R
 from tidemark.plans import views as V
 from tidemark.plans.oracle_views import q, severity_rank_sql
 from tidemark.plans.registry import register
+from tidemark.session import scratch_path
+from tidemark.sources import files
 
 AS_OF_EPOCH = 1706745600  # 2024-02-01 00:00:00 UTC, retention cut for ttl_retention
 
@@ -25,14 +27,24 @@ def scan_entity(spark, sf):
                                       "acknowledged", "action_required")
 
 
-@register("scan_index_eq", f"""
-SELECT metric_id, ts, value FROM metrics WHERE metric_id IN ({', '.join(q(s) for s in _RULED_SERIES)})""",
-          ("metrics",))
+def _ordered(rows, key, order, *columns):
+    """Rows of an unlimited read with their position, so that the order is compared."""
+    return R.with_positions(rows, key, order).select(*columns, "pos")
+
+
+def _positions(columns: str, table: str, key: str, order: str) -> str:
+    return f"SELECT {columns}, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY {order}) AS pos FROM {table}"
+
+
+@register("scan_index_eq", _positions("metric_id, ts, value", f"""(
+  SELECT * FROM metrics WHERE metric_id IN ({', '.join(q(s) for s in _RULED_SERIES)})) m""", "metric_id",
+                                      "ts DESC, value"), ("metrics",))
 def scan_index_eq(spark, sf):
-    """Read the series the alarm rules watch: the rule table is the key list."""
-    keys = M.alarm_rules(spark).select(F.concat("name", F.lit(":"), "dim_value").alias("metric_id"))
-    return R.index_read(V.metrics(spark, sf), "metric_id", [F.col("ts").desc()], keys=keys) \
-            .select("metric_id", "ts", "value")
+    """Read the series that the alarm rules watch from the stored metrics table."""
+    path = scratch_path(spark, "metrics_table")
+    files.sink_parquet(V.metrics(spark, sf), path)
+    rows = R.scan_index_eq(spark.read.parquet(path), "metric_id", _RULED_SERIES, R.series_order())
+    return _ordered(rows, "metric_id", R.series_order(), "metric_id", "ts", "value")
 
 
 @register("get_by_key", """
@@ -47,60 +59,73 @@ def get_by_key(spark, sf):
 @register("forecasts_by_product", f"""
 SELECT forecast_id, product_id, created_at,
        CAST(ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY created_at DESC NULLS LAST, forecast_id DESC) AS INTEGER) AS pos
-FROM forecasts QUALIFY pos <= {vocab.DEFAULT_PAGE_SIZE}""", ("forecasts",))
+FROM forecast_runs QUALIFY pos <= {vocab.DEFAULT_PAGE_SIZE}""", ("forecast_runs",))
 def forecasts_by_product(spark, sf):
-    return R.forecasts_by_product(V.forecasts(spark, sf)).select("forecast_id", "product_id", "created_at", "pos")
+    """The newest 50 forecasts per product (the route's page size) of 60 nightly runs."""
+    return R.forecasts_by_product(V.forecast_runs(spark, sf)).select("forecast_id", "product_id", "created_at", "pos")
 
 
-@register("alerts_by_category", "SELECT category, alert_id, ts FROM alerts", ("alerts",))
+@register("alerts_by_category", _positions("category, alert_id, ts", "alerts", "category", "ts DESC NULLS LAST, alert_id"),
+          ("alerts",))
 def alerts_by_category(spark, sf):
-    return R.alerts_by_category(V.alerts(spark, sf)).select("category", "alert_id", "ts")
+    return _ordered(R.alerts_by_category(V.alerts(spark, sf)), "category", R.newest("ts", "alert_id"),
+                    "category", "alert_id", "ts")
 
 
-@register("inventory_alerts_by_product", f"""
-SELECT product_id, alert_id, severity,
-       CAST(ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY severity, alert_id) AS INTEGER) AS pos
-FROM inventory_alerts QUALIFY pos <= {vocab.MAX_PAGE_SIZE}""", ("inventory_alerts",))
+@register("inventory_alerts_by_product",
+          _positions("product_id, alert_id, severity", "inventory_alerts", "product_id", "severity, alert_id"),
+          ("inventory_alerts",))
 def inventory_alerts_by_product(spark, sf):
-    inv = V.inventory_alerts(spark, sf)
-    out = R.index_read(inv, "product_id", [F.col("severity").asc(), F.col("alert_id")], limit=vocab.MAX_PAGE_SIZE)
-    return out.select("product_id", "alert_id", "severity", "pos")
+    """Every alert of every product: the read has no limit."""
+    rows = R.inventory_alerts_by_product(V.inventory_alerts(spark, sf))
+    return _ordered(rows, "product_id", [F.col("severity"), F.col("alert_id")], "product_id", "alert_id", "severity")
 
 
-@register("kpi_history", "SELECT kpi_id, ts, value FROM kpis", ("kpis",))
+@register("kpi_history", _positions("kpi_id, ts, value", "kpis", "kpi_id", "ts DESC NULLS LAST, label, value, trend"),
+          ("kpis",))
 def kpi_history(spark, sf):
-    return R.kpi_history(V.kpis(spark, sf)).select("kpi_id", "ts", "value")
+    return _ordered(R.kpi_history(V.kpis(spark, sf)), "kpi_id", R.kpi_order(), "kpi_id", "ts", "value")
 
 
-@register("metric_series", "SELECT metric_id, ts, value, unit FROM metrics", ("metrics",))
+@register("metric_series", _positions("metric_id, ts, value, unit", "metrics", "metric_id", "ts DESC NULLS LAST, value"),
+          ("metrics",))
 def metric_series(spark, sf):
-    return R.metric_series(V.metrics(spark, sf)).select("metric_id", "ts", "value", "unit")
+    return _ordered(R.metric_series(V.metrics(spark, sf)), "metric_id", R.series_order(), "metric_id", "ts", "value", "unit")
 
 
-@register("data_sources_by_type", "SELECT source_type, source_id, name, status FROM data_sources", ("data_sources",))
+@register("data_sources_by_type",
+          _positions("source_type, source_id, name, status", "data_sources", "source_type", "source_id"), ("data_sources",))
 def data_sources_by_type(spark, sf):
-    return R.data_sources_by_type(V.data_sources(spark, sf)).select("source_type", "source_id", "name", "status")
+    return _ordered(R.data_sources_by_type(V.data_sources(spark, sf)), "source_type", [F.col("source_id")],
+                    "source_type", "source_id", "name", "status")
 
 
-@register("insights_by_category", "SELECT category, insight_id, created_at, impact FROM insights", ("insights",))
+@register("insights_by_category", _positions("category, insight_id, created_at, impact", "insights", "category",
+                                             "created_at DESC NULLS LAST, insight_id"), ("insights",))
 def insights_by_category(spark, sf):
-    return R.insights_by_category(V.insights(spark, sf)).select("category", "insight_id", "created_at", "impact")
+    return _ordered(R.insights_by_category(V.insights(spark, sf)), "category", R.newest("created_at", "insight_id"),
+                    "category", "insight_id", "created_at", "impact")
 
 
-@register("access_by_role", "SELECT role, user_id, name, status FROM access_controls", ("access_controls",))
+@register("access_by_role", _positions("role, user_id, name, status", "access_controls", "role", "user_id"),
+          ("access_controls",))
 def access_by_role(spark, sf):
-    return R.access_by_role(V.access_controls(spark, sf)).select("role", "user_id", "name", "status")
+    return _ordered(R.access_by_role(V.access_controls(spark, sf)), "role", [F.col("user_id")],
+                    "role", "user_id", "name", "status")
 
 
-@register("governance_series", "SELECT metric_id, ts, value, status FROM governance_metrics", ("governance_metrics",))
+@register("governance_series", _positions("metric_id, ts, value, status", "governance_metrics", "metric_id",
+                                          "ts DESC NULLS LAST, value"), ("governance_metrics",))
 def governance_series(spark, sf):
-    return R.governance_series(V.governance_metrics(spark, sf)).select("metric_id", "ts", "value", "status")
+    return _ordered(R.governance_series(V.governance_metrics(spark, sf)), "metric_id", R.series_order(),
+                    "metric_id", "ts", "value", "status")
 
 
-@register("bias_by_model", "SELECT model_component, detection_id, detected_at, severity FROM bias_detections",
-          ("bias_detections",))
+@register("bias_by_model", _positions("model_component, detection_id, detected_at, severity", "bias_detections",
+                                      "model_component", "detected_at DESC NULLS LAST, detection_id"), ("bias_detections",))
 def bias_by_model(spark, sf):
-    return R.bias_by_model(V.bias_detections(spark, sf)).select("model_component", "detection_id", "detected_at", "severity")
+    return _ordered(R.bias_by_model(V.bias_detections(spark, sf)), "model_component", R.newest("detected_at", "detection_id"),
+                    "model_component", "detection_id", "detected_at", "severity")
 
 
 @register("filter_unacknowledged", "SELECT alert_id, category, acknowledged FROM alerts WHERE NOT COALESCE(acknowledged, FALSE)",
@@ -154,21 +179,25 @@ def quality_band(spark, sf):
     return d.select("source_id", "data_quality", S.quality_band("data_quality").alias("band"))
 
 
-@register("sort_newest_first", "SELECT report_id, created_at FROM reports", ("reports",))
+@register("sort_newest_first", _positions("report_id, created_at", "reports", "1", "created_at DESC NULLS LAST, report_id"),
+          ("reports",))
 def sort_newest_first(spark, sf):
-    return R.sort_newest_first(V.reports(spark, sf), "created_at", "report_id").select("report_id", "created_at")
+    rows = R.sort_newest_first(V.reports(spark, sf), "created_at", "report_id")
+    return _ordered(rows, None, R.newest("created_at", "report_id"), "report_id", "created_at")
+
+
+_PAGES = 4
 
 
 @register("page_keyset", f"""
-SELECT alert_id, 1 AS page FROM (SELECT alert_id FROM alerts ORDER BY alert_id LIMIT {vocab.DEFAULT_PAGE_SIZE}) p1
-UNION ALL
-SELECT alert_id, 2 AS page FROM (
-  SELECT alert_id FROM alerts
-  WHERE alert_id > (SELECT max(alert_id) FROM (SELECT alert_id FROM alerts ORDER BY alert_id LIMIT {vocab.DEFAULT_PAGE_SIZE}) x)
-  ORDER BY alert_id LIMIT {vocab.DEFAULT_PAGE_SIZE}) p2""", ("alerts",))
+SELECT alert_id, CAST(floor((rn - 1) / {vocab.DEFAULT_PAGE_SIZE}) + 1 AS INTEGER) AS page
+FROM (SELECT alert_id, ROW_NUMBER() OVER (ORDER BY alert_id) AS rn FROM alerts) t
+WHERE rn <= {_PAGES * vocab.DEFAULT_PAGE_SIZE}""", ("alerts",))
 def page_keyset(spark, sf):
-    a = V.alerts(spark, sf).select("alert_id")
-    return R.first_two_pages(a, "alert_id", vocab.DEFAULT_PAGE_SIZE).select("alert_id", "page")
+    """The first pages of the stored alerts table, each after the cursor of the one before."""
+    path = scratch_path(spark, "alerts_table")
+    files.sink_parquet(V.alerts(spark, sf).select("alert_id", "title"), path)
+    return R.pages(spark.read.parquet(path), "alert_id", vocab.DEFAULT_PAGE_SIZE, _PAGES).select("alert_id", "page")
 
 
 @register("top3_alerts", f"""

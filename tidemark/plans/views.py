@@ -34,7 +34,9 @@ METRIC_BY_EVENT = (
     ("signup", "ApproximateNumberOfMessagesVisible", "QueueName", "lambda-dlq", "Count", 1.0),
     ("purchase", "Count", "ApiName", "api", "Count", 1.0),
 )
-FORECAST_CUTOFF = "2001-01"
+BACKTEST_CUTOFF = "2001-01"  # the two accuracy queries forecast from the months before
+FORECAST_AS_OF = _dt.datetime(2002, 1, 1)
+FORECAST_RUNS = 60  # nightly runs in forecast_runs, the last at FORECAST_AS_OF
 FORECAST_HORIZON = 6
 BASELINE_MODEL_VERSION = "baseline-quantile-v1"
 EPOCH = _dt.datetime(2024, 1, 1)
@@ -184,16 +186,26 @@ def demand_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.monthly_demand(curated_sales(spark, sf_dir))
 
 
-def forecasts(spark: SparkSession, sf_dir: str, monthly: DataFrame | None = None) -> DataFrame:
-    """Baseline forecasts from history before FORECAST_CUTOFF, horizon 6.
-
-    Pass ``monthly`` (the demand history DataFrame) when the same query also
-    reads the actuals: one lineage lets Spark reuse its shuffles."""
+def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline forecasts from the whole history, horizon 6, made at FORECAST_AS_OF."""
     from tidemark.operators import forecast
-    monthly = demand_history(spark, sf_dir) if monthly is None else monthly
-    hist = monthly.filter(F.col("period") < FORECAST_CUTOFF)
-    preds = forecast.baseline_quantiles(hist, horizon=FORECAST_HORIZON)
-    return forecast.forecast_record(preds, model_version=BASELINE_MODEL_VERSION)
+    preds = forecast.baseline_quantiles(demand_history(spark, sf_dir), horizon=FORECAST_HORIZON)
+    return forecast.forecast_record(preds, FORECAST_AS_OF, BASELINE_MODEL_VERSION)
+
+
+def forecast_id(product: Column) -> Column:
+    """The id of a product's record in ``forecasts``."""
+    as_of = F.lit(FORECAST_AS_OF).cast("timestamp_ntz")
+    return S.stable_id("fc-", product, as_of, F.lit(BASELINE_MODEL_VERSION))
+
+
+def forecast_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecast records of the last FORECAST_RUNS nightly runs, newest at FORECAST_AS_OF."""
+    latest = forecasts(spark, sf_dir).drop("forecast_id", "created_at")
+    back = F.explode(F.sequence(F.lit(0), F.lit(FORECAST_RUNS - 1))).alias("_back")
+    runs = latest.select("*", back).withColumn(
+        "created_at", F.timestamp_add("DAY", -F.col("_back"), F.lit(FORECAST_AS_OF).cast("timestamp_ntz"))).drop("_back")
+    return runs.withColumn("forecast_id", S.stable_id("fc-", "product_id", "created_at", "model_version"))
 
 
 # --- V8 inventory alerts, V11 optimisations (part) ------------------------------
@@ -360,7 +372,7 @@ def forecast_status_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", ["p_partkey"])
     k = F.col("p_partkey")
     return (p.filter(k % 4 != 3)
-             .select(F.concat(F.lit("fc-"), k.cast("string")).alias("forecast_id"),
+             .select(forecast_id(k.cast("string")).alias("forecast_id"),
                      pick(("superseded", "archived", "bogus"), k % 4).alias("status"),
                      ts_plus_minutes(_dt.datetime(2001, 7, 1), k).alias("requested_at")))
 
@@ -436,13 +448,16 @@ def alert_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inference_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One request per product: its whole monthly history, a horizon in 0..29;
-    every 17th product sends an empty history."""
+    every 17th product sends an empty history, every 19th no demand for its last month."""
     from tidemark.operators import forecast
     hist = forecast.collect_history(demand_history(spark, sf_dir))
     pid = F.col("product_id").cast("long")
     empty = F.filter(F.col("history"), lambda x: F.lit(False))
+    last = F.size("history") - 1
+    gap = F.transform("history", lambda x, i: F.struct(x["period"].alias("period"),
+                                                       F.when(i != last, x["demand"]).alias("demand")))
     return hist.select(
         "product_id",
-        F.when(pid % 17 == 0, empty).otherwise(F.col("history")).alias("history"),
+        F.when(pid % 17 == 0, empty).when(pid % 19 == 0, gap).otherwise(F.col("history")).alias("history"),
         (pid % 30).cast("int").alias("horizon"),
     )
