@@ -133,3 +133,27 @@ def test_one_text_shuffle_serves_all_steps(spark):
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).collect() == []
     assert len(run(frame(spark, [(1, None, None, None, None)])).collect()) == 1
+
+
+@pytest.mark.parametrize("one_task", [1000, 0])
+def test_components(spark, one_task):
+    """Chains, stars, rings and random links, by union-find in one task and by rounds."""
+    import random
+    from tidemark.llm.components import components
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200 + i, 200 + (i + 1) % 9) for i in range(9)]
+    links += [(rng.randrange(300, 380), rng.randrange(300, 380)) for _ in range(60)] + [(5, 5)]
+    parent = {v: v for e in links for v in e}
+
+    def top(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in links:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    key = {v: v.to_bytes(4, "big") for v in parent}
+    edges = spark.createDataFrame([(bytearray(key[a]), bytearray(key[b])) for a, b in links], "a binary, b binary").repartition(3)
+    got = {bytes(r.vertex): bytes(r.root) for r in components(edges, one_task).collect()}
+    assert got == {key[v]: key[top(v)] for v in parent if sum(top(u) == top(v) for u in parent) > 1}
+    assert components(edges.limit(0), one_task).collect() == []
