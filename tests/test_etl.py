@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tidemark.operators import etl
@@ -48,11 +50,12 @@ def test_split_is_null_safe_and_complete(spark):
     reasons = {r.order_id: r.reject_reason for r in etl.filter_quarantine(typed).collect() if r.order_id}
     assert reasons["o3"] == ["bad_quantity"]
     assert reasons["o6"] == ["bad_unit_price"]
+    assert all((len(r.reject_reason) == 0) == r.is_valid for r in typed.collect())
 
 
 def test_price_try_cast(spark):
     typed = etl.classify(raw_df(spark))
-    got = {r.order_id: r.unit_price_decimal for r in typed.collect()}
+    got = {r.order_id: r.price for r in typed.collect()}
     assert got["o8"] == Decimal("12.35")
     assert got["o6"] is None and got["o7"] is None and got["o9"] is None
 
@@ -85,19 +88,34 @@ def test_csv_scan_declared_schema(spark):
     assert row.order_date is None and row.quantity is None and row._corrupt_record is not None
 
 
-def test_etl_job_counts_and_idempotent(spark):
+@pytest.mark.parametrize("storage", [None, StorageLevel.MEMORY_AND_DISK])
+def test_etl_job_counts_and_idempotent(spark, storage):
     base = scratch_path(spark, "test_etl_job")
     raw = raw_df(spark)
-    counts = run_etl(spark, raw, f"{base}/cur", f"{base}/quar", f"{base}/metrics")
+    counts = run_etl(spark, raw, f"{base}/cur", f"{base}/quar", f"{base}/metrics", storage_level=storage)
     assert counts["RowsRead"] == len(raw_rows())
     assert counts["RowsCurated"] + 0 == etl.curate(raw).count()
     assert counts["RowsRead"] == counts["RowsQuarantined"] + etl.filter_valid_sales(etl.classify(raw)).count()
-    first = sorted(map(tuple, spark.read.parquet(f"{base}/cur").collect()))
-    run_etl(spark, raw, f"{base}/cur", f"{base}/quar")
-    second = sorted(map(tuple, spark.read.parquet(f"{base}/cur").collect()))
-    assert first == second  # running twice changes nothing (dynamic partition overwrite)
-    m = {r.metric_name: r.value for r in spark.read.parquet(f"{base}/metrics").collect()}
-    assert m["RowsRead"] == len(raw_rows())
+    first = sorted(map(tuple, files.read_snapshot(spark, f"{base}/cur").collect()))
+    run_etl(spark, raw, f"{base}/cur", f"{base}/quar", f"{base}/metrics", storage_level=storage)
+    second = sorted(map(tuple, files.read_snapshot(spark, f"{base}/cur").collect()))
+    assert first == second  # running twice changes nothing
+    m = files.read_runs(spark, f"{base}/metrics").collect()
+    assert len(m) == 3 and {r.metric_name: r.value for r in m}["RowsRead"] == len(raw_rows())
+    assert files.read_snapshot(spark, f"{base}/quar").count() == counts["RowsQuarantined"]
+
+
+def test_a_row_that_changes_its_month_leaves_no_copy(spark):
+    base = scratch_path(spark, "test_etl_month")
+    raw = raw_df(spark)
+    run_etl(spark, raw, f"{base}/cur", f"{base}/quar", run_id="night-1")
+    later = spark.createDataFrame([("o1", "p1", dt.datetime(2026, 3, 1), 5, "10.50", "w1", "web", dt.datetime(2026, 3, 2))],
+                                  raw.schema)
+    counts = run_etl(spark, raw.union(later), f"{base}/cur", f"{base}/quar", run_id="night-2")
+    cur = files.read_snapshot(spark, f"{base}/cur")
+    assert cur.count() == counts["RowsCurated"]
+    assert [(r.year, r.month, r.quantity) for r in cur.filter("order_id = 'o1'").collect()] == [(2026, 3, 5)]
+    assert cur.groupBy("order_id", "product_id").count().filter("count > 1").count() == 0
 
 
 def test_partition_filter_reaches_scan(spark):

@@ -31,8 +31,8 @@ def scan_csv_schema(spark, sf):
 @register("sink_parquet_partitioned", f"SELECT {CURATED_COLS} FROM curated", ("curated",))
 def sink_parquet_partitioned(spark, sf):
     path = scratch_path(spark, "curated_sales")
-    files.sink_parquet_partitioned(V.curated_sales(spark, sf), path)
-    return files.read_partitioned(spark, path).select(*[c.strip() for c in CURATED_COLS.split(",")])
+    files.publish_snapshot(V.curated_sales(spark, sf), path, "nightly", ("year", "month"))
+    return files.read_snapshot(spark, path).select(*[c.strip() for c in CURATED_COLS.split(",")])
 
 
 @register("sink_quarantine", f"SELECT {RAW_COLS}, reject_reason FROM quarantine", ("quarantine",))
@@ -49,8 +49,13 @@ def catalog_partitions(spark, sf):
     import uuid
     path = scratch_path(spark, "curated_catalog")
     files.sink_parquet_partitioned(V.curated_sales(spark, sf), path)
-    t = files.catalog_table(spark, f"curated_sales_{uuid.uuid4().hex[:12]}", path)  # partitions recovered
-    return t.groupBy("year", "month").agg(F.count(F.lit(1)).alias("row_count"), F.sum("line_total").alias("revenue"))
+    name = f"curated_sales_{uuid.uuid4().hex[:12]}"
+    t = files.catalog_table(spark, name, path)  # partitions recovered
+    out = scratch_path(spark, "curated_months")
+    files.sink_parquet(t.groupBy("year", "month").agg(F.count(F.lit(1)).alias("row_count"),
+                                                      F.sum("line_total").alias("revenue")), out)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    return spark.read.parquet(out)
 
 
 @register("sink_metrics_batch", """
@@ -61,7 +66,7 @@ SELECT metric_name, value, 'Count' AS unit, 'prod' AS environment FROM (
 def sink_metrics_batch(spark, sf):
     base = scratch_path(spark, "etl_run")
     run_etl(spark, V.sales_raw(spark, sf), f"{base}/curated", f"{base}/quarantine", f"{base}/metrics")
-    return spark.read.parquet(f"{base}/metrics").select("metric_name", "value", "unit", "environment")
+    return files.read_runs(spark, f"{base}/metrics").select("metric_name", "value", "unit", "environment")
 
 
 @register("project_curated", f"SELECT {CURATED_COLS} FROM curated", ("curated",))
@@ -77,11 +82,11 @@ def project_drop(spark, sf):
 
 
 @register("filter_valid_sales",
-          "SELECT order_id, product_id, order_date, quantity, unit_price_decimal, ingested_at FROM classified WHERE is_valid",
+          "SELECT order_id, product_id, order_date, quantity, price, ingested_at FROM classified WHERE is_valid",
           ("classified",))
 def filter_valid_sales(spark, sf):
     return etl.filter_valid_sales(etl.classify(V.sales_raw(spark, sf))).select(
-        "order_id", "product_id", "order_date", "quantity", "unit_price_decimal", "ingested_at")
+        "order_id", "product_id", "order_date", "quantity", "price", "ingested_at")
 
 
 @register("filter_quarantine",
@@ -92,11 +97,11 @@ def filter_quarantine(spark, sf):
 
 
 @register("dedupe_latest",
-          "SELECT order_id, product_id, ingested_at, unit_price_decimal, quantity, warehouse_id FROM deduped",
+          "SELECT order_id, product_id, ingested_at, price, quantity, warehouse_id FROM deduped",
           ("deduped",))
 def dedupe_latest(spark, sf):
     d = etl.dedupe_latest(etl.filter_valid_sales(etl.classify(V.sales_raw(spark, sf))))
-    return d.select("order_id", "product_id", "ingested_at", "unit_price_decimal", "quantity", "warehouse_id")
+    return d.select("order_id", "product_id", "ingested_at", "price", "quantity", "warehouse_id")
 
 
 @register("etl_row_counts", """
@@ -109,18 +114,18 @@ def etl_row_counts(spark, sf):
 
 
 @register("price_to_decimal",
-          "SELECT order_id, product_id, unit_price, TRY_CAST(unit_price AS DECIMAL(12,2)) AS unit_price_decimal FROM sales_raw",
+          "SELECT order_id, product_id, unit_price, TRY_CAST(unit_price AS DECIMAL(12,2)) AS price FROM sales_raw",
           ("sales_raw",))
 def price_to_decimal(spark, sf):
     r = V.sales_raw(spark, sf)
-    return r.select("order_id", "product_id", "unit_price", S.price_to_decimal("unit_price").alias("unit_price_decimal"))
+    return r.select("order_id", "product_id", "unit_price", S.price_to_decimal("unit_price").alias("price"))
 
 
 @register("line_total", "SELECT order_id, product_id, quantity, unit_price, line_total FROM curated", ("curated",))
 def line_total(spark, sf):
     d = etl.dedupe_latest(etl.filter_valid_sales(etl.classify(V.sales_raw(spark, sf))))
-    return d.select("order_id", "product_id", "quantity", F.col("unit_price_decimal").alias("unit_price"),
-                    S.line_total("quantity", "unit_price_decimal").alias("line_total"))
+    return d.select("order_id", "product_id", "quantity", F.col("price").alias("unit_price"),
+                    S.line_total("quantity", "price").alias("line_total"))
 
 
 @register("default_channel",

@@ -111,19 +111,19 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""")
 
 cte("classified", ("sales_raw",), """
 SELECT *, COALESCE(order_id IS NOT NULL AND product_id IS NOT NULL AND order_date IS NOT NULL
-                   AND quantity > 0 AND unit_price_decimal IS NOT NULL, FALSE) AS is_valid
-FROM (SELECT *, TRY_CAST(unit_price AS DECIMAL(12,2)) AS unit_price_decimal FROM sales_raw) t""")
+                   AND quantity > 0 AND price IS NOT NULL, FALSE) AS is_valid
+FROM (SELECT *, TRY_CAST(unit_price AS DECIMAL(12,2)) AS price FROM sales_raw) t""")
 
 cte("deduped", ("classified",), """
-SELECT * EXCLUDE (row_rank) FROM (
+SELECT * EXCLUDE (newest) FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id, product_id
-        ORDER BY ingested_at DESC NULLS LAST, unit_price_decimal DESC NULLS LAST,
-                 quantity DESC NULLS LAST, warehouse_id DESC NULLS LAST) AS row_rank
-  FROM classified WHERE is_valid) t WHERE row_rank = 1""")
+        ORDER BY ingested_at DESC NULLS LAST, price DESC NULLS LAST,
+                 quantity DESC NULLS LAST, warehouse_id DESC NULLS LAST) AS newest
+  FROM classified WHERE is_valid) t WHERE newest = 1""")
 
 cte("curated", ("deduped",), f"""
-SELECT order_id, product_id, order_date, quantity, unit_price_decimal AS unit_price,
-       CAST(quantity * unit_price_decimal AS DECIMAL(23,2)) AS line_total, warehouse_id,
+SELECT order_id, product_id, order_date, quantity, price AS unit_price,
+       CAST(quantity * price AS DECIMAL(23,2)) AS line_total, warehouse_id,
        COALESCE(channel, {q(vocab.DEFAULT_CHANNEL)}) AS channel,
        CAST(year(order_date) AS INTEGER) AS year, CAST(month(order_date) AS INTEGER) AS month
 FROM deduped""")
@@ -135,7 +135,7 @@ SELECT * EXCLUDE (is_valid),
      CASE WHEN product_id IS NULL THEN 'missing_product_id' END,
      CASE WHEN order_date IS NULL THEN 'missing_order_date' END,
      CASE WHEN NOT COALESCE(quantity > 0, FALSE) THEN 'bad_quantity' END,
-     CASE WHEN unit_price_decimal IS NULL THEN 'bad_unit_price' END], lambda x: x IS NOT NULL), ',') AS reject_reason
+     CASE WHEN price IS NULL THEN 'bad_unit_price' END], lambda x: x IS NOT NULL), ',') AS reject_reason
 FROM classified WHERE NOT is_valid""")
 
 cte("demand_history", ("curated",), """
@@ -285,19 +285,51 @@ SELECT {forecast_id_sql('CAST(p_partkey AS VARCHAR)')} AS forecast_id, {pick(('s
        {ts_plus_minutes(__import__('datetime').datetime(2001, 7, 1), 'p_partkey')} AS requested_at
 FROM part WHERE p_partkey % 4 <> 3""")
 
+def _requests_sql(table: str, k: str, most: int, prefix: str, key: str, hot: str, where: str = "TRUE") -> str:
+    return f"""(
+  SELECT *, CASE WHEN k % 13 = 5 AND i = 0 THEN NULL WHEN k % 17 = 0 THEN '{prefix}missing-' || CAST(k AS VARCHAR)
+                 WHEN k % 4 = 3 AND i = 1 THEN '{hot}' ELSE '{prefix}' || CAST(k AS VARCHAR) END AS {key},
+         'rq-' || CAST(k AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS request_id
+  FROM (SELECT *, {k} AS k, CAST(unnest(generate_series(0, {k} % {most})) AS BIGINT) AS i FROM {table} WHERE {where}) r)"""
+
+
+def _half(base) -> str:
+    return ts_plus_minutes(base, "floor((k + i) / 2)")
+
+
+# patch fields as columns: NULL where the patch does not carry the field
+cte("source_patches", (), f"""
+SELECT source_id, request_id, {_half(__import__('datetime').datetime(2024, 3, 1))} AS requested_at,
+       CASE (k + i) % 6 WHEN 0 THEN 'error' WHEN 1 THEN 'paused' WHEN 4 THEN 'idle' END AS p_status,
+       CASE (k + i) % 6 WHEN 0 THEN CAST(k * 1000 + 500 + i AS VARCHAR) WHEN 5 THEN 'lots' END AS p_records_processed,
+       CASE (k + i) % 6 WHEN 3 THEN 'renamed ' || request_id END AS p_name,
+       CASE (k + i) % 6 WHEN 4 THEN '97.5' END AS p_data_quality
+FROM {_requests_sql('supplier', 's_suppkey', 5, 'ds-', 'source_id', 'ds-1')} x""")
+
+cte("checked_patches", ("source_patches",), f"""
+SELECT *, array_to_string(list_filter([CASE WHEN p_data_quality IS NOT NULL THEN 'data_quality' END,
+           CASE WHEN p_name IS NOT NULL THEN 'name' END,
+           CASE WHEN p_records_processed IS NOT NULL THEN 'records_processed' END,
+           CASE WHEN p_status IS NOT NULL THEN 'status' END], lambda x: x IS NOT NULL), ',') AS kept_fields,
+       CASE WHEN p_status IS NULL AND p_records_processed IS NULL AND p_name IS NULL AND p_data_quality IS NULL
+            THEN {q('No updatable fields provided; allowed: ' + ', '.join(vocab.MUTABLE_SOURCE_FIELDS))}
+            WHEN p_status IS NOT NULL AND p_status NOT IN ({', '.join(q(x) for x in vocab.SOURCE_STATUSES)})
+            THEN {q('status must be one of: ' + ', '.join(vocab.SOURCE_STATUSES))}
+            WHEN p_records_processed IS NOT NULL AND TRY_CAST(p_records_processed AS BIGINT) IS NULL
+            THEN 'value does not fit the field''s type: records_processed' END AS error
+FROM source_patches""")
+
 cte("access_requests", (), f"""
-SELECT CASE WHEN c_custkey % 25 = 0 THEN 'u-missing-' || CAST(c_custkey AS VARCHAR)
-            ELSE 'u-' || CAST(c_custkey AS VARCHAR) END AS user_id,
-       CASE WHEN c_custkey % 20 = 0 THEN [{_perm('c_custkey * 3')}, 'root_access', {_perm('c_custkey + 5')}]
-            ELSE [{_perm('c_custkey + 5')}, {_perm('c_custkey * 3')}] END AS permissions,
-       'admin-' || CAST(c_custkey % 4 AS VARCHAR) || '@example.com' AS actor,
-       {ts_plus_minutes(__import__('datetime').datetime(2024, 4, 1), 'c_custkey')} AS requested_at
-FROM customer WHERE c_custkey % 2 = 0""")
-
-cte("report_requests", (), """
-SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'rpt-missing-' || CAST(o_orderkey AS VARCHAR)
-            ELSE 'rpt-' || CAST(o_orderkey AS VARCHAR) END AS report_id, o_orderdate + INTERVAL 1 DAY AS requested_at
-FROM orders WHERE o_orderkey % 3 = 0""")
+SELECT user_id, request_id,
+       CASE WHEN (k + i) % 20 = 0 THEN [{_perm('k * 3 + i')}, 'root_access', {_perm('k + 5')}]
+            ELSE [{_perm('k + 5')}, {_perm('k * 3 + i')}] END AS permissions,
+       'admin-' || CAST(k % 4 AS VARCHAR) || '@example.com' AS actor,
+       {_half(__import__('datetime').datetime(2024, 4, 1))} AS requested_at
+FROM {_requests_sql('customer', 'c_custkey', 5, 'u-', 'user_id', 'u-1', 'c_custkey % 2 = 0')} x""")
+
+cte("report_requests", (), f"""
+SELECT report_id, request_id, o_orderdate + to_hours(CAST(24 + floor(i / 2) AS BIGINT)) AS requested_at
+FROM {_requests_sql('orders', 'o_orderkey', 4, 'rpt-', 'report_id', 'rpt-1', 'o_orderkey % 3 = 0')} x""")
 
 cte("scenario_run_requests", (), f"""
 SELECT 'sc-' || CAST(o_orderkey % 150 AS VARCHAR) AS scenario_id, {stable_id_sql('run-', 'o_orderkey')} AS run_id,
@@ -305,10 +337,8 @@ SELECT 'sc-' || CAST(o_orderkey % 150 AS VARCHAR) AS scenario_id, {stable_id_sql
 FROM orders""")
 
 cte("apply_requests", (), f"""
-SELECT CASE WHEN p_partkey % 41 = 0 THEN 'opt-missing-' || CAST(p_partkey AS VARCHAR)
-            ELSE 'opt-' || CAST(p_partkey AS VARCHAR) END AS optimization_id,
-       {ts_plus_minutes(__import__('datetime').datetime(2024, 5, 1), 'p_partkey')} AS requested_at
-FROM part WHERE p_partkey % 2 = 0""")
+SELECT optimization_id, request_id, {_half(__import__('datetime').datetime(2024, 5, 1))} AS requested_at
+FROM {_requests_sql('part', 'p_partkey', 5, 'opt-', 'optimization_id', 'opt-3', 'p_partkey % 2 = 1')} x""")
 
 cte("alert_create_requests", (), f"""
 SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id,

@@ -21,6 +21,18 @@ def _latest(table: str, key: str) -> str:
             f"FROM {table}) x WHERE rn = 1)")
 
 
+def _nth(table: str, key: str, direction: str = "", where: str = "TRUE") -> str:
+    """Requests with their number per key, ordered as the services would apply them."""
+    return (f"(SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY requested_at {direction}, request_id {direction}) AS rn "
+            f"FROM {table} WHERE {key} IS NOT NULL AND {where})")
+
+
+def _both(snapshot, outcomes):
+    """New snapshot and outcomes in one frame, told apart by ``part``."""
+    return (snapshot.withColumn("part", F.lit("snapshot"))
+            .unionByName(outcomes.withColumn("part", F.lit("outcome")), allowMissingColumns=True))
+
+
 @register("update_existing", f"""
 SELECT i.alert_id, COALESCE(r.alert_id IS NOT NULL, FALSE) AS updated,
        CASE WHEN r.alert_id IS NOT NULL THEN TRUE ELSE i.acknowledged END AS acknowledged,
@@ -50,25 +62,36 @@ def update_not_found(spark, sf):
             .select("alert_id", "requested_at")
 
 
-@register("apply_if_proposed", """
-SELECT r.optimization_id, r.requested_at,
-       CASE WHEN r.requested_at = f.first_at AND o.status = 'proposed' THEN 'applied' ELSE 'not_found_or_applied' END AS outcome,
-       CASE WHEN r.requested_at = f.first_at AND o.status = 'proposed' THEN 200 ELSE 404 END AS status_code
-FROM apply_requests r
-JOIN (SELECT optimization_id, min(requested_at) AS first_at FROM apply_requests GROUP BY 1) f
-  ON r.optimization_id = f.optimization_id
-LEFT JOIN optimizations o ON r.optimization_id = o.optimization_id""", ("apply_requests", "optimizations"))
+_APPLIED = f"""(SELECT r.* FROM {_nth('apply_requests', 'optimization_id')} r
+  JOIN optimizations o ON r.optimization_id = o.optimization_id WHERE rn = 1 AND o.status = 'proposed')"""
+
+
+@register("apply_if_proposed", f"""
+SELECT 'outcome' AS part, r.optimization_id, r.request_id, r.requested_at,
+       CASE WHEN w.request_id IS NOT NULL THEN 'applied' ELSE 'not_found_or_applied' END AS outcome,
+       CASE WHEN w.request_id IS NOT NULL THEN 200 ELSE 404 END AS status_code,
+       CAST(NULL AS VARCHAR) AS status, CAST(NULL AS TIMESTAMP) AS applied_at
+FROM apply_requests r LEFT JOIN {_APPLIED} w ON r.request_id = w.request_id
+UNION ALL
+SELECT 'snapshot', o.optimization_id, NULL, NULL, NULL, NULL,
+       CASE WHEN w.request_id IS NOT NULL THEN 'applied' ELSE o.status END,
+       CASE WHEN w.request_id IS NOT NULL THEN w.requested_at ELSE o.applied_at END
+FROM optimizations o LEFT JOIN {_APPLIED} w ON o.optimization_id = w.optimization_id""",
+          ("apply_requests", "optimizations"))
 def apply_if_proposed(spark, sf):
-    _, outcomes = U.apply_if_proposed(V.optimizations(spark, sf), V.apply_requests(spark, sf))
-    return outcomes.select("optimization_id", "requested_at", "outcome", "status_code")
+    snap, outcomes = U.apply_if_proposed(V.optimizations(spark, sf), V.apply_requests(spark, sf))
+    return _both(snap.select("optimization_id", "status", "applied_at"),
+                 outcomes.select("optimization_id", "request_id", "requested_at", "outcome", "status_code"))
 
 
+_ACCEPTED_ACCESS = f"len(list_filter(permissions, lambda x: NOT list_contains({_KNOWN}, x))) = 0"
+
 _AUDIT_SQL = f"""
 SELECT 'access_control_change' AS audit, COALESCE(r.actor, 'anonymous') AS actor, r.user_id AS subject,
-       array_to_string(list_sort(a.permissions), ',') AS before,
+       array_to_string(list_sort(CASE WHEN r.rn = 1 THEN a.permissions ELSE b.permissions END), ',') AS before,
        array_to_string(list_sort(r.permissions), ',') AS after, r.requested_at AS at
-FROM access_requests r JOIN access_controls a ON r.user_id = a.user_id
-WHERE len(list_filter(r.permissions, lambda x: NOT list_contains({_KNOWN}, x))) = 0"""
+FROM {_nth('access_requests', 'user_id', '', _ACCEPTED_ACCESS)} r JOIN access_controls a ON r.user_id = a.user_id
+LEFT JOIN {_nth('access_requests', 'user_id', '', _ACCEPTED_ACCESS)} b ON r.user_id = b.user_id AND b.rn = r.rn - 1"""
 
 
 def _audit_text(df):
@@ -86,22 +109,31 @@ def audit_before_after(spark, sf):
 def sink_audit(spark, sf):
     _, _, audit = U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))
     path = scratch_path(spark, "audit")
-    files.sink_append(audit, path)
-    return _audit_text(spark.read.parquet(path))
+    files.sink_run(audit, path, "batch-1")
+    return _audit_text(files.read_runs(spark, path))
 
 
 @register("access_replace", f"""
-SELECT r.user_id, r.requested_at,
+SELECT 'outcome' AS part, r.user_id, r.request_id, r.requested_at,
        CASE WHEN len(u.unknown) > 0 THEN 400 WHEN a.user_id IS NULL THEN 404 ELSE 200 END AS status_code,
-       CASE WHEN len(u.unknown) > 0 THEN 'Unknown permission(s): ' || array_to_string(u.unknown, ', ') END AS error
+       CASE WHEN len(u.unknown) > 0 THEN 'Unknown permission(s): ' || array_to_string(u.unknown, ', ') END AS error,
+       CAST(NULL AS VARCHAR) AS permissions, CAST(NULL AS TIMESTAMP) AS updated_at
 FROM access_requests r
-JOIN (SELECT user_id, requested_at,
+JOIN (SELECT request_id,
              list_sort(list_distinct(list_filter(permissions, lambda x: NOT list_contains({_KNOWN}, x)))) AS unknown
-      FROM access_requests) u ON r.user_id = u.user_id AND r.requested_at = u.requested_at
-LEFT JOIN access_controls a ON r.user_id = a.user_id""", ("access_requests", "access_controls"))
+      FROM access_requests) u ON r.request_id = u.request_id
+LEFT JOIN access_controls a ON r.user_id = a.user_id
+UNION ALL
+SELECT 'snapshot', a.user_id, NULL, NULL, NULL, NULL,
+       array_to_string(CASE WHEN r.user_id IS NOT NULL THEN r.permissions ELSE a.permissions END, ','),
+       CASE WHEN r.user_id IS NOT NULL THEN r.requested_at ELSE a.updated_at END
+FROM access_controls a
+LEFT JOIN {_nth('access_requests', 'user_id', 'DESC', _ACCEPTED_ACCESS)} r ON a.user_id = r.user_id AND r.rn = 1""",
+          ("access_requests", "access_controls"))
 def access_replace(spark, sf):
-    _, outcomes, _ = U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))
-    return outcomes.select("user_id", "requested_at", "status_code", "error")
+    snap, outcomes, _ = U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))
+    return _both(snap.select("user_id", F.array_join("permissions", ",").alias("permissions"), "updated_at"),
+                 outcomes.select("user_id", "request_id", "requested_at", "status_code", "error"))
 
 
 @register("permissions_unknown", f"""
@@ -129,75 +161,101 @@ def validate_enum(spark, sf):
     return r.select("forecast_id", "status", "status_code")
 
 
-@register("forecast_status_update", """
-SELECT r.forecast_id, r.status,
+@register("forecast_status_update", f"""
+SELECT 'outcome' AS part, r.forecast_id, r.status,
        CASE WHEN r.status NOT IN ('active', 'superseded', 'archived') THEN 400
-            WHEN f.forecast_id IS NULL THEN 404 ELSE 200 END AS status_code
-FROM forecast_status_requests r LEFT JOIN forecasts f ON r.forecast_id = f.forecast_id""",
+            WHEN f.forecast_id IS NULL THEN 404 ELSE 200 END AS status_code, CAST(NULL AS TIMESTAMP) AS updated_at
+FROM forecast_status_requests r LEFT JOIN forecasts f ON r.forecast_id = f.forecast_id
+UNION ALL
+SELECT 'snapshot', f.forecast_id, COALESCE(r.status, f.status), NULL, r.requested_at
+FROM forecasts f LEFT JOIN (SELECT * FROM forecast_status_requests WHERE status IN ('active', 'superseded', 'archived')) r
+  ON f.forecast_id = r.forecast_id""",
           ("forecast_status_requests", "forecasts"))
 def forecast_status_update(spark, sf):
-    _, outcomes = U.forecast_status_update(V.forecasts(spark, sf), V.forecast_status_requests(spark, sf))
-    return outcomes.select("forecast_id", "status", "status_code")
-
-
-_PATCH_CASE = """
-  CASE WHEN s_suppkey % 3 = 0 THEN 'records_processed,status' WHEN s_suppkey % 3 = 1 THEN 'status' ELSE '' END"""
+    snap, outcomes = U.forecast_status_update(V.forecasts(spark, sf), V.forecast_status_requests(spark, sf))
+    return _both(snap.select("forecast_id", "status", "updated_at"), outcomes.select("forecast_id", "status", "status_code"))
 
 
-@register("whitelist_update_fields", f"""
-SELECT CASE WHEN s_suppkey % 17 = 0 THEN 'ds-missing-' ELSE 'ds-' END || CAST(s_suppkey AS VARCHAR) AS source_id,
-       {_PATCH_CASE} AS kept_fields
-FROM supplier""")
+@register("whitelist_update_fields", "SELECT source_id, request_id, kept_fields FROM checked_patches", ("checked_patches",))
 def whitelist_update_fields(spark, sf):
     p = V.source_patches(spark, sf)
     kept = Val.whitelist_update_fields("patch")
-    return p.select("source_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept_fields"))
-
-
-@register("data_source_patch", """
-SELECT d.source_id,
-       CASE WHEN p.k % 3 = 0 THEN 'error' ELSE d.status END AS status,
-       CASE WHEN p.k % 3 = 0 THEN p.k * 1000 + 500 ELSE d.records_processed END AS records_processed,
-       CASE WHEN p.k % 3 = 0 THEN p.requested_at ELSE d.updated_at END AS updated_at
-FROM data_sources d LEFT JOIN (
-  SELECT s_suppkey AS k, 'ds-' || CAST(s_suppkey AS VARCHAR) AS source_id,
-         TIMESTAMP '2024-03-01 00:00:00' + to_minutes(CAST(s_suppkey AS BIGINT)) AS requested_at
-  FROM supplier WHERE s_suppkey % 17 <> 0) p ON d.source_id = p.source_id""", ("data_sources",))
+    return p.select("source_id", "request_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept_fields"))
+
+
+def _newest(field: str) -> str:
+    return (f"(SELECT source_id, p_{field} AS v FROM {_nth('checked_patches', 'source_id', 'DESC', f'error IS NULL AND p_{field} IS NOT NULL')} x "
+            f"WHERE rn = 1)")
+
+
+@register("data_source_patch", f"""
+SELECT 'outcome' AS part, p.source_id, p.request_id, p.requested_at,
+       CASE WHEN p.error IS NOT NULL THEN 400 WHEN d.source_id IS NULL THEN 404 ELSE 200 END AS status_code, p.error,
+       CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS records_processed,
+       CAST(NULL AS DOUBLE) AS data_quality, CAST(NULL AS TIMESTAMP) AS updated_at
+FROM checked_patches p LEFT JOIN data_sources d ON p.source_id = d.source_id
+UNION ALL
+SELECT 'snapshot', d.source_id, NULL, NULL, NULL, NULL, COALESCE(n.v, d.name), COALESCE(s.v, d.status),
+       COALESCE(CAST(r.v AS BIGINT), d.records_processed), COALESCE(CAST(q.v AS DOUBLE), d.data_quality),
+       COALESCE(u.at, d.updated_at)
+FROM data_sources d
+LEFT JOIN {_newest('name')} n ON d.source_id = n.source_id LEFT JOIN {_newest('status')} s ON d.source_id = s.source_id
+LEFT JOIN {_newest('records_processed')} r ON d.source_id = r.source_id
+LEFT JOIN {_newest('data_quality')} q ON d.source_id = q.source_id
+LEFT JOIN (SELECT source_id, max(requested_at) AS at FROM checked_patches WHERE error IS NULL GROUP BY 1) u
+  ON d.source_id = u.source_id""", ("data_sources", "checked_patches"))
 def data_source_patch(spark, sf):
-    snap, _ = U.data_source_patch(V.data_sources(spark, sf), V.source_patches(spark, sf))
-    return snap.select("source_id", "status", "records_processed", "updated_at")
+    snap, outcomes = U.data_source_patch(V.data_sources(spark, sf), V.source_patches(spark, sf))
+    return _both(snap.select("source_id", "name", "status", "records_processed", "data_quality", "updated_at"),
+                 outcomes.select("source_id", "request_id", "requested_at", "status_code", "error"))
 
 
 @register("report_generate", f"""
-SELECT p.report_id, 'ready' AS status, r.requested_at AS generated_at,
-       'reports/' || p.report_id || '/' || {iso_sql('r.requested_at')} || '.json' AS object_key
-FROM reports p JOIN {_latest('report_requests', 'report_id')} r ON p.report_id = r.report_id""",
+SELECT p.report_id, CASE WHEN r.report_id IS NOT NULL THEN 'ready' ELSE p.status END AS status,
+       CASE WHEN r.report_id IS NOT NULL THEN r.requested_at ELSE p.generated_at END AS generated_at,
+       CASE WHEN r.report_id IS NOT NULL THEN 'reports/' || p.report_id || '/' || {iso_sql('r.requested_at')} || '.json'
+            ELSE p.object_key END AS object_key
+FROM reports p LEFT JOIN {_nth('report_requests', 'report_id', 'DESC')} r ON p.report_id = r.report_id AND r.rn = 1""",
           ("reports", "report_requests"))
 def report_generate(spark, sf):
     snap, _ = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
-    return snap.filter(F.col("updated")).select("report_id", "status", "generated_at", "object_key")
+    return snap.select("report_id", "status", "generated_at", "object_key")
 
 
 @register("sink_report_json", f"""
 SELECT p.report_id, 'reports/' || p.report_id || '/' || {iso_sql('r.requested_at')} || '.json' AS object_key,
-       p.report_type AS report_type, {iso_sql('r.requested_at')} AS generated_at
-FROM reports p JOIN {_latest('report_requests', 'report_id')} r ON p.report_id = r.report_id""",
+       p.report_type AS report_type, {iso_sql('r.requested_at')} AS generated_at,
+       CASE WHEN b.rn IS NULL THEN p.status ELSE 'ready' END AS was_status,
+       CASE WHEN b.rn IS NOT NULL THEN 'reports/' || p.report_id || '/' || {iso_sql('b.requested_at')} || '.json' END AS was_key
+FROM reports p JOIN {_nth('report_requests', 'report_id')} r ON p.report_id = r.report_id
+LEFT JOIN {_nth('report_requests', 'report_id')} b ON r.report_id = b.report_id AND b.rn = r.rn - 1""",
           ("reports", "report_requests"))
 def sink_report_json(spark, sf):
+    """One artifact per request, each embedding the record as read before it."""
     _, artifacts = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
     path = scratch_path(spark, "report_artifacts")
     files.sink_json_lines(artifacts, path, ("generated_date",))
     back = spark.read.schema("report_id string, object_key string, artifact string, generated_date date").json(path)
-    return back.select("report_id", "object_key",
-                       F.get_json_object("artifact", "$.reportType").alias("report_type"),
-                       F.get_json_object("artifact", "$.generatedAt").alias("generated_at"))
+
+    def field(name):
+        return F.get_json_object("artifact", f"$.{name}")
+
+    return back.select("report_id", "object_key", field("reportType").alias("report_type"),
+                       field("generatedAt").alias("generated_at"), field("definition.status").alias("was_status"),
+                       field("definition.object_key").alias("was_key"))
 
 
-@register("scenario_run_record", """
-SELECT r.run_id, r.scenario_id, CASE WHEN s.scenario_id IS NULL THEN 'rejected' ELSE 'queued' END AS run_status,
-       CASE WHEN s.scenario_id IS NULL THEN 404 ELSE 200 END AS status_code
-FROM scenario_run_requests r LEFT JOIN scenarios s ON r.scenario_id = s.scenario_id""",
+@register("scenario_run_record", f"""
+SELECT 'outcome' AS part, r.scenario_id, r.run_id, CASE WHEN s.scenario_id IS NULL THEN 'rejected' ELSE 'queued' END AS run_status,
+       CASE WHEN s.scenario_id IS NULL THEN 404 ELSE 200 END AS status_code, CAST(NULL AS VARCHAR) AS status,
+       CAST(NULL AS VARCHAR) AS last_run_id, CAST(NULL AS TIMESTAMP) AS last_run_at
+FROM scenario_run_requests r LEFT JOIN scenarios s ON r.scenario_id = s.scenario_id
+UNION ALL
+SELECT 'snapshot', s.scenario_id, NULL, NULL, NULL, CASE WHEN r.run_id IS NOT NULL THEN 'queued' ELSE s.status END,
+       COALESCE(r.run_id, s.last_run_id), COALESCE(r.requested_at, s.last_run_at)
+FROM scenarios s LEFT JOIN {_latest('scenario_run_requests', 'scenario_id')} r ON s.scenario_id = r.scenario_id""",
           ("scenario_run_requests", "scenarios"))
 def scenario_run_record(spark, sf):
-    _, runs = U.scenario_run_record(V.scenarios(spark, sf), V.scenario_run_requests(spark, sf))
-    return runs.select("run_id", "scenario_id", "run_status", "status_code")
+    snap, runs = U.scenario_run_record(V.scenarios(spark, sf), V.scenario_run_requests(spark, sf))
+    return _both(snap.select("scenario_id", "status", "last_run_id", "last_run_at"),
+                 runs.select("scenario_id", "run_id", "run_status", "status_code"))

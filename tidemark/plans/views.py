@@ -377,40 +377,54 @@ def forecast_status_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ts_plus_minutes(_dt.datetime(2001, 7, 1), k).alias("requested_at")))
 
 
+# Several requests per key, some at equal times; keys that are unknown or missing;
+# and one hot key per table.
+
+def _requests(df: DataFrame, k: Column, most: int, prefix: str, key: str, hot: str) -> DataFrame:
+    """1 to ``most`` requests per row: k, i, request_id and the key they name."""
+    rows = df.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") % most)))
+    text, i = F.col("k").cast("string"), F.col("i")
+    named = (F.when((F.col("k") % 13 == 5) & (i == 0), F.lit(None).cast("string"))
+             .when(F.col("k") % 17 == 0, F.concat(F.lit(f"{prefix}missing-"), text))
+             .when((F.col("k") % 4 == 3) & (i == 1), F.lit(hot))
+             .otherwise(F.concat(F.lit(prefix), text)))
+    return rows.select("*", named.alias(key), F.concat_ws("-", F.lit("rq"), text, i.cast("string")).alias("request_id"))
+
+
 def source_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier", ["s_suppkey"])
-    k = F.col("s_suppkey")
-    patch = (F.when(k % 3 == 0, F.create_map(F.lit("status"), F.lit("error"),
-                                             F.lit("records_processed"), (k * 1000 + 500).cast("string")))
-             .when(k % 3 == 1, F.create_map(F.lit("status"), F.lit("paused")))
-             .otherwise(F.create_map(F.lit("owner"), F.lit("ops"))))
-    key = F.when(k % 17 == 0, F.concat(F.lit("ds-missing-"), k.cast("string"))) \
-           .otherwise(F.concat(F.lit("ds-"), k.cast("string")))
-    return s.select(key.alias("source_id"), patch.alias("patch"),
-                    ts_plus_minutes(_dt.datetime(2024, 3, 1), k).alias("requested_at"))
+    r = _requests(s, F.col("s_suppkey"), 5, "ds-", "source_id", "ds-1")
+    k, i = F.col("k"), F.col("i")
+    kind = (k + i) % 6
+    patch = (F.when(kind == 0, F.create_map(F.lit("status"), F.lit("error"),
+                                            F.lit("records_processed"), (k * 1000 + 500 + i).cast("string")))
+             .when(kind == 1, F.create_map(F.lit("status"), F.lit("paused")))
+             .when(kind == 2, F.create_map(F.lit("owner"), F.lit("ops")))
+             .when(kind == 3, F.create_map(F.lit("name"), F.concat(F.lit("renamed "), F.col("request_id")),
+                                           F.lit("owner"), F.lit("ops")))
+             .when(kind == 4, F.create_map(F.lit("data_quality"), F.lit("97.5"), F.lit("status"), F.lit("idle")))
+             .otherwise(F.create_map(F.lit("records_processed"), F.lit("lots"))))
+    return r.select("source_id", "request_id", patch.alias("patch"),
+                    ts_plus_minutes(_dt.datetime(2024, 3, 1), F.floor((k + i) / 2)).alias("requested_at"))
 
 
 def access_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer", ["c_custkey"])
-    k = F.col("c_custkey")
-    a = pick(vocab.KNOWN_PERMISSIONS, k * 3)
+    r = _requests(c.filter(F.col("c_custkey") % 2 == 0), F.col("c_custkey"), 5, "u-", "user_id", "u-1")
+    k, i = F.col("k"), F.col("i")
+    a = pick(vocab.KNOWN_PERMISSIONS, k * 3 + i)
     b = pick(vocab.KNOWN_PERMISSIONS, k + 5)
-    perms = F.when(k % 20 == 0, F.array(a, F.lit("root_access"), b)).otherwise(F.array(b, a))
-    key = F.when(k % 25 == 0, F.concat(F.lit("u-missing-"), k.cast("string"))) \
-           .otherwise(F.concat(F.lit("u-"), k.cast("string")))
-    return (c.filter(k % 2 == 0)
-             .select(key.alias("user_id"), perms.alias("permissions"),
-                     F.concat(F.lit("admin-"), (k % 4).cast("string"), F.lit("@example.com")).alias("actor"),
-                     ts_plus_minutes(_dt.datetime(2024, 4, 1), k).alias("requested_at")))
+    perms = F.when((k + i) % 20 == 0, F.array(a, F.lit("root_access"), b)).otherwise(F.array(b, a))
+    return r.select("user_id", "request_id", perms.alias("permissions"),
+                    F.concat(F.lit("admin-"), (k % 4).cast("string"), F.lit("@example.com")).alias("actor"),
+                    ts_plus_minutes(_dt.datetime(2024, 4, 1), F.floor((k + i) / 2)).alias("requested_at"))
 
 
 def report_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
-    k = F.col("o_orderkey")
-    key = F.when(k % 50 == 0, F.concat(F.lit("rpt-missing-"), k.cast("string"))) \
-           .otherwise(F.concat(F.lit("rpt-"), k.cast("string")))
-    return (o.filter(k % 3 == 0)
-             .select(key.alias("report_id"), F.timestamp_add("DAY", F.lit(1), F.col("o_orderdate")).alias("requested_at")))
+    r = _requests(o.filter(F.col("o_orderkey") % 3 == 0), F.col("o_orderkey"), 4, "rpt-", "report_id", "rpt-1")
+    later = F.timestamp_add("HOUR", F.lit(24) + F.floor(F.col("i") / 2), F.col("o_orderdate"))
+    return r.select("report_id", "request_id", later.alias("requested_at"))
 
 
 def scenario_run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,11 +437,9 @@ def scenario_run_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def apply_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", ["p_partkey"])
-    k = F.col("p_partkey")
-    key = F.when(k % 41 == 0, F.concat(F.lit("opt-missing-"), k.cast("string"))) \
-           .otherwise(F.concat(F.lit("opt-"), k.cast("string")))
-    return (p.filter(k % 2 == 0)
-             .select(key.alias("optimization_id"), ts_plus_minutes(_dt.datetime(2024, 5, 1), k).alias("requested_at")))
+    r = _requests(p.filter(F.col("p_partkey") % 2 == 1), F.col("p_partkey"), 5, "opt-", "optimization_id", "opt-3")
+    return r.select("optimization_id", "request_id",
+                    ts_plus_minutes(_dt.datetime(2024, 5, 1), F.floor((F.col("k") + F.col("i")) / 2)).alias("requested_at"))
 
 
 def alert_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

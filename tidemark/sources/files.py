@@ -56,19 +56,52 @@ def sink_parquet_partitioned(df: DataFrame, path: str, partition_cols: tuple[str
        .parquet(path))
 
 
+def publish_snapshot(df: DataFrame, path: str, run_id: str, partition_cols: tuple[str, ...] = ()) -> str:
+    """Replace a table by a full recompute: the run writes a folder of its own and the
+    table's pointer is moved to it when all files are there.
+
+    Nothing of an earlier run is left in the table (a row that changed its
+    partition does not stay in the old one), readers never see half a run, and a
+    run that is repeated rewrites its own folder.  Returns the folder.
+    """
+    target = f"{path}/runs/{run_id}"
+    df = df.hint("rebalance", *partition_cols) if partition_cols else df
+    writer = df.write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(target)
+    pointer = df.sparkSession.createDataFrame([(target,)], "folder string")
+    pointer.coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    return target
+
+
+def snapshot_folder(spark: SparkSession, path: str) -> str:
+    """The folder that the table's pointer names."""
+    return spark.read.schema("folder string").json(f"{path}/current").first()[0]
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last published run."""
+    return spark.read.parquet(snapshot_folder(spark, path))
+
+
 def sink_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "snappy").parquet(path)
 
 
-def sink_append(df: DataFrame, path: str) -> None:
-    sink_parquet(df, path, "append")
+def sink_run(df: DataFrame, path: str, run_id: str) -> None:
+    """Add a run's rows to a growing table: the run's own folder is overwritten, so a
+    run that is repeated leaves each row once."""
+    sink_parquet(df, f"{path}/run_id={run_id}")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all runs of ``sink_run``."""
+    return spark.read.parquet(path).drop("run_id")
 
 
-def emit_metrics(df: DataFrame, path: str, mode: str = "append") -> bool:
-    """Write metric rows (append, or overwrite for a per-batch folder that a
-    replay must rewrite); a failure is logged and never fails the caller."""
+def emit_metrics(df: DataFrame, path: str, run_id: str) -> bool:
+    """``sink_run`` for metric rows; a failure is logged and never fails the caller."""
     try:
-        sink_parquet(df, path, mode)
+        sink_run(df, path, run_id)
         return True
     except Exception as exc:  # noqa: BLE001 - observability is best effort
         logging.getLogger(__name__).warning("metric emission to %s failed: %s", path, exc)
@@ -76,11 +109,21 @@ def emit_metrics(df: DataFrame, path: str, mode: str = "append") -> bool:
 
 
 def catalog_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Register a partitioned Parquet folder as an external catalog table and
-    pick up partitions added since (the nightly discovery step)."""
+    """Register a partitioned Parquet folder as an external catalog table, or bring
+    the table up to date: new columns are added, new partitions picked up and those
+    whose folders are gone dropped (the nightly discovery step)."""
     if not spark.catalog.tableExists(name):
         spark.catalog.createTable(name, path=path, source="parquet")
-    spark.catalog.recoverPartitions(name)
+    else:
+        stored = read_partitioned(spark, path, merge_schema=True).schema
+        partitions = {c.name for c in spark.catalog.listColumns(name) if c.isPartition}
+        known = {c.name for c in spark.catalog.listColumns(name)}
+        added = [f for f in stored.fields if f.name not in known | partitions]
+        if added:
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
+            spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({columns})")
+    spark.sql(f"MSCK REPAIR TABLE {name} SYNC PARTITIONS")
+    spark.catalog.refreshTable(name)
     return spark.table(name)
 
 
@@ -97,6 +140,7 @@ def sink_text(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)
 
 
-def read_partitioned(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
-    """Read a hive-partitioned folder; new partitions and added columns are picked up."""
+def read_partitioned(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
+    """Read a hive-partitioned folder.  ``merge_schema`` also finds columns that only
+    some files have, at the price of reading every file's footer."""
     return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
