@@ -20,9 +20,7 @@ def alarm_payload(name, state="ALARM", reason="threshold breached", eid="1"):
 def intake(spark, payloads):
     raw = spark.createDataFrame([(p,) for p in payloads], "payload string")
     good, dead = E.parse_alarm_events(raw)
-    ev = E.accept_alarm_events(good).withColumn("event_id", F.col("id").cast("long")) \
-          .withColumn("ts", F.col("event_time"))
-    alerts = A.alarm_to_alert(ev)
+    alerts = A.alarm_to_alert(E.accept_alarm_events(good))
     _, notes = A.critical_fanout(alerts)
     return alerts, notes, dead
 
@@ -65,6 +63,44 @@ def test_ok_state_ignored_and_bad_json_dead_lettered(spark):
     assert sorted(r.payload for r in dead.collect()) == sorted(["{not json", "[1, 2]"])
 
 
+def test_events_as_the_bus_delivers_them(spark):
+    """Text ids, missing ids and times, and times that cannot be read: nothing is lost."""
+    import datetime as dt
+    fixture = json.dumps({"source": "aws.cloudwatch", "detail-type": "CloudWatch Alarm State Change", "region": "us-east-1",
+                          "account": "123", "detail": {"alarmName": "critical-a", "state": {"value": "ALARM", "reason": "r"}}})
+    uuid = alarm_payload("critical-b", eid="7f3c2a44-9a1d-4c55-8f6b-2f1f6f1f0a11")
+    zoned = alarm_payload("c", eid="z").replace("2026-01-01T00:00:00", "2026-01-01T02:00:00+02:00")
+    bad_time = alarm_payload("critical-d").replace("2026-01-01T00:00:00", "yesterday")
+    raw = spark.createDataFrame([(p, dt.datetime(2026, 5, 1)) for p in (fixture, uuid, zoned, bad_time)],
+                                "payload string, received_at timestamp_ntz")
+    good, dead = E.parse_alarm_events(raw)
+    alerts = {r.title: r for r in A.alarm_to_alert(E.accept_alarm_events(good)).collect()}
+    assert len(alerts) == 3
+    one = alerts["CloudWatch Alarm: critical-a"]
+    assert one.ts == dt.datetime(2026, 5, 1) and one.alert_id.startswith("al-ev-")
+    assert alerts["CloudWatch Alarm: critical-b"].alert_id == "al-7f3c2a44-9a1d-4c55-8f6b-2f1f6f1f0a11"
+    assert alerts["CloudWatch Alarm: c"].ts == dt.datetime(2026, 1, 1)
+    assert [(r.payload, r.error) for r in dead.collect()] == [(bad_time, E.BAD_TIME)]
+    again = A.alarm_to_alert(E.accept_alarm_events(E.parse_alarm_events(raw)[0]))
+    assert sorted(r.alert_id for r in again.collect()) == sorted(a.alert_id for a in alerts.values())
+
+
+def test_body_keeps_line_separators(spark):
+    alerts, notes, _ = intake(spark, [alarm_payload("critical-x", reason="a\u2028b\u0085c\nd")])
+    assert json.loads(notes.first().body)["message"] == "a\u2028b\u0085c\nd"
+
+
+def test_created_alert_has_the_schema_of_an_alarm_alert(spark):
+    req = spark.sql("select 'r1' request_id, 't' title, string(null) alert_type, string(null) category, string(null) message, "
+                    "string(null) source, boolean(null) action_required, map('k', 'v') metadata, "
+                    "timestamp_ntz'2026-01-01 00:00:00' requested_at")
+    made = A.alert_defaults(req).drop("request_id", "status_code", "error")
+    alarm, _, _ = intake(spark, [alarm_payload("x")])
+    assert dict(made.dtypes) == dict(alarm.dtypes)
+    assert made.first().metadata == {"k": "v"}
+    assert A.alert_defaults(req.withColumn("metadata", F.lit(None).cast("map<string,string>"))).first().metadata == {}
+
+
 def test_long_title_subject_is_cut(spark):
     _, notes, _ = intake(spark, [alarm_payload("critical-" + "x" * 200)])
     assert len(notes.collect()[0].subject) == 100

@@ -168,7 +168,7 @@ def test_stream_consecutive_alarm_equals_batch(spark):
     m.write.parquet(f"{base}/landing")
     ST.run_consecutive_alarm(spark, f"{base}/landing", m.schema, f"{base}/out", f"{base}/ck")
     got = {(r.window_end, r.breaching_periods, r.in_alarm)
-           for r in spark.read.parquet(f"{base}/out").filter("alarm = 'api-latency-p99'").collect()}
+           for r in spark.read.parquet(f"{base}/out/n3").filter("alarm = 'api-latency-p99'").collect()}
     ev = M.alarm_consecutive(M.evaluate_rules(M.window_stats(m), M.alarm_rules(spark)))
     batch = {r.period_start: r for r in ev.filter("alarm = 'api-latency-p99'").collect()}
     # the window ending right after a period with data holds that period as its last one
@@ -178,3 +178,73 @@ def test_stream_consecutive_alarm_equals_batch(spark):
         if end <= wm:
             match = [g for g in got if g[0] == end]
             assert match and match[0][2] == r.in_alarm, (start, match, r.in_alarm)
+
+
+def test_percentiles_are_exact_at_every_size(spark):
+    import math
+    m = spark.range(200_000).select(
+        F.lit("Latency:api").alias("metric_id"), F.lit("Latency").alias("name"), F.lit("api").alias("dim_value"),
+        F.lit(dt.datetime(2026, 1, 1)).cast("timestamp_ntz").alias("ts"),
+        (F.pmod(F.xxhash64("id"), F.lit(10_000_000_019)) / 7.0).alias("value"))
+    values = sorted(r.value for r in m.collect())
+    got = M.window_stats(m).collect()[0]
+    assert (got.p50, got.p99) == (values[math.ceil(0.5 * 200_000) - 1], values[math.ceil(0.99 * 200_000) - 1])
+    assert (got.samples, got.max) == (200_000, values[-1])
+
+
+def test_percentiles_of_odd_groups(spark):
+    import math
+    t = dt.datetime(2026, 1, 1)
+    groups = {"one": [5.0], "same": [3.0] * 40, "signs": [-1e9, -2.0, -2.0, 0.0, 0.5, 1e12], "tail": [1.0] * 500 + [1e15] * 4,
+              "nulls": [None, 4.0, None, 2.0], "none": [None, None]}
+    m = spark.createDataFrame([(g, t, g, "x", v) for g, vs in groups.items() for v in vs],
+                              "metric_id string, ts timestamp_ntz, name string, dim_value string, value double")
+    for r in M.window_stats(m).collect():
+        vs = sorted(v for v in groups[r.name] if v is not None)
+        assert r.samples == len(groups[r.name])
+        rank = {q: vs[max(math.ceil(q * len(vs)), 1) - 1] if vs else None for q in (0.5, 0.99)}
+        assert (r.p50, r.p99, r.max) == (rank[0.5], rank[0.99], vs[-1] if vs else None), r.name
+
+
+def _rules(spark, *ns):
+    return spark.createDataFrame([(f"rule-{n}", "Latency", "api", "max", ">", 3000.0, n) for n in ns], M.RULE_SCHEMA)
+
+
+def test_rules_carry_their_own_number_of_periods(spark):
+    t0 = dt.datetime(2026, 1, 1)
+    hot = [0, 1, 2, 3, 4, 5, 7, 8, 9, 11]
+    m = spark.createDataFrame([("Latency:api", t0 + dt.timedelta(seconds=300 * p), "Latency", "api", 5000.0 if p in hot else 1.0)
+                               for p in range(13) if p != 6], _metrics(spark).schema)
+    ev = M.alarm_consecutive(M.evaluate_rules(M.window_stats(m), _rules(spark, 1, 3, 5)))
+    got = {}
+    for r in ev.filter("in_alarm").collect():
+        got.setdefault(r.alarm, set()).add((r.period_start - t0).seconds // 300)
+    assert got == {"rule-1": set(hot), "rule-3": {2, 3, 4, 5, 9}, "rule-5": {4, 5}}
+    changes = sorted((r.alarm, (r.changed_at - t0).seconds // 300, r.state) for r in M.alarm_transitions(ev).collect())
+    assert changes == [("rule-1", 0, "ALARM"), ("rule-1", 6, "OK"), ("rule-1", 7, "ALARM"), ("rule-1", 10, "OK"),
+                       ("rule-1", 11, "ALARM"), ("rule-1", 12, "OK"), ("rule-3", 2, "ALARM"), ("rule-3", 6, "OK"),
+                       ("rule-3", 9, "ALARM"), ("rule-3", 10, "OK"), ("rule-5", 4, "ALARM"), ("rule-5", 6, "OK")]
+    plan = M.alarm_transitions(ev)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_stream_and_open_windows_are_all_windows(spark):
+    """Closed windows of the stream and open ones together equal the batch, for rules
+    of one, three and five periods."""
+    m = _metrics(spark)
+    rules = _rules(spark, 1, 3, 5)
+    base = scratch_path(spark, "test_stream_all")
+    m.write.parquet(f"{base}/landing")
+    out = ST.run_consecutive_alarm(spark, f"{base}/landing", m.schema, f"{base}/out", f"{base}/ck", rules=rules)
+    assert sorted(out) == [1, 3, 5]
+    cols = ["alarm", "window_end", "breaching_periods", "in_alarm"]
+    seen = [tuple(r) for p in out.values() for r in spark.read.parquet(p).select(cols).collect()]
+    seen += [tuple(r) for r in ST.open_consecutive(m, rules).select(cols).collect()]
+    assert len(seen) == len(set(seen))
+    by_end = {(a, e): hot for a, e, _, hot in seen}
+    for r in M.alarm_consecutive(M.evaluate_rules(M.window_stats(m), rules)).collect():
+        assert by_end[r.alarm, r.period_end] == r.in_alarm
+    ST.run_tumbling_metrics(spark, f"{base}/landing", m.schema, f"{base}/stats", f"{base}/ck_stats")
+    cols = ["metric_id", "period_start", "max", "samples"]
+    both = spark.read.parquet(f"{base}/stats").select(cols).union(ST.open_stats(m).select(cols))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, M.window_stats(m).select(cols).collect()))

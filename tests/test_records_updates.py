@@ -189,7 +189,7 @@ def test_page_size_text_rules(spark):
 def test_metric_emission_is_best_effort(spark):
     from tidemark.sources import files
     m = spark.createDataFrame([("x", 1.0)], "metric_name string, value double")
-    assert files.emit_metrics(m, "/proc/not-writable/metrics") is False
+    assert files.emit_metrics(m, "/proc/not-writable/metrics", "r1") is False
 
 
 def test_dead_letter_retention(spark):
@@ -209,6 +209,20 @@ def test_catalog_table_recovers_new_partitions(spark):
     files.sink_parquet_partitioned(spark.createDataFrame([(2, 2026, 2)], df.schema), base)
     t = files.catalog_table(spark, "t_catalog_probe", base)
     assert sorted((r.year, r.month) for r in t.select("year", "month").collect()) == [(2026, 1), (2026, 2)]
+    more = spark.createDataFrame([(3, "x", 2026, 3)], "v int, extra string, year int, month int")
+    files.sink_parquet_partitioned(more, base)  # a column that came later reaches the catalog
+    t = files.catalog_table(spark, "t_catalog_probe", base)
+    assert sorted((r.v, r.extra) for r in t.select("v", "extra").collect()) == [(1, None), (2, None), (3, "x")]
+    spark.sql("DROP TABLE t_catalog_probe")
+
+
+def test_a_repeated_run_leaves_each_row_once(spark):
+    from tidemark.session import scratch_path
+    from tidemark.sources import files
+    path = scratch_path(spark, "test_runs")
+    for run in ("r1", "r1", "r2"):
+        files.sink_run(spark.createDataFrame([(run,)], "v string"), path, run)
+    assert sorted(r.v for r in files.read_runs(spark, path).collect()) == ["r1", "r2"]
 
 
 def test_null_permissions_and_null_status_are_rejected(spark):
@@ -258,3 +272,59 @@ def test_get_by_key_keeps_every_request(spark):
     req = spark.createDataFrame([("k1",), ("k1",), ("k3",)], "k string")
     out = sorted((r.k, r.v, r.found) for r in R.get_by_key(t, req, "k").collect())
     assert out == [("k1", "a", True), ("k1", "a", True), ("k3", None, False)]
+
+
+def _at(minute):
+    return T + dt.timedelta(minutes=minute)
+
+
+SOURCES = "source_id string, name string, status string, records_processed long, data_quality double, updated_at timestamp_ntz"
+
+
+def test_patches_of_one_source_add_up(spark):
+    ds = spark.createDataFrame([("ds-1", "n", "active", 5, 90.0, None)], SOURCES)
+    rows = [("r1", "ds-1", {"status": "idle"}, _at(0)), ("r2", "ds-1", {"name": "new"}, _at(1)),
+            ("r3", "ds-1", {"records_processed": "lots"}, _at(2)), ("r4", "ds-1", {"name": "newer"}, _at(1)),
+            ("r5", None, {"name": "x"}, _at(3)), ("r6", "ds-9", {"name": "x"}, _at(3)), ("r7", "ds-1", {"data_quality": None}, _at(0))]
+    req = spark.createDataFrame(rows, "request_id string, source_id string, patch map<string,string>, requested_at timestamp_ntz")
+    snap, out = U.data_source_patch(ds, req)
+    s = snap.first()
+    assert (s.status, s.name, s.records_processed, s.data_quality, s.updated_at) == ("idle", "newer", 5, None, _at(1))
+    assert {r.request_id: r.status_code for r in out.collect()} == {
+        "r1": 200, "r2": 200, "r3": 400, "r4": 200, "r5": 404, "r6": 404, "r7": 200}
+
+
+def test_one_artifact_per_report_request_with_the_record_before_it(spark):
+    import json
+    rep = spark.createDataFrame([("r1", "Q1", "executive", "generating", T, None, None)],
+                                "report_id string, title string, report_type string, status string, created_at timestamp_ntz, "
+                                "generated_at timestamp_ntz, object_key string")
+    req = spark.createDataFrame([("a", "r1", _at(1)), ("b", "r1", _at(2)), ("c", None, _at(1))],
+                                "request_id string, report_id string, requested_at timestamp_ntz")
+    snap, art = U.report_generate(rep, req)
+    docs = {r.object_key: json.loads(r.artifact)["definition"] for r in art.collect()}
+    first, second = "reports/r1/2026-01-01T00:01:00.json", "reports/r1/2026-01-01T00:02:00.json"
+    assert set(docs) == {first, second}
+    assert docs[first]["status"] == "generating" and "object_key" not in docs[first]
+    assert docs[second]["status"] == "ready" and docs[second]["object_key"] == first
+    assert snap.first().object_key == second
+
+
+def test_audit_chains_the_changes_of_one_user(spark):
+    acl = spark.createDataFrame([("u-1", ["data_access"], None)], "user_id string, permissions array<string>, updated_at timestamp_ntz")
+    req = spark.createDataFrame([("a", "u-1", ["manage_users"], "x", _at(1)), ("b", "u-1", ["view_forecasts"], "x", _at(1)),
+                                 ("c", "u-1", ["root"], "x", _at(1))],
+                                "request_id string, user_id string, permissions array<string>, actor string, requested_at timestamp_ntz")
+    snap, _, audit = U.access_replace(acl, req)
+    assert sorted((r.before, r.after) for r in audit.collect()) == [(["data_access"], ["manage_users"]),
+                                                                    (["manage_users"], ["view_forecasts"])]
+    assert snap.first().permissions == ["view_forecasts"]
+
+
+def test_apply_has_exactly_one_winner(spark):
+    opt = spark.createDataFrame([("o1", "proposed", None)], "optimization_id string, status string, applied_at timestamp_ntz")
+    req = spark.createDataFrame([("b", "o1", T), ("a", "o1", T), ("c", None, T)],
+                                "request_id string, optimization_id string, requested_at timestamp_ntz")
+    snap, out = U.apply_if_proposed(opt, req)
+    assert {r.request_id: r.status_code for r in out.collect()} == {"a": 200, "b": 404, "c": 404}
+    assert snap.first().status == "applied"

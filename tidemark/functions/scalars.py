@@ -89,7 +89,8 @@ def json_object_text(*pairs: tuple[str, Column]) -> Column:
     written as UTF-8, where ``json.dumps`` would use \\u escapes.)"""
     parts = []
     for i, (key, value) in enumerate(pairs):
-        encoded = F.regexp_extract(F.to_json(F.array(value)), r"^\[(.*)\]$", 1)
+        text = F.to_json(F.array(value))  # the value between brackets, cut off by position
+        encoded = F.substr(text, F.lit(2), F.length(text) - 2)
         parts += [F.lit(("{" if i == 0 else ", ") + '"' + key + '": '), F.coalesce(encoded, F.lit("null"))]
     parts.append(F.lit("}"))
     return F.concat(*parts)

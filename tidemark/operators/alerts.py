@@ -9,24 +9,21 @@ from tidemark.functions import scalars as S
 from tidemark.operators import validate as V
 
 
-def alarm_to_alert(events: DataFrame, id_col: Column | None = None) -> DataFrame:
+def alarm_to_alert(events: DataFrame) -> DataFrame:
     """ALARM-state events -> alert rows (type, category, title, message, metadata).
 
-    ``events`` carries alarm_name, state, reason, region, account, ts and the
-    source key ``event_id``.  Ids default to a hash of the source key so a
-    re-run writes the same alert ids.
+    ``events`` carries id, event_time, alarm_name, state, reason, region and account.
+    The alert's id is made of the event's, so a re-run writes the same ids.
     """
     ev = events.filter(F.coalesce(F.col("state") == vocab.ALARM_STATE, F.lit(False)))
     name = F.coalesce(F.col("alarm_name"), F.lit(vocab.DEFAULT_ALARM_NAME))
-    alert_id = id_col if id_col is not None else S.stable_id("al-", F.col("event_id"))
     return ev.select(
-        alert_id.alias("alert_id"),
-        F.col("event_id"),
+        F.concat(F.lit("al-"), F.col("id")).alias("alert_id"),
         S.classify_severity(name).alias("alert_type"),
         S.classify_category(name).alias("category"),
         F.concat(F.lit(vocab.ALARM_TITLE_PREFIX), name).alias("title"),
         F.coalesce(F.col("reason"), F.lit(vocab.ALARM_DEFAULT_REASON)).alias("message"),
-        F.col("ts"),
+        F.col("event_time").alias("ts"),
         F.lit(vocab.ALARM_SOURCE_LABEL).alias("source"),
         F.lit(False).alias("acknowledged"),
         F.lit(None).cast("timestamp_ntz").alias("acknowledged_at"),
@@ -41,8 +38,11 @@ def alert_defaults(requests: DataFrame) -> DataFrame:
     """Create-alert requests -> alert rows with defaults and a status code.
 
     title is required (null, "" missing); type must be info/warning/critical
-    (default info).  Rejected requests keep status_code 400 and an error.
+    (default info).  Rejected requests keep status_code 400 and an error.  The alert
+    has the columns of one that comes from an alarm, the request's ``metadata``
+    (empty when it has none) included.
     """
+    metadata = F.col("metadata") if "metadata" in requests.columns else F.lit(None).cast("map<string,string>")
     missing = V.missing_fields(["title"])
     atype = F.coalesce(F.col("alert_type"), F.lit(vocab.DEFAULT_ALERT_TYPE))
     type_ok = atype.isin(*vocab.ALERT_TYPES)
@@ -58,10 +58,12 @@ def alert_defaults(requests: DataFrame) -> DataFrame:
         F.coalesce(F.col("category"), F.lit(vocab.DEFAULT_CATEGORY)).alias("category"),
         F.col("title"),
         F.coalesce(F.col("message"), F.lit("")).alias("message"),
-        F.col("requested_at").alias("ts"),
+        F.col("requested_at").cast("timestamp_ntz").alias("ts"),
         F.coalesce(F.col("source"), F.lit(vocab.DEFAULT_ALERT_SOURCE)).alias("source"),
         F.lit(False).alias("acknowledged"),
+        F.lit(None).cast("timestamp_ntz").alias("acknowledged_at"),
         F.coalesce(F.col("action_required"), F.lit(False)).alias("action_required"),
+        F.coalesce(metadata, F.create_map().cast("map<string,string>")).alias("metadata"),
     )
 
 

@@ -1,12 +1,13 @@
 """Metric windows, threshold alarms, consecutive-period alarms, state transitions.
 
-Window statistics are partial/final hash aggregates.  Percentiles use the
-mergeable ``percentile_approx`` sketch, so even a (metric, period) group that
-holds a third of all points keeps bounded memory per task; below the sketch
-accuracy (10,000 points) it returns the exact nearest-rank value.
-
-Alarm evaluation runs on the per-period statistics, whose row count is
-bounded by (alarms x periods), not by the raw data volume.
+Window statistics come from value counts: points are first counted per (group,
+period, value), a partial aggregate that splits a hot series over all tasks.
+Percentiles are exact nearest ranks at every size.  They are found in two levels,
+first the range of values that holds the rank, then the value in that range, so
+that the values of a group do not meet in one task.
+
+Alarm evaluation runs on the per-period statistics, whose row count is bounded by
+(alarms x periods), not by the raw data volume.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import types as T
 from tidemark import vocab
 from tidemark.functions import scalars as S
 
-PERCENTILE_ACCURACY = 10000
+SKETCH_ACCURACY = 10000  # of the streams' percentiles: exact below that many points in a window
+RANGES = 256             # ranges of values per group in which a rank is sought
 
 RULE_SCHEMA = T.StructType([
     T.StructField("alarm", T.StringType()),
@@ -31,29 +33,51 @@ RULE_SCHEMA = T.StructType([
 
 
 def alarm_rules(spark: SparkSession) -> DataFrame:
-    """The nine alarm rules as a small table (fixed size: safe to broadcast)."""
+    """The nine alarm rules as a table."""
     return spark.createDataFrame(list(vocab.ALARM_RULES), RULE_SCHEMA)
 
 
+def _ranks(counts: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
+    """Exact nearest-rank quantiles per ``keys`` from (keys, value, n) rows.
+
+    The value range of a group is cut into RANGES pieces on a logarithmic scale.
+    Counts per piece (at most RANGES + 1 rows a group) tell in which piece a rank
+    lies; only the values of that piece are then ranked.
+    """
+    scale = F.signum("value") * F.log1p(F.abs("value"))
+    sized = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.min(scale).alias("_low"), F.max(scale).alias("_high"))
+    width = F.col("_high") - F.col("_low")
+    piece = F.when(width > 0, F.floor((scale - F.col("_low")) / width * RANGES)).otherwise(0).cast("int")
+    placed = counts.join(sized, keys).withColumn("_piece", piece)
+    sums = placed.groupBy(*keys, "_piece", "_n").agg(F.sum("n").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_piece"))
+    sums = sums.withColumn("_upto", upto)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("_n") * q), F.lit(1)).alias("rank"))
+                                 for name, q in quantiles.items()])).alias("_w")
+    hit = sums.select(*keys, "_piece", (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", wanted)
+    hit = hit.filter((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_upto")))
+    inside = placed.select(*keys, "_piece", "value", "n").join(hit.drop("_upto"), [*keys, "_piece"])
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy(*keys, "_w").orderBy("value"))
+    inside = inside.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_w.rank"))
+    return inside.groupBy(*keys).agg(*[F.min(F.when(F.col("_w.name") == name, F.col("value"))).alias(name)
+                                       for name in quantiles])
+
+
 def window_stats(metrics: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
                  group: tuple[str, ...] = ("metric_id", "name", "dim_value"), ts: str = "ts") -> DataFrame:
-    """Sum / max / avg / count / p50 / p99 per group and fixed period."""
+    """Sum / max / avg / count / p50 / p99 per group and fixed period.  Points without
+    a value count as samples and nothing else."""
     w = F.window(F.col(ts), f"{period_seconds} seconds")
-    agg = metrics.groupBy(*group, w.alias("w")).agg(
-        F.sum("value").alias("sum"),
-        F.max("value").alias("max"),
-        F.avg("value").alias("avg"),
-        F.count(F.lit(1)).alias("samples"),
-        F.percentile_approx("value", [0.5, 0.99], PERCENTILE_ACCURACY).alias("_q"),
-    )
-    return agg.select(
-        *group,
-        F.col("w.start").alias("period_start"),
-        F.col("w.end").alias("period_end"),
-        "sum", "max", "avg", "samples",
-        F.col("_q")[0].alias("p50"),
-        F.col("_q")[1].alias("p99"),
-    )
+    counts = metrics.groupBy(*group, w.alias("w"), "value").agg(F.count(F.lit(1)).alias("n"))
+    keys = [*group, "w"]
+    total = F.sum(F.col("value") * F.col("n"))
+    stats = counts.groupBy(*keys).agg(
+        total.alias("sum"), F.max("value").alias("max"),
+        (total / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("avg"), F.sum("n").alias("samples"))
+    ranks = _ranks(counts.filter(F.col("value").isNotNull()), keys, {"p50": 0.5, "p99": 0.99})
+    return stats.join(ranks, keys, "left").select(
+        *group, F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"),
+        "sum", "max", "avg", "samples", "p50", "p99")
 
 
 def _stat(stat_col):
@@ -62,36 +86,37 @@ def _stat(stat_col):
              .when(stat_col == "p99", F.col("p99")))
 
 
+def _breach(value):
+    thr = F.col("threshold")
+    found = (F.when(F.col("comparison") == ">=", value >= thr).when(F.col("comparison") == ">", value > thr)
+              .when(F.col("comparison") == "<", value < thr).when(F.col("comparison") == "<=", value <= thr))
+    return F.coalesce(found, F.lit(False))
+
+
 def evaluate_rules(stats: DataFrame, rules: DataFrame) -> DataFrame:
     """Per (alarm, period): the rule's statistic and whether it breaches."""
-    j = stats.join(F.broadcast(rules), ["name", "dim_value"])
+    j = stats.join(rules, ["name", "dim_value"])
     value = _stat(F.col("statistic"))
-    thr = F.col("threshold")
-    breach = (F.when(F.col("comparison") == ">=", value >= thr)
-               .when(F.col("comparison") == ">", value > thr)
-               .when(F.col("comparison") == "<", value < thr)
-               .when(F.col("comparison") == "<=", value <= thr))
     return j.select("alarm", "name", "dim_value", "statistic", "threshold", "periods",
-                    "period_start", "period_end", value.alias("stat_value"),
-                    F.coalesce(breach, F.lit(False)).alias("breach"))
+                    "period_start", "period_end", value.alias("stat_value"), _breach(value).alias("breach"))
 
 
 def alarm_consecutive(evaluated: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS) -> DataFrame:
-    """``in_alarm`` when the last N periods (N per rule) all breach.
+    """``in_alarm`` when the last N periods all breach, N being the rule's own.
 
-    A range frame over period epochs counts absent periods as not breaching
-    without materialising a dense grid.
+    A run of breaches starts where the period before is absent (not breaching) or
+    does not breach; its length up to a period is the distance from its start.  Two
+    functions over one window, so one sort, whatever the rules' N.
     """
-    epoch = F.unix_seconds(F.col("period_start").cast("timestamp"))
-    df = evaluated.withColumn("_epoch", epoch)
-    ns = sorted({r[6] for r in vocab.ALARM_RULES})
-    in_alarm = None
-    for n in ns:
-        w = Window.partitionBy("alarm").orderBy("_epoch").rangeBetween(-(n - 1) * period_seconds, 0)
-        cnt = F.sum(F.col("breach").cast("int")).over(w)
-        cond = F.col("periods") == n
-        in_alarm = F.when(cond, cnt == n) if in_alarm is None else in_alarm.when(cond, cnt == n)
-    return df.withColumn("in_alarm", F.coalesce(in_alarm, F.lit(False))).drop("_epoch")
+    rule = Window.partitionBy("alarm", "name", "dim_value").orderBy("_epoch")
+    df = evaluated.withColumn("_epoch", F.unix_seconds(F.col("period_start").cast("timestamp")))
+    follows = (F.lag("_epoch").over(rule) == F.col("_epoch") - period_seconds) & F.lag("breach").over(rule)
+    starts = F.col("breach") & ~F.coalesce(follows, F.lit(False))
+    df = df.withColumn("_start", F.when(starts, F.col("_epoch")))
+    df = df.withColumn("_start", F.last("_start", ignorenulls=True).over(rule))
+    length = (F.col("_epoch") - F.col("_start")) / period_seconds + 1
+    in_alarm = F.col("breach") & (length >= F.col("periods"))
+    return df.withColumn("in_alarm", F.coalesce(in_alarm, F.lit(False))).drop("_epoch", "_start")
 
 
 def last_period(metrics: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS, ts: str = "ts"):
@@ -116,14 +141,16 @@ def alarm_transitions(consecutive: DataFrame, period_seconds: int = vocab.ALARM_
     hot = consecutive.filter(F.col("in_alarm")).select("alarm", "period_start")
     w = Window.partitionBy("alarm").orderBy("period_start")
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(period_seconds))
+    now, after = F.col("period_start"), F.col("period_start") + step
     marked = (hot.withColumn("_prev", F.lag("period_start").over(w))
-                 .withColumn("_next", F.lead("period_start").over(w)))
-    starts = marked.filter(F.col("_prev").isNull() | (F.col("_prev") != F.col("period_start") - step)) \
-                   .select("alarm", F.col("period_start").alias("changed_at"), F.lit("ALARM").alias("state"))
-    ends = marked.filter(F.col("_next").isNull() | (F.col("_next") != F.col("period_start") + step)) \
-                 .select("alarm", (F.col("period_start") + step).alias("changed_at"), F.lit("OK").alias("state")) \
-                 .filter(F.col("changed_at") <= last)
-    return starts.unionByName(ends)
+                 .withColumn("_next", F.lead("period_start").over(w)).withColumn("_last", last))
+    starts = F.col("_prev").isNull() | (F.col("_prev") != now - step)
+    ends = (F.col("_next").isNull() | (F.col("_next") != after)) & (after <= F.col("_last"))
+    # both changes of a period come out of one pass
+    changes = F.array_compact(F.array(
+        F.when(starts, F.struct(now.alias("changed_at"), F.lit("ALARM").alias("state"))),
+        F.when(ends, F.struct(after.alias("changed_at"), F.lit("OK").alias("state")))))
+    return marked.select("alarm", F.inline(changes))
 
 
 def threshold_alarm(metrics: DataFrame, spark: SparkSession) -> DataFrame:

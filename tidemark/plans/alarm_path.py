@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark import vocab
+from tidemark.functions import scalars as S
 from tidemark.operators import alerts as A
 from tidemark.operators import metrics as M
 from tidemark.sources import events as E
@@ -24,12 +25,12 @@ def alarm_state_events(transitions: DataFrame, rules: DataFrame, region: str = "
     The event id is a hash of (alarm, changed_at), so a re-run emits the same
     events; the reason states the rule that was crossed.
     """
-    ev = transitions.join(F.broadcast(rules.select("alarm", "statistic", "comparison", "threshold", "periods")), "alarm")
+    ev = transitions.join(rules.select("alarm", "statistic", "comparison", "threshold", "periods"), "alarm")
     reason = F.format_string("Threshold Crossed: %s %s %s for %d period(s)",
                              F.col("statistic"), F.col("comparison"), F.col("threshold").cast("string"), F.col("periods"))
     return ev.select(
-        F.xxhash64("alarm", "changed_at").alias("event_id"),
-        F.col("changed_at").alias("ts"),
+        S.stable_id("", "alarm", "changed_at").alias("id"),
+        F.col("changed_at").alias("event_time"),
         F.lit(vocab.ALARM_EVENT_SOURCE).alias("source"),
         F.lit(vocab.ALARM_EVENT_DETAIL_TYPE).alias("detail_type"),
         F.lit(region).alias("region"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark import vocab
@@ -16,6 +18,8 @@ from tidemark.sources import events as E
 from tidemark.sources import files
 
 SUBJECT_PREFIX = "Critical Alert: "
+INTAKE_TIME = dt.datetime(2024, 12, 31)      # for events without a time, where the landing files have none
+DEAD_LETTERS_AS_OF = dt.datetime(2024, 1, 25)
 
 _ALERT_COLS = ("alert_id, alert_type, category, title, message, source, action_required, "
                "meta_alarm_name, meta_region, meta_account_id")
@@ -44,31 +48,37 @@ FROM alerts WHERE alert_type = 'critical'"""
 
 
 @register("source_alarm_events", f"""
-SELECT CAST(event_id AS VARCHAR) AS id, alarm_name, state, reason, region, account FROM alarm_flat WHERE {_ACCEPTED}""",
-          ("alarm_flat",))
+SELECT id, alarm_name, state, reason, region, account, CASE WHEN has_time THEN event_time END AS event_time
+FROM alarm_keyed WHERE {_ACCEPTED}""", ("alarm_keyed",))
 def source_alarm_events(spark, sf):
     path = scratch_path(spark, "alarm_events_json")
     files.sink_text(V.alarm_events(spark, sf).select("payload"), path)
-    good, _ = E.parse_alarm_events(E.read_alarm_events_json(spark, path))
-    return E.accept_alarm_events(good).select("id", "alarm_name", "state", "reason", "region", "account")
+    intake = F.lit(INTAKE_TIME)
+    good, _ = E.parse_alarm_events(E.read_alarm_events_json(spark, path).withColumn("received_at", intake))
+    return E.accept_alarm_events(good).select("id", "alarm_name", "state", "reason", "region", "account",
+                                              F.nullif("event_time", intake.cast("timestamp_ntz")).alias("event_time"))
 
 
 @register("parse_event_json", """
-SELECT event_id, parse_ok, CASE WHEN parse_ok THEN alarm_name END AS alarm_name,
-       CASE WHEN parse_ok THEN state END AS state FROM alarm_flat""", ("alarm_flat",))
+SELECT event_id, json_ok AS parse_ok, CASE WHEN json_ok THEN alarm_name END AS alarm_name,
+       CASE WHEN json_ok THEN state END AS state FROM alarm_flat""", ("alarm_flat",))
 def parse_event_json(spark, sf):
     p = E.parse_event_json(V.alarm_events(spark, sf))
     return p.select("event_id", "parse_ok", F.col("event.detail.alarmName").alias("alarm_name"),
                     F.col("event.detail.state.value").alias("state"))
 
 
-@register("sink_dead_letter", """
-SELECT event_id, ts, ts + INTERVAL 14 DAY AS expires_at FROM alarm_flat WHERE NOT parse_ok""", ("alarm_flat",))
+@register("sink_dead_letter", f"""
+SELECT event_id, ts, ts + INTERVAL 14 DAY AS expires_at,
+       CASE WHEN json_ok THEN {q(E.BAD_TIME)} ELSE {q(E.BAD_PAYLOAD)} END AS error
+FROM alarm_flat WHERE NOT parse_ok AND ts + INTERVAL 14 DAY > TIMESTAMP '{DEAD_LETTERS_AS_OF:%Y-%m-%d %H:%M:%S}'""",
+          ("alarm_flat",))
 def sink_dead_letter(spark, sf):
+    """Dead letters that are still within their retention."""
     _, dead = E.parse_alarm_events(V.alarm_events(spark, sf))
     path = scratch_path(spark, "dead_letter")
-    files.sink_append(E.dead_letters(dead), path)
-    return spark.read.parquet(path).select("event_id", "ts", "expires_at")
+    files.sink_run(E.dead_letters(dead, as_of=DEAD_LETTERS_AS_OF), path, "batch-1")
+    return files.read_runs(spark, path).select("event_id", "ts", "expires_at", "error")
 
 
 @register("filter_alarm_state", f"""
@@ -94,8 +104,7 @@ def classify_severity(spark, sf):
 @register("alarm_to_alert", f"SELECT {_ALERT_COLS} FROM alerts", ("alerts",))
 def alarm_to_alert(spark, sf):
     ev = E.accept_alarm_events(_parsed(spark, sf))
-    al = A.alarm_to_alert(ev, id_col=F.concat(F.lit("al-"), F.col("event_id").cast("string")))
-    return _flat_alert(al)
+    return _flat_alert(A.alarm_to_alert(ev))
 
 
 @register("notify_payload", _NOTIFY_SQL, ("alerts",))
@@ -107,8 +116,8 @@ def notify_payload(spark, sf):
 def sink_notify_critical(spark, sf):
     _, notes = A.critical_fanout(V.alerts(spark, sf), SUBJECT_PREFIX)
     path = scratch_path(spark, "notifications")
-    files.sink_append(notes, path)
-    return spark.read.parquet(path).select("alert_id", "subject", "body")
+    files.sink_run(notes, path, "batch-1")
+    return files.read_runs(spark, path).select("alert_id", "subject", "body")
 
 
 _DEFAULTS_SQL = f"""
@@ -121,16 +130,17 @@ SELECT request_id,
        CASE WHEN title IS NULL OR title = '' THEN 'Missing required field(s): title'
             WHEN COALESCE(alert_type, 'info') NOT IN ('info', 'warning', 'critical')
             THEN 'type must be one of: info, warning, critical' END AS error,
-       {stable_id_sql('al-', 'request_id')} AS alert_id, title, requested_at
+       {stable_id_sql('al-', 'request_id')} AS alert_id, title, meta_origin, requested_at
 FROM alert_create_requests"""
 
 
 @register("alert_defaults", f"""
-SELECT request_id, status_code, alert_type, category, message, source, action_required, error
+SELECT request_id, status_code, alert_type, category, message, source, action_required, meta_origin, error
 FROM ({_DEFAULTS_SQL}) t""", ("alert_create_requests",))
 def alert_defaults(spark, sf):
     return A.alert_defaults(V.alert_create_requests(spark, sf)).select(
-        "request_id", "status_code", "alert_type", "category", "message", "source", "action_required", "error")
+        "request_id", "status_code", "alert_type", "category", "message", "source", "action_required",
+        F.col("metadata")["origin"].alias("meta_origin"), "error")
 
 
 @register("new_ids", f"SELECT request_id, alert_id FROM ({_DEFAULTS_SQL}) t WHERE status_code = 201",
@@ -141,15 +151,15 @@ def new_ids(spark, sf):
 
 
 @register("sink_put", f"""
-SELECT alert_id, alert_type, category, title, message, source, action_required, requested_at AS ts
+SELECT alert_id, alert_type, category, title, message, source, action_required, requested_at AS ts, meta_origin
 FROM ({_DEFAULTS_SQL}) t WHERE status_code = 201""", ("alert_create_requests",))
 def sink_put(spark, sf):
     accepted = A.alert_defaults(V.alert_create_requests(spark, sf)).filter(F.col("status_code") == 201) \
                 .drop("status_code", "error", "request_id")
     path = scratch_path(spark, "alerts_table")
-    files.sink_append(accepted, path)
-    return spark.read.parquet(path).select("alert_id", "alert_type", "category", "title", "message", "source",
-                                           "action_required", "ts")
+    files.sink_run(accepted, path, "batch-1")
+    return files.read_runs(spark, path).select("alert_id", "alert_type", "category", "title", "message", "source",
+                                               "action_required", "ts", F.col("metadata")["origin"].alias("meta_origin"))
 
 
 @register("validate_required", """
@@ -162,19 +172,3 @@ FROM alert_create_requests""", ("alert_create_requests",))
 def validate_required(spark, sf):
     r = Val.validate_required(V.alert_create_requests(spark, sf), ["title", "message"])
     return r.select("request_id", "missing", "status_code")
-
-
-@register("sink_metric_event", f"""
-SELECT 'Alerts' AS namespace, 'AlertsCreated' AS metric_name, CAST(1.0 AS DOUBLE) AS value, 'Count' AS unit,
-       'AlertType=' || alert_type || ';Category=' || category AS dimensions, alert_id AS source_key
-FROM alerts""", ("alerts",))
-def sink_metric_event(spark, sf):
-    from tidemark.operators.metrics import dims_text
-    al = V.alerts(spark, sf)
-    ev = al.select(F.lit("Alerts").alias("namespace"), F.lit("AlertsCreated").alias("metric_name"),
-                   F.lit(1.0).alias("value"), F.lit("Count").alias("unit"),
-                   dims_text(("AlertType", F.col("alert_type")), ("Category", F.col("category"))).alias("dimensions"),
-                   F.col("alert_id").alias("source_key"))
-    path = scratch_path(spark, "metric_events")
-    files.emit_metrics(ev, path)  # best effort: a failed emission never fails the caller
-    return spark.read.parquet(path)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import forecast as FC
+from tidemark.operators import metric_events as ME
 from tidemark.operators import metrics as M
+from tidemark.operators import records as R
 from tidemark.operators import updates as U
+from tidemark.operators import validate as Val
 from tidemark.plans import views as V
 from tidemark.functions import scalars as S
 from tidemark.plans.oracle_views import round_exact_sql
 from tidemark.plans.registry import register
+from tidemark.session import scratch_path
+from tidemark.sources import files
 
 _P = 300
 
@@ -23,11 +30,20 @@ def _consecutive(spark, sf):
     return M.alarm_consecutive(M.evaluate_rules(_stats(spark, sf), M.alarm_rules(spark)))
 
 
-@register("window_stats", """
+_WEEK = 7 * 86400
+
+
+@register("window_stats", f"""
 SELECT metric_id, period_start, period_end, round(sum, 6) AS sum, max, round(avg, 6) AS avg, samples, p50, p99
-FROM window_stats""", ("window_stats",))
+FROM window_stats
+UNION ALL
+SELECT metric_id, ps, ps + to_seconds({_WEEK}), round(sum(value), 6), max(value), round(avg(value), 6), count(*),
+       quantile_disc(value, 0.5), quantile_disc(value, 0.99)
+FROM (SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(floor(epoch(ts) / {_WEEK}) * {_WEEK} AS BIGINT)) AS ps
+      FROM metrics) m GROUP BY metric_id, ps""", ("window_stats", "metrics"))
 def window_stats(spark, sf):
-    s = _stats(spark, sf)
+    """Alarm periods, and weeks, whose many points tell p99 from the maximum."""
+    s = _stats(spark, sf).unionByName(M.window_stats(V.metrics(spark, sf), _WEEK))
     return s.select("metric_id", "period_start", "period_end", F.round("sum", 6).alias("sum"), "max",
                     F.round("avg", 6).alias("avg"), "samples", "p50", "p99")
 
@@ -64,29 +80,38 @@ def alarm_transitions(spark, sf):
     return M.alarm_transitions(_consecutive(spark, sf), last=now).select("alarm", "changed_at", "state")
 
 
+def metric_events(spark, sf):
+    """The events of all emission sites over the views."""
+    artifacts = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))[1]
+    forecasts = V.forecasts(spark, sf)
+    requests = Val.validate_inference_request(V.inference_requests(spark, sf)).filter(F.col("status_code") == 200)
+    parts = [
+        ME.alerts_created(V.alerts(spark, sf)),
+        ME.forecasts_retrieved(R.forecasts_by_product(V.forecast_runs(spark, sf))),
+        ME.forecast_generated(forecasts),
+        ME.forecast_accuracy(forecasts),
+        ME.direct_inference(requests),
+        ME.optimization_run_started(U.scenario_run_record(V.scenarios(spark, sf), V.scenario_run_requests(spark, sf))[1]),
+        ME.optimization_applied(U.apply_if_proposed(V.optimizations(spark, sf), V.apply_requests(spark, sf))[1]),
+        ME.report_generated(artifacts),
+        ME.access_control_changed(U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))[2]),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register("sink_metric_event", "SELECT namespace, metric_name, value, unit, dimensions, source_key FROM metric_events",
+          ("metric_events",))
+def sink_metric_event(spark, sf):
+    path = scratch_path(spark, "metric_events")
+    files.emit_metrics(metric_events(spark, sf), path, "batch-1")  # best effort: a failure never fails the caller
+    return files.read_runs(spark, path)
+
+
 @register("metric_sum_by_dimension", """
-SELECT namespace, metric_name, dimensions, sum(value) AS total, count(*) AS events FROM (
-  SELECT 'Alerts' AS namespace, 'AlertsCreated' AS metric_name,
-         'AlertType=' || alert_type || ';Category=' || category AS dimensions, CAST(1.0 AS DOUBLE) AS value FROM alerts
-  UNION ALL
-  SELECT 'ML', 'ForecastGenerated', '', CAST(1.0 AS DOUBLE) FROM forecasts
-  UNION ALL
-  SELECT 'Operations', 'ReportGenerated', 'ReportType=' || COALESCE(p.report_type, 'operational'), CAST(1.0 AS DOUBLE)
-  FROM reports p JOIN (SELECT DISTINCT report_id FROM report_requests) r ON p.report_id = r.report_id) e
-GROUP BY namespace, metric_name, dimensions""", ("alerts", "forecasts", "reports", "report_requests"))
+SELECT namespace, metric_name, dimensions, sum(value) AS total, count(*) AS events FROM metric_events
+GROUP BY namespace, metric_name, dimensions""", ("metric_events",))
 def metric_sum_by_dimension(spark, sf):
-    al = V.alerts(spark, sf).select(
-        F.lit("Alerts").alias("namespace"), F.lit("AlertsCreated").alias("metric_name"),
-        M.dims_text(("AlertType", F.col("alert_type")), ("Category", F.col("category"))).alias("dimensions"),
-        F.lit(1.0).alias("value"))
-    fc = V.forecasts(spark, sf).select(F.lit("ML").alias("namespace"), F.lit("ForecastGenerated").alias("metric_name"),
-                                       F.lit("").alias("dimensions"), F.lit(1.0).alias("value"))
-    snap, _ = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
-    rp = snap.filter(F.col("updated")).select(
-        F.lit("Operations").alias("namespace"), F.lit("ReportGenerated").alias("metric_name"),
-        M.dims_text(("ReportType", F.coalesce(F.col("report_type"), F.lit("operational")))).alias("dimensions"),
-        F.lit(1.0).alias("value"))
-    return M.metric_sum_by_dimension(al.unionByName(fc).unionByName(rp))
+    return M.metric_sum_by_dimension(metric_events(spark, sf))
 
 
 @register("forecast_accuracy_metric", f"""

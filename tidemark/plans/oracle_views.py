@@ -151,7 +151,8 @@ _AS_OF = f"TIMESTAMP '{V.FORECAST_AS_OF:%Y-%m-%d %H:%M:%S}'"
 
 cte("forecasts", ("fc_preds",), f"""
 SELECT {forecast_id_sql('product_id')} AS forecast_id, product_id, {_AS_OF} AS created_at,
-       CAST(0.8 AS DOUBLE) AS confidence, {q(V.BASELINE_MODEL_VERSION)} AS model_version, 'active' AS status
+       CAST(0.8 AS DOUBLE) AS confidence, {q(V.BASELINE_MODEL_VERSION)} AS model_version, 'active' AS status,
+       CASE WHEN CAST(product_id AS BIGINT) % 3 = 0 THEN CAST(CAST(product_id AS BIGINT) % 10 + 90 AS DOUBLE) END AS accuracy
 FROM fc_preds GROUP BY product_id""")
 
 cte("forecast_runs", ("forecasts",), f"""
@@ -180,20 +181,31 @@ SELECT event_id, ts,
        {_alarm_name_case()} AS alarm_name,
        {pick(V.ALARM_STATES, 'event_id')} AS state,
        'value ' || CAST(CAST(value AS DECIMAL(10,2)) AS VARCHAR) AS reason,
-       event_id % 97 <> 0 AS parse_ok
+       event_id % 97 <> 0 AS json_ok, event_id % 97 <> 0 AND event_id % 83 <> 0 AS parse_ok, event_id % 89 <> 0 AS has_time,
+       CASE WHEN event_id % 89 <> 0 THEN date_trunc('second', ts) ELSE ts END AS event_time
 FROM events""")
 
-cte("alerts", ("alarm_flat",), f"""
-SELECT 'al-' || CAST(event_id AS VARCHAR) AS alert_id, event_id,
+cte("alarm_keyed", ("alarm_flat",), f"""
+SELECT *, CASE WHEN event_id % 79 <> 0 THEN {stable_id_sql('', 'event_id')} ELSE {stable_id_sql('ev-', "CASE WHEN event_id % 97 = 0 THEN substr(payload, 1, 40) ELSE payload END")} END AS id
+FROM (SELECT *, '{{' || CASE WHEN event_id % 79 <> 0 THEN '"id":"' || {stable_id_sql('', 'event_id')} || '",' ELSE '' END
+          || '"source":"' || source || '","detail-type":"' || detail_type || '","region":"' || region || '","account":"'
+          || account || '",' || CASE WHEN event_id % 83 = 0 THEN '"time":"yesterday",'
+                                     WHEN event_id % 89 <> 0 THEN '"time":"' || {iso_sql('ts')} || '",' ELSE '' END
+          || '"detail":{{"alarmName":"' || alarm_name || '","state":{{"value":"' || state || '","reason":"' || reason
+          || '"}}}}}}' AS payload FROM alarm_flat) f""")
+
+cte("alerts", ("alarm_keyed",), f"""
+SELECT *, CASE WHEN h = 0 THEN NULL ELSE h = 1 END AS acknowledged
+FROM (SELECT *, CAST(('0x' || substr(md5(alert_id), 1, 6)) AS BIGINT) % 3 AS h FROM (
+SELECT 'al-' || id AS alert_id, has_time,
        {severity_sql('alarm_name')} AS alert_type, {category_sql('alarm_name')} AS category,
-       {q(vocab.ALARM_TITLE_PREFIX)} || alarm_name AS title, reason AS message, ts,
+       {q(vocab.ALARM_TITLE_PREFIX)} || alarm_name AS title, reason AS message, event_time AS ts,
        {q(vocab.ALARM_SOURCE_LABEL)} AS source,
-       CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 3 = 0 END AS acknowledged,
        CAST(NULL AS TIMESTAMP) AS acknowledged_at, TRUE AS action_required,
        alarm_name AS meta_alarm_name, region AS meta_region, account AS meta_account_id
-FROM alarm_flat
+FROM alarm_keyed
 WHERE parse_ok AND source = {q(vocab.ALARM_EVENT_SOURCE)} AND detail_type = {q(vocab.ALARM_EVENT_DETAIL_TYPE)}
-  AND state = 'ALARM'""")
+  AND state = 'ALARM') a) b""")
 
 cte("inventory_alerts", (), f"""
 SELECT 'ia-' || CAST(p_partkey AS VARCHAR) AS alert_id, 'p-' || CAST(p_partkey % 500 AS VARCHAR) AS product_id,
@@ -269,10 +281,10 @@ SELECT 'bd-' || CAST(event_id AS VARCHAR) AS detection_id, {pick(V.MODEL_COMPONE
        {pick(V.BIAS_STATUSES, 'user_id + 1')} AS status, ts AS detected_at
 FROM events""")
 
-cte("alert_ack_requests", (), """
-SELECT CASE WHEN event_id % 50 = 7 THEN 'al-missing-' || CAST(event_id AS VARCHAR)
-            ELSE 'al-' || CAST(event_id AS VARCHAR) END AS alert_id, ts + INTERVAL 1 HOUR AS requested_at
-FROM events WHERE event_id % 3 = 1 OR event_id % 50 = 7""")
+cte("alert_ack_requests", ("alarm_keyed",), """
+SELECT CASE WHEN event_id % 50 = 7 THEN 'al-missing-' || CAST(event_id AS VARCHAR) ELSE 'al-' || id END AS alert_id,
+       ts + INTERVAL 1 HOUR AS requested_at
+FROM alarm_keyed WHERE event_id % 3 = 1 OR event_id % 50 = 7""")
 
 cte("inventory_ack_requests", (), f"""
 SELECT CASE WHEN p_partkey % 37 = 0 THEN 'ia-missing-' || CAST(p_partkey AS VARCHAR)
@@ -348,7 +360,7 @@ SELECT 'req-' || CAST(event_id AS VARCHAR) AS request_id,
        CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'message ' || CAST(event_id AS VARCHAR) END AS message,
        CASE WHEN event_id % 7 = 0 THEN 'ERP' END AS source,
        CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 4 = 1 END AS action_required,
-       ts AS requested_at
+       CASE WHEN event_id % 6 = 0 THEN event_type END AS meta_origin, ts AS requested_at
 FROM events""")
 
 
@@ -469,3 +481,34 @@ cte("inference_valid", ("inference_requests",), """
 SELECT product_id, period, demand, horizon FROM inference_requests
 WHERE horizon BETWEEN 1 AND 24 AND period IS NOT NULL
   AND product_id NOT IN (SELECT product_id FROM inference_requests WHERE period IS NOT NULL AND demand IS NULL)""")
+
+
+def nth_request_sql(table: str, key: str, direction: str = "", where: str = "TRUE") -> str:
+    """Requests with their number per key, ordered as the services would apply them."""
+    return (f"(SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY requested_at {direction}, request_id {direction}) AS rn "
+            f"FROM {table} WHERE {key} IS NOT NULL AND {where})")
+
+
+_KNOWN_SQL = "[" + ", ".join(q(p) for p in vocab.KNOWN_PERMISSIONS) + "]"
+
+cte("metric_events", ("alerts", "forecasts", "forecast_runs", "inference_valid", "scenario_run_requests", "scenarios",
+                      "apply_requests", "optimizations", "reports", "report_requests", "access_requests",
+                      "access_controls"), f"""
+SELECT 'Alerts' AS namespace, 'AlertsCreated' AS metric_name, CAST(1 AS DOUBLE) AS value, 'Count' AS unit,
+       'AlertType=' || alert_type || ';Category=' || category AS dimensions, alert_id AS source_key FROM alerts
+UNION ALL SELECT 'API', 'ForecastsRetrieved', CAST(least(count(*), {vocab.DEFAULT_PAGE_SIZE}) AS DOUBLE), 'Count', '', product_id
+FROM forecast_runs GROUP BY product_id
+UNION ALL SELECT 'ML', 'ForecastGenerated', 1, 'Count', '', forecast_id FROM forecasts
+UNION ALL SELECT 'ML', 'ForecastAccuracy', accuracy, 'Percent', '', forecast_id FROM forecasts WHERE accuracy IS NOT NULL
+UNION ALL SELECT DISTINCT 'ML', 'DirectInference', CAST(1 AS DOUBLE), 'Count', '', product_id FROM inference_valid
+UNION ALL SELECT 'Operations', 'OptimizationRunStarted', 1, 'Count', 'Status=queued', r.run_id
+FROM scenario_run_requests r JOIN scenarios s ON r.scenario_id = s.scenario_id
+UNION ALL SELECT 'Operations', 'OptimizationApplied', 1, 'Count', '', r.optimization_id
+FROM {nth_request_sql('apply_requests', 'optimization_id')} r JOIN optimizations o ON r.optimization_id = o.optimization_id
+WHERE rn = 1 AND o.status = 'proposed'
+UNION ALL SELECT 'Operations', 'ReportGenerated', 1, 'Count', 'ReportType=' || COALESCE(p.report_type, 'operational'),
+       'reports/' || p.report_id || '/' || {iso_sql('r.requested_at')} || '.json'
+FROM reports p JOIN report_requests r ON p.report_id = r.report_id
+UNION ALL SELECT 'Governance', 'AccessControlChanged', 1, 'Count', '', r.user_id
+FROM access_requests r JOIN access_controls a ON r.user_id = a.user_id
+WHERE len(list_filter(r.permissions, lambda x: NOT list_contains({_KNOWN_SQL}, x))) = 0""")

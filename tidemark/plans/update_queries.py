@@ -8,7 +8,7 @@ from tidemark import vocab
 from tidemark.operators import updates as U
 from tidemark.operators import validate as Val
 from tidemark.plans import views as V
-from tidemark.plans.oracle_views import iso_sql, q
+from tidemark.plans.oracle_views import iso_sql, nth_request_sql, q
 from tidemark.plans.registry import register
 from tidemark.session import scratch_path
 from tidemark.sources import files
@@ -21,12 +21,6 @@ def _latest(table: str, key: str) -> str:
             f"FROM {table}) x WHERE rn = 1)")
 
 
-def _nth(table: str, key: str, direction: str = "", where: str = "TRUE") -> str:
-    """Requests with their number per key, ordered as the services would apply them."""
-    return (f"(SELECT *, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY requested_at {direction}, request_id {direction}) AS rn "
-            f"FROM {table} WHERE {key} IS NOT NULL AND {where})")
-
-
 def _both(snapshot, outcomes):
     """New snapshot and outcomes in one frame, told apart by ``part``."""
     return (snapshot.withColumn("part", F.lit("snapshot"))
@@ -62,7 +56,7 @@ def update_not_found(spark, sf):
             .select("alert_id", "requested_at")
 
 
-_APPLIED = f"""(SELECT r.* FROM {_nth('apply_requests', 'optimization_id')} r
+_APPLIED = f"""(SELECT r.* FROM {nth_request_sql('apply_requests', 'optimization_id')} r
   JOIN optimizations o ON r.optimization_id = o.optimization_id WHERE rn = 1 AND o.status = 'proposed')"""
 
 
@@ -90,8 +84,8 @@ _AUDIT_SQL = f"""
 SELECT 'access_control_change' AS audit, COALESCE(r.actor, 'anonymous') AS actor, r.user_id AS subject,
        array_to_string(list_sort(CASE WHEN r.rn = 1 THEN a.permissions ELSE b.permissions END), ',') AS before,
        array_to_string(list_sort(r.permissions), ',') AS after, r.requested_at AS at
-FROM {_nth('access_requests', 'user_id', '', _ACCEPTED_ACCESS)} r JOIN access_controls a ON r.user_id = a.user_id
-LEFT JOIN {_nth('access_requests', 'user_id', '', _ACCEPTED_ACCESS)} b ON r.user_id = b.user_id AND b.rn = r.rn - 1"""
+FROM {nth_request_sql('access_requests', 'user_id', '', _ACCEPTED_ACCESS)} r JOIN access_controls a ON r.user_id = a.user_id
+LEFT JOIN {nth_request_sql('access_requests', 'user_id', '', _ACCEPTED_ACCESS)} b ON r.user_id = b.user_id AND b.rn = r.rn - 1"""
 
 
 def _audit_text(df):
@@ -128,7 +122,7 @@ SELECT 'snapshot', a.user_id, NULL, NULL, NULL, NULL,
        array_to_string(CASE WHEN r.user_id IS NOT NULL THEN r.permissions ELSE a.permissions END, ','),
        CASE WHEN r.user_id IS NOT NULL THEN r.requested_at ELSE a.updated_at END
 FROM access_controls a
-LEFT JOIN {_nth('access_requests', 'user_id', 'DESC', _ACCEPTED_ACCESS)} r ON a.user_id = r.user_id AND r.rn = 1""",
+LEFT JOIN {nth_request_sql('access_requests', 'user_id', 'DESC', _ACCEPTED_ACCESS)} r ON a.user_id = r.user_id AND r.rn = 1""",
           ("access_requests", "access_controls"))
 def access_replace(spark, sf):
     snap, outcomes, _ = U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))
@@ -184,7 +178,7 @@ def whitelist_update_fields(spark, sf):
 
 
 def _newest(field: str) -> str:
-    return (f"(SELECT source_id, p_{field} AS v FROM {_nth('checked_patches', 'source_id', 'DESC', f'error IS NULL AND p_{field} IS NOT NULL')} x "
+    return (f"(SELECT source_id, p_{field} AS v FROM {nth_request_sql('checked_patches', 'source_id', 'DESC', f'error IS NULL AND p_{field} IS NOT NULL')} x "
             f"WHERE rn = 1)")
 
 
@@ -215,7 +209,7 @@ SELECT p.report_id, CASE WHEN r.report_id IS NOT NULL THEN 'ready' ELSE p.status
        CASE WHEN r.report_id IS NOT NULL THEN r.requested_at ELSE p.generated_at END AS generated_at,
        CASE WHEN r.report_id IS NOT NULL THEN 'reports/' || p.report_id || '/' || {iso_sql('r.requested_at')} || '.json'
             ELSE p.object_key END AS object_key
-FROM reports p LEFT JOIN {_nth('report_requests', 'report_id', 'DESC')} r ON p.report_id = r.report_id AND r.rn = 1""",
+FROM reports p LEFT JOIN {nth_request_sql('report_requests', 'report_id', 'DESC')} r ON p.report_id = r.report_id AND r.rn = 1""",
           ("reports", "report_requests"))
 def report_generate(spark, sf):
     snap, _ = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
@@ -227,8 +221,8 @@ SELECT p.report_id, 'reports/' || p.report_id || '/' || {iso_sql('r.requested_at
        p.report_type AS report_type, {iso_sql('r.requested_at')} AS generated_at,
        CASE WHEN b.rn IS NULL THEN p.status ELSE 'ready' END AS was_status,
        CASE WHEN b.rn IS NOT NULL THEN 'reports/' || p.report_id || '/' || {iso_sql('b.requested_at')} || '.json' END AS was_key
-FROM reports p JOIN {_nth('report_requests', 'report_id')} r ON p.report_id = r.report_id
-LEFT JOIN {_nth('report_requests', 'report_id')} b ON r.report_id = b.report_id AND b.rn = r.rn - 1""",
+FROM reports p JOIN {nth_request_sql('report_requests', 'report_id')} r ON p.report_id = r.report_id
+LEFT JOIN {nth_request_sql('report_requests', 'report_id')} b ON r.report_id = b.report_id AND b.rn = r.rn - 1""",
           ("reports", "report_requests"))
 def sink_report_json(spark, sf):
     """One artifact per request, each embedding the record as read before it."""

@@ -147,31 +147,43 @@ def alarm_events_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alarm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, ts, payload): JSON text as the event bus delivers it; every
-    97th payload is cut short and must land in the dead-letter table."""
+    """(event_id, ts, received_at, payload): JSON text as the event bus delivers it.
+
+    Ids are UUID-shaped text; every 79th event has none.  Every 89th has no time,
+    every 83rd one that cannot be read.  Every 97th payload is cut short.  The last
+    two kinds must land in the dead-letter table.
+    """
     f = alarm_events_flat(spark, sf_dir)
+    k = F.col("event_id")
+    time = F.when(k % 83 == 0, F.lit("yesterday")).when(k % 89 != 0, S.iso_utc(F.col("ts")))
     payload = F.to_json(F.struct(
-        F.col("event_id").cast("string").alias("id"),
+        F.when(k % 79 != 0, S.stable_id("", k)).alias("id"),
         F.col("source"),
         F.col("detail_type").alias("detail-type"),
         F.col("region"),
         F.col("account"),
-        S.iso_utc(F.col("ts")).alias("time"),
+        time.alias("time"),
         F.struct(F.col("alarm_name").alias("alarmName"),
                  F.struct(F.col("state").alias("value"), F.col("reason").alias("reason")).alias("state")
                  ).alias("detail"),
     ))
-    payload = F.when(F.col("event_id") % 97 == 0, F.substring(payload, 1, 40)).otherwise(payload)
-    return f.select("event_id", "ts", payload.alias("payload"))
+    payload = F.when(k % 97 == 0, F.substring(payload, 1, 40)).otherwise(payload)
+    return f.select("event_id", "ts", F.col("ts").alias("received_at"), payload.alias("payload"))
+
+
+def event_key(event_id: Column, payload: Column) -> Column:
+    """The id under which an event of ``alarm_events`` is known."""
+    return F.when(event_id % 79 != 0, S.stable_id("", event_id)).otherwise(S.stable_id("ev-", payload))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators import alerts as A
     from tidemark.sources import events as E
     parsed, _dead = E.parse_alarm_events(alarm_events(spark, sf_dir))
-    al = A.alarm_to_alert(E.accept_alarm_events(parsed), id_col=F.concat(F.lit("al-"), F.col("event_id").cast("string")))
-    ack = F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("boolean")).otherwise(F.col("event_id") % 3 == 0)
-    return al.withColumn("acknowledged", ack).drop("event_id")
+    al = A.alarm_to_alert(E.accept_alarm_events(parsed))
+    # acknowledged: a third each of missing, false and true, by a hash of the id
+    h = F.conv(F.substring(F.md5(F.col("alert_id")), 1, 6), 16, 10).cast("long") % 3
+    return al.withColumn("acknowledged", F.when(h == 0, F.lit(None).cast("boolean")).otherwise(h == 1))
 
 
 # --- V6 demand history / V7 forecasts ------------------------------------------
@@ -190,6 +202,8 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baseline forecasts from the whole history, horizon 6, made at FORECAST_AS_OF."""
     from tidemark.operators import forecast
     preds = forecast.baseline_quantiles(demand_history(spark, sf_dir), horizon=FORECAST_HORIZON)
+    pid = F.col("product_id").cast("long")  # for a third of the products the model states an accuracy
+    preds = preds.withColumn("accuracy", F.when(pid % 3 == 0, (pid % 10 + 90).cast("double")))
     return forecast.forecast_record(preds, FORECAST_AS_OF, BASELINE_MODEL_VERSION)
 
 
@@ -351,10 +365,10 @@ def bias_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- request tables for the batched record jobs ----------------------------------
 
 def alert_ack_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir, ("event_id", "ts"))
+    e = alarm_events(spark, sf_dir)
     eid = F.col("event_id")
     key = F.when(eid % 50 == 7, F.concat(F.lit("al-missing-"), eid.cast("string"))) \
-           .otherwise(F.concat(F.lit("al-"), eid.cast("string")))
+           .otherwise(F.concat(F.lit("al-"), event_key(eid, F.col("payload"))))
     return (e.filter((eid % 3 == 1) | (eid % 50 == 7))
              .select(key.alias("alert_id"), F.timestamp_add("HOUR", F.lit(1), F.col("ts")).alias("requested_at")))
 
@@ -454,6 +468,7 @@ def alert_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("message "), eid.cast("string"))).alias("message"),
         F.when(eid % 7 == 0, F.lit("ERP")).otherwise(F.lit(None).cast("string")).alias("source"),
         F.when(eid % 4 == 0, F.lit(None).cast("boolean")).otherwise(eid % 4 == 1).alias("action_required"),
+        F.when(eid % 6 == 0, F.create_map(F.lit("origin"), F.col("event_type"))).alias("metadata"),
         F.col("ts").alias("requested_at"),
     )
 

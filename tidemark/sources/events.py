@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidemark import vocab
+from tidemark.functions import scalars as S
 
 ALARM_EVENT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
@@ -43,11 +44,26 @@ def parse_event_json(df: DataFrame, text_col: str = "payload",
     return out.withColumn("parse_ok", F.coalesce(ok, F.lit(False)))
 
 
-def flatten_alarm_event(parsed: DataFrame) -> DataFrame:
-    keep = [c for c in parsed.columns if c not in ("event", "parse_ok", "payload")]
-    return parsed.select(
+BAD_PAYLOAD = "payload is not a valid alarm event object"
+BAD_TIME = "event time cannot be read"
+
+
+def read_alarm_events(raw: DataFrame, text_col: str = "payload") -> DataFrame:
+    """One flat row per payload with ``error``, null for a good event.
+
+    ``id`` is the event's own text id, or a hash of the payload where it has none.
+    ``event_time`` is the event's time (UTC, as sessions run in UTC); an event without
+    a time gets ``received_at`` when ``raw`` has that column, else the current time.
+    A time that is there but cannot be read is an error.  No payload stops the job.
+    """
+    p = parse_event_json(raw, text_col)
+    received = F.col("received_at") if "received_at" in raw.columns else F.current_timestamp()
+    given = F.col("event.time")
+    time = F.try_to_timestamp(given).cast("timestamp_ntz")
+    keep = [c for c in raw.columns if c != "received_at"]
+    return p.select(
         *keep,
-        F.col("event.id").alias("id"),
+        F.coalesce(F.col("event.id"), S.stable_id("ev-", text_col)).alias("id"),
         F.col("event.source").alias("source"),
         F.col("event.`detail-type`").alias("detail_type"),
         F.col("event.region").alias("region"),
@@ -55,16 +71,21 @@ def flatten_alarm_event(parsed: DataFrame) -> DataFrame:
         F.col("event.detail.alarmName").alias("alarm_name"),
         F.col("event.detail.state.value").alias("state"),
         F.col("event.detail.state.reason").alias("reason"),
-        F.to_timestamp_ntz(F.col("event.time")).alias("event_time"),
-    )
+        F.when(given.isNull(), received.cast("timestamp_ntz")).otherwise(time).alias("event_time"),
+        F.when(~F.col("parse_ok"), F.lit(BAD_PAYLOAD))
+         .when(given.isNotNull() & time.isNull(), F.lit(BAD_TIME)).alias("error"))
+
+
+def split_alarm_events(read: DataFrame, text_col: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(good flat rows, dead letters with their payload and error) of read events."""
+    flat = ("id", "source", "detail_type", "region", "account", "alarm_name", "state", "reason", "event_time")
+    return (read.filter(F.col("error").isNull()).drop(text_col, "error"),
+            read.filter(F.col("error").isNotNull()).drop(*flat))
 
 
 def parse_alarm_events(raw: DataFrame, text_col: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """Split JSON events into (parsed flat rows, dead letters)."""
-    p = parse_event_json(raw, text_col)
-    good = flatten_alarm_event(p.filter(F.col("parse_ok")))
-    dead = p.filter(~F.col("parse_ok")).drop("event", "parse_ok")
-    return good, dead
+    """Split JSON events into (good flat rows, dead letters)."""
+    return split_alarm_events(read_alarm_events(raw, text_col), text_col)
 
 
 def accept_alarm_events(flat: DataFrame) -> DataFrame:
@@ -82,8 +103,7 @@ def dead_letters(dead: DataFrame, as_of_col: str = "ts",
                  retention_days: int = vocab.DEAD_LETTER_RETENTION_DAYS, as_of=None) -> DataFrame:
     """Dead-letter rows with their expiry; with ``as_of`` (a timestamp) rows
     already past retention are dropped."""
-    out = (dead.withColumn("expires_at", F.timestamp_add("DAY", F.lit(retention_days), F.col(as_of_col)))
-               .withColumn("error", F.lit("payload is not a valid alarm event object")))
+    out = dead.withColumn("expires_at", F.timestamp_add("DAY", F.lit(retention_days), F.col(as_of_col)))
     if as_of is not None:
         out = out.filter(F.col("expires_at") > F.lit(as_of))
     return out

@@ -15,10 +15,11 @@ State is bounded by the watermark: only windows newer than it are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidemark import vocab
 from tidemark.operators import alerts as A
+from tidemark.operators import metric_events as ME
 from tidemark.operators import metrics as M
 from tidemark.sources import events as E
 from tidemark.sources import files
@@ -33,40 +34,37 @@ def _run(writer, available_now: bool = True):
 
 # --- alarm intake --------------------------------------------------------------
 
-def alarm_intake_frames(raw: DataFrame, subject_prefix: str = "Critical Alert: ") -> dict[str, DataFrame]:
-    """Per micro-batch: alerts, notifications and dead letters from raw payloads."""
-    good, dead = E.parse_alarm_events(raw)
-    accepted = (E.accept_alarm_events(good).withColumn("event_id", F.col("id").cast("long"))
-                 .withColumn("ts", F.col("event_time")))
-    alerts = A.alarm_to_alert(accepted, id_col=F.concat(F.lit("al-"), F.col("id")))
-    _, notes = A.critical_fanout(alerts, subject_prefix)
-    dead = dead.select("payload", F.lit(vocab.DEAD_LETTER_RETENTION_DAYS).alias("retention_days"))
-    metrics = alerts.select(F.lit("Alerts").alias("namespace"), F.lit("AlertsCreated").alias("metric_name"),
-                            F.lit(1.0).alias("value"), F.lit("Count").alias("unit"),
-                            M.dims_text(("AlertType", F.col("alert_type")), ("Category", F.col("category"))).alias("dimensions"),
-                            F.col("alert_id").alias("source_key"), F.col("ts"))
-    return {"alerts": alerts, "notifications": notes, "dead_letters": dead, "metrics": metrics}
+def alarm_intake_frames(read: DataFrame, subject_prefix: str = "Critical Alert: ") -> dict[str, DataFrame]:
+    """Alerts, notifications, dead letters and metric events of read payloads
+    (``events.read_alarm_events``)."""
+    good, dead = E.split_alarm_events(read)
+    alerts, notes = A.critical_fanout(A.alarm_to_alert(E.accept_alarm_events(good)), subject_prefix)
+    dead = dead.select("payload", "error", F.lit(vocab.DEAD_LETTER_RETENTION_DAYS).alias("retention_days"))
+    return {"alerts": alerts, "notifications": notes, "dead_letters": dead, "metrics": ME.alerts_created(alerts)}
 
 
 def run_alarm_intake(spark: SparkSession, source_path: str, out_path: str, checkpoint: str,
                      subject_prefix: str = "Critical Alert: ", available_now: bool = True,
-                     max_files_per_trigger: int | None = None):
+                     max_files_per_trigger: int | None = None, received_at: Column | None = None):
+    """``received_at`` dates events without a time of their own; by default it is the
+    time of the file they came in, which a replay does not change."""
     reader = spark.readStream.format("text")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.load(source_path).withColumnRenamed("value", "payload")
+    when = F.col("_metadata.file_modification_time") if received_at is None else received_at
+    raw = reader.load(source_path).select(F.col("value").alias("payload"), when.alias("received_at"))
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
-        df = df.persist()
+        read = E.read_alarm_events(df).persist()  # parsed once for all four outputs
         try:
-            for name, frame in alarm_intake_frames(df, subject_prefix).items():
+            for name, frame in alarm_intake_frames(read, subject_prefix).items():
                 target = f"{out_path}/{name}/batch_id={batch_id}"
                 if name == "metrics":
-                    files.emit_metrics(frame, target, "overwrite")  # best effort; replay-safe
+                    files.emit_metrics(frame, f"{out_path}/{name}", f"batch-{batch_id}")  # best effort; replay-safe
                 else:
                     frame.write.mode("overwrite").parquet(target)
         finally:
-            df.unpersist()
+            read.unpersist()
 
     return _run(raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint), available_now)
 
@@ -83,18 +81,39 @@ def metric_stream(spark: SparkSession, source_path: str, schema, lateness: str =
     return s.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness)
 
 
-def tumbling_stats(stream: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS) -> DataFrame:
+def tumbling_stats(stream: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
+                   accuracy: int = M.SKETCH_ACCURACY) -> DataFrame:
+    """Statistics of closed windows.  ``accuracy`` is that of the percentile sketch: a
+    window of fewer points has exact percentiles, a larger one ranks within one part
+    in ``accuracy``; the sketch keeps a window's state bounded."""
     w = F.window("event_time", f"{period_seconds} seconds")
     agg = stream.groupBy(w.alias("w"), "metric_id", "name", "dim_value").agg(
         F.sum("value").alias("sum"), F.max("value").alias("max"), F.avg("value").alias("avg"),
         F.count(F.lit(1)).alias("samples"),
-        F.percentile_approx("value", [0.5, 0.99], M.PERCENTILE_ACCURACY).alias("_q"))
+        F.percentile_approx("value", [0.5, 0.99], accuracy).alias("_q"))
     return agg.select("metric_id", "name", "dim_value",
                       F.col("w.start").cast("timestamp_ntz").alias("period_start"),
                       F.col("w.end").cast("timestamp_ntz").alias("period_end"),
                       "sum", "max", "avg", "samples", F.col("_q")[0].alias("p50"), F.col("_q")[1].alias("p99"))
 
 
+def watermark(metrics: DataFrame, lateness: str = vocab.DEFAULT_LATENESS) -> Column:
+    """The newest event time less the lateness: windows that end after it are open."""
+    return metrics.agg(F.expr(f"max(ts) - INTERVAL {lateness}")).scalar()
+
+
+def open_stats(metrics: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
+               lateness: str = vocab.DEFAULT_LATENESS) -> DataFrame:
+    """Statistics so far of the windows that a stream over ``metrics`` still holds open.
+
+    A run over a finished folder has no later data to wait for: together with what
+    the stream has emitted these are all windows.
+    """
+    closed_until = watermark(metrics, lateness)
+    recent = metrics.filter(F.col("ts") >= closed_until - F.make_dt_interval(secs=F.lit(period_seconds)))
+    return M.window_stats(recent, period_seconds).filter(F.col("period_end") > closed_until)
+
+
 def run_tumbling_metrics(spark, source_path, schema, out_path, checkpoint, period_seconds=vocab.ALARM_PERIOD_SECONDS,
                          lateness=vocab.DEFAULT_LATENESS, available_now=True, max_files_per_trigger=None):
     stats = tumbling_stats(metric_stream(spark, source_path, schema, lateness, max_files_per_trigger), period_seconds)
@@ -104,10 +123,10 @@ def run_tumbling_metrics(spark, source_path, schema, out_path, checkpoint, perio
 
 
 def run_threshold_alarm(spark, source_path, schema, out_path, checkpoint, lateness=vocab.DEFAULT_LATENESS,
-                        available_now=True, max_files_per_trigger=None):
-    """Closed windows of each batch -> rule table (broadcast, 9 rows) -> breaches."""
+                        available_now=True, max_files_per_trigger=None, rules: DataFrame | None = None):
+    """Closed windows of each batch -> rule table -> breaches."""
     stats = tumbling_stats(metric_stream(spark, source_path, schema, lateness, max_files_per_trigger))
-    rules = M.alarm_rules(spark)
+    rules = M.alarm_rules(spark) if rules is None else rules
 
     def per_batch(df: DataFrame, batch_id: int) -> None:
         M.evaluate_rules(df, rules).filter(F.col("breach")).write.mode("overwrite") \
@@ -117,34 +136,26 @@ def run_threshold_alarm(spark, source_path, schema, out_path, checkpoint, latene
     return _run(w, available_now)
 
 
-def consecutive_alarm(stream: DataFrame, rules: DataFrame,
-                      period_seconds: int = vocab.ALARM_PERIOD_SECONDS) -> DataFrame:
-    """For each rule with N > 1: breaching periods among the last N, per
-    sliding window of N periods (chained windows over ``window_time``).
+def consecutive_alarm(stream: DataFrame, rules: DataFrame, n: int, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
+                      accuracy: int = M.SKETCH_ACCURACY) -> DataFrame:
+    """For each rule of ``n`` periods: breaching periods among the last n, per sliding
+    window of n periods (chained windows over ``window_time``).
 
     The first window aggregates every series: a filter on the rule's metric
     placed before it would be pushed below the watermark, which would then
     follow that one metric instead of the whole stream.  The rule's series
-    is picked afterwards by a join with the (static, 9-row) rule table.
+    is picked afterwards by a join with the static rule table.
     """
     w = F.window("event_time", f"{period_seconds} seconds")
     per = stream.groupBy(w.alias("w"), "name", "dim_value").agg(
         F.sum("value").alias("sum"), F.max("value").alias("max"), F.avg("value").alias("avg"),
-        F.percentile_approx("value", [0.5, 0.99], M.PERCENTILE_ACCURACY).alias("_q"))
+        F.percentile_approx("value", [0.5, 0.99], accuracy).alias("_q"))
     per = per.withColumn("p50", F.col("_q")[0]).withColumn("p99", F.col("_q")[1]).drop("_q")
-    multi = rules.filter(F.col("periods") > 1)
-    ev = per.join(F.broadcast(multi), ["name", "dim_value"])
-    stat = M._stat(F.col("statistic"))
-    thr = F.col("threshold")
-    breach = (F.when(F.col("comparison") == ">=", stat >= thr).when(F.col("comparison") == ">", stat > thr)
-               .when(F.col("comparison") == "<", stat < thr).when(F.col("comparison") == "<=", stat <= thr))
-    ev = ev.withColumn("breach", F.coalesce(breach, F.lit(False)))
-    n_max = max(r[6] for r in vocab.ALARM_RULES)
-    if len({r[6] for r in vocab.ALARM_RULES if r[6] > 1}) != 1:
-        raise NotImplementedError("one sliding length per query: split rules by N")
-    slide = (ev.groupBy(F.window(F.window_time("w"), f"{n_max * period_seconds} seconds",
-                                 f"{period_seconds} seconds").alias("s"), "alarm", "periods")
-               .agg(F.count_if("breach").alias("breaching_periods"), F.count(F.lit(1)).alias("periods_with_data")))
+    ev = per.join(rules.filter(F.col("periods") == n), ["name", "dim_value"])
+    ev = ev.withColumn("breach", M._breach(M._stat(F.col("statistic"))))
+    span = F.window(F.window_time("w"), f"{n * period_seconds} seconds", f"{period_seconds} seconds")
+    slide = ev.groupBy(span.alias("s"), "alarm", "periods").agg(
+        F.count_if("breach").alias("breaching_periods"), F.count(F.lit(1)).alias("periods_with_data"))
     return slide.select("alarm", "periods",
                         F.col("s.start").cast("timestamp_ntz").alias("window_start"),
                         F.col("s.end").cast("timestamp_ntz").alias("window_end"),
@@ -152,10 +163,38 @@ def consecutive_alarm(stream: DataFrame, rules: DataFrame,
                         (F.col("breaching_periods") == F.col("periods")).alias("in_alarm"))
 
 
+def rule_lengths(rules: DataFrame) -> list[int]:
+    """The distinct N of a rule table."""
+    return sorted(r[0] for r in rules.select("periods").distinct().collect())
+
+
+def open_consecutive(metrics: DataFrame, rules: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
+                     lateness: str = vocab.DEFAULT_LATENESS) -> DataFrame:
+    """The sliding windows of ``consecutive_alarm`` that the stream still holds open."""
+    ev = M.evaluate_rules(M.window_stats(metrics, period_seconds), rules)
+    back = F.explode(F.sequence(F.lit(0), F.col("periods") - 1)).alias("_back")
+
+    def seconds(n):
+        return F.make_dt_interval(secs=n * period_seconds)
+
+    rows = ev.select("alarm", "periods", "breach", "period_start", back)
+    rows = rows.withColumn("window_start", F.col("period_start") - seconds(F.col("_back")))
+    rows = rows.withColumn("window_end", F.col("window_start") + seconds(F.col("periods")))
+    rows = rows.filter(F.col("window_end") > watermark(metrics, lateness))
+    return (rows.groupBy("alarm", "periods", "window_start", "window_end")
+                .agg(F.count_if("breach").alias("breaching_periods"), F.count(F.lit(1)).alias("periods_with_data"))
+                .withColumn("in_alarm", F.col("breaching_periods") == F.col("periods")))
+
+
 def run_consecutive_alarm(spark, source_path, schema, out_path, checkpoint, lateness=vocab.DEFAULT_LATENESS,
-                          available_now=True, max_files_per_trigger=None):
-    res = consecutive_alarm(metric_stream(spark, source_path, schema, lateness, max_files_per_trigger),
-                            M.alarm_rules(spark))
-    w = (res.writeStream.outputMode("append").format("parquet")
-         .option("path", out_path).option("checkpointLocation", checkpoint))
-    return _run(w, available_now)
+                          available_now=True, max_files_per_trigger=None, rules: DataFrame | None = None) -> dict[int, str]:
+    """One stream per distinct N of the rules (sliding windows of one query have one
+    length); returns the output folder of each."""
+    rules = M.alarm_rules(spark) if rules is None else rules
+    out = {}
+    for n in rule_lengths(rules):
+        res = consecutive_alarm(metric_stream(spark, source_path, schema, lateness, max_files_per_trigger), rules, n)
+        out[n] = f"{out_path}/n{n}"
+        _run(res.writeStream.outputMode("append").format("parquet").option("path", out[n])
+             .option("checkpointLocation", f"{checkpoint}/n{n}"), available_now)
+    return out
