@@ -146,6 +146,12 @@ def test_proximity(spark):
     got = {r.doc_id: r for r in decontaminate.find(frame(spark, rows), bench, slop=2).collect()}
     assert [got[i].n_hit for i in range(4)] == [13, 0, 0, 0]
     assert [len(got[i].near_items) for i in range(4)] == [1, 1, 1, 0]
+    # the same whichever term is rare in the shard
+    filler = [(10 + i, w, "en", "a", 0) for i, w in enumerate(item)] * 3
+    for left_out in (0, 6, 12):
+        docs = frame(spark, rows + [r for r in filler if r[1] != item[left_out]]).coalesce(1)
+        near = {r.doc_id: len(r.near_items) for r in decontaminate.find(docs, bench, slop=2).collect()}
+        assert [near[i] for i in range(4)] == [1, 1, 1, 0]
 
 
 def test_benchmark_empty(spark):

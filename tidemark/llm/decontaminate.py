@@ -93,7 +93,8 @@ class Shard:
 
     def search(self, windows: Windows, slop: int = 0) -> Iterator[tuple[int, np.ndarray]]:
         """(window number, sorted start positions) of the windows that occur.  With
-        ``slop`` every term may stand that many words before or after its place."""
+        ``slop`` every term may stand that many words before or after its place; this
+        holds of a start whichever term is looked up first."""
         counts = np.diff(self.first)
         used = windows.terms >= 0
         own = np.where(used, counts[windows.terms] if len(counts) else 0, np.iinfo(np.int64).max)
@@ -105,7 +106,7 @@ class Shard:
                 term = terms[offset]
                 listed = self.positions[self.first[term]:self.first[term + 1]] - offset
                 if at is None:
-                    at = listed
+                    at = listed if not slop else np.unique(listed[:, None] + np.arange(-slop, slop + 1))
                     continue
                 i = np.searchsorted(listed, at - slop)
                 ok = i < len(listed)
@@ -219,10 +220,10 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, slop: int = 2, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, slop: int = 0, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, runs (covered words), n_hit,
-    items, near_items (items with a window whose words all stand within ``slop``
-    words of their places) and contaminated.
+    items, near_items (with a ``slop``: items with a window whose words all stand
+    within ``slop`` words of their places) and contaminated.
 
     Null and empty texts have no words and are clean.  A benchmark item of fewer
     words than a window is one window; without words it has none.  Repeated rows

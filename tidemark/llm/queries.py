@@ -86,18 +86,54 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents", ["doc_id", "text", "source"]))
 
 
-@register("op6_near_dup")
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register("op6_near_dup", rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0) x),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                       WHERE 100 * common >= 75 * (x.size + y.size - common)),
+reach AS (SELECT DISTINCT a AS doc_id, a AS spot FROM links
+          UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.spot = links.a),
+c AS (SELECT doc_id, min(spot) AS least FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(c.least, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c.least, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
+""")
 def near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_groups(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).drop("text_hash")
 
 
-@register("op7_decontaminate")
+_BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register("op7_decontaminate", rf"""
+WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS ws FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_BENCH_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(ws), 13) AS width, array_to_string(ws[i:i + 12], ' ') AS words
+        FROM (SELECT *, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0) x),
+g AS (SELECT doc_id, i, width, array_to_string(ws[i:i + width - 1], ' ') AS words
+      FROM (SELECT doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) AS i
+            FROM d, (SELECT DISTINCT width FROM win) l WHERE len(ws) >= width) x),
+hit AS (SELECT doc_id, i, g.width, item FROM g JOIN win ON g.words = win.words AND g.width = win.width),
+n AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS spot FROM hit) x GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT doc_id, item FROM hit) x GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+""")
 def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
                                read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
-                        F.size("near_items").cast("long").alias("n_near_items"))
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
 @register("op8_pii")
@@ -127,7 +163,25 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages", ["page_id", "url"]))
 
 
-@register("op10_suffix_dedup")
+@register("op10_suffix_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS piece
+      FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d) x),
+f AS (SELECT piece, min(doc_id) AS least FROM k GROUP BY 1),
+c AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1) AS starts
+      FROM k JOIN f USING (piece) WHERE least < doc_id),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 50 AS e
+      FROM (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c) x GROUP BY doc_id, run),
+kept AS (SELECT r.doc_id, s, e, substr(h, 2 * coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY s), 0) + 1,
+                                       2 * (s - coalesce(lag(e) OVER (PARTITION BY r.doc_id ORDER BY s), 0))) AS before
+         FROM r JOIN d ON r.doc_id = d.doc_id),
+t AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY s) AS head, max(e) AS upto
+      FROM kept GROUP BY 1)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE head || substr(h, 2 * upto + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+""")
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_passages(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
     lengths = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
