@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -324,6 +325,28 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return grouped.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, that ``near_groups`` keeps.
+
+    A Bloom filter over the dropped rows lets all others pass straight through; only
+    rows that may be dropped are joined with the dropped ones, so few texts move.
+    """
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text_hash())
+    dropped = stage(near_groups(docs).filter(~F.col("kept")).select("doc_id", "text_hash").distinct(), "near_copies")
+    hashes = dropped.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), "text_hash").alias("h"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bloom.build(hashes, dropped.count()))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        slots = bloom.hash_slots(h.to_numpy(np.int64).view(np.uint64), len(bitmap.value) * 8)
+        return pd.Series(bloom.has(bitmap.value, slots).all(axis=1))
+
+    # names of its own for the dropped rows, whatever columns the documents have
+    gone = dropped.select(F.col("doc_id").alias("near_dup_id"), F.col("text_hash").alias("near_dup_text"))
+    same = docs["doc_id"].eqNullSafe(F.col("near_dup_id")) & (F.xxhash64(docs["text"]) == F.col("near_dup_text"))
+    return docs.filter(~maybe(key)).unionByName(docs.filter(maybe(key)).join(gone, same, "left_anti"))
+
+
 def _linked(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFrame:
     """vertex and root of all classes that a confirmed link joins to another."""
     spark = docs.sparkSession
