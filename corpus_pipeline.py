@@ -39,10 +39,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """The document of smallest doc_id of each group of near copies; rows that repeat
     that id all stay."""
     ship_package(spark)
-    dropped = near_dup.near_groups(docs).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("dropped_id"), F.col("text_hash").alias("dropped_text")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("dropped_id")) & (F.xxhash64(docs["text"]) == F.col("dropped_text"))
-    return docs.join(stage(dropped, "near_copies"), same, "left_anti")
+    return near_dup.keep_one(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
