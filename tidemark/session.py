@@ -7,6 +7,7 @@ private folder is only chosen when that setting is absent (local tests).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -70,13 +71,17 @@ def get_spark(master: str | None = None, app: str = "tidemark",
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and written snapshots.
 
-    Reads ``spark.checkpoint.dir`` from the session; sets a private one only
-    when the setting is missing (as in unit tests on one machine).
+    Reads ``spark.checkpoint.dir`` from the session.  Where the setting is missing a
+    private folder is made in local mode (as in unit tests); on a cluster, whose
+    machines share no such folder, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         root = tempfile.mkdtemp(prefix="tidemark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -99,8 +104,8 @@ def ship_package(spark: SparkSession) -> None:
     reference to their modules, so executors need the package: it is zipped
     and added with ``addPyFile``, which Spark distributes to every executor.
     The zip goes to the shared checkpoint folder when that is a local or
-    ``file:`` path, else to a driver-side temporary folder (executors fetch it
-    from the driver, never from that path).
+    ``file:`` path, else to a driver-side temporary folder (code only: executors
+    fetch it from the driver, never from that path).
     """
     import os
     import zipfile

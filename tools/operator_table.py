@@ -14,7 +14,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 ALIASES = {"etl": "operators.etl", "R": "operators.records", "U": "operators.updates", "A": "operators.alerts",
-           "M": "operators.metrics", "FC": "operators.forecast", "Val": "operators.validate", "S": "functions.scalars",
+           "M": "operators.metrics", "ME": "operators.metric_events", "FC": "operators.forecast", "Val": "operators.validate", "S": "functions.scalars",
            "E": "sources.events", "files": "sources.files", "ST": "streaming.alarms", "V": "plans.views"}
 
 
