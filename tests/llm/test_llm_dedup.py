@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpus import corpus, frame, multiset, near_components, removed_bytes  # noqa: E402
 
-from tidemark.llm import exact_dedup, near_dup, suffix_dedup  # noqa: E402
+from tidemark.llm import bloom, exact_dedup, near_dup, suffix_dedup  # noqa: E402
 
 
 @pytest.mark.parametrize("bits", [16, 1])
@@ -43,7 +43,7 @@ def test_only_possible_copies_are_grouped(spark):
     digests = docs.select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     bitmap = exact_dedup.repeated_filter(digests, 2001, 16, 1 << 20)
     slots = exact_dedup._slots(pa.array([bytes(r.digest) for r in digests.collect()]), len(bitmap) * 8)
-    flagged = exact_dedup._has(bitmap, slots).all(axis=1)
+    flagged = bloom.has(bitmap, slots).all(axis=1)
     assert flagged[7] and flagged[2000] and flagged.sum() < 40
 
 

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.bloom import CHUNK_BITS, filter_bits, has, mark
 from tidemark.llm.common import local_partitions, stage, text_or_empty
 
-CHUNK_BITS = 1 << 13  # the filter travels in pieces of 1 KB
 SLOTS = 3             # slots a digest sets
 
 
@@ -31,19 +31,6 @@ def _slots(digests: pa.Array, bits: int) -> np.ndarray:
     return (raw[:, :SLOTS] % np.uint64(bits)).astype(np.int64)
 
 
-def _mark(bitmap: np.ndarray, slots: np.ndarray) -> None:
-    """Set sorted unique ``slots`` in a packed bitmap."""
-    if not len(slots):
-        return
-    byte = slots >> 3
-    first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
-    bitmap[byte[first]] |= np.bitwise_or.reduceat((1 << (slots & 7)).astype(np.uint8), first)
-
-
-def _has(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-
-
 def _build(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
@@ -51,8 +38,8 @@ def _build(bits: int):
             if batch.num_rows == 0:
                 continue
             slots, n = np.unique(_slots(batch.column("digest"), bits), return_counts=True)
-            _mark(again, slots[(n > 1) | _has(once, slots)])
-            _mark(once, slots)
+            mark(again, slots[(n > 1) | has(once, slots)])
+            mark(once, slots)
         step = CHUNK_BITS // 8
         used = np.flatnonzero(once.reshape(-1, step).any(axis=1))
         for at in range(0, len(used), 1024):
@@ -84,9 +71,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_filter(digests: DataFrame, rows: int, bits_per_row: int, max_filter_bytes: int) -> np.ndarray:
     """The packed "seen again" bitmap over all rows of ``digests``."""
-    bits = CHUNK_BITS
-    while bits < bits_per_row * rows and bits < 8 * max_filter_bytes:
-        bits *= 2
+    bits = filter_bits(rows, bits_per_row, max_filter_bytes)
     parts = digests.select("digest").mapInArrow(_build(bits), "chunk long, once binary, again binary")
     merged = parts.repartition(local_partitions(digests.sparkSession), "chunk").mapInArrow(
         _merge, "chunk long, again binary")
@@ -116,7 +101,7 @@ def exact_groups(docs: DataFrame, bits_per_row: int = 16, max_filter_bytes: int
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            maybe = _has(bitmap, _slots(batch.column("digest"), len(bitmap) * 8)).all(axis=1)
+            maybe = has(bitmap, _slots(batch.column("digest"), len(bitmap) * 8)).all(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], ["doc_id", "digest", "maybe"])
 
     flagged = stage(thin.mapInArrow(flag, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, "

@@ -37,9 +37,11 @@ from tidemark.llm.common import mix64, text_bytes
 LENGTH = 50
 GRAM = 28
 RUN = LENGTH - GRAM + 1        # strings in which one q-gram can be the anchor
-PART = 64 << 20                # text bytes of a part at most, on average
-SMALL_PART = 1 << 20           # below that, texts are not spread any further
-BUCKET_POINTERS = 2_000_000    # anchors per bucket task, on average
+# Text bytes of a part and anchors of a bucket, on average.  Both grow with the input
+# between these bounds, so that parts times buckets, the rows that travel, do not
+# grow with its square.
+SMALL_PART, PART, LARGE_PART = 1 << 20, 64 << 20, 256 << 20
+BUCKET, LARGE_BUCKET = 2_000_000, 32_000_000
 BLOCK = 1 << 20                # text bytes whose hashes are held at once
 _K = np.uint64(0x9FB21C651E98DF25)
 
@@ -57,10 +59,13 @@ class Plan:
     def of(docs: DataFrame) -> Plan:
         size, low, high = docs.agg(F.sum(F.octet_length("text")), F.min("doc_id"), F.max("doc_id")).first()
         size, low, high = size or 0, low or 0, high or 0
+        part = min(max(size // 4096, PART), LARGE_PART)
+        anchors = size // 12
+        bucket = min(max(anchors // 4096, BUCKET), LARGE_BUCKET)
         bits = 6
-        while size / 12 > BUCKET_POINTERS << bits and bits < 31:
+        while anchors > bucket << bits and bits < 31:
             bits += 1
-        return Plan(max(1, -(-size // PART), min(256, -(-size // SMALL_PART))), bits, low,
+        return Plan(max(1, -(-size // part), min(256, -(-size // SMALL_PART))), bits, low,
                     (int(high - low + 1).bit_length() + 7) // 8)
 
     def pack_ids(self, ids: np.ndarray) -> bytes:
@@ -74,7 +79,7 @@ class Plan:
 
 def _words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one number."""
-    return np.ndarray((max(0, len(data) - 7),), "<u8", data.tobytes(), 0, (1,))
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
 
 
 def _smallest(x: np.ndarray, width: int) -> np.ndarray:
