@@ -15,7 +15,7 @@ PY_NODES = ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "
 def test_every_query_has_oracle_sql():
     from tidemark.plans import registry
     q, o = registry.queries(), registry.oracle_sql()
-    assert len(q) == 92 and set(q) == set(o)
+    assert len(q) == 93 and set(q) == set(o)  # the 92 operators and the event path
     assert set(q) <= set(entry_mod.queries()) and set(o) <= set(entry_mod.oracle_sql())
 
 

@@ -328,3 +328,16 @@ def test_apply_has_exactly_one_winner(spark):
     snap, out = U.apply_if_proposed(opt, req)
     assert {r.request_id: r.status_code for r in out.collect()} == {"a": 200, "b": 404, "c": 404}
     assert snap.first().status == "applied"
+
+
+def test_scratch_of_the_application_can_be_removed(spark):
+    import os
+    from tidemark import session
+    made = session.scratch_path(spark, "x")
+    root = session._scratch_root(spark)
+    assert made.startswith(root + "/x/")
+    spark.range(1).write.parquet(made)
+    local = made.removeprefix("file:")
+    assert os.path.isdir(local)
+    session.remove_scratch(spark)
+    assert not os.path.exists(local)

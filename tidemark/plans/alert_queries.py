@@ -11,6 +11,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import alerts as A
 from tidemark.operators import validate as Val
 from tidemark.plans import views as V
+from tidemark.plans.alarm_path import alerts_from_metrics
 from tidemark.plans.oracle_views import category_sql, iso_sql, q, severity_sql, stable_id_sql
 from tidemark.plans.registry import register
 from tidemark.session import scratch_path
@@ -172,3 +173,19 @@ FROM alert_create_requests""", ("alert_create_requests",))
 def validate_required(spark, sf):
     r = Val.validate_required(V.alert_create_requests(spark, sf), ["title", "message"])
     return r.select("request_id", "missing", "status_code")
+
+
+@register("alarm_path", f"""
+SELECT 'al-' || {stable_id_sql('', "(alarm || '|' || strftime(changed_at, '%Y-%m-%d %H:%M:%S'))")} AS alert_id,
+       {severity_sql('alarm')} AS alert_type, {category_sql('alarm')} AS category,
+       {q(vocab.ALARM_TITLE_PREFIX)} || alarm AS title,
+       'Threshold Crossed: ' || statistic || ' ' || comparison || ' ' || CAST(threshold AS VARCHAR) || ' for '
+         || CAST(periods AS VARCHAR) || ' period(s)' AS message, changed_at AS ts
+FROM (SELECT c.alarm, c.period_start AS changed_at, r.statistic, r.comparison, r.threshold, r.periods,
+             lag(c.period_start) OVER (PARTITION BY c.alarm ORDER BY c.period_start) AS prev
+      FROM consecutive c JOIN alarm_rules r ON c.alarm = r.alarm WHERE in_alarm) a
+WHERE prev IS NULL OR prev <> changed_at - to_seconds({vocab.ALARM_PERIOD_SECONDS})""", ("consecutive", "alarm_rules"))
+def alarm_path(spark, sf):
+    """The event path as one job: metrics -> alarms -> state changes -> alerts."""
+    found, _ = alerts_from_metrics(spark, V.metrics(spark, sf))
+    return found.select("alert_id", "alert_type", "category", "title", "message", "ts")

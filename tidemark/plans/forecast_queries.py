@@ -59,12 +59,17 @@ def round2(spark, sf):
     return h.groupBy("product_id").agg(S.round_half_even(F.avg("demand"), 2).alias("mean_demand"))
 
 
-@register("baseline_quantiles",
-          f"SELECT product_id, step, period, demand, lower, upper FROM ({baseline_sql('demand_history', 6)}) t",
-          ("demand_history",))
+_SHORT = 24  # months: a context that cuts the histories at hand
+
+
+@register("baseline_quantiles", " UNION ALL ".join(
+    f"SELECT product_id, step, period, demand, lower, upper, {n} AS context FROM ({baseline_sql('demand_history', 6, context=n)}) t"
+    for n in (vocab.CONTEXT_LENGTH, _SHORT)), ("demand_history",))
 def baseline_quantiles(spark, sf):
-    return FC.baseline_quantiles(V.demand_history(spark, sf), horizon=6) \
-             .select("product_id", "step", "period", "demand", "lower", "upper")
+    monthly = V.demand_history(spark, sf)
+    both = [FC.baseline_quantiles(monthly, horizon=6, context=n).withColumn("context", F.lit(n))
+            for n in (vocab.CONTEXT_LENGTH, _SHORT)]
+    return both[0].unionByName(both[1]).select("product_id", "step", "period", "demand", "lower", "upper", "context")
 
 
 @register("score_forecast",

@@ -449,8 +449,8 @@ def round_exact_sql(x: str, scale: int, ties: str = "even") -> str:
 # --- baseline forecast --------------------------------------------------------
 
 def baseline_sql(source: str, horizon: str | int, demand_expr: str = "CAST(demand AS DOUBLE)",
-                 where: str = "TRUE", extra_cols: str = "") -> str:
-    """Quantiles (0.1, 0.5, 0.9) of the last CONTEXT_LENGTH points per product,
+                 where: str = "TRUE", extra_cols: str = "", context: int = vocab.CONTEXT_LENGTH) -> str:
+    """Quantiles (0.1, 0.5, 0.9) of the last ``context`` points per product,
     flat over ``horizon`` steps (an int or a column of ``source``)."""
     qs = ", ".join(repr(x) for x in vocab.QUANTILES)
     hcol = f"{horizon}" if isinstance(horizon, int) else f"max({horizon})"
@@ -462,7 +462,7 @@ FROM (SELECT product_id, q, last_period, CAST(unnest(generate_series(1, h)) AS I
       FROM (SELECT product_id, quantile_cont({demand_expr}, [{qs}]) AS q, max(period) AS last_period, {hcol} AS h
             FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY period DESC) AS rn
                   FROM {source} WHERE {where}) hh
-            WHERE rn <= {vocab.CONTEXT_LENGTH} GROUP BY product_id) a) b"""
+            WHERE rn <= {context} GROUP BY product_id) a) b"""
 
 
 CTES["fc_preds"] = (("demand_history",), baseline_sql("demand_history", V.FORECAST_HORIZON))

@@ -90,8 +90,19 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/tidemark/{name}/{uuid.uuid4().hex}"
+    """A fresh, unique folder of this application below the shared checkpoint root."""
+    return f"{_scratch_root(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/tidemark/{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has staged with ``scratch_path``.  For the end of a
+    job whose results are written elsewhere: frames read from staged folders are gone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
