@@ -26,7 +26,7 @@ from tidemark.llm.common import byte_blocks, stage, text_bytes, word_hashes, wor
 
 WINDOW = 13
 GAP = 64                      # free positions between documents, more than a window and its slop
-SHARD = 6 << 20               # text bytes indexed together
+SHARD = 3 << 20               # text bytes indexed together
 BENCHMARK_BLOCK = 32 << 20    # benchmark text bytes sent to the tasks at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
