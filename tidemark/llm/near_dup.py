@@ -37,7 +37,7 @@ PLACES = 256          # components of a signature
 BANDED = 128          # components that make bands; all of them make estimates
 ROWS = 4              # components of a band: a pair at 75 % misses all 32 bands once in 190,000
 BLOCK = 1 << 20
-VERIFY_BLOCK = 4 << 20
+VERIFY_BLOCK = 1 << 20
 STAR_ROUNDS = 4       # rounds of pivots at most before signatures are compared
 HARDLY_ANY = 0.01     # links confirmed per member in the last round of pivots
 SPLIT_AT = 64         # components in one bucket from which a second band must agree
