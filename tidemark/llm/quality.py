@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import byte_blocks, text_bytes, word_hashes, word_spans
 
@@ -246,7 +247,7 @@ def with_scores(docs: DataFrame, model: AdditiveModel, column: str = "score") ->
     stay; an empty table gives an empty result.  ``column`` must be a new name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in byte_blocks(batches, "text", BLOCK):
@@ -254,7 +255,7 @@ def with_scores(docs: DataFrame, model: AdditiveModel, column: str = "score") ->
             for batch in block.append_column(column, scores).combine_chunks().to_batches():
                 yield batch
 
-    return docs.mapInArrow(run, f"{fields}, `{column}` double")
+    return docs.mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
