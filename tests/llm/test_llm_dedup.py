@@ -55,11 +55,12 @@ def test_near_groups(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_crowded_buckets_are_compared(spark, monkeypatch):
-    """Chains of near copies around the threshold, with every bucket taken as crowded."""
+@pytest.mark.parametrize("group", [4096, 12, 1])
+def test_open_buckets_are_compared(spark, monkeypatch, group):
+    """Chains of near copies around the threshold, with whole, mixed and split buckets."""
     import random
     from corpus import sentence
-    monkeypatch.setattr(near_dup, "SPLIT_AT", 1)
+    monkeypatch.setattr(near_dup, "GROUP", group)
     monkeypatch.setattr(near_dup, "STAR_ROUNDS", 1)
     rng = random.Random(3)
     base = sentence(rng, 120).split()

@@ -40,8 +40,7 @@ BLOCK = 1 << 20
 VERIFY_BLOCK = 1 << 20
 STAR_ROUNDS = 4       # rounds of pivots at most before signatures are compared
 HARDLY_ANY = 0.01     # links confirmed per member in the last round of pivots
-SPLIT_AT = 64         # components in one bucket from which a second band must agree
-GROUP = 4096          # members of a bucket compared in one task; larger ones are split by the second band
+GROUP = 4096          # members of a bucket compared in one task; larger ones are split by a second band
 NEAR = 0.682          # estimate from which a pair is confirmed: 2.5 deviations under SIMILAR
 COMPARE = 256         # members compared with one another at a time
 
@@ -211,17 +210,16 @@ def _star_pairs(buckets: DataFrame, seed: int) -> DataFrame:
 
 
 def _open_buckets(placed: DataFrame) -> DataFrame:
-    """Buckets that still hold several components, with their number and that of members."""
+    """Buckets that still hold several components, with their number of members."""
     roots = placed.groupBy("key", "root").count().groupBy("key").agg(F.count("*").alias("roots"), F.sum("count").alias("n"))
-    return stage(roots.filter("roots > 1"), "open_buckets")
+    return stage(roots.filter("roots > 1").select("key", "n"), "open_buckets")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each group (equal meet, rows come sorted by
-    it) that are near by their signatures.  A pair that shares a crowded band must
-    share another one.  A pair meets in several groups and is given by one of them:
-    that of the first crowded band it shares, else of the first band; where a band's
-    bucket is split by the second band, that of the first other band.
+    it) that are near by their signatures.  A pair meets in several groups and is
+    given by one of them: that of the first band it shares whose bucket is whole, or
+    else, where it shares split buckets only, that of the first two.
     """
     def groups() -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
@@ -246,7 +244,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array([code[r] for r in root])
         prints = np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint8).reshape(len(v), -1)
         bands = BANDED // ROWS
-        crowded = (group.column("crowded").to_numpy()[:, None] >> np.arange(bands)) & 1 == 1
+        split = (group.column("split").to_numpy()[:, None] >> np.arange(bands)) & 1 == 1
         one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
         found: list[tuple[bytes, bytes]] = []
         for i in range(0, len(v), COMPARE):
@@ -261,16 +259,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = same.mean(axis=1) >= NEAR
                 x, y, same = x[near], y[near], same[near]
                 shared = same[:, :BANDED].reshape(len(x), bands, ROWS).all(axis=2)
-                first = shared & crowded[x] & crowded[y]
-                some = first.any(axis=1)
                 if not len(x):
                     continue
-                lead = np.argmax(np.where(some[:, None], first, shared), axis=1)
-                rest = shared.copy()
-                rest[np.arange(len(x)), lead] = False
-                given = (lead == one) & (~some | rest.any(axis=1))
-                if two >= 0:
-                    given &= np.argmax(rest, axis=1) == two
+                whole = shared & ~split[x]
+                if two < 0:
+                    given = np.argmax(whole, axis=1) == one
+                else:
+                    later = shared.copy()
+                    later[:, :one + 1] = False
+                    given = ~whole.any(axis=1) & (np.argmax(shared, axis=1) == one) & (np.argmax(later, axis=1) == two)
                 found += [(max(v[p], v[q]), min(v[p], v[q])) for p, q in zip(x[given].tolist(), y[given].tolist())]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()),
                                           pa.array([b for _, b in found], pa.binary())], ["a", "b"])
@@ -278,21 +275,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _left_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of different components that share an open bucket and are near by their
-    signatures.  Where a bucket holds many components (it is crowded) two bands must
-    agree, which a similar pair fails once in 12,000."""
-    open_ = _open_buckets(placed)
-    crowded = F.col("roots") > SPLIT_AT
-    rows = placed.join(open_, "key").withColumn("crowded", crowded).withColumn("split", crowded & (F.col("n") > GROUP))
-    mask = F.sum(F.when(F.col("crowded"), F.expr("shiftleft(1L, band)")).otherwise(0))
-    marks = stage(rows.groupBy("v").agg(mask.alias("crowded"))
+    signatures.  A bucket of over GROUP members is split by a second band: a similar
+    pair that shares no whole bucket and one split one only, which happens once in
+    12,000, is not found there.
+    """
+    rows = placed.join(_open_buckets(placed), "key").withColumn("is_split", F.col("n") > GROUP)
+    mask = F.sum(F.when(F.col("is_split"), F.expr("shiftleft(1L, band)")).otherwise(0))
+    marks = stage(rows.groupBy("v").agg(mask.alias("split"))
                   .join(classes.select(F.col("set_id").alias("v"), "print", "bands"), "v"), "left_marks")
-    rows = rows.drop("crowded")
-    whole = rows.filter(~F.col("split")).select("v", "root", F.col("key").alias("meet"), F.col("band").alias("one"),
-                                                F.lit(-1).alias("two")).join(marks.drop("bands"), "v")
-    parts = rows.filter("split").select("v", "root", "key", F.col("band").alias("one")).join(marks, "v")
-    parts = parts.select("v", "root", "key", "one", "crowded", "print", F.posexplode("bands").alias("two", "other"))
-    parts = parts.filter("two <> one").withColumn("meet", F.xxhash64("key", "other"))
-    columns = ["meet", "one", "two", "v", "root", "crowded", "print"]
+    whole = rows.filter(~F.col("is_split")).select("v", "root", F.col("key").alias("meet"), F.col("band").alias("one"),
+                                                   F.lit(-1).alias("two")).join(marks.drop("bands"), "v")
+    parts = rows.filter("is_split").select("v", "root", "key", F.col("band").alias("one")).join(marks, "v")
+    parts = parts.select("v", "root", "key", "one", "split", "print", F.posexplode("bands").alias("two", "other"))
+    parts = parts.filter("two > one and (shiftright(split, two) & 1) = 1").withColumn("meet", F.xxhash64("key", "other"))
+    columns = ["meet", "one", "two", "v", "root", "split", "print"]
     left = whole.select(columns).union(parts.select(columns)).repartition("meet").sortWithinPartitions("meet")
     return left.mapInArrow(_compare, "a binary, b binary").distinct()
 
