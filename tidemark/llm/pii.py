@@ -30,8 +30,10 @@ _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
 _DIAL = re.compile(r"[0-9][ ().0-9-]+")
 _DIGITS = re.compile(r"[0-9]+")
 _IBAN = re.compile(r"[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-_USERINFO = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+@")
-_VALUE = re.compile(r"[^\s\"'&;,]{4,}")
+_USERINFO = re.compile(r"[^\x09-\x0D\x20/?#@:]+:[^\x09-\x0D\x20/?#@]+@")
+_VALUE = re.compile(r"[^\x09-\x0D\x20\"'&;,]{4,}")
+
+_AFTER = {"scheme": _USERINFO, "secret": _VALUE, "account": _IBAN}
 
 Span = tuple[str, int, int]
 
@@ -67,10 +69,12 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
-    """(kind, start, end) in code points, ordered by start, then kind."""
+    """(kind, start, end) in code points, ordered by start, then kind.  Spans of one
+    kind do not overlap: a cue inside a value found before is part of that value."""
     found: list[Span] = []
     email_end = dotted_end = chain_end = 0
-    for at, (anchor, _) in anchors.iter(text):
+    ends = dict.fromkeys(("scheme", "secret", "account"), 0)
+    for at, (anchor, width) in anchors.iter(text):
         if anchor == "digit":
             if at >= dotted_end:
                 dotted_end = _dotted(text, at, found)
@@ -80,14 +84,16 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
             email_end = _email(text, at, email_end, found)
         elif anchor == "plus":
             _phone(text, at, found)
-        elif anchor == "scheme":
-            if m := _USERINFO.match(text, at + 1):
+        elif at + 1 - width < ends[anchor]:
+            continue
+        elif m := _AFTER[anchor].match(text, at + 1):
+            ends[anchor] = m.end()
+            if anchor == "scheme":
                 found.append(("credential", at + 1, m.end() - 1))
-        elif anchor == "secret":
-            if m := _VALUE.match(text, at + 1):
+            elif anchor == "secret":
                 found.append(("secret", at + 1, m.end()))
-        elif m := _IBAN.match(text, at + 1):
-            _account(m, found)
+            else:
+                _account(m, found)
     order = {k: i for i, k in enumerate(KINDS + ADDED)}
     return sorted(found, key=lambda s: (s[1], order[s[0]], s[2]))
 

@@ -136,7 +136,60 @@ def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
-@register("op8_pii")
+def _pii_sql() -> str:
+    """Spans by regular expressions: places come from the lengths of the text between
+    matches."""
+    def cues(words: tuple[str, ...]) -> str:
+        return "|".join(form for w in words for form in (w, w.upper(), w.capitalize()))
+
+    iban = r"(?:" + cues(pii.ACCOUNT_CUES) + r")[ :#]{0,3}[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "account": iban,
+        "credential": r"://[^\x09-\x0D\x20/?#@:]+:[^\x09-\x0D\x20/?#@]+@",
+        "secret": "(?:" + cues(pii.SECRET_CUES) + r")[^\x09-\x0D\x20\"''&;,]{4,}",
+    }
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, n, '{kind}' AS kind, {i} AS rank, regexp_extract_all(t, '{p}') AS ms, "
+        f"regexp_split_to_array(t, '{p}') AS gaps FROM d" for i, (kind, p) in enumerate(patterns.items()))
+    code = r"regexp_replace(m, '^(?:" + cues(pii.ACCOUNT_CUES) + r")[ :#]{0,3}', '')"
+    secret = "regexp_extract(m, '^(?:" + cues(pii.SECRET_CUES) + ")')"
+    value = "CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END"
+    remainder = (f"list_reduce(list_prepend(0, list_transform(string_split(substr(x, 5) || substr(x, 1, 4), ''), "
+                 f"lambda c: {value})), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)")
+    valid = remainder.replace("substr(x,", "substr(replace(substr(code, 1, e), ' ', ''),")
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS t FROM documents),
+r AS ({found}),
+u AS (SELECT doc_id, n, kind, rank, ms[i] AS m,
+             CAST(list_sum(list_transform(gaps[1:i], lambda g: len(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: len(g))), 0) AS BIGINT) AS s
+      FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM r) x),
+x AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits, {code} AS code, {secret} AS cue FROM u),
+y AS (SELECT *, list_max(list_filter(CASE WHEN kind = 'account' THEN range(15, len(code) + 1) ELSE [] END, lambda e:
+             substr(code, e, 1) <> ' ' AND len(replace(substr(code, 1, e), ' ', '')) BETWEEN 15 AND 34 AND {valid} = 1)) AS e FROM x),
+z AS (SELECT doc_id, n, kind, rank,
+             CASE kind WHEN 'account' THEN s + len(m) - len(code) WHEN 'credential' THEN s + 3 WHEN 'secret' THEN s + len(cue) ELSE s END AS s,
+             CASE kind WHEN 'account' THEN s + len(m) - len(code) + e WHEN 'credential' THEN s + len(m) - 1 ELSE s + len(m) END AS e
+      FROM y WHERE CASE kind
+        WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda q: coalesce(TRY_CAST(q AS HUGEINT), 999) > 255)) = 0
+        WHEN 'card' THEN len(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, len(digits)), lambda j:
+             CASE WHEN j % 2 = 0 THEN CAST(substr(reverse(digits), j + 1, 1) AS INTEGER)
+                  ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr(reverse(digits), j + 1, 1) AS INTEGER) + 1] END)) % 10 = 0
+        WHEN 'phone' THEN len(digits) BETWEEN 9 AND 15 WHEN 'account' THEN e IS NOT NULL ELSE TRUE END),
+g AS (SELECT n, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip,
+             count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (WHERE rank < 4) AS base,
+             string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM z GROUP BY n)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON d.n = g.n
+"""
+
+
+@register("op8_pii", _pii_sql())
 def personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.personal_data(read_table(spark, sf_dir, "documents", ["doc_id", "text"])))
 
