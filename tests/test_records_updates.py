@@ -313,12 +313,14 @@ def test_one_artifact_per_report_request_with_the_record_before_it(spark):
 def test_audit_chains_the_changes_of_one_user(spark):
     acl = spark.createDataFrame([("u-1", ["data_access"], None)], "user_id string, permissions array<string>, updated_at timestamp_ntz")
     req = spark.createDataFrame([("a", "u-1", ["manage_users"], "x", _at(1)), ("b", "u-1", ["view_forecasts"], "x", _at(1)),
-                                 ("c", "u-1", ["root"], "x", _at(1))],
+                                 ("c", "u-1", ["root"], "x", _at(1)), ("d", "u-1", ["data_access"], "x", _at(500)),
+                                 ("e", "u-1", ["manage_users"], "x", _at(900))],
                                 "request_id string, user_id string, permissions array<string>, actor string, requested_at timestamp_ntz")
     snap, _, audit = U.access_replace(acl, req)
-    assert sorted((r.before, r.after) for r in audit.collect()) == [(["data_access"], ["manage_users"]),
-                                                                    (["manage_users"], ["view_forecasts"])]
-    assert snap.first().permissions == ["view_forecasts"]
+    seen = [(r.before, r.after) for r in sorted(audit.collect(), key=lambda r: r["at"])]
+    assert sorted(seen[:2]) == [(["data_access"], ["manage_users"]), (["manage_users"], ["view_forecasts"])]
+    assert seen[2:] == [(["view_forecasts"], ["data_access"]), (["data_access"], ["manage_users"])]
+    assert snap.first().permissions == ["manage_users"]
 
 
 def test_apply_has_exactly_one_winner(spark):

@@ -197,15 +197,31 @@ def access_replace(acl: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     return snapshot, outcomes, audit
 
 
+def _with_previous(requests: DataFrame, key: str, value: Column) -> DataFrame:
+    """``requests`` with ``_previous``: a struct that holds ``value`` of the request before
+    it for the same key, null for the key's first.
+
+    Requests are put in order inside (key, hour); the last value of an hour is a
+    partial aggregate, and one row per hour carries it on to the next.  So the
+    requests of a hot key are dealt over its hours.
+    """
+    hour = F.coalesce(F.date_format("requested_at", "yyyyMMddHH"), F.lit(""))
+    rows = requests.withColumns({"_order": request_order(requests), "_hour": hour, "_value": F.struct(value.alias("v"))})
+    inside = Window.partitionBy(key, "_hour").orderBy("_order")
+    last = rows.groupBy(key, "_hour").agg(F.max_by("_value", "_order").alias("_last"))
+    carried = last.select(key, "_hour", F.lag("_last").over(Window.partitionBy(key).orderBy("_hour")).alias("_carried"))
+    rows = rows.withColumn("_here", F.lag("_value").over(inside)).join(carried, [key, "_hour"])
+    return rows.withColumn("_previous", F.coalesce("_here", "_carried")).drop("_order", "_hour", "_value", "_here", "_carried")
+
+
 def audit_before_after(acl: DataFrame, accepted: DataFrame) -> DataFrame:
     """One audit row per change.  Before a user's first change stands the table's set,
     before each later one the set that the change before it left."""
     stored = acl.select("user_id", F.col("permissions").alias("_stored"))
-    j = accepted.withColumn("_order", request_order(accepted)).join(stored, "user_id")
-    earlier = Window.partitionBy("user_id").orderBy("_order")  # a user's accepted changes of one batch
-    nth, previous = F.row_number().over(earlier), F.lag("permissions").over(earlier)
+    j = _with_previous(accepted, "user_id", F.col("permissions")).join(stored, "user_id")
     none = F.array().cast("array<string>")
-    j = j.withColumn("_before", F.when(nth == 1, F.coalesce("_stored", none)).otherwise(previous))
+    j = j.withColumn("_before", F.when(F.col("_previous").isNull(), F.coalesce("_stored", none))
+                     .otherwise(F.col("_previous.v")))
     return j.select(
         F.lit("access_control_change").alias("audit"),
         F.coalesce(F.col("actor"), F.lit("anonymous")).alias("actor"),
@@ -233,15 +249,13 @@ def report_generate(reports: DataFrame, requests: DataFrame) -> tuple[DataFrame,
         "generated_at": F.col("requested_at"),
         "object_key": _report_key(F.col("report_id"), F.col("requested_at")),
     })
-    asked = requests.withColumn("_order", request_order(requests)).select(
-        "report_id", F.col("requested_at").alias("_at"), "_order")
+    asked = _with_previous(requests.filter(F.col("report_id").isNotNull()), "report_id", F.col("requested_at"))
+    asked = asked.select("report_id", F.col("requested_at").alias("_at"), "_previous")
     j = asked.join(reports, "report_id")
-    earlier = Window.partitionBy("report_id").orderBy("_order")  # a report's requests of one batch
-    j = j.withColumn("_previous", F.lag("_at").over(earlier))
     again = F.col("_previous").isNotNull()
     read = {"status": F.when(again, F.lit("ready")).otherwise(F.col("status")),
-            "generated_at": F.when(again, F.col("_previous")).otherwise(F.col("generated_at")),
-            "object_key": F.when(again, _report_key(F.col("report_id"), F.col("_previous"))).otherwise(F.col("object_key"))}
+            "generated_at": F.when(again, F.col("_previous.v")).otherwise(F.col("generated_at")),
+            "object_key": F.when(again, _report_key(F.col("report_id"), F.col("_previous.v"))).otherwise(F.col("object_key"))}
     definition = F.struct(*[read.get(c, F.col(c)).alias(c) for c in reports.columns])
     artifacts = j.select(
         "report_id", _report_key(F.col("report_id"), F.col("_at")).alias("object_key"),
@@ -252,7 +266,7 @@ def report_generate(reports: DataFrame, requests: DataFrame) -> tuple[DataFrame,
             S.iso_utc(F.col("_at")).alias("generatedAt"),
             definition.alias("definition"),
         )).alias("artifact"),
-        F.to_date("_at").alias("generated_date"),
+        F.date_format("_at", "yyyy-MM").alias("generated_month"),
     )
     return snapshot, artifacts
 

@@ -228,8 +228,8 @@ def sink_report_json(spark, sf):
     """One artifact per request, each embedding the record as read before it."""
     _, artifacts = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
     path = scratch_path(spark, "report_artifacts")
-    files.sink_json_lines(artifacts, path, ("generated_date",))
-    back = spark.read.schema("report_id string, object_key string, artifact string, generated_date date").json(path)
+    files.sink_json_lines(artifacts, path, ("generated_month",))
+    back = spark.read.schema("report_id string, object_key string, artifact string, generated_month string").json(path)
 
     def field(name):
         return F.get_json_object("artifact", f"$.{name}")
