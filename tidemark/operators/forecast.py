@@ -74,13 +74,13 @@ def baseline_quantiles(monthly: DataFrame, horizon: int = vocab.DEFAULT_FORECAST
 def _steps(rows: DataFrame) -> DataFrame:
     """One row per step from ``_all`` (per step: lower, middle, upper): periods and
     rounding are made here, for every model alike."""
-    made = rows.select("product_id", "last_period", "confidence",
-                       S.next_periods(F.col("last_period"), F.col("horizon")).alias("_periods"),
-                       F.posexplode("_all").alias("_i", "_q"))
+    # periods are zipped in before the generator, so they are made once a row and not once a step
+    steps = F.arrays_zip(S.next_periods(F.col("last_period"), F.col("horizon")).alias("period"), F.col("_all").alias("q"))
+    made = rows.select("product_id", "last_period", "confidence", F.posexplode(steps).alias("_i", "_s"))
     return made.select(
-        "product_id", (F.col("_i") + 1).alias("step"), F.element_at("_periods", F.col("_i") + 1).alias("period"),
-        S.round_half_even(F.col("_q")[1], 2).alias("demand"), S.round_half_even(F.col("_q")[0], 2).alias("lower"),
-        S.round_half_even(F.col("_q")[2], 2).alias("upper"), "confidence", "last_period")
+        "product_id", (F.col("_i") + 1).alias("step"), F.col("_s.period").alias("period"),
+        S.round_half_even(F.col("_s.q")[1], 2).alias("demand"), S.round_half_even(F.col("_s.q")[0], 2).alias("lower"),
+        S.round_half_even(F.col("_s.q")[2], 2).alias("upper"), "confidence", "last_period")
 
 
 # --- pluggable scorer (Arrow batches) -------------------------------------------

@@ -3,8 +3,8 @@
 Window statistics come from value counts: points are first counted per (group,
 period, value), a partial aggregate that splits a hot series over all tasks.
 Percentiles are exact nearest ranks at every size.  They are found in two levels,
-first the range of values that holds the rank, then the value in that range, so
-that the values of a group do not meet in one task.
+first the piece of the value scale that holds the rank, then the value in that
+piece, so that the values of a group do not meet in one task.
 
 Alarm evaluation runs on the per-period statistics, whose row count is bounded by
 (alarms x periods), not by the raw data volume.
@@ -19,7 +19,7 @@ from tidemark import vocab
 from tidemark.functions import scalars as S
 
 SKETCH_ACCURACY = 10000  # of the streams' percentiles: exact below that many points in a window
-RANGES = 256             # ranges of values per group in which a rank is sought
+PIECES = 1024            # pieces of values per unit of their logarithm in which a rank is sought
 
 RULE_SCHEMA = T.StructType([
     T.StructField("alarm", T.StringType()),
@@ -37,45 +37,44 @@ def alarm_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(vocab.ALARM_RULES), RULE_SCHEMA)
 
 
-def _ranks(counts: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank quantiles per ``keys`` from (keys, value, n) rows.
-
-    The value range of a group is cut into RANGES pieces on a logarithmic scale.
-    Counts per piece (at most RANGES + 1 rows a group) tell in which piece a rank
-    lies; only the values of that piece are then ranked.
-    """
-    scale = F.signum("value") * F.log1p(F.abs("value"))
-    sized = counts.groupBy(*keys).agg(F.sum("n").alias("_n"), F.min(scale).alias("_low"), F.max(scale).alias("_high"))
-    width = F.col("_high") - F.col("_low")
-    piece = F.when(width > 0, F.floor((scale - F.col("_low")) / width * RANGES)).otherwise(0).cast("int")
-    placed = counts.join(sized, keys).withColumn("_piece", piece)
-    sums = placed.groupBy(*keys, "_piece", "_n").agg(F.sum("n").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_piece"))
-    sums = sums.withColumn("_upto", upto)
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("_n") * q), F.lit(1)).alias("rank"))
-                                 for name, q in quantiles.items()])).alias("_w")
-    hit = sums.select(*keys, "_piece", (F.col("_upto") - F.col("_c")).alias("_before"), "_upto", wanted)
-    hit = hit.filter((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_upto")))
-    inside = placed.select(*keys, "_piece", "value", "n").join(hit.drop("_upto"), [*keys, "_piece"])
-    upto = F.col("_before") + F.sum("n").over(Window.partitionBy(*keys, "_w").orderBy("value"))
-    inside = inside.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_w.rank"))
-    return inside.groupBy(*keys).agg(*[F.min(F.when(F.col("_w.name") == name, F.col("value"))).alias(name)
-                                       for name in quantiles])
+def _piece() -> F.Column:
+    """The piece of the value scale that holds ``value``: pieces are a thousandth of the
+    logarithm wide, the same for all groups, and null for a missing value."""
+    return F.floor(F.signum("value") * F.log1p(F.abs("value")) * PIECES).cast("int")
 
 
 def window_stats(metrics: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
                  group: tuple[str, ...] = ("metric_id", "name", "dim_value"), ts: str = "ts") -> DataFrame:
     """Sum / max / avg / count / p50 / p99 per group and fixed period.  Points without
-    a value count as samples and nothing else."""
-    w = F.window(F.col(ts), f"{period_seconds} seconds")
-    counts = metrics.groupBy(*group, w.alias("w"), "value").agg(F.count(F.lit(1)).alias("n"))
+    a value count as samples and nothing else.
+
+    Percentiles are nearest ranks.  Counts per piece of the value scale (some ten
+    thousand a group at most) tell which piece holds a rank, and only the distinct
+    values of that piece are ranked.
+    """
     keys = [*group, "w"]
-    total = F.sum(F.col("value") * F.col("n"))
-    stats = counts.groupBy(*keys).agg(
-        total.alias("sum"), F.max("value").alias("max"),
-        (total / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("avg"), F.sum("n").alias("samples"))
-    ranks = _ranks(counts.filter(F.col("value").isNotNull()), keys, {"p50": 0.5, "p99": 0.99})
-    return stats.join(ranks, keys, "left").select(
+    w = F.window(F.col(ts), f"{period_seconds} seconds")
+    counts = metrics.groupBy(*group, w.alias("w"), "value").agg(F.count(F.lit(1)).alias("n")).withColumn("_piece", _piece())
+    known = F.when(F.col("value").isNotNull(), F.col("n"))
+    pieces = counts.groupBy(*keys, "_piece").agg(
+        F.sum("n").alias("_all"), F.coalesce(F.sum(known), F.lit(0)).alias("_n"),
+        F.sum(F.col("value") * F.col("n")).alias("_sum"), F.max("value").alias("_max"))
+    whole = Window.partitionBy(*keys)
+    pieces = pieces.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_piece")), "_total": F.sum("_n").over(whole)})
+    stats = pieces.groupBy(*keys).agg(F.sum("_sum").alias("sum"), F.max("_max").alias("max"),
+                                      (F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("avg"),
+                                      F.sum("_all").alias("samples"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.col("_total") * q).alias("rank"))
+                                for name, q in (("p50", 0.5), ("p99", 0.99))])).alias("_w")
+    before = (F.col("_upto") - F.col("_n")).alias("_before")
+    hit = pieces.select(*keys, "_piece", before, "_upto", ranks)
+    hit = hit.filter((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_upto"))).drop("_upto")
+    inside = counts.join(hit, [*keys, "_piece"])
+    upto = F.col("_before") + F.sum("n").over(Window.partitionBy(*keys, "_w").orderBy("value"))
+    inside = inside.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_w.rank"))
+    found = inside.groupBy(*keys).agg(*[F.min(F.when(F.col("_w.name") == name, F.col("value"))).alias(name)
+                                        for name in ("p50", "p99")])
+    return stats.join(found, keys, "left").select(
         *group, F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"),
         "sum", "max", "avg", "samples", "p50", "p99")
 

@@ -21,12 +21,13 @@ from tidemark.functions import scalars as S
 from tidemark.operators import validate as V
 
 
-def request_order(requests: DataFrame, ts: str = "requested_at") -> Column:
-    """When a request counts, as one comparable value; a missing time comes first."""
+def request_order(requests: DataFrame, ts: str = "requested_at", key: str | None = None) -> Column:
+    """When a request counts, as one value comparable within ``key``; a missing time
+    comes first."""
     if "request_id" in requests.columns:
         tie = F.col("request_id").cast("string")
     else:
-        rest = [f.name for f in requests.schema.fields if f.name != ts]
+        rest = [f.name for f in requests.schema.fields if f.name not in (ts, key)]
         tie = F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("")
     return F.struct(F.col(ts).alias("at"), tie.alias("tie"))
 
@@ -34,7 +35,7 @@ def request_order(requests: DataFrame, ts: str = "requested_at") -> Column:
 def latest_request(requests: DataFrame, key: str, ts: str = "requested_at") -> DataFrame:
     """The newest request of each key; requests without a key are left out."""
     rest = [c for c in requests.columns if c != key]
-    newest = F.max_by(F.struct(*rest), request_order(requests, ts)).alias("_r")
+    newest = F.max_by(F.struct(*rest), request_order(requests, ts, key)).alias("_r")
     return requests.filter(F.col(key).isNotNull()).groupBy(key).agg(newest).select(key, "_r.*")
 
 
