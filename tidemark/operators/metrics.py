@@ -100,6 +100,19 @@ def evaluate_rules(stats: DataFrame, rules: DataFrame) -> DataFrame:
                     "period_start", "period_end", value.alias("stat_value"), _breach(value).alias("breach"))
 
 
+def evaluate_metrics(metrics: DataFrame, rules: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS) -> DataFrame:
+    """``evaluate_rules`` on a metrics table: percentiles are ranked only for the series
+    whose rules ask for one, all other statistics take one plain aggregate."""
+    by_rank = F.col("statistic").isin("p50", "p99")
+    series = rules.filter(by_rank).select("name", "dim_value").distinct()
+    ranked = window_stats(metrics.join(series, ["name", "dim_value"], "left_semi"), period_seconds)
+    plain = metrics.groupBy("name", "dim_value", F.window("ts", f"{period_seconds} seconds").alias("w")).agg(
+        F.sum("value").alias("sum"), F.max("value").alias("max"), F.avg("value").alias("avg"))
+    plain = plain.select("name", "dim_value", F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"),
+                         "sum", "max", "avg", *[F.lit(None).cast("double").alias(c) for c in ("p50", "p99")])
+    return evaluate_rules(plain, rules.filter(~by_rank)).unionByName(evaluate_rules(ranked, rules.filter(by_rank)))
+
+
 def alarm_consecutive(evaluated: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS) -> DataFrame:
     """``in_alarm`` when the last N periods all breach, N being the rule's own.
 
@@ -154,8 +167,7 @@ def alarm_transitions(consecutive: DataFrame, period_seconds: int = vocab.ALARM_
 
 def threshold_alarm(metrics: DataFrame, spark: SparkSession) -> DataFrame:
     """Windowed stats -> rules -> breaching periods only."""
-    ev = evaluate_rules(window_stats(metrics), alarm_rules(spark))
-    return ev.filter(F.col("breach"))
+    return evaluate_metrics(metrics, alarm_rules(spark)).filter(F.col("breach"))
 
 
 def metric_sum_by_dimension(metric_events: DataFrame) -> DataFrame:

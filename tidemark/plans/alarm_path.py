@@ -45,7 +45,7 @@ def alerts_from_metrics(spark: SparkSession, metrics: DataFrame, subject_prefix:
                         name_prefix: str = "") -> tuple[DataFrame, DataFrame]:
     """(alerts, critical notifications) raised by the metric alarms."""
     rules = M.alarm_rules(spark)
-    consecutive = M.alarm_consecutive(M.evaluate_rules(M.window_stats(metrics), rules))
+    consecutive = M.alarm_consecutive(M.evaluate_metrics(metrics, rules))
     transitions = M.alarm_transitions(consecutive, last=M.last_period(metrics))
     events = E.accept_alarm_events(alarm_state_events(transitions, rules, name_prefix=name_prefix))
     alerts = A.alarm_to_alert(events)  # only ALARM changes become alerts; OK changes are ignored

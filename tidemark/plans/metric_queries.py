@@ -27,7 +27,7 @@ def _stats(spark, sf):
 
 
 def _consecutive(spark, sf):
-    return M.alarm_consecutive(M.evaluate_rules(_stats(spark, sf), M.alarm_rules(spark)))
+    return M.alarm_consecutive(M.evaluate_metrics(V.metrics(spark, sf), M.alarm_rules(spark)))
 
 
 _WEEK = 7 * 86400
