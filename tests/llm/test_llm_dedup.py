@@ -86,6 +86,14 @@ def test_superminhash_estimates():
     assert np.std(errors) < np.sqrt(0.6 * 0.4 / near_dup.PLACES)
 
 
+def test_estimate_cut_misses_no_more_than_bands():
+    """Of pairs at the threshold the cut by the estimate loses fewer than the bands do."""
+    from math import comb
+    share, places = near_dup.SIMILAR / 100, near_dup.PLACES
+    under = sum(comb(places, k) * share ** k * (1 - share) ** (places - k) for k in range(places + 1) if k / places < near_dup.NEAR)
+    assert under <= (1 - share ** near_dup.ROWS) ** (near_dup.BANDED // near_dup.ROWS)
+
+
 def test_superminhash_early_stop_is_exact():
     """Signatures do not depend on which texts are signed together."""
     rng = np.random.default_rng(2)

@@ -41,7 +41,7 @@ VERIFY_BLOCK = 1 << 20
 STAR_ROUNDS = 4       # rounds of pivots at most before signatures are compared
 HARDLY_ANY = 0.01     # links confirmed per member in the last round of pivots
 GROUP = 4096          # members of a bucket compared in one task; larger ones are split by a second band
-NEAR = 0.682          # estimate from which a pair is confirmed: 2.5 deviations under SIMILAR
+NEAR = 157 / PLACES   # estimate from which a pair is confirmed: one at 75 % is under it once in 2,000,000
 COMPARE = 256         # members compared with one another at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
