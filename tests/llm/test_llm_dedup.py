@@ -166,3 +166,20 @@ def test_components(spark, one_task):
     got = {bytes(r.vertex): bytes(r.root) for r in components(edges, one_task).collect()}
     assert got == {key[v]: key[top(v)] for v in parent if sum(top(u) == top(v) for u in parent) > 1}
     assert components(edges.limit(0), one_task).collect() == []
+
+def test_split_bucket_pair_of_one_band(spark, monkeypatch):
+    """A near pair that shares one band only is compared in a bucket of any size."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(near_dup, "GROUP", 3)
+    rng = np.random.default_rng(4)
+    bands = near_dup.BANDED // near_dup.ROWS
+    prints = rng.integers(0, 256, (20, near_dup.PLACES), dtype=np.uint8)
+    prints[7, :200] = prints[3, :200]
+    keys = rng.integers(0, 1 << 62, (20, bands))
+    keys[:, 5] = 99
+    classes = spark.createDataFrame([(bytes([i]) * 16, k.tolist(), p.tobytes(), 100) for i, (k, p) in enumerate(zip(keys, prints))],
+                                    "set_id binary, bands array<long>, print binary, n_shingles long")
+    placed = classes.select(F.lit(99).cast("long").alias("key"), F.lit(5).alias("band"), F.col("set_id").alias("v"),
+                            F.when(F.col("set_id") < bytes([5]), F.lit(bytes(16))).otherwise(F.col("set_id")).alias("root"))
+    got = [(r.a[0], r.b[0]) for r in near_dup._left_pairs(placed, classes).collect()]
+    assert got == [(7, 3)]

@@ -40,9 +40,10 @@ BLOCK = 1 << 20
 VERIFY_BLOCK = 1 << 20
 STAR_ROUNDS = 4       # rounds of pivots at most before signatures are compared
 HARDLY_ANY = 0.01     # links confirmed per member in the last round of pivots
-GROUP = 4096          # members of a bucket compared in one task; larger ones are split by a second band
+GROUP = 2048          # members of a bucket compared in one task; larger ones are dealt into blocks
 NEAR = 157 / PLACES   # estimate from which a pair is confirmed: one at 75 % is under it once in 2,000,000
 COMPARE = 256         # members compared with one another at a time
+TILE = 1 << 19        # shingles of the members compared at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -215,82 +216,132 @@ def _open_buckets(placed: DataFrame) -> DataFrame:
     return stage(roots.filter("roots > 1").select("key", "n"), "open_buckets")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each value of ``key``, by which rows come sorted."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if hi == lo:
+                continue
+            if held and held[-1].column(key)[0] != batch.column(key)[lo]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tiles(members: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Runs of up to COMPARE members that hold up to TILE shingles, one member at least."""
+    out, lo, held = [], 0, 0
+    for i, n in enumerate(sizes[members].tolist()):
+        if i > lo and (i - lo == COMPARE or held + n > TILE):
+            out.append(members[lo:i])
+            lo, held = i, 0
+        held += n
+    return [*out, members[lo:]] if len(members) else out
+
+
+def _agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many places each row of ``one`` equals each row of ``two``."""
+    if len(one) * len(two) <= 1024:
+        return (one[:, None, :] == two[None, :, :]).sum(axis=2)
+    same = np.zeros((len(one), len(two)), np.uint16)
+    for x, y in zip(np.ascontiguousarray(one.T), np.ascontiguousarray(two.T)):
+        same += x[:, None] == y[None, :]
+    return same
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components in each group (equal meet, rows come sorted by
-    it) that are near by their signatures.  A pair meets in several groups and is
-    given by one of them: that of the first band it shares whose bucket is whole, or
-    else, where it shares split buckets only, that of the first two.
+    it) that are near by their signatures, tile by tile: rows of side 0 against rows
+    of side 1, rows of side 2 against one another.  A pair meets in the buckets of
+    several bands and is given by the first band it shares.
     """
-    def groups() -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            meet = batch.column("meet").to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(meet[1:] != meet[:-1]) + 1).tolist(), len(meet)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if hi == lo:
-                    continue
-                if held and held[-1].column("meet")[0] != batch.column("meet")[lo]:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield pa.Table.from_batches(held)
-
-    for group in groups():
+    for group in _runs(batches, "meet"):
+        group = group.combine_chunks()
+        side, sizes = group.column("side").to_numpy(), group.column("n_shingles").to_numpy()
         if group.num_rows < 2:
             continue
         v, root = group.column("v").to_pylist(), group.column("root").to_pylist()
         code = {r: i for i, r in enumerate(dict.fromkeys(root))}
         own = np.array([code[r] for r in root])
         prints = np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint8).reshape(len(v), -1)
-        bands = BANDED // ROWS
-        split = (group.column("split").to_numpy()[:, None] >> np.arange(bands)) & 1 == 1
-        one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-        found: list[tuple[bytes, bytes]] = []
-        for i in range(0, len(v), COMPARE):
-            for j in range(i, len(v), COMPARE):
-                x, y = np.nonzero(own[i:i + COMPARE, None] != own[None, j:j + COMPARE])
-                x, y = x + i, y + j
-                if i == j:
-                    x, y = x[x < y], y[x < y]
-                if not len(x):
+        keys = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint32).reshape(len(v), -1)
+        band = group.column("band")[0].as_py()
+        order = np.argsort(own, kind="stable")  # tiles of one component are passed over
+        left, right = (_tiles(order[side[order] != gone], sizes) for gone in (1, 0))
+        for i, p in enumerate(left):
+            for j, q in enumerate(right):
+                if side[p[0]] == 2 and j < i or (own[p] == own[p[0]]).all() and (own[q] == own[p[0]]).all():
                     continue
-                same = prints[x] == prints[y]
-                near = same.mean(axis=1) >= NEAR
-                x, y, same = x[near], y[near], same[near]
-                shared = same[:, :BANDED].reshape(len(x), bands, ROWS).all(axis=2)
-                if not len(x):
+                fit = own[p][:, None] != own[q][None, :]
+                if side[p[0]] == 2 and i == j:
+                    fit = np.triu(fit, 1)
+                small, large = (f(sizes[p][:, None], sizes[q][None, :]) for f in (np.minimum, np.maximum))
+                fit &= 100 * small >= SIMILAR * large
+                if not fit.any():
                     continue
-                whole = shared & ~split[x]
-                if two < 0:
-                    given = np.argmax(whole, axis=1) == one
-                else:
-                    later = shared.copy()
-                    later[:, :one + 1] = False
-                    given = ~whole.any(axis=1) & (np.argmax(shared, axis=1) == one) & (np.argmax(later, axis=1) == two)
-                found += [(max(v[p], v[q]), min(v[p], v[q])) for p, q in zip(x[given].tolist(), y[given].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()),
-                                          pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+                x, y = np.nonzero(fit & (_agreeing(prints[p], prints[q]) >= NEAR * PLACES))
+                shared = keys[p[x]] == keys[q[y]]
+                given = shared.any(axis=1) & (np.argmax(shared, axis=1) == band)
+                x, y = p[x[given]].tolist(), q[y[given]].tolist()
+                if x:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f(v[a], v[b]) for a, b in zip(x, y)], pa.binary()) for f in (max, min)], ["a", "b"])
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Which blocks of the split buckets are compared: key, own, block, meet, side.
+
+    A component of over GROUP members of the bucket is dealt into blocks of its own
+    (``own`` is its root), all smaller ones together (``own`` is empty), so that many
+    members of one component do not multiply and are compared with the others only.
+    """
+    counts = rows.groupBy("key", "root").count()
+    own = F.when(F.col("count") > GROUP, F.col("root")).otherwise(F.lit(b""))
+    blocks = counts.groupBy("key", own.alias("own")).agg(F.ceil(F.sum("count") / GROUP).cast("int").alias("blocks"))
+    blocks = stage(blocks, "blocks")
+    one = blocks.select("key", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    l, r = (one.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("own", "blocks", "block")]) for i in (1, 2))
+    ahead = F.struct("own_1", "block_1") <= F.struct("own_2", "block_2")
+    pairs = l.join(r, "key").filter(ahead & ((F.col("own_1") != F.col("own_2")) | (F.length("own_1") == 0)))
+    pairs = pairs.withColumn("meet", F.xxhash64("key", "own_1", "block_1", "own_2", "block_2"))
+    alone = (F.col("own_1") == F.col("own_2")) & (F.col("block_1") == F.col("block_2"))
+    sides = F.when(alone, F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+    pairs = pairs.withColumn("side", F.explode(sides))
+    of = [F.when(F.col("side") == 1, F.col(f"{c}_2")).otherwise(F.col(f"{c}_1")).alias(c) for c in ("own", "blocks", "block")]
+    return pairs.select("key", *of, "meet", "side")
 
 
 def _left_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of different components that share an open bucket and are near by their
-    signatures.  A bucket of over GROUP members is split by a second band: a similar
-    pair that shares no whole bucket and one split one only, which happens once in
-    12,000, is not found there.
+    signatures.  A bucket of over GROUP members is dealt into blocks of about GROUP,
+    and each block is compared with each in a task of its own.
     """
-    rows = placed.join(_open_buckets(placed), "key").withColumn("is_split", F.col("n") > GROUP)
-    mask = F.sum(F.when(F.col("is_split"), F.expr("shiftleft(1L, band)")).otherwise(0))
-    marks = stage(rows.groupBy("v").agg(mask.alias("split"))
-                  .join(classes.select(F.col("set_id").alias("v"), "print", "bands"), "v"), "left_marks")
-    whole = rows.filter(~F.col("is_split")).select("v", "root", F.col("key").alias("meet"), F.col("band").alias("one"),
-                                                   F.lit(-1).alias("two")).join(marks.drop("bands"), "v")
-    parts = rows.filter("is_split").select("v", "root", "key", F.col("band").alias("one")).join(marks, "v")
-    parts = parts.select("v", "root", "key", "one", "split", "print", F.posexplode("bands").alias("two", "other"))
-    parts = parts.filter("two > one and (shiftright(split, two) & 1) = 1").withColumn("meet", F.xxhash64("key", "other"))
-    columns = ["meet", "one", "two", "v", "root", "split", "print"]
-    left = whole.select(columns).union(parts.select(columns)).repartition("meet").sortWithinPartitions("meet")
-    return left.mapInArrow(_compare, "a binary, b binary").distinct()
+    rows = stage(placed.join(_open_buckets(placed), "key"), "open_members")
+
+    @F.pandas_udf("binary")
+    def marks(bands: pd.Series) -> pd.Series:  # the low halves of the band keys
+        return pd.Series([np.asarray(b, np.int64).astype(np.uint32).tobytes() for b in bands])
+
+    known = stage(rows.select("v").distinct().join(classes.withColumnRenamed("set_id", "v"), "v")
+                  .select("v", "print", marks("bands").alias("marks"), "n_shingles"), "left_marks")
+    columns = ["meet", "side", "band", "v", "root"]
+    whole = rows.filter(F.col("n") <= GROUP).withColumn("meet", F.col("key")).withColumn("side", F.lit(2)).select(columns)
+    large = rows.filter(F.col("n") > GROUP)
+    pairs = stage(_block_pairs(large), "block_pairs")
+    big = pairs.filter(F.length("own") > 0).select("key", F.col("own").alias("root")).distinct()
+    large = large.join(big.withColumn("own", F.col("root")), ["key", "root"], "left").withColumn("own", F.coalesce("own", F.lit(b"")))
+    spread = pairs.groupBy("key", "own", "blocks").agg(F.collect_list(F.struct("block", "meet", "side")).alias("tasks"))
+    block = F.pmod(F.xxhash64(F.lit(7), "v"), F.col("blocks")).cast("int")
+    parts = (large.join(spread, ["key", "own"]).withColumn("mine", block)
+             .withColumn("task", F.explode(F.filter("tasks", lambda t: t["block"] == F.col("mine"))))
+             .withColumn("meet", F.col("task.meet")).withColumn("side", F.col("task.side")).select(columns))
+    left = whole.union(parts).join(known, "v").repartition("meet").sortWithinPartitions("meet")
+    return left.mapInArrow(_compare, "a binary, b binary")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -305,7 +356,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     rows = _signed(docs)
     classes = (rows.filter(F.col("set_id").isNotNull()).groupBy("set_id")
-               .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("print").alias("print")))
+               .agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("print").alias("print"),
+                    F.first("n_shingles").alias("n_shingles")))
     classes = stage(classes, "classes")
     spread = classes.select(F.col("set_id").alias("v"), F.posexplode("bands").alias("band", "key"))
     shared = stage(spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared_buckets")
