@@ -183,3 +183,52 @@ def test_split_bucket_pair_of_one_band(spark, monkeypatch):
                             F.when(F.col("set_id") < bytes([5]), F.lit(bytes(16))).otherwise(F.col("set_id")).alias("root"))
     got = [(r.a[0], r.b[0]) for r in near_dup._left_pairs(placed, classes).collect()]
     assert got == [(7, 3)]
+
+
+def test_crowded_buckets_give_no_list_of_pairs(spark):
+    """Copies of one template under the threshold: rows grow with members, not pairs."""
+    rng = np.random.default_rng(6)
+    bands = near_dup.BANDED // near_dup.ROWS
+    n = 300
+    keys, prints = np.full((n, bands), 7), np.full((n, near_dup.PLACES), 3, np.uint8)
+    prints[:, 180:] = rng.integers(0, 256, (n, near_dup.PLACES - 180))
+    classes = spark.createDataFrame([(i.to_bytes(16, "big"), k.tolist(), p.tobytes(), 100) for i, (k, p) in enumerate(zip(keys, prints))],
+                                    "set_id binary, bands array<long>, print binary, n_shingles long")
+    from pyspark.sql import functions as F
+    placed = classes.select(F.lit(7).cast("long").alias("key"), F.lit(0).alias("band"), F.col("set_id").alias("v"),
+                            F.col("set_id").alias("root"))
+    assert near_dup._left_pairs(placed, classes).count() <= 4 * n
+
+
+def test_tiles_are_settled_on_full_sets(spark):
+    """Tiles of crowded buckets give the links of brute force, joined or not."""
+    from corpus import shingles
+    from pyspark.sql import functions as F
+    import random
+    from corpus import sentence
+    rng = random.Random(9)
+    base = sentence(rng, 150).split()
+    texts = []
+    for i in range(40):
+        copy = list(base)
+        for _ in range(rng.choice([2, 4, 6, 8])):
+            copy[rng.randrange(len(copy))] = f"own{rng.random()}"
+        texts.append(" ".join(copy))
+    sets = near_dup.shingle_sets(pa.array(texts))
+    common = near_dup._common(sets[:15], sets[15:])
+    want = [[len(shingles(a) & shingles(b)) for b in texts[15:]] for a in texts[:15]]
+    assert common.tolist() == want
+    rows = [(5, i if i < 15 else near_dup.COMPARE + i - 15, bytes([i]), np.packbits(np.ones(25, bool)).tobytes() if i < 15 else None, t)
+            for i, t in enumerate(texts)]
+    tiles = spark.createDataFrame(rows, "tile long, place int, v binary, mask binary, text string").coalesce(1)
+    got = [(r.a[0], r.b[0]) for r in tiles.sortWithinPartitions("tile").mapInArrow(near_dup._settle, "a binary, b binary").collect()]
+    near = {(j + 15, i) for i in range(15) for j in range(25)
+            if 100 * want[i][j] >= 75 * (len(sets[i]) + len(sets[j + 15]) - want[i][j])}
+
+    def parts(links):
+        top = list(range(40))
+        for a, b in links:
+            top = [top[a] if t == top[b] else t for t in top]
+        return {frozenset(i for i in range(40) if top[i] == t) for t in top}
+
+    assert near and set(got) <= near and parts(got) == parts(near) and len(parts(near)) > 1

@@ -43,6 +43,8 @@ HARDLY_ANY = 0.01     # links confirmed per member in the last round of pivots
 GROUP = 2048          # members of a bucket compared in one task; larger ones are dealt into blocks
 NEAR = 157 / PLACES   # estimate from which a pair is confirmed: one at 75 % is under it once in 2,000,000
 COMPARE = 256         # members compared with one another at a time
+DENSE = 1             # pairs of a tile per member from which they are settled together
+COLUMNS = 4096        # shingles counted at a time
 TILE = 1 << 19        # shingles of the members compared at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -259,6 +261,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     it) that are near by their signatures, tile by tile: rows of side 0 against rows
     of side 1, rows of side 2 against one another.  A pair meets in the buckets of
     several bands and is given by the first band it shares.
+
+    Few pairs of a tile are given as such (a, b).  Many are given as the tile's members
+    (tile, place, a), a left one with a bit per right one it pairs with (b).
     """
     for group in _runs(batches, "meet"):
         group = group.combine_chunks()
@@ -270,7 +275,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.array([code[r] for r in root])
         prints = np.frombuffer(b"".join(group.column("print").to_pylist()), np.uint8).reshape(len(v), -1)
         keys = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint32).reshape(len(v), -1)
-        band = group.column("band")[0].as_py()
+        band, meet = group.column("band")[0].as_py(), group.column("meet").to_numpy()[:1].view(np.uint64)
         order = np.argsort(own, kind="stable")  # tiles of one component are passed over
         left, right = (_tiles(order[side[order] != gone], sizes) for gone in (1, 0))
         for i, p in enumerate(left):
@@ -287,10 +292,73 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = np.nonzero(fit & (_agreeing(prints[p], prints[q]) >= NEAR * PLACES))
                 shared = keys[p[x]] == keys[q[y]]
                 given = shared.any(axis=1) & (np.argmax(shared, axis=1) == band)
-                x, y = p[x[given]].tolist(), q[y[given]].tolist()
-                if x:
+                x, y = x[given], y[given]
+                if not len(x):
+                    continue
+                if len(x) <= DENSE * (len(p) + len(q)):
+                    x, y = p[x].tolist(), q[y].tolist()
+                    n = len(x)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([f(v[a], v[b]) for a, b in zip(x, y)], pa.binary()) for f in (max, min)], ["a", "b"])
+                        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()),
+                         *[pa.array([f(v[a], v[b]) for a, b in zip(x, y)], pa.binary()) for f in (max, min)]],
+                        ["tile", "place", "a", "b"])
+                    continue
+                chosen = np.zeros((len(p), len(q)), bool)
+                chosen[x, y] = True
+                at = np.r_[np.unique(x), COMPARE + np.unique(y)]
+                tile = mix64(mix64(mix64(meet) + np.uint64(i)) + np.uint64(j)).view(np.int64)
+                masks = [np.packbits(chosen[k]).tobytes() if k < COMPARE else None for k in at.tolist()]
+                ids = [v[p[k]] if k < COMPARE else v[q[k - COMPARE]] for k in at.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(tile, len(at))), pa.array(at, pa.int32()), pa.array(ids, pa.binary()),
+                     pa.array(masks, pa.binary())], ["tile", "place", "a", "b"])
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set on the left shares with each on the right."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    code, owner = (np.cumsum(several) - 1)[code[several[code]]], owner[several[code]]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for lo in range(0, int(several.sum()), COLUMNS):
+        i, k = np.searchsorted(code, (lo, lo + COLUMNS))
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[owner[i:k], code[i:k] - lo] = 1
+        out += (held[:len(left)] @ held[len(left):].T).astype(np.int64)
+    return out
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the tiles (rows come sorted by tile) whose full sets are similar, as a
+    forest: a link that joins what the tile's other links join is left out."""
+    for group in _runs(batches, "tile"):
+        place, v, masks = (group.column(c).to_pylist() for c in ("place", "v", "mask"))
+        sets = shingle_sets(group.column("text"))
+        left = [i for i, k in enumerate(place) if k < COMPARE]
+        right = [i for i, k in enumerate(place) if k >= COMPARE]
+        at = np.array([place[i] - COMPARE for i in right])
+        chosen = np.array([np.unpackbits(np.frombuffer(masks[i], np.uint8))[at] for i in left], bool)
+        both = _common([sets[i] for i in left], [sets[i] for i in right])
+        sizes = np.array([len(s) for s in sets])
+        chosen &= 100 * both >= SIMILAR * (sizes[left][:, None] + sizes[right][None, :] - both)
+        top: dict[bytes, bytes] = {}
+        found = []
+        for x, y in zip(*(k.tolist() for k in np.nonzero(chosen))):
+            ends = [v[left[x]], v[right[y]]]
+            roots = []
+            for end in ends:
+                while end in top:
+                    end = top[end]
+                roots.append(end)
+            if roots[0] != roots[1]:
+                top[max(roots)] = min(roots)
+                found.append((max(ends), min(ends)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -318,7 +386,7 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 
 def _left_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of different components that share an open bucket and are near by their
-    signatures.  A bucket of over GROUP members is dealt into blocks of about GROUP,
+    signatures, as ``_compare`` gives them.  A bucket of over GROUP members is dealt into blocks of about GROUP,
     and each block is compared with each in a task of its own.
     """
     rows = stage(placed.join(_open_buckets(placed), "key"), "open_members")
@@ -341,7 +409,16 @@ def _left_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
              .withColumn("task", F.explode(F.filter("tasks", lambda t: t["block"] == F.col("mine"))))
              .withColumn("meet", F.col("task.meet")).withColumn("side", F.col("task.side")).select(columns))
     left = whole.union(parts).join(known, "v").repartition("meet").sortWithinPartitions("meet")
-    return left.mapInArrow(_compare, "a binary, b binary")
+    return stage(left.mapInArrow(_compare, "tile long, place int, a binary, b binary"), "left")
+
+
+def _left_links(left: DataFrame, tried: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among ``left``: single pairs are confirmed as such, a crowded tile in one
+    task that gets each text once."""
+    pairs = stage(left.filter("tile is null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "tried")
+    tiles = (left.filter("tile is not null").select("tile", "place", F.col("a").alias("v"), F.col("b").alias("mask"))
+             .join(texts.withColumnRenamed("set_id", "v"), "v").repartition("tile").sortWithinPartitions("tile"))
+    return _confirmed(pairs, texts).union(tiles.mapInArrow(_settle, "a binary, b binary"))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -423,7 +500,6 @@ def _linked(docs: DataFrame, classes: DataFrame, buckets: DataFrame) -> DataFram
             found = stage(components(links), "components")
             placed = buckets.join(found.withColumnRenamed("vertex", "v"), "v", "left").select(
                 "key", "band", "v", F.coalesce("root", "v").alias("root"))
-            pairs = _left_pairs(stage(placed, "placed"), classes)
-            pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-            links, last = links.union(stage(_confirmed(pairs, texts), "confirmed")), True
+            left = _left_links(_left_pairs(stage(placed, "placed"), classes), tried, texts)
+            links, last = links.union(stage(left, "confirmed")), True
     return stage(components(links), "components")
