@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, mixing, near_dup, pii, quality, sharding, suffix_dedup, token_counts, url_filter
+from tidemark.llm import (decontaminate, exact_dedup, fim, mixing, near_dup, pii, quality, sharding, simhash, spelling,
+                          suffix_dedup, token_counts, url_filter)
 from tidemark.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,3 +241,68 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
     return found.select("doc_id", "n_bytes", lengths.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
                         "kept_sha256")
+
+
+def _spelling_sql() -> str:
+    """CRC-32 from its table, which its rule makes; near words by the code point they lose."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ 0xEDB88320 if i & 1 else i >> 1
+        table.append(i)
+    code = "flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: " \
+           "CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END))"
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n FROM t GROUP BY 1, 2),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, CAST({code} AS BIGINT[])), lambda c, b:
+             xor(c // 256, list_extract(CAST({table} AS BIGINT[]), xor(c % 256, b) + 1))), 4294967295) AS h FROM r),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE len(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+                     FROM (SELECT *, unnest(range(1, len(word) + 1)) AS i FROM v) x),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT c.word, v.word, v.n FROM cut c JOIN v ON c.rest = v.word
+      UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON c.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, min({{'down': -near_n, 'near': near}}) AS best FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+                          CASE WHEN -best.down >= 5 * v.n THEN best.near END AS form,
+                          CASE WHEN -best.down >= 5 * v.n THEN -best.down END AS form_n
+                   FROM v LEFT JOIN b ON v.word = b.word),
+walk AS (SELECT word, form AS spot FROM f WHERE form IS NOT NULL
+         UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.spot = f.word WHERE f.form IS NOT NULL),
+z AS (SELECT walk.word, spot FROM walk JOIN f ON spot = f.word WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(spot, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON f.word = z.word
+"""
+
+
+@register("op11_spelling", _spelling_sql())
+def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@register("op12_fill_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls, CAST('0x' || substr(x, 1, 8) AS BIGINT) AS h1,
+             CAST('0x' || substr(x, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(x, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(ls) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS a, greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                  WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT *, array_to_string(ls[1:a], '') AS p, array_to_string(ls[a + 1:b], '') AS m, array_to_string(ls[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN len(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN len(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM s
+""")
+def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    text = fim.restore(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(text.cast("binary"), 256).alias("restored_sha256"))
+
+
+@register("op13_simhash")
+def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
