@@ -92,12 +92,12 @@ def test_csv_scan_declared_schema(spark):
 def test_etl_job_counts_and_idempotent(spark, storage):
     base = scratch_path(spark, "test_etl_job")
     raw = raw_df(spark)
-    counts = run_etl(spark, raw, f"{base}/cur", f"{base}/quar", f"{base}/metrics", storage_level=storage)
+    counts = run_etl(spark, raw, f"{base}/cur", f"{base}/quar", "night-1", f"{base}/metrics", storage_level=storage)
     assert counts["RowsRead"] == len(raw_rows())
     assert counts["RowsCurated"] + 0 == etl.curate(raw).count()
     assert counts["RowsRead"] == counts["RowsQuarantined"] + etl.filter_valid_sales(etl.classify(raw)).count()
     first = sorted(map(tuple, files.read_snapshot(spark, f"{base}/cur").collect()))
-    run_etl(spark, raw, f"{base}/cur", f"{base}/quar", f"{base}/metrics", storage_level=storage)
+    run_etl(spark, raw, f"{base}/cur", f"{base}/quar", "night-1", f"{base}/metrics", storage_level=storage)
     second = sorted(map(tuple, files.read_snapshot(spark, f"{base}/cur").collect()))
     assert first == second  # running twice changes nothing
     m = files.read_runs(spark, f"{base}/metrics").collect()

@@ -31,7 +31,7 @@ def scan_csv_schema(spark, sf):
 @register("sink_parquet_partitioned", f"SELECT {CURATED_COLS} FROM curated", ("curated",))
 def sink_parquet_partitioned(spark, sf):
     path = scratch_path(spark, "curated_sales")
-    files.publish_snapshot(V.curated_sales(spark, sf), path, "nightly", ("year", "month"))
+    files.publish_snapshot(V.curated_sales(spark, sf), path, ("year", "month"))
     return files.read_snapshot(spark, path).select(*[c.strip() for c in CURATED_COLS.split(",")])
 
 
@@ -65,7 +65,7 @@ SELECT metric_name, value, 'Count' AS unit, 'prod' AS environment FROM (
   UNION ALL SELECT 'RowsQuarantined', CAST(count(*) AS DOUBLE) FROM quarantine) t""", ("curated", "quarantine"))
 def sink_metrics_batch(spark, sf):
     base = scratch_path(spark, "etl_run")
-    run_etl(spark, V.sales_raw(spark, sf), f"{base}/curated", f"{base}/quarantine", f"{base}/metrics")
+    run_etl(spark, V.sales_raw(spark, sf), f"{base}/curated", f"{base}/quarantine", "night-1", f"{base}/metrics")
     return files.read_runs(spark, f"{base}/metrics").select("metric_name", "value", "unit", "environment")
 
 

@@ -7,6 +7,8 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidemark.sources import versions
+
 RAW_SALES_SCHEMA = T.StructType([
     T.StructField("order_id", T.StringType(), nullable=False),
     T.StructField("product_id", T.StringType(), nullable=False),
@@ -56,31 +58,33 @@ def sink_parquet_partitioned(df: DataFrame, path: str, partition_cols: tuple[str
        .parquet(path))
 
 
-def publish_snapshot(df: DataFrame, path: str, run_id: str, partition_cols: tuple[str, ...] = ()) -> str:
-    """Replace a table by a full recompute: the run writes a folder of its own and the
-    table's pointer is moved to it when all files are there.
+def publish_snapshot(df: DataFrame, path: str, partition_cols: tuple[str, ...] = (), **info) -> versions.Version:
+    """Replace a table by a full recompute: the rows go to a folder that no other run
+    uses, then a new version names it (``sources/versions.py``).
 
-    Nothing of an earlier run is left in the table (a row that changed its
-    partition does not stay in the old one), readers never see half a run, and a
-    run that is repeated rewrites its own folder.  Returns the folder.
+    Nothing of an earlier run is left in the table (a row that changed its partition
+    does not stay in the old one), readers never see half a run, and a run that dies
+    before its version leaves the table as it was.
     """
-    target = f"{path}/runs/{run_id}"
-    df = df.hint("rebalance", *partition_cols) if partition_cols else df
-    writer = df.write.mode("overwrite").option("compression", "snappy").option("partitionOverwriteMode", "static")
-    (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(target)
-    pointer = df.sparkSession.createDataFrame([(target,)], "folder string")
-    pointer.coalesce(1).write.mode("overwrite").json(f"{path}/current")
-    return target
+    return versions.commit(df.sparkSession, path, [write_attempt(df, path, partition_cols)], **info)
 
 
-def snapshot_folder(spark: SparkSession, path: str) -> str:
-    """The folder that the table's pointer names."""
-    return spark.read.schema("folder string").json(f"{path}/current").first()[0]
+def write_attempt(df: DataFrame, path: str, partition_cols: tuple[str, ...] = ()) -> str:
+    """Write ``df`` to a new folder of table ``path``; it is no part of the table until
+    ``versions.commit`` names it."""
+    folder = versions.attempt_folder(path)
+    df = df.hint("rebalance", *partition_cols) if partition_cols else df
+    writer = df.write.option("compression", "snappy")
+    (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(folder)
+    return folder
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the last published run."""
-    return spark.read.parquet(snapshot_folder(spark, path))
+def read_snapshot(spark: SparkSession, path: str, version: versions.Version | None = None) -> DataFrame:
+    """The rows of a version, by default of the newest."""
+    version = version or versions.latest(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no version of a table at {path}")
+    return spark.read.parquet(*version.folders)
 
 
 def sink_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
