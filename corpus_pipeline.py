@@ -4,7 +4,7 @@
 returns a DataFrame, which is written as Parquet and read again as the next one's
 ``docs``.  All but the last return the columns of ``documents``, whatever these are.
 No stage can be said in SQL as a whole (trained model, signatures, greedy map), so
-ORACLE_SQL is None; ``tests/llm/test_pipeline.py`` checks the rows by brute force.
+ORACLE_SQL is None; ``tests/llm/test_llm_pipeline.py`` checks the rows by brute force.
 
 Nulls: a null text is scored as an empty one, is a near copy of nothing, is never
 contaminated and has no words; null ids, repeated rows and empty tables go through

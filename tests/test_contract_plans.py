@@ -1,10 +1,13 @@
 """Driver contract, plan properties, streaming intake end to end."""
 
 import json
+import sys
 
 import __spark_entry__ as entry_mod
+from tidemark.operators import alerts as A
 from tidemark.plans import views as V
 from tidemark.session import scratch_path
+from tidemark.sources import events as E
 from tidemark.sources import files
 from tidemark.streaming import alarms as ST
 
@@ -15,10 +18,19 @@ PY_NODES = ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "
 def test_every_query_has_oracle_sql():
     from tidemark.plans import registry
     q, o = registry.queries(), registry.oracle_sql()
-    assert len(q) == 93 and set(q) == set(o)  # the 92 operators and the event path
+    assert len(q) == 95 and set(q) == set(o)  # the 92 operators, the event path, page borders and streamed state changes
     assert set(q) <= set(entry_mod.queries()) and set(o) <= set(entry_mod.oracle_sql())
 
 
+def test_entry_survives_a_missing_dependency(monkeypatch):
+    """Without a package that the training-data queries need, the others are all there."""
+    from tidemark.plans import registry
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("tidemark.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)  # importing it raises ImportError
+    assert set(entry_mod.queries()) == set(registry.queries()) and set(entry_mod.oracle_sql()) == set(registry.oracle_sql())
+
+
 def test_entry_runs(spark):
     df = entry_mod.entry(spark)
     rows = df.collect()
@@ -64,6 +76,36 @@ def test_stream_alarm_intake_end_to_end(spark):
     assert spark.read.parquet(f"{base}/out/alerts").count() == batch.count()
 
 
+def test_an_event_delivered_twice_counts_once(spark):
+    """The same events in a later file, in the same file and after a restart."""
+    base = scratch_path(spark, "test_intake_twice")
+    events = V.alarm_events(spark, SF).select("payload")
+    twice = events.filter("payload like '%2%'")
+    for part in (events, twice.union(twice)):
+        part.coalesce(2).write.mode("append").text(f"{base}/landing")
+    ST.run_alarm_intake(spark, f"{base}/landing", f"{base}/out", f"{base}/ck", max_files_per_trigger=1)
+    twice.coalesce(1).write.mode("append").text(f"{base}/landing")
+    ST.run_alarm_intake(spark, f"{base}/landing", f"{base}/out", f"{base}/ck")
+    batch = V.alerts(spark, SF)
+    alerts = spark.read.parquet(f"{base}/out/alerts")
+    assert alerts.count() == batch.count() == alerts.select("alert_id").distinct().count()
+    notes = spark.read.parquet(f"{base}/out/notifications")
+    assert notes.count() == batch.filter("alert_type = 'critical'").count()
+
+
+def test_a_cut_delivery_does_not_hide_the_whole_one(spark):
+    base = scratch_path(spark, "test_intake_cut")
+    whole = V.alarm_events(spark, SF).filter("event_id % 97 = 1 and event_id % 79 != 0 and event_id % 83 != 0").select("payload")
+    cut = whole.selectExpr("substring(payload, 1, 60) as payload")
+    cut.coalesce(1).write.text(f"{base}/landing")
+    ST.run_alarm_intake(spark, f"{base}/landing", f"{base}/out", f"{base}/ck")
+    whole.coalesce(1).write.mode("append").text(f"{base}/landing")
+    ST.run_alarm_intake(spark, f"{base}/landing", f"{base}/out", f"{base}/ck")
+    assert spark.read.parquet(f"{base}/out/dead_letters").count() == whole.count()
+    good = E.accept_alarm_events(E.parse_alarm_events(whole)[0])
+    assert spark.read.parquet(f"{base}/out/alerts").count() == A.alarm_to_alert(good).count() > 0
+
+
 def test_pandas_scorer_runs_outside_the_repo(tmp_path):
     """Executors import the package from the shipped zip, not from the cwd."""
     import subprocess

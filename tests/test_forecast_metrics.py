@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
@@ -10,6 +11,7 @@ from tidemark.operators import forecast as FC
 from tidemark.operators import metrics as M
 from tidemark.operators import validate as Val
 from tidemark.session import scratch_path
+from tidemark.sources import versions
 from tidemark.streaming import alarms as ST
 
 
@@ -161,14 +163,14 @@ def test_round_exact_matches_python_round(spark):
 
 
 def test_stream_consecutive_alarm_equals_batch(spark):
-    """Chained windows in the stream give the same N-period counts as the
-    batch range frame, for every sliding window closed by the watermark."""
+    """The stream gives the same N-period counts as the batch, for every sliding
+    window closed by the watermark."""
     m = _metrics(spark)
     base = scratch_path(spark, "test_stream_consec")
     m.write.parquet(f"{base}/landing")
     ST.run_consecutive_alarm(spark, f"{base}/landing", m.schema, f"{base}/out", f"{base}/ck")
     got = {(r.window_end, r.breaching_periods, r.in_alarm)
-           for r in spark.read.parquet(f"{base}/out/n3").filter("alarm = 'api-latency-p99'").collect()}
+           for r in ST.closed_windows(spark, f"{base}/out").filter("alarm = 'api-latency-p99'").collect()}
     ev = M.alarm_consecutive(M.evaluate_rules(M.window_stats(m), M.alarm_rules(spark)))
     batch = {r.period_start: r for r in ev.filter("alarm = 'api-latency-p99'").collect()}
     # the window ending right after a period with data holds that period as its last one
@@ -237,10 +239,9 @@ def test_stream_and_open_windows_are_all_windows(spark):
     rules = _rules(spark, 1, 3, 5)
     base = scratch_path(spark, "test_stream_all")
     m.write.parquet(f"{base}/landing")
-    out = ST.run_consecutive_alarm(spark, f"{base}/landing", m.schema, f"{base}/out", f"{base}/ck", rules=rules)
-    assert sorted(out) == [1, 3, 5]
+    ST.run_consecutive_alarm(spark, f"{base}/landing", m.schema, f"{base}/out", f"{base}/ck", rules=rules)
     cols = ["alarm", "window_end", "breaching_periods", "in_alarm"]
-    seen = [tuple(r) for p in out.values() for r in spark.read.parquet(p).select(cols).collect()]
+    seen = [tuple(r) for r in ST.closed_windows(spark, f"{base}/out").select(cols).collect()]
     seen += [tuple(r) for r in ST.open_consecutive(m, rules).select(cols).collect()]
     assert len(seen) == len(set(seen))
     by_end = {(a, e): hot for a, e, _, hot in seen}
@@ -250,3 +251,141 @@ def test_stream_and_open_windows_are_all_windows(spark):
     cols = ["metric_id", "period_start", "max", "samples"]
     both = spark.read.parquet(f"{base}/stats").select(cols).union(ST.open_stats(m).select(cols))
     assert sorted(map(tuple, both.collect())) == sorted(map(tuple, M.window_stats(m).select(cols).collect()))
+
+
+# --- what statistics and alarms must survive --------------------------------------------
+
+def _points(spark, rows):
+    return spark.createDataFrame(rows, "metric_id string, ts timestamp_ntz, name string, dim_value string, value double")
+
+
+def test_statistics_of_missing_dimensions_infinities_and_nan(spark):
+    t, inf, nan = dt.datetime(2026, 1, 1), float("inf"), float("nan")
+    groups = {("a", None): [1.0, 2.0, 3.0], (None, "x"): [5.0], ("b", "x"): [-inf, 1.0, inf, inf], ("c", "x"): [nan, 3.0],
+              ("d", "x"): [inf], ("e", "x"): [1.7e308, -1.7e308, 4e-320]}
+    m = _points(spark, [("m", t, n, d, v) for (n, d), vs in groups.items() for v in vs])
+    got = {(r.name, r.dim_value): (r.p50, r.p99, r.samples) for r in M.window_stats(m).collect()}
+    assert got[("a", None)] == (2.0, 3.0, 3) and got[(None, "x")] == (5.0, 5.0, 1)
+    assert got[("b", "x")] == (1.0, inf, 4) and got[("d", "x")] == (inf, inf, 1)
+    assert got[("c", "x")][0] == 3.0 and got[("c", "x")][1] != got[("c", "x")][1]  # NaN ranks above all numbers
+    assert got[("e", "x")] == (4e-320, 1.7e308, 3)
+
+
+def test_longer_windows_are_sums_of_stored_periods(spark):
+    m = spark.range(30_000).select(
+        F.lit("L:api").alias("metric_id"), F.lit("L").alias("name"), F.when(F.col("id") % 3 > 0, "api").alias("dim_value"),
+        F.timestamp_add("SECOND", (F.col("id") * 37).cast("int"), F.lit(dt.datetime(2026, 1, 1))).alias("ts"),
+        F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(5000)) / 7.0).alias("value"))
+    path = scratch_path(spark, "test_windows")
+    M.window_counts(m).write.parquet(path)
+    rolled = M.stats_of_counts(M.roll_up(spark.read.parquet(path), 7 * 86400))
+    key = lambda r: (r.dim_value or "", r.period_start, r.period_end, round(r.sum, 6), r.max, r.samples, r.p50, r.p99)
+    assert sorted(map(key, rolled.collect())) == sorted(map(key, M.window_stats(m, 7 * 86400).collect()))
+
+
+def test_two_metric_ids_of_one_series_are_one_alarm(spark):
+    """A constant breach fires from the third period on, whoever reports the points."""
+    t0 = dt.datetime(2026, 1, 1)
+    m = _points(spark, [(f"id-{i % 2}", t0 + dt.timedelta(seconds=300 * (i // 2)), "Latency", "api", 9000.0) for i in range(12)])
+    rules = spark.createDataFrame([("p99", "Latency", "api", "p99", ">", 3000.0, 3), ("max", "Latency", "api", "max", ">", 3000.0, 3)],
+                                  M.RULE_SCHEMA)
+    ev = M.alarm_consecutive(M.evaluate_metrics(m, rules)).collect()
+    for alarm in ("p99", "max"):
+        assert sorted(((r.period_start - t0).seconds // 300, r.in_alarm) for r in ev if r.alarm == alarm) == [
+            (i, i >= 2) for i in range(6)]
+
+
+def test_a_rule_without_dimension(spark):
+    m = _points(spark, [("m", dt.datetime(2026, 1, 1), "Depth", None, 5.0), ("m", dt.datetime(2026, 1, 1), "Depth", "q", 1.0)])
+    for stat in ("max", "p50"):
+        rules = spark.createDataFrame([("deep", "Depth", None, stat, ">=", 5.0, 1)], M.RULE_SCHEMA)
+        assert [(r.dim_value, r.breach) for r in M.evaluate_metrics(m, rules).collect()] == [(None, True)]
+
+
+def test_closed_stream_windows_are_exact_beyond_ten_thousand_points(spark):
+    """50,000 points of one window: the exact nearest rank, no sketch."""
+    import math
+    m = spark.range(50_000).select(
+        F.lit("L:api").alias("metric_id"), F.lit("L").alias("name"), F.lit("api").alias("dim_value"),
+        F.lit(dt.datetime(2026, 1, 1)).cast("timestamp_ntz").alias("ts"), (F.pmod(F.xxhash64("id"), F.lit(10_000_019)) / 7.0).alias("value"))
+    later = m.limit(1).withColumn("ts", F.lit(dt.datetime(2026, 1, 2)).cast("timestamp_ntz"))
+    base = scratch_path(spark, "test_stream_exact")
+    m.union(later).write.parquet(f"{base}/landing")
+    ST.run_tumbling_metrics(spark, f"{base}/landing", m.schema, f"{base}/out", f"{base}/ck")
+    values = sorted(r.value for r in m.collect())
+    got = spark.read.parquet(f"{base}/out").filter("samples > 1").collect()
+    assert [(r.p50, r.p99) for r in got] == [(values[24_999], values[math.ceil(0.99 * 50_000) - 1])]
+    assert got[0].period_start == dt.datetime(2026, 1, 1)
+
+
+def _alarm_feed(spark):
+    """Breaches of one series that end in silence while another one goes on."""
+    t0 = dt.datetime(2026, 1, 1)
+    hot = [0, 1, 2, 3, 4, 5, 7, 8, 9, 11, 20, 21, 22, 23]
+    rows = [("Latency:api", t0 + dt.timedelta(seconds=300 * p + 7), "Latency", "api", 5000.0 if p in hot else 1.0)
+            for p in range(24) if p not in (6, 15, 16)]
+    return _points(spark, rows + [("Other:x", t0 + dt.timedelta(seconds=300 * p), "Other", "x", 1.0) for p in range(40)])
+
+
+@pytest.mark.parametrize("files_per_trigger", [None, 1])
+def test_streamed_state_changes_equal_the_batch(spark, files_per_trigger):
+    """All N in one stream, also batch by batch; silence leads to OK."""
+    m, rules = _alarm_feed(spark), _rules(spark, 1, 3, 5)
+    base = scratch_path(spark, "test_changes")
+    m.withColumn("_h", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 2100)).repartitionByRange(6, "_h").drop("_h") \
+        .write.parquet(f"{base}/landing")
+    run = lambda: ST.run_consecutive_alarm(spark, f"{base}/landing", m.schema, f"{base}/out", f"{base}/ck", rules=rules,
+                                           lateness="2 hours", max_files_per_trigger=files_per_trigger)
+    run()
+    until = dt.datetime(2026, 1, 1) + dt.timedelta(seconds=300 * 39) - dt.timedelta(hours=2)
+    last = dt.datetime(2026, 1, 1) + dt.timedelta(seconds=300 * 39)
+    ev = M.alarm_consecutive(M.evaluate_metrics(m, rules))
+    want = sorted((r.alarm, r.changed_at, r.state) for r in M.alarm_transitions(ev, last=F.lit(last)).collect()
+                  if r.changed_at + dt.timedelta(seconds=300) <= until)
+    got = sorted((r.alarm, r.changed_at, r.state) for r in ST.state_changes(spark, f"{base}/out").collect())
+    assert got == want
+    assert ("rule-5", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=300 * 6), "OK") in got
+    windows = ST.closed_windows(spark, f"{base}/out")
+    cols = ["alarm", "window_start", "window_end", "breaching_periods", "periods_with_data", "in_alarm"]
+    all_ = ST.sliding_windows(M.evaluate_rules(M.window_stats(m, 300, M.RULED), rules)).filter(F.col("window_end") <= F.lit(until))
+    assert sorted(map(tuple, windows.select(cols).collect())) == sorted(map(tuple, all_.select(cols).collect()))
+    # more data: the run goes on from its state, and the silent alarm goes to OK
+    more = _points(spark, [("Other:x", dt.datetime(2026, 1, 1) + dt.timedelta(seconds=300 * p), "Other", "x", 1.0) for p in (50, 70)])
+    more.write.mode("append").parquet(f"{base}/landing")
+    run()
+    again = sorted((r.alarm, r.changed_at, r.state) for r in ST.state_changes(spark, f"{base}/out").collect())
+    assert set(got) < set(again) and len(again) == len(set(again))
+    end = dt.datetime(2026, 1, 1) + dt.timedelta(seconds=300 * 24)
+    assert [(a, s) for a, at, s in again if at == end] == [("rule-1", "OK"), ("rule-3", "OK")]
+
+
+def test_a_replayed_batch_writes_the_same(spark):
+    m, rules = _alarm_feed(spark), _rules(spark, 1, 3)
+    base = scratch_path(spark, "test_replay")
+    alarms = ST.ConsecutiveAlarms(spark, base, rules)
+    counts = M.window_counts(m.withColumn("event_time", F.col("ts").cast("timestamp")), group=M.RULED, ts="event_time").persist()
+    early = counts.filter("w.end <= timestamp'2026-01-01 00:40:00'")
+    late = counts.filter("w.end > timestamp'2026-01-01 00:40:00'")
+    alarms(early, 0)
+    alarms(late, 1)
+    once = sorted(map(str, ST.state_changes(spark, base).collect())), sorted(map(str, ST.closed_windows(spark, base).collect()))
+    alarms(late, 1)  # died after its state was published
+    alarms(late.limit(0), 2)
+    twice = sorted(map(str, ST.state_changes(spark, base).collect())), sorted(map(str, ST.closed_windows(spark, base).collect()))
+    assert once == twice
+    whole = M.alarm_transitions(M.alarm_consecutive(M.evaluate_metrics(m, rules)))
+    assert len(once[0]) >= whole.count()
+    state = spark.read.parquet(*versions.latest(spark, f"{base}/state").folders)
+    assert state.count() <= 1 + 3  # the last N periods of each rule, no more
+
+
+def test_a_request_that_cannot_be_scored_fails_alone(spark):
+    good = [("2026-01", 4.0), ("2026-02", 6.0)]
+    rows = [("ok", good, 2), ("empty", [], 2), ("none", None, 2), ("null", [("2026-01", 1.0), ("2026-02", None)], 2),
+            ("nan", [("2026-01", float("nan"))], 2), ("far", good, 99), ("no horizon", good, None), (None, good, 2)]
+    requests = spark.createDataFrame(rows, "product_id string, history array<struct<period:string,demand:double>>, horizon int")
+    got = FC.score_forecast(requests).collect()
+    assert [(r.product_id, r.period) for r in sorted(got, key=lambda r: r.period)] == [("ok", "2026-03"), ("ok", "2026-04")]
+    assert all(v == v for r in got for v in (r.lower, r.upper, r.demand))
+    assert sorted(str(r.product_id) for r in FC.unscorable(requests).collect()) == sorted(
+        ["empty", "none", "null", "nan", "far", "no horizon", "None"])

@@ -1,6 +1,8 @@
 """Record reads and guarded updates."""
 
 import datetime as dt
+import shutil
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,29 +48,87 @@ def test_ttl_retention(spark):
     assert sorted(r.id for r in R.ttl_retention(df, 200).collect()) == ["b", "c"]
 
 
+def walked(df, key, size):
+    """All pages by the cursor, as lists of rows."""
+    out, token = [], None
+    while True:
+        page = R.page_keyset(df, key, size, token)
+        out.append([tuple(r) for r in page.items.collect()])
+        token = page.next_token
+        if token is None:
+            return out
+
+
 def test_keyset_pages_walk_the_cursor(spark):
     df = spark.range(0, 25).select(F.format_string("k%03d", "id").alias("k"))
-    first = R.page_keyset(df, "k", 10)
-    assert [r.k for r in first.items.collect()] == [f"k{i:03d}" for i in range(10)]
-    assert R.decode_page_token(first.next_token) == {"k": "k009"}
-    second = R.page_keyset(df, "k", 10, first.next_token)
-    third = R.page_keyset(df, "k", 10, second.next_token)
-    assert [r.k for r in third.items.collect()] == [f"k{i:03d}" for i in range(20, 25)] and third.next_token is None
-    pages = R.pages(df, "k", 10).collect()
-    assert sorted((r.k, r.page) for r in pages) == [(f"k{i:03d}", i // 10 + 1) for i in range(25)]
+    pages = walked(df, "k", 10)
+    assert [len(p) for p in pages] == [10, 10, 5]
+    assert [r[0] for p in pages for r in p] == [f"k{i:03d}" for i in range(25)]
     assert R.page_keyset(df, "k", 25).next_token is None  # a full last page has no next one
-    assert R.page_keyset(df.limit(0), "k", 10).next_token is None
+    assert walked(df.limit(0), "k", 10) == [[]]
+    directory = {r.page: (r.first_key, r.last_key, r.n_rows, r.has_next) for r in R.page_directory(df, "k", 10).collect()}
+    assert directory == {1: ("k000", "k009", 10, True), 2: ("k010", "k019", 10, True), 3: ("k020", "k024", 5, False)}
+    plan = R.page_keyset(df, "k", 10, R.page_keyset(df, "k", 10).next_token).items._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize("kind,make", [
+    ("long", lambda i: i * 7), ("date", lambda i: dt.date(2026, 1, 1) + dt.timedelta(days=i)),
+    ("timestamp_ntz", lambda i: dt.datetime(2026, 1, 1, 0, 0, 0, i)), ("decimal(20,3)", lambda i: Decimal(i) / 8 * 8 + Decimal("0.125").quantize(Decimal("0.001"))),
+    ("double", lambda i: i / 7), ("boolean", lambda i: i % 2 == 0), ("string", lambda i: f"é'{i:02d}\n"),
+])
+def test_every_row_is_on_one_page_whatever_the_key(spark, kind, make):
+    """Typed keys; keys that are null, repeated, or whole rows that are."""
+    rows = [(make(i), f"r{i}", {"m": str(i)}) for i in range(23)] + [(None, f"n{i}", None) for i in range(5)]
+    rows += [rows[3]] * 6 + [(rows[4][0], "other", None)] * 2 + [(None, "n1", None)] * 3
+    df = spark.createDataFrame(rows, f"k {kind}, v string, m map<string,string>").repartition(3)
+    pages = walked(df.select("k", "v", F.col("m")["m"].alias("m")), "k", 4)
+    got = [r for p in pages for r in p]
+    plain = [(k, v, (m or {}).get("m")) for k, v, m in rows]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain))
+    assert [len(p) for p in pages] == [4] * (len(rows) // 4) + ([len(rows) % 4] if len(rows) % 4 else [])
+    keys = [r[0] for r in got]
+    present = [k for k in keys if k is not None]
+    assert present == sorted(present) and all(k is None for k in keys[len(present):])
+    assert {r["page"]: r["count"] for r in R.paged(df, "k", 4).groupBy("page").count().collect()} == {
+        i + 1: len(p) for i, p in enumerate(pages)}
 
 
 def test_page_tokens(spark):
-    key = {"forecastId": "fc-1", "createdAt": "2026-01-01T00:00:00Z"}
-    assert R.decode_page_token(R.encode_page_token(key)) == key
-    assert R.encode_page_token(None) is None and R.decode_page_token(None) is None
-    for bad in ("!!not-base64!!", "bm90IGpzb24=", "WzFd"):
+    token = R.page_keyset(spark.range(9), "id", 2).next_token
+    assert R.PageCursor.parse(token, spark.range(3), "id").value == "1"
+    for bad in ("!!not-base64!!", "bm90IGpzb24=", "WzFd", "e30=", R.PageCursor("other", "bigint", "1", 0, 1).token(),
+                R.PageCursor("id", "string", "1", 0, 1).token(), R.PageCursor("id", "bigint", 1, 0, 1).token()):
         with pytest.raises(R.InvalidPageToken):
-            R.decode_page_token(bad)
-    with pytest.raises(R.InvalidPageToken):
-        R.page_keyset(spark.range(3), "id", 2, R.encode_page_token({"other": 1}))
+            R.page_keyset(spark.range(3), "id", 2, bad)
+    with pytest.raises(ValueError):
+        R.paged(spark.range(3).withColumn("page", F.lit(1)), "id", 2)
+    with pytest.raises(TypeError):
+        R.page_keyset(spark.sql("select array(1) as a"), "a", 2)
+
+
+def test_expiring_rows(spark):
+    import os
+
+    from tidemark.session import scratch_path
+    from tidemark.sources import files
+    day = 86_400
+    rows = [(i, None if i % 10 == 0 else 20_000 * day + i * 3600) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, ttl long")
+    path = scratch_path(spark, "test_expiry")
+    files.sink_expiring(df, path, "r1")
+    files.sink_expiring(df, path, "r1")  # repeated: each row once
+    as_of = 20_002 * day + 1800 * 5
+    kept = files.read_unexpired(spark, path, as_of)
+    want = sorted(i for i, t in rows if t is None or t > as_of)
+    assert sorted(r.id for r in kept.collect()) == want and kept.columns == ["id", "ttl"]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(expires_on" in plan
+    before = {d: os.stat(f"{path}/{d}").st_mtime for d in os.listdir(path) if d.startswith("expires_on")}
+    assert len(files.drop_expired(spark, path, as_of)) == 2
+    left = {d: os.stat(f"{path}/{d}").st_mtime for d in os.listdir(path) if d.startswith("expires_on")}
+    assert len(before) - len(left) == 2 and all(before[d] == t for d, t in left.items())
+    assert sorted(r.id for r in files.read_unexpired(spark, path, as_of).collect()) == want
 
 
 def test_inventory_alerts_have_no_limit(spark):
@@ -213,9 +273,28 @@ def test_catalog_table_recovers_new_partitions(spark):
     files.sink_parquet_partitioned(more, base)  # a column that came later reaches the catalog
     t = files.catalog_table(spark, "t_catalog_probe", base)
     assert sorted((r.v, r.extra) for r in t.select("v", "extra").collect()) == [(1, None), (2, None), (3, "x")]
+    shutil.rmtree(f"{base}/year=2026/month=1")  # a folder that is gone is no reason to drop its partition
+    t = files.catalog_table(spark, "t_catalog_probe", base)
+    assert {r[0] for r in spark.sql("SHOW PARTITIONS t_catalog_probe").collect()} == {f"year=2026/month={m}" for m in (1, 2, 3)}
+    assert sorted(r.v for r in t.select("v").collect()) == [2, 3]
     spark.sql("DROP TABLE t_catalog_probe")
 
 
+def test_discovery_reports_added_changed_and_deleted_partitions(spark):
+    from tidemark.session import scratch_path
+    from tidemark.sources import files
+    base, manifest = scratch_path(spark, "test_discovery"), scratch_path(spark, "test_manifest")
+    write = lambda *rows: files.sink_parquet_partitioned(spark.createDataFrame(rows, "v int, year int, month int"), base)
+    found = lambda: {tuple(r) for r in files.discover_partitions(spark, base, manifest).collect()}
+    write((1, 2026, 1), (2, 2026, 2))
+    assert found() == {("year=2026/month=1", "added"), ("year=2026/month=2", "added")}
+    assert found() == set()
+    shutil.rmtree(f"{base}/year=2026/month=1")
+    write((5, 2026, 2), (6, 2026, 2), (3, 2026, 3))
+    assert found() == {("year=2026/month=1", "deleted"), ("year=2026/month=2", "changed"), ("year=2026/month=3", "added")}
+    assert found() == set()
+
+
 def test_a_repeated_run_leaves_each_row_once(spark):
     from tidemark.session import scratch_path
     from tidemark.sources import files

@@ -131,6 +131,23 @@ def _cached_scorer(factory: Callable[[], Scorer]) -> Scorer:
     return _SCORERS[key]
 
 
+def _unscorable() -> Column:
+    """Why a request cannot be scored; null where it can."""
+    history = F.col("history")
+    demand = F.transform(history, lambda p: p["demand"].cast("double"))
+    bad = F.exists(demand, lambda d: d.isNull() | F.isnan(d) | (F.abs(d) == float("inf")))
+    return (F.when(F.col("product_id").isNull(), F.lit("productId is required"))
+            .when(F.coalesce(F.size(history), F.lit(0)) <= 0, F.lit("history must be a non-empty array"))
+            .when(bad, F.lit("demand must be a number in every period"))
+            .when(~F.coalesce(F.col("horizon").cast("int").between(1, vocab.MAX_FORECAST_HORIZON), F.lit(False)),
+                  F.lit(f"horizon must be between 1 and {vocab.MAX_FORECAST_HORIZON}")))
+
+
+def unscorable(requests: DataFrame) -> DataFrame:
+    """The requests that ``score_forecast`` leaves out, with ``error``: each fails alone."""
+    return requests.withColumn("error", _unscorable()).filter(F.col("error").isNotNull())
+
+
 def score_forecast(requests: DataFrame, scorer_factory: Callable[[], Scorer] = baseline_scorer,
                    context: int = vocab.CONTEXT_LENGTH) -> DataFrame:
     """Score (product_id, history array<struct<period,demand>>, horizon) rows.
@@ -138,14 +155,16 @@ def score_forecast(requests: DataFrame, scorer_factory: Callable[[], Scorer] = b
     The history is cut to the context on the JVM side; the scorer, built by
     ``scorer_factory`` once per Python worker, gets each Arrow batch as one matrix
     and gives numbers only (and its ``confidence``, if it states one).  Periods,
-    rounding and one row per step are made on the JVM side.
+    rounding and one row per step are made on the JVM side.  Requests that cannot be
+    scored (no history, a missing demand, a horizon out of range) give no rows and
+    stop nothing; ``unscorable`` lists them.
     """
     from tidemark.session import ship_package
     ship_package(requests.sparkSession)  # the scorer runs in executors' Python workers
-    prepared = requests.select(
+    prepared = requests.filter(_unscorable().isNull()).select(
         "product_id", F.col("horizon").cast("int").alias("horizon"),
         S.context_tail(F.col("history"), context).alias("tail"),
-        F.element_at(F.col("history"), -1)["period"].alias("last_period"),
+        F.try_element_at(F.col("history"), F.lit(-1))["period"].alias("last_period"),
     ).select("product_id", "horizon", "last_period", F.col("tail.demand").cast("array<double>").alias("series"))
 
     def run(batches):

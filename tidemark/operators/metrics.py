@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from tidemark import vocab
 from tidemark.functions import scalars as S
 
-SKETCH_ACCURACY = 10000  # of the streams' percentiles: exact below that many points in a window
 PIECES = 1024            # pieces of values per unit of their logarithm in which a rank is sought
 
 RULE_SCHEMA = T.StructType([
@@ -37,46 +36,73 @@ def alarm_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(vocab.ALARM_RULES), RULE_SCHEMA)
 
 
+SERIES = ("metric_id", "name", "dim_value")
+RULED = ("name", "dim_value")  # what an alarm rule names: all points of the pair are one series
+
+
 def _piece() -> F.Column:
-    """The piece of the value scale that holds ``value``: pieces are a thousandth of the
-    logarithm wide, the same for all groups, and null for a missing value."""
-    return F.floor(F.signum("value") * F.log1p(F.abs("value")) * PIECES).cast("int")
+    """The piece of the value scale that holds ``value``, in the order of values: pieces
+    are a thousandth of the logarithm wide, the same for all groups.  Missing values,
+    infinities and NaN (above all numbers) have pieces of their own."""
+    value, edge = F.col("value").cast("double"), F.lit(1_000_000.0)  # no finite value reaches the edge
+    place = F.greatest(F.least(F.floor(F.signum(value) * F.log1p(F.abs(value)) * PIECES).cast("double"), edge), -edge)
+    return (F.when(value.isNull(), F.lit(-2_000_000)).when(F.isnan(value), F.lit(2_000_000))
+             .when(F.abs(value) == float("inf"), F.when(value > 0, edge).otherwise(-edge).cast("int"))
+             .otherwise(place.cast("int")))
+
+
+def window_counts(metrics: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
+                  group: tuple[str, ...] = SERIES, ts: str = "ts") -> DataFrame:
+    """Points per (group, period, value) as (*group, w, value, n): what is kept of a
+    finished period.  All statistics follow from it, also those of longer periods
+    (``roll_up``), without the points."""
+    w = F.window(F.col(ts), f"{period_seconds} seconds")
+    return metrics.groupBy(*group, w.alias("w"), "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def window_stats(metrics: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
-                 group: tuple[str, ...] = ("metric_id", "name", "dim_value"), ts: str = "ts") -> DataFrame:
-    """Sum / max / avg / count / p50 / p99 per group and fixed period.  Points without
-    a value count as samples and nothing else.
+def roll_up(counts: DataFrame, period_seconds: int, group: tuple[str, ...] = SERIES) -> DataFrame:
+    """The counts of longer periods, each a whole number of the shorter ones."""
+    w = F.window(F.col("w.start"), f"{period_seconds} seconds")
+    return counts.groupBy(*group, w.alias("w"), "value").agg(F.sum("n").alias("n"))
+
 
-    Percentiles are nearest ranks.  Counts per piece of the value scale (some ten
-    thousand a group at most) tell which piece holds a rank, and only the distinct
-    values of that piece are ranked.
+def stats_of_counts(counts: DataFrame, group: tuple[str, ...] = SERIES) -> DataFrame:
+    """Sum / max / avg / count / p50 / p99 per group and period of ``window_counts``.
+    Points without a value count as samples and nothing else.
+
+    Percentiles are nearest ranks.  Counts per piece of the value scale tell which
+    piece holds a rank, and only the distinct values of that piece are ranked.  The
+    group is one struct key, in which a missing dimension equals itself.
     """
-    keys = [*group, "w"]
-    w = F.window(F.col(ts), f"{period_seconds} seconds")
-    counts = metrics.groupBy(*group, w.alias("w"), "value").agg(F.count(F.lit(1)).alias("n")).withColumn("_piece", _piece())
+    rows = counts.select(F.struct(*group, "w").alias("_k"), _piece().alias("_piece"), "value", "n").repartition("_k", "_piece")
     known = F.when(F.col("value").isNotNull(), F.col("n"))
-    pieces = counts.groupBy(*keys, "_piece").agg(
-        F.sum("n").alias("_all"), F.coalesce(F.sum(known), F.lit(0)).alias("_n"),
+    pieces = rows.groupBy("_k", "_piece").agg(
+        F.sum("n").alias("_samples"), F.coalesce(F.sum(known), F.lit(0)).alias("_n"),
         F.sum(F.col("value") * F.col("n")).alias("_sum"), F.max("value").alias("_max"))
-    whole = Window.partitionBy(*keys)
-    pieces = pieces.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_piece")), "_total": F.sum("_n").over(whole)})
-    stats = pieces.groupBy(*keys).agg(F.sum("_sum").alias("sum"), F.max("_max").alias("max"),
-                                      (F.sum("_sum") / F.nullif(F.sum("_n"), F.lit(0))).alias("avg"),
-                                      F.sum("_all").alias("samples"))
+    whole = Window.partitionBy("_k")
+    upto, total = F.sum("_n").over(whole.orderBy("_piece")), F.sum("_n").over(whole)
+    stats = F.struct(F.sum("_sum").over(whole).alias("sum"), F.max("_max").over(whole).alias("max"),
+                     (F.sum("_sum").over(whole) / F.nullif(total, F.lit(0))).alias("avg"),
+                     F.sum("_samples").over(whole).alias("samples"))
     ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.ceil(F.col("_total") * q).alias("rank"))
                                 for name, q in (("p50", 0.5), ("p99", 0.99))])).alias("_w")
-    before = (F.col("_upto") - F.col("_n")).alias("_before")
-    hit = pieces.select(*keys, "_piece", before, "_upto", ranks)
-    hit = hit.filter((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_upto"))).drop("_upto")
-    inside = counts.join(hit, [*keys, "_piece"])
-    upto = F.col("_before") + F.sum("n").over(Window.partitionBy(*keys, "_w").orderBy("value"))
-    inside = inside.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_w.rank"))
-    found = inside.groupBy(*keys).agg(*[F.min(F.when(F.col("_w.name") == name, F.col("value"))).alias(name)
-                                        for name in ("p50", "p99")])
-    return stats.join(found, keys, "left").select(
-        *group, F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"),
-        "sum", "max", "avg", "samples", "p50", "p99")
+    hit = pieces.select("_k", "_piece", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), total.alias("_total"),
+                        stats.alias("_stats")).select("*", ranks)
+    # a group without values has rank 0 in its only piece
+    hit = hit.filter((F.col("_w.rank") <= F.col("_upto")) & ((F.col("_w.rank") > F.col("_before")) | (F.col("_total") == 0)))
+    inside = rows.join(hit.drop("_upto", "_total"), ["_k", "_piece"])
+    within = Window.partitionBy("_k", "_piece", "_w").orderBy("value")
+    inside = inside.withColumn("_reached", F.col("_before") + F.sum("n").over(within) >= F.col("_w.rank"))
+    ranked = [F.min(F.when((F.col("_w.name") == name) & F.col("_reached"), F.col("value"))).alias(name) for name in ("p50", "p99")]
+    found = inside.groupBy("_k").agg(F.any_value("_stats").alias("_stats"), *ranked)
+    return found.select(*[F.col(f"_k.{c}").alias(c) for c in group], F.col("_k.w.start").alias("period_start"),
+                        F.col("_k.w.end").alias("period_end"), "_stats.*", "p50", "p99")
+
+
+def window_stats(metrics: DataFrame, period_seconds: int = vocab.ALARM_PERIOD_SECONDS,
+                 group: tuple[str, ...] = SERIES, ts: str = "ts") -> DataFrame:
+    """``stats_of_counts`` of a metrics table."""
+    return stats_of_counts(window_counts(metrics, period_seconds, group, ts), group)
 
 
 def _stat(stat_col):
@@ -93,8 +119,12 @@ def _breach(value):
 
 
 def evaluate_rules(stats: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per (alarm, period): the rule's statistic and whether it breaches."""
-    j = stats.join(rules, ["name", "dim_value"])
+    """Per (alarm, period): the rule's statistic and whether it breaches.  ``stats``
+    has one row per period and (name, dim_value), see ``RULED``; a rule without a
+    dim_value is for the points without one."""
+    named = rules.select(F.col("name").alias("_name"), F.col("dim_value").alias("_dim"),
+                         *[c for c in rules.columns if c not in RULED])
+    j = stats.join(named, (F.col("name") == F.col("_name")) & F.col("dim_value").eqNullSafe(F.col("_dim")))
     value = _stat(F.col("statistic"))
     return j.select("alarm", "name", "dim_value", "statistic", "threshold", "periods",
                     "period_start", "period_end", value.alias("stat_value"), _breach(value).alias("breach"))
@@ -104,11 +134,12 @@ def evaluate_metrics(metrics: DataFrame, rules: DataFrame, period_seconds: int =
     """``evaluate_rules`` on a metrics table: percentiles are ranked only for the series
     whose rules ask for one, all other statistics take one plain aggregate."""
     by_rank = F.col("statistic").isin("p50", "p99")
-    series = rules.filter(by_rank).select("name", "dim_value").distinct()
-    ranked = window_stats(metrics.join(series, ["name", "dim_value"], "left_semi"), period_seconds)
-    plain = metrics.groupBy("name", "dim_value", F.window("ts", f"{period_seconds} seconds").alias("w")).agg(
+    series = rules.filter(by_rank).select(F.col("name").alias("_name"), F.col("dim_value").alias("_dim")).distinct()
+    of_rank = (F.col("name") == F.col("_name")) & F.col("dim_value").eqNullSafe(F.col("_dim"))
+    ranked = window_stats(metrics.join(series, of_rank, "left_semi"), period_seconds, RULED)
+    plain = metrics.groupBy(*RULED, F.window("ts", f"{period_seconds} seconds").alias("w")).agg(
         F.sum("value").alias("sum"), F.max("value").alias("max"), F.avg("value").alias("avg"))
-    plain = plain.select("name", "dim_value", F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"),
+    plain = plain.select(*RULED, F.col("w.start").alias("period_start"), F.col("w.end").alias("period_end"),
                          "sum", "max", "avg", *[F.lit(None).cast("double").alias(c) for c in ("p50", "p99")])
     return evaluate_rules(plain, rules.filter(~by_rank)).unionByName(evaluate_rules(ranked, rules.filter(by_rank)))
 
@@ -120,7 +151,7 @@ def alarm_consecutive(evaluated: DataFrame, period_seconds: int = vocab.ALARM_PE
     does not breach; its length up to a period is the distance from its start.  Two
     functions over one window, so one sort, whatever the rules' N.
     """
-    rule = Window.partitionBy("alarm", "name", "dim_value").orderBy("_epoch")
+    rule = Window.partitionBy("alarm", *RULED).orderBy("_epoch")
     df = evaluated.withColumn("_epoch", F.unix_seconds(F.col("period_start").cast("timestamp")))
     follows = (F.lag("_epoch").over(rule) == F.col("_epoch") - period_seconds) & F.lag("breach").over(rule)
     starts = F.col("breach") & ~F.coalesce(follows, F.lit(False))

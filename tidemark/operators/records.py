@@ -10,9 +10,8 @@ shuffle.
 from __future__ import annotations
 
 import base64
-import binascii
 import json
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -173,27 +172,47 @@ def critical_inventory_count(inv: DataFrame) -> DataFrame:
 
 
 class InvalidPageToken(ValueError):
-    """The token is not one that ``encode_page_token`` made."""
+    """The text is not the token of a page of this table."""
 
 
-def encode_page_token(last_key: dict | None) -> str | None:
-    """The cursor as opaque URL-safe text; None when there is no further page."""
-    if not last_key:
-        return None
-    return base64.urlsafe_b64encode(json.dumps(last_key, sort_keys=True).encode()).decode()
-
-
-def decode_page_token(token: str | None) -> dict | None:
-    """The cursor of a token; None for no token.  Raises InvalidPageToken."""
-    if not token:
-        return None
-    try:
-        key = json.loads(base64.b64decode(token.encode(), altchars=b"-_", validate=True).decode())
-    except (ValueError, binascii.Error) as exc:
-        raise InvalidPageToken("Invalid pagination token") from exc
-    if not isinstance(key, dict):
-        raise InvalidPageToken("Invalid pagination token")
-    return key
+@dataclass(frozen=True)
+class PageCursor:
+    """Where a page ends in the order (key, null keys last, rest of the row): the last
+    row's key as text with its type, the hash of its other columns, and how many rows of
+    the page are equal to it."""
+    column: str
+    type: str
+    value: str | None
+    rest: int
+    equal: int
+
+    def token(self) -> str:
+        return base64.urlsafe_b64encode(json.dumps(astuple(self)).encode()).decode()
+
+    @classmethod
+    def parse(cls, token: str, df: DataFrame, key: str) -> PageCursor:
+        """The cursor of a token for ``df`` by ``key``; raises InvalidPageToken."""
+        try:
+            cursor = cls(*json.loads(base64.b64decode(token, altchars=b"-_", validate=True)))
+            fits = (cursor.column, cursor.type) == (key, df.schema[key].dataType.simpleString())
+            whole = isinstance(cursor.rest, int) and isinstance(cursor.equal, int) and isinstance(cursor.value, str | None)
+        except (ValueError, TypeError) as exc:
+            raise InvalidPageToken("not a page token") from exc
+        if not fits or not whole:
+            raise InvalidPageToken(f"not the token of a page by {key}")
+        return cursor
+
+    def from_here(self) -> Column:
+        """Rows at the cursor or after it; a filter on the key that the scan can use."""
+        key, rest = F.col(self.column), F.col(_REST)
+        if self.value is None:
+            return key.isNull() & (rest >= self.rest)
+        at = F.lit(self.value).cast(self.type)
+        return key.isNull() | (key > at) | ((key == at) & (rest >= self.rest))
+
+
+_REST = "_rest_of_row"
+_CURSOR_TYPES = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp")
 
 
 @dataclass(frozen=True)
@@ -202,42 +221,63 @@ class Page:
     next_token: str | None
 
 
+def page_order(key: str) -> Column:
+    return F.col(key).asc_nulls_last()
+
+
 def page_keyset(df: DataFrame, key: str, page_size: int, token: str | None = None) -> Page:
-    """One page: the ``page_size`` rows after the token's cursor in the order of the
-    unique ``key``, and the token of the next page if there is one.
+    """One page: the ``page_size`` rows after the token's cursor, and the token of the
+    next page if there is one.
 
-    A page is a top-k (partial top-k per task, then a merge) over a range filter
-    that reaches the scan.  One row more than the page tells whether there is a
-    next page; the cursor, a single key, is all that reaches the driver.
+    The order is by ``key``, rows without a key last; rows that share a key (it is meant
+    to be unique) follow the hash of their other columns, so no row is lost at a border.
+    A page is a top-k (partial top-k per task, then a merge) over a range filter that
+    reaches the scan; only the page's keys reach the driver.
     """
     if not 1 <= page_size <= vocab.MAX_PAGE_SIZE:
         raise ValueError(f"limit must be between 1 and {vocab.MAX_PAGE_SIZE}")
-    cursor = decode_page_token(token)
+    kind = df.schema[key].dataType.simpleString()
+    if not kind.startswith(_CURSOR_TYPES):
+        raise TypeError(f"a page key cannot be of type {kind}")
+    cursor = PageCursor.parse(token, df, key) if token else None
+    rest = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in df.columns if c != key])))
+    rows, skip = df.withColumn(_REST, rest), 0
     if cursor is not None:
-        if key not in cursor:
-            raise InvalidPageToken("Invalid pagination token")
-        df = df.filter(F.col(key) > F.lit(cursor[key]))
-    tail = df.select(key).orderBy(key).limit(page_size + 1).orderBy(F.col(key).desc()).limit(2)
-    count = df.select(key).orderBy(key).limit(page_size + 1).count()
-    last = [r[0] for r in tail.collect()]
-    more = count > page_size
-    next_token = encode_page_token({key: last[1]}) if more else None
-    return Page(df.orderBy(key).limit(page_size), next_token)
-
-
-def pages(df: DataFrame, key: str, page_size: int, most: int | None = None) -> DataFrame:
-    """The rows of the first ``most`` pages (all when None) with ``page`` from 1,
-    walked through the cursor."""
-    token, number, out = None, 0, None
-    while most is None or number < most:
-        page = page_keyset(df, key, page_size, token)
-        number += 1
-        rows = page.items.withColumn("page", F.lit(number))
-        out = rows if out is None else out.unionByName(rows)
-        token = page.next_token
-        if token is None:
-            break
-    return out
+        rows, skip = rows.filter(cursor.from_here()), cursor.equal
+    rows = rows.orderBy(page_order(key), _REST).limit(skip + page_size + 1)
+    ends = rows.select(F.col(key).cast("string"), _REST).collect()  # a page's keys and those it starts after
+    here = ends[skip:skip + page_size]
+    items = rows.limit(skip + page_size)
+    if skip:  # rows equal to the cursor's: the first are on the page before
+        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(page_order(key), _REST))
+        items = items.withColumn("_place", place).filter(F.col("_place") > skip).drop("_place")
+    next_token = None
+    if len(ends) > skip + page_size:
+        equal = sum(1 for r in ends[:skip + page_size] if r == here[-1])
+        next_token = PageCursor(key, kind, here[-1][0], here[-1][1], equal).token()
+    return Page(items.drop(_REST), next_token)
+
+
+def paged(df: DataFrame, key: str, page_size: int) -> DataFrame:
+    """Every row with the number of its page, from 1.  One range sort and a prefix sum
+    number all pages at once; none is walked to."""
+    if "page" in df.columns:
+        raise ValueError("the rows have a column page already")
+    placed = with_positions(df, None, [page_order(key)])
+    return placed.withColumn("page", F.floor((F.col("pos") - 1) / page_size + 1).cast("long")).drop("pos")
+
+
+def page_directory(df: DataFrame, key: str, page_size: int) -> DataFrame:
+    """One row per page of the table: page, first_key, last_key (null keys come last),
+    n_rows and has_next.  The page that holds a key, or that follows a cursor, is found
+    here by its border keys."""
+    pages = paged(df.select(key), key, page_size)
+    last_page = pages.agg(F.max("page")).scalar()
+    present = F.max(key).alias("_max")
+    borders = pages.groupBy("page").agg(F.min(key).alias("first_key"), present, F.count_if(F.col(key).isNull()).alias("_nulls"),
+                                        F.count(F.lit(1)).alias("n_rows"))
+    return borders.select("page", "first_key", F.when(F.col("_nulls") == 0, F.col("_max")).alias("last_key"), "n_rows",
+                          (F.col("page") < last_page).alias("has_next"))
 
 
 def top_alerts(inv: DataFrame, n: int = 3) -> DataFrame:

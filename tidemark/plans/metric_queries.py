@@ -22,10 +22,6 @@ from tidemark.sources import files
 _P = 300
 
 
-def _stats(spark, sf):
-    return M.window_stats(V.metrics(spark, sf))
-
-
 def _consecutive(spark, sf):
     return M.alarm_consecutive(M.evaluate_metrics(V.metrics(spark, sf), M.alarm_rules(spark)))
 
@@ -43,7 +39,10 @@ FROM (SELECT *, TIMESTAMP '1970-01-01 00:00:00' + to_seconds(CAST(floor(epoch(ts
       FROM metrics) m GROUP BY metric_id, ps""", ("window_stats", "metrics"))
 def window_stats(spark, sf):
     """Alarm periods, and weeks, whose many points tell p99 from the maximum."""
-    s = _stats(spark, sf).unionByName(M.window_stats(V.metrics(spark, sf), _WEEK))
+    path = scratch_path(spark, "metric_windows")  # the points are counted once; weeks are sums of the stored periods
+    files.sink_parquet(M.window_counts(V.metrics(spark, sf)), path)
+    counts = spark.read.parquet(path)
+    s = M.stats_of_counts(counts).unionByName(M.stats_of_counts(M.roll_up(counts, _WEEK)))
     return s.select("metric_id", "period_start", "period_end", F.round("sum", 6).alias("sum"), "max",
                     F.round("avg", 6).alias("avg"), "samples", "p50", "p99")
 

@@ -8,7 +8,7 @@ from tidemark import vocab
 from tidemark.functions import scalars as S
 from tidemark.operators import metrics as M
 from tidemark.operators import records as R
-from tidemark.plans import views as V
+from tidemark.plans import stored, views as V
 from tidemark.plans.oracle_views import q, severity_rank_sql
 from tidemark.plans.registry import register
 from tidemark.session import scratch_path
@@ -40,10 +40,9 @@ def _positions(columns: str, table: str, key: str, order: str) -> str:
   SELECT * FROM metrics WHERE metric_id IN ({', '.join(q(s) for s in _RULED_SERIES)})) m""", "metric_id",
                                       "ts DESC, value"), ("metrics",))
 def scan_index_eq(spark, sf):
-    """Read the series that the alarm rules watch from the stored metrics table."""
-    path = scratch_path(spark, "metrics_table")
-    files.sink_parquet(V.metrics(spark, sf), path)
-    rows = R.scan_index_eq(spark.read.parquet(path), "metric_id", _RULED_SERIES, R.series_order())
+    """Read the series that the alarm rules watch from the stored index of the metrics."""
+    metrics = stored.index(spark, sf, "metrics", "metric_id", R.series_order())
+    rows = R.scan_index_eq(metrics, "metric_id", _RULED_SERIES, R.series_order())
     return _ordered(rows, "metric_id", R.series_order(), "metric_id", "ts", "value")
 
 
@@ -51,8 +50,9 @@ def scan_index_eq(spark, sf):
 SELECT r.report_id, r.requested_at, p.title, p.report_type, p.report_id IS NOT NULL AS found
 FROM report_requests r LEFT JOIN reports p ON r.report_id = p.report_id""", ("report_requests", "reports"))
 def get_by_key(spark, sf):
-    t = V.reports(spark, sf).select("report_id", "title", "report_type")
-    return R.get_by_key(t, V.report_requests(spark, sf), "report_id") \
+    requests = V.report_requests(spark, sf)
+    held = stored.keyed(spark, sf, "reports", "report_id").lookup(requests)
+    return R.get_by_key(held.select("report_id", "title", "report_type"), requests, "report_id") \
             .select("report_id", "requested_at", "title", "report_type", "found")
 
 
@@ -186,18 +186,24 @@ def sort_newest_first(spark, sf):
     return _ordered(rows, None, R.newest("created_at", "report_id"), "report_id", "created_at")
 
 
-_PAGES = 4
+_PAGE_OF = f"CAST(floor((ROW_NUMBER() OVER (ORDER BY alert_id NULLS LAST) - 1) / {vocab.DEFAULT_PAGE_SIZE}) + 1 AS BIGINT)"
 
 
-@register("page_keyset", f"""
-SELECT alert_id, CAST(floor((rn - 1) / {vocab.DEFAULT_PAGE_SIZE}) + 1 AS INTEGER) AS page
-FROM (SELECT alert_id, ROW_NUMBER() OVER (ORDER BY alert_id) AS rn FROM alerts) t
-WHERE rn <= {_PAGES * vocab.DEFAULT_PAGE_SIZE}""", ("alerts",))
+@register("page_keyset", f"SELECT alert_id, {_PAGE_OF} AS page FROM alerts", ("alerts",))
 def page_keyset(spark, sf):
-    """The first pages of the stored alerts table, each after the cursor of the one before."""
-    path = scratch_path(spark, "alerts_table")
-    files.sink_parquet(V.alerts(spark, sf).select("alert_id", "title"), path)
-    return R.pages(spark.read.parquet(path), "alert_id", vocab.DEFAULT_PAGE_SIZE, _PAGES).select("alert_id", "page")
+    """Every alert with the page that the cursor reaches it on."""
+    alerts = stored.keyed(spark, sf, "alerts", "alert_id").read()
+    return R.paged(alerts.select("alert_id"), "alert_id", vocab.DEFAULT_PAGE_SIZE)
+
+
+@register("page_directory", f"""
+SELECT page, min(alert_id) AS first_key, CASE WHEN count(*) = count(alert_id) THEN max(alert_id) END AS last_key,
+       count(*) AS n_rows, page < max(max(page)) OVER () AS has_next
+FROM (SELECT alert_id, {_PAGE_OF} AS page FROM alerts) p GROUP BY page""", ("alerts",))
+def page_directory(spark, sf):
+    """The border keys of all pages."""
+    alerts = stored.keyed(spark, sf, "alerts", "alert_id").read()
+    return R.page_directory(alerts, "alert_id", vocab.DEFAULT_PAGE_SIZE)
 
 
 @register("top3_alerts", f"""
@@ -209,4 +215,9 @@ def top3_alerts(spark, sf):
 
 @register("ttl_retention", f"SELECT kpi_id, ts, ttl FROM kpis WHERE ttl IS NULL OR ttl > {AS_OF_EPOCH}", ("kpis",))
 def ttl_retention(spark, sf):
-    return R.ttl_retention(V.kpis(spark, sf), AS_OF_EPOCH).select("kpi_id", "ts", "ttl")
+    """Rows laid out by the day they expire: retention removes whole days, and the read
+    opens no folder of a past one."""
+    path = scratch_path(spark, "kpis_by_expiry")
+    files.sink_expiring(V.kpis(spark, sf), path, "load-1")
+    files.drop_expired(spark, path, AS_OF_EPOCH)
+    return files.read_unexpired(spark, path, AS_OF_EPOCH).select("kpi_id", "ts", "ttl")

@@ -4,8 +4,6 @@ end (window end > newest event time - lateness) are added with ``closed`` false.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from tidemark import vocab
@@ -81,7 +79,7 @@ def stream_tumbling_metrics(spark, sf):
     for period in TUMBLING_PERIODS:
         ST.run_tumbling_metrics(spark, f"{base}/landing", schema, f"{base}/out_{period}",
                                 f"{base}/_checkpoint_{period}", period_seconds=period)
-        s = _with_open(spark.read.parquet(f"{base}/out_{period}"), ST.open_stats(landing, period)).select(
+        s = _with_open(spark.read.parquet(f"{base}/out_{period}").drop("batch_id"), ST.open_stats(landing, period)).select(
             "metric_id", "period_start", "period_end", F.round("sum", 6).alias("sum"), "max", "samples", "p99",
             F.lit(period).alias("period_seconds"), "closed")
         out = s if out is None else out.unionByName(s)
@@ -95,7 +93,7 @@ def stream_threshold_alarm(spark, sf):
     base, schema = _staged_metrics(spark, sf)
     ST.run_threshold_alarm(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/_checkpoint")
     landing = spark.read.schema(schema).parquet(f"{base}/landing")
-    still_open = M.evaluate_rules(ST.open_stats(landing), M.alarm_rules(spark)).filter("breach")
+    still_open = M.evaluate_rules(ST.open_stats(landing, group=M.RULED), M.alarm_rules(spark)).filter("breach")
     s = _with_open(spark.read.parquet(f"{base}/out").drop("batch_id"), still_open)
     return s.select("alarm", "period_start", F.round("stat_value", 6).alias("stat_value"), "closed")
 
@@ -118,9 +116,34 @@ GROUP BY alarm, periods, ws""")
 def stream_consecutive_alarm(spark, sf):
     base, schema = _staged_metrics(spark, sf)
     rules = M.alarm_rules(spark)
-    out = ST.run_consecutive_alarm(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/_checkpoint", rules=rules)
+    ST.run_consecutive_alarm(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/_checkpoint", rules=rules)
     landing = spark.read.schema(schema).parquet(f"{base}/landing")
-    closed = functools.reduce(lambda a, b: a.unionByName(b), [spark.read.parquet(p) for p in out.values()])
-    s = _with_open(closed, ST.open_consecutive(landing, rules))
+    s = _with_open(ST.closed_windows(spark, f"{base}/out"), ST.open_consecutive(landing, rules))
     return s.select("alarm", "periods", "window_start", "window_end", "breaching_periods", "periods_with_data",
                     "in_alarm", "closed")
+
+
+def _changes_sql() -> str:
+    """State changes at periods that have closed: ``changed_at`` is a period's start."""
+    p = vocab.ALARM_PERIOD_SECONDS
+    ended = _CLOSED.format(f"changed_at + to_seconds({p})")
+    return f"""
+SELECT alarm, changed_at, state FROM (
+  SELECT alarm, period_start AS changed_at, 'ALARM' AS state FROM (
+    SELECT alarm, period_start, lag(period_start) OVER (PARTITION BY alarm ORDER BY period_start) AS prev
+    FROM consecutive WHERE in_alarm) a
+  WHERE prev IS NULL OR prev <> period_start - to_seconds({p})
+  UNION ALL
+  SELECT alarm, period_start + to_seconds({p}), 'OK' FROM (
+    SELECT alarm, period_start, lead(period_start) OVER (PARTITION BY alarm ORDER BY period_start) AS nxt
+    FROM consecutive WHERE in_alarm) b
+  WHERE nxt IS NULL OR nxt <> period_start + to_seconds({p})) c
+WHERE {ended}"""
+
+
+@register("stream_alarm_transitions", _changes_sql(), ("consecutive", "metrics"))
+def stream_alarm_transitions(spark, sf):
+    """State changes as the stream reports them, all rules in one query."""
+    base, schema = _staged_metrics(spark, sf)
+    ST.run_consecutive_alarm(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/_checkpoint")
+    return ST.state_changes(spark, f"{base}/out")

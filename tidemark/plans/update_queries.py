@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import vocab
 from tidemark.operators import updates as U
 from tidemark.operators import validate as Val
-from tidemark.plans import views as V
+from tidemark.plans import stored, views as V
 from tidemark.plans.oracle_views import iso_sql, nth_request_sql, q
 from tidemark.plans.registry import register
 from tidemark.session import scratch_path
@@ -34,8 +34,11 @@ SELECT i.alert_id, COALESCE(r.alert_id IS NOT NULL, FALSE) AS updated,
 FROM inventory_alerts i LEFT JOIN {_latest('inventory_ack_requests', 'alert_id')} r ON i.alert_id = r.alert_id""",
           ("inventory_alerts", "inventory_ack_requests"))
 def update_existing(spark, sf):
-    snap = U.acknowledge(V.inventory_alerts(spark, sf), V.inventory_ack_requests(spark, sf))
-    return snap.select("alert_id", "updated", "acknowledged", "acknowledged_at")
+    """The requests applied to the stored table: only rows that they name are written."""
+    table = stored.changed_copy(spark, sf, "inventory_alerts", "alert_id", acknowledged_at=F.lit(None).cast("timestamp_ntz"))
+    requests = V.inventory_ack_requests(spark, sf)
+    table.apply("acks-1", requests, lambda rows: U.acknowledge(rows, requests))
+    return table.read(mark="updated").select("alert_id", "updated", "acknowledged", "acknowledged_at")
 
 
 @register("acknowledge_alerts", f"""
@@ -44,8 +47,10 @@ SELECT a.alert_id, CASE WHEN r.alert_id IS NOT NULL THEN TRUE ELSE a.acknowledge
 FROM alerts a LEFT JOIN {_latest('alert_ack_requests', 'alert_id')} r ON a.alert_id = r.alert_id""",
           ("alerts", "alert_ack_requests"))
 def acknowledge_alerts(spark, sf):
-    snap = U.acknowledge(V.alerts(spark, sf), V.alert_ack_requests(spark, sf))
-    return snap.select("alert_id", "acknowledged", "acknowledged_at")
+    table = stored.changed_copy(spark, sf, "alerts", "alert_id")
+    requests = V.alert_ack_requests(spark, sf)
+    table.apply("acks-1", requests, lambda rows: U.acknowledge(rows, requests))
+    return table.read().select("alert_id", "acknowledged", "acknowledged_at")
 
 
 @register("update_not_found", """
@@ -125,7 +130,10 @@ FROM access_controls a
 LEFT JOIN {nth_request_sql('access_requests', 'user_id', 'DESC', _ACCEPTED_ACCESS)} r ON a.user_id = r.user_id AND r.rn = 1""",
           ("access_requests", "access_controls"))
 def access_replace(spark, sf):
-    snap, outcomes, _ = U.access_replace(V.access_controls(spark, sf), V.access_requests(spark, sf))
+    table = stored.changed_copy(spark, sf, "access_controls", "user_id")
+    before, requests = table.version(), V.access_requests(spark, sf)
+    table.apply("replace-1", requests, lambda rows: U.access_replace(rows, requests)[0])
+    snap, outcomes = table.read(), U.access_replace(table.lookup(requests, before), requests)[1]
     return _both(snap.select("user_id", F.array_join("permissions", ",").alias("permissions"), "updated_at"),
                  outcomes.select("user_id", "request_id", "requested_at", "status_code", "error"))
 
@@ -199,7 +207,10 @@ LEFT JOIN {_newest('data_quality')} q ON d.source_id = q.source_id
 LEFT JOIN (SELECT source_id, max(requested_at) AS at FROM checked_patches WHERE error IS NULL GROUP BY 1) u
   ON d.source_id = u.source_id""", ("data_sources", "checked_patches"))
 def data_source_patch(spark, sf):
-    snap, outcomes = U.data_source_patch(V.data_sources(spark, sf), V.source_patches(spark, sf))
+    table = stored.changed_copy(spark, sf, "data_sources", "source_id")
+    before, patches = table.version(), V.source_patches(spark, sf)
+    table.apply("patches-1", patches, lambda rows: U.data_source_patch(rows, patches)[0])
+    snap, outcomes = table.read(), U.data_source_patch(table.lookup(patches, before), patches)[1]
     return _both(snap.select("source_id", "name", "status", "records_processed", "data_quality", "updated_at"),
                  outcomes.select("source_id", "request_id", "requested_at", "status_code", "error"))
 
@@ -212,8 +223,10 @@ SELECT p.report_id, CASE WHEN r.report_id IS NOT NULL THEN 'ready' ELSE p.status
 FROM reports p LEFT JOIN {nth_request_sql('report_requests', 'report_id', 'DESC')} r ON p.report_id = r.report_id AND r.rn = 1""",
           ("reports", "report_requests"))
 def report_generate(spark, sf):
-    snap, _ = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))
-    return snap.select("report_id", "status", "generated_at", "object_key")
+    table = stored.changed_copy(spark, sf, "reports", "report_id")
+    requests = V.report_requests(spark, sf)
+    table.apply("reports-1", requests, lambda rows: U.report_generate(rows, requests)[0])
+    return table.read().select("report_id", "status", "generated_at", "object_key")
 
 
 @register("sink_report_json", f"""
