@@ -27,6 +27,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for i in range(len(taken) + 1) if (n := "_" * i + name).lower() not in taken) for name in names]
+
+
 def text_or_empty(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

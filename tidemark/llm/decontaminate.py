@@ -8,7 +8,8 @@ frequent; most windows end at the first or second list.  Proximity matches allow
 each term to stand a few words off its place.
 
 Shards are made and searched where the documents are, so postings are not
-shuffled.  The benchmark goes to every task in blocks of bounded size.
+shuffled.  The benchmark goes to every task in blocks of bounded size, one block at a
+time; documents are staged under row numbers first where there are several.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_blocks, stage, text_bytes, word_hashes, word_spans
+from tidemark.llm import bloom
+from tidemark.llm.common import byte_blocks, free_names, stage, text_bytes, word_hashes, word_spans
 
 WINDOW = 13
 GAP = 64                      # free positions between documents, more than a window and its slop
 SHARD = 3 << 20               # text bytes indexed together
-BENCHMARK_BLOCK = 32 << 20    # benchmark text bytes sent to the tasks at once
+BENCHMARK_BLOCK = 8 << 20     # benchmark text bytes sent to the tasks at once (some 13 times that in memory)
+SLOP = 2                      # words that a term may stand off its place in a proximity match
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -155,58 +159,84 @@ def hits(shard: Shard, windows: Windows, slop: int = 0) -> tuple[pa.Array, pa.Ar
             pa.array([sorted(near.get(d, ())) for d in range(docs)], pa.list_(pa.string())))
 
 
-def benchmark_blocks(benchmark: DataFrame, limit: int = BENCHMARK_BLOCK) -> Iterator[Windows]:
-    """The benchmark's windows, block by block; a block holds about ``limit`` bytes
-    of text.  Items without words have no window; a null id shows as ``""``."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter(
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter(
         F.col("text").isNotNull())
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // limit) or 1
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        yield Windows.of(sorted((r.item, r.text) for r in rows))
 
 
-def build_index(docs: DataFrame, windows: Windows) -> DataFrame:
-    """Stored postings of the corpus for the terms of ``windows``: a row per shard."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(windows.vocabulary)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def block_total(benchmark: DataFrame, limit: int = BENCHMARK_BLOCK) -> int:
+    """How many blocks of about ``limit`` bytes of text the benchmark makes."""
+    size = _items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return -(-size // limit) or 1
+
+
+def benchmark_block(benchmark: DataFrame, block: int, blocks: int) -> Windows:
+    """The windows of one block.  Items without words have no window; a null id shows
+    as ``""``.  At most a block's text reaches the driver."""
+    rows = _items(benchmark).filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+    return Windows.of(sorted((r.item, r.text) for r in rows))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id and text of all documents, staged: every later pass over them sees the
+    same row numbers."""
+    return stage(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered_docs")
+
+
+def build_index(rows: DataFrame, windows: Windows) -> DataFrame:
+    """Stored postings of ``rows`` (row, doc_id, text) for the terms of ``windows``: a row
+    per shard."""
+    vocabulary = rows.sparkSession.sparkContext.broadcast(windows.vocabulary)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in byte_blocks(batches, "text", SHARD):
             shard = Shard.of(block.column("text"), vocabulary.value)
-            ids = block.column("doc_id").combine_chunks()
+            of = [block.column(c).combine_chunks() for c in ("row", "doc_id")]
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                [*[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in of],
                  *[pa.array([x], pa.list_(pa.int64())) for x in (shard.bounds, shard.first, shard.positions)]],
-                ["doc_ids", "bounds", "first", "positions"])
+                ["rows", "doc_ids", "bounds", "first", "positions"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_ids array<{id_type}>, bounds array<long>, first array<long>, positions array<long>")
-    return stage(rows.withColumn("shard", F.monotonically_increasing_id()), "postings")
+    made = rows.select("row", "doc_id", "text").mapInArrow(
+        run, f"rows array<long>, doc_ids array<{id_type}>, bounds array<long>, first array<long>, positions array<long>")
+    return stage(made, "postings")
 
 
 def search_index(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
-    """shard, place, doc_id, n_words, runs, items and near per indexed document."""
+    """row, doc_id, n_words, runs, items and near per indexed document."""
     shared = index.sparkSession.sparkContext.broadcast(windows)
     id_type = index.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids = batch.column("doc_ids")[i].values
+                rows, ids = (batch.column(c)[i].values for c in ("rows", "doc_ids"))
                 bounds, first, positions = (batch.column(c)[i].values.to_numpy(zero_copy_only=False)
                                             for c in ("bounds", "first", "positions"))
                 found = hits(Shard(bounds, first, positions), shared.value, slop)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), batch.column("shard")[i].as_py(), np.int64)),
-                     pa.array(np.arange(len(ids))), ids, pa.array(np.diff(bounds)), *found],
-                    ["shard", "place", "doc_id", "n_words", "runs", "items", "near"])
+                yield pa.RecordBatch.from_arrays([rows, ids, pa.array(np.diff(bounds)), *found],
+                                                 ["row", "doc_id", "n_words", "runs", "items", "near"])
 
-    return index.mapInArrow(run, f"shard long, place long, doc_id {id_type}, n_words long, "
+    return index.mapInArrow(run, f"row long, doc_id {id_type}, n_words long, "
                                  "runs array<struct<s:long,n:long>>, items array<string>, near array<string>")
 
 
+def _found(rows: DataFrame, benchmark: DataFrame, slop: int, block_bytes: int) -> DataFrame:
+    """``search_index`` over all blocks of the benchmark, one row per row of ``rows``.  With
+    several blocks ``rows`` must be staged."""
+    found, blocks = None, block_total(benchmark, block_bytes)
+    for b in range(blocks):
+        windows = benchmark_block(benchmark, b, blocks)
+        hit = search_index(build_index(rows, windows), windows, slop)
+        if blocks == 1:
+            return hit
+        hit = stage(hit, "benchmark_hits")  # its block can go before the next one comes
+        found = hit if found is None else found.unionByName(hit)
+    return found.groupBy("row", "doc_id", "n_words").agg(
+        *[F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items", "near")])  # one entry per block
+
+
 def hit_words(runs: Column) -> Column:
     """Words covered by runs that may overlap."""
     return F.aggregate(
@@ -229,43 +259,38 @@ def find(docs: DataFrame, benchmark: DataFrame, slop: int = 0, block_bytes: int
     words than a window is one window; without words it has none.  Repeated rows
     stay; an empty table gives an empty result; other columns are ignored.
     """
-    found = None
-    for windows in benchmark_blocks(benchmark, block_bytes):
-        rows = search_index(build_index(docs, windows), windows, slop)
-        if found is not None:
-            rows = found.unionByName(stage(rows, "benchmark_hits"))
-            rows = rows.groupBy("shard", "place", "doc_id", "n_words").agg(
-                *[F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items", "near")])  # one row per block
-        found = rows
+    if block_total(benchmark, block_bytes) > 1:
+        rows = numbered(docs)
+    else:  # one pass: a row is told by its number in that pass
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     n_hit = hit_words(F.col("runs"))
-    return found.select("doc_id", "n_words", "runs", n_hit.alias("n_hit"),
-                        F.array_sort(F.array_distinct("items")).alias("items"),
-                        F.array_sort(F.array_distinct("near")).alias("near_items"),
-                        contaminated(n_hit, F.col("n_words")).alias("contaminated"))
+    return _found(rows, benchmark, slop, block_bytes).select(
+        "doc_id", "n_words", "runs", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("items")).alias("items"),
+        F.array_sort(F.array_distinct("near")).alias("near_items"), contaminated(n_hit, F.col("n_words")).alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns.
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BENCHMARK_BLOCK) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns whatever these
+    are called: null and empty texts have no words and stay, texts of any length are
+    read whole, repeated rows share their fate, an empty table gives an empty result.
 
-    Shards are indexed and searched in passing and rows are filtered in place, so
-    the texts are not shuffled.
+    The rows are staged under a number and indexed, block by block of the benchmark.  A
+    Bloom filter over the contaminated numbers lets all other rows pass straight
+    through; only rows that may be contaminated are joined, so few texts move.
     """
-    out = docs
-    spark = docs.sparkSession
-    blocks = list(benchmark_blocks(benchmark))
-    shared = spark.sparkContext.broadcast(blocks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in byte_blocks(batches, "text", SHARD):
-            covered = None
-            for windows in shared.value:
-                shard = Shard.of(block.column("text"), windows.vocabulary)
-                runs = hits(shard, windows)[0].to_pylist()
-                covered = runs if covered is None else [a + b for a, b in zip(covered, runs)]
-            words = np.diff(shard.bounds)
-            hit = np.array([sum(r["n"] for r in _merged(np.array([r["s"] for r in rs]), np.array([r["s"] + r["n"] for r in rs])))
-                            for rs in covered])
-            keep = ~((hit > 0) & (20 * hit >= words))
-            yield from block.filter(pa.array(keep)).combine_chunks().to_batches()
-
-    return out.mapInArrow(run, out.schema)
+    number, bad = free_names(docs, "row", "contaminated_row")
+    staged = stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered_docs")
+    n_hit = hit_words(F.col("runs"))
+    found = _found(staged.select(F.col(number).alias("row"), "doc_id", "text"), benchmark, 0, block_bytes)
+    dirty = stage(found.filter(contaminated(n_hit, F.col("n_words"))).select(F.col("row").alias(bad)), "contaminated_rows")
+    hashes = dirty.select(F.xxhash64(bad).alias("h"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(bloom.build(hashes, dirty.count()))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        slots = bloom.hash_slots(h.to_numpy(np.int64).view(np.uint64), len(bitmap.value) * 8)
+        return pd.Series(bloom.has(bitmap.value, slots).all(axis=1))
+
+    suspect = maybe(F.xxhash64(number))
+    kept = staged.filter(suspect).join(dirty, F.col(number) == F.col(bad), "left_anti")
+    return staged.filter(~suspect).unionByName(kept).drop(number)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import byte_blocks, mix64, stage, text_bytes, word_hashes, word_spans
+from tidemark.llm.common import byte_blocks, free_names, mix64, stage, text_bytes, word_hashes, word_spans
 from tidemark.llm.components import components
 
 WORDS = 5
@@ -403,11 +403,10 @@ def _left_pairs(placed: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = stage(_block_pairs(large), "block_pairs")
     big = pairs.filter(F.length("own") > 0).select("key", F.col("own").alias("root")).distinct()
     large = large.join(big.withColumn("own", F.col("root")), ["key", "root"], "left").withColumn("own", F.coalesce("own", F.lit(b"")))
-    spread = pairs.groupBy("key", "own", "blocks").agg(F.collect_list(F.struct("block", "meet", "side")).alias("tasks"))
+    # a member meets the tasks of its own block and no others
     block = F.pmod(F.xxhash64(F.lit(7), "v"), F.col("blocks")).cast("int")
-    parts = (large.join(spread, ["key", "own"]).withColumn("mine", block)
-             .withColumn("task", F.explode(F.filter("tasks", lambda t: t["block"] == F.col("mine"))))
-             .withColumn("meet", F.col("task.meet")).withColumn("side", F.col("task.side")).select(columns))
+    dealt = large.join(pairs.select("key", "own", "blocks").distinct(), ["key", "own"]).withColumn("block", block)
+    parts = dealt.join(pairs.drop("blocks"), ["key", "own", "block"]).select(columns)
     left = whole.union(parts).join(known, "v").repartition("meet").sortWithinPartitions("meet")
     return stage(left.mapInArrow(_compare, "tile long, place int, a binary, b binary"), "left")
 
@@ -451,7 +450,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with their columns, that ``near_groups`` keeps.
+    """The rows of ``docs``, with their columns whatever these are called, that
+    ``near_groups`` keeps: null and empty texts, null ids and repeated rows as it says.
 
     A Bloom filter over the dropped rows lets all others pass straight through; only
     rows that may be dropped are joined with the dropped ones, so few texts move.
@@ -466,9 +466,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
         slots = bloom.hash_slots(h.to_numpy(np.int64).view(np.uint64), len(bitmap.value) * 8)
         return pd.Series(bloom.has(bitmap.value, slots).all(axis=1))
 
-    # names of its own for the dropped rows, whatever columns the documents have
-    gone = dropped.select(F.col("doc_id").alias("near_dup_id"), F.col("text_hash").alias("near_dup_text"))
-    same = docs["doc_id"].eqNullSafe(F.col("near_dup_id")) & (F.xxhash64(docs["text"]) == F.col("near_dup_text"))
+    of_id, of_text = free_names(docs, "near_dup_id", "near_dup_text")
+    gone = dropped.select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_text))
+    same = docs["doc_id"].eqNullSafe(F.col(of_id)) & (F.xxhash64(docs["text"]) == F.col(of_text))
     return docs.filter(~maybe(key)).unionByName(docs.filter(maybe(key)).join(gone, same, "left_anti"))
 
 

@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import byte_blocks
+
 KINDS = ("email", "ip", "card", "phone")            # their order where spans start together
 ADDED = ("account", "credential", "secret")         # what the method adds
-# Cues in lower case; each is also sought in upper case and capitalised.
-SECRET_CUES = ("password=", "passwd=", "pwd=", "secret=", "token=", "api_key=", "apikey=")
+# Cues in lower case; each is also sought in upper case and capitalised.  No
+# cue is part of another.
+SECRET_CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api_key", "apikey", "access_key", "private_key")
 ACCOUNT_CUES = ("iban",)
+BLOCK = 4 << 20  # bytes of text looked at together
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +35,14 @@ _DIAL = re.compile(r"[0-9][ ().0-9-]+")
 _DIGITS = re.compile(r"[0-9]+")
 _IBAN = re.compile(r"[ :#]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 _USERINFO = re.compile(r"[^\x09-\x0D\x20/?#@:]+:[^\x09-\x0D\x20/?#@]+@")
-_VALUE = re.compile(r"[^\x09-\x0D\x20\"'&;,]{4,}")
+# After a cue blanks, a sign and perhaps a quote: four characters or more after an equals
+# sign or in quotes; bare after a colon, where prose may follow, a value with a digit.
+SECRET_SIGN = r"[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
+_V, _BARE = r"[^\x09-\x0D\x20\"'&;,]", r"[^\x09-\x0D\x20\"'&;,0-9]"
+SECRET_VALUE = (rf"[ \t]{{0,3}}(?:=[ \t]{{0,3}}[\"']?{_V}{{4,}}|:[ \t]{{0,3}}(?:[\"']{_V}{{4,}}|[0-9]{_V}{{3,}}|{_BARE}[0-9]{_V}{{2,}}"
+                rf"|{_BARE}{{2}}[0-9]{_V}+|{_BARE}{{3,}}[0-9]{_V}*))")
+_SIGN = re.compile(SECRET_SIGN)
+_VALUE = re.compile(SECRET_VALUE)
 
 _AFTER = {"scheme": _USERINFO, "secret": _VALUE, "account": _IBAN}
 
@@ -91,7 +102,7 @@ def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
             if anchor == "scheme":
                 found.append(("credential", at + 1, m.end() - 1))
             elif anchor == "secret":
-                found.append(("secret", at + 1, m.end()))
+                found.append(("secret", _SIGN.match(text, at + 1).end(), m.end()))
             else:
                 _account(m, found)
     order = {k: i for i, k in enumerate(KINDS + ADDED)}
@@ -152,19 +163,20 @@ def _account(m: re.Match, found: list[Span]) -> None:
 def personal_data(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id and spans, an array of (kind, start, end).
 
-    Offsets are code points, ends exclusive.  Null text counts as empty and has
-    no spans.  Repeated rows stay; an empty table gives an empty result; other
-    columns are ignored.
+    Offsets are code points, ends exclusive.  A secret is what follows its cue after
+    blanks, ``=`` or ``:`` and a quote; the quote is no part of it.  Null text counts as
+    empty and has no spans.  Texts of any length are read whole, block by block.
+    Repeated rows stay; an empty table gives an empty result; other columns are ignored.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
-        for batch in batches:
+        for block in byte_blocks(batches, "text", BLOCK):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in find_spans(t, anchors)] if t else []
-                     for t in (x.as_py() for x in batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, pa.list_(kind))],
-                                             ["doc_id", "spans"])
+                     for t in (x.as_py() for x in block.column("text"))]
+            out = pa.Table.from_arrays([block.column("doc_id"), pa.array(spans, pa.list_(kind))], ["doc_id", "spans"])
+            yield from out.combine_chunks().to_batches()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(

@@ -221,7 +221,9 @@ def held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> AdditiveModel:
-    """Fit to labelled, not held out rows; null labels and null ids are left out."""
+    """Fit to labelled, not held out rows; null labels and null ids are left out.  At most
+    ``sample_rows`` rows are used, those of the lowest id and text hashes, however many
+    rows share an id."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     sample = (known.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("double").alias("label"))
               .orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample_rows))
@@ -231,10 +233,13 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         for block in byte_blocks(batches, "text", BLOCK):
             x = features(block.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").combine_chunks().cast(pa.string()), block.column("label").combine_chunks(),
-                 pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
+                [block.column("place").combine_chunks(), block.column("doc_id").combine_chunks().cast(pa.string()),
+                 block.column("label").combine_chunks(), pa.array(list(x), pa.list_(pa.float64()))], ["place", "id", "y", "x"])
 
-    got = rows.select("doc_id", "label", "text").mapInArrow(run, "id string, y double, x array<double>").toPandas()
+    place = F.struct(F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b"), F.col("label").alias("c"))
+    seen = rows.select(place.alias("place"), "doc_id", "label", "text").mapInArrow(
+        run, "place struct<a:long,b:long,c:double>, id string, y double, x array<double>")
+    got = seen.orderBy("place").limit(sample_rows).drop("place").toPandas()
     got = got.sort_values(["id", "y"]).reset_index(drop=True)  # the same fit whatever order the rows come in
     x = np.array(got["x"].tolist()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy())

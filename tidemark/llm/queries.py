@@ -31,8 +31,9 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("op2_token_counts")
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+def tokens(spark: SparkSession, sf_dir: str, vocabulary: str = token_counts.VOCABULARY) -> DataFrame:
+    """``vocabulary``: a SentencePiece model file that the driver can read."""
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), token_counts.load_model(vocabulary))
 
 
 @register("op3_exact_dedup", """
@@ -124,17 +125,31 @@ g AS (SELECT doc_id, i, width, array_to_string(ws[i:i + width - 1], ' ') AS word
 hit AS (SELECT doc_id, i, g.width, item FROM g JOIN win ON g.words = win.words AND g.width = win.width),
 n AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS spot FROM hit) x GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-       FROM (SELECT DISTINCT doc_id, item FROM hit) x GROUP BY 1)
+       FROM (SELECT DISTINCT doc_id, item FROM hit) x GROUP BY 1),
+tf AS (SELECT word, count(*) AS n FROM (SELECT unnest(ws) AS word FROM d) x GROUP BY 1),
+w AS (SELECT row_number() OVER () AS id, words, string_split(words, ' ') AS win, list(item) AS items FROM win GROUP BY words),
+rare AS (SELECT id, arg_min({{'word': x.word, 'i': i}}, coalesce(n, 0)) AS r
+         FROM (SELECT id, unnest(win) AS word, unnest(range(0, len(win))) AS i FROM w) x LEFT JOIN tf ON x.word = tf.word GROUP BY id),
+pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS p FROM d),
+starts AS (SELECT DISTINCT pos.doc_id, rare.id, p - r.i + s AS spot FROM rare JOIN pos ON pos.word = r.word,
+           (SELECT unnest(range(-{decontaminate.SLOP}, {decontaminate.SLOP} + 1)) AS s) o),
+nearby AS (SELECT DISTINCT starts.doc_id, unnest(w.items) AS item FROM starts JOIN w ON starts.id = w.id JOIN d ON starts.doc_id = d.doc_id
+           WHERE len(list_filter(range(0, len(win)), lambda i: NOT (spot + i + {decontaminate.SLOP} >= 0 AND list_contains(
+                 ws[CAST(greatest(spot + i - {decontaminate.SLOP}, 0) + 1 AS BIGINT):CAST(greatest(spot + i + {decontaminate.SLOP} + 1, 1) AS BIGINT)],
+                 win[CAST(i + 1 AS BIGINT)])))) = 0),
+nb AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM nearby GROUP BY 1)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN nb ON d.doc_id = nb.doc_id
 """)
 def benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_near``: items with a window whose words all stand within SLOP words of their places."""
     found = decontaminate.find(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
-                               read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+                               read_table(spark, sf_dir, "benchmark", ["item_id", "text"]), decontaminate.SLOP)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+                        F.size("near_items").cast("long").alias("n_near"))
 
 
 def _pii_sql() -> str:
@@ -151,13 +166,13 @@ def _pii_sql() -> str:
         "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
         "account": iban,
         "credential": r"://[^\x09-\x0D\x20/?#@:]+:[^\x09-\x0D\x20/?#@]+@",
-        "secret": "(?:" + cues(pii.SECRET_CUES) + r")[^\x09-\x0D\x20\"''&;,]{4,}",
+        "secret": "(?:" + cues(pii.SECRET_CUES) + ")" + pii.SECRET_VALUE.replace("'", "''"),
     }
     found = " UNION ALL ".join(
         f"SELECT doc_id, n, '{kind}' AS kind, {i} AS rank, regexp_extract_all(t, '{p}') AS ms, "
         f"regexp_split_to_array(t, '{p}') AS gaps FROM d" for i, (kind, p) in enumerate(patterns.items()))
     code = r"regexp_replace(m, '^(?:" + cues(pii.ACCOUNT_CUES) + r")[ :#]{0,3}', '')"
-    secret = "regexp_extract(m, '^(?:" + cues(pii.SECRET_CUES) + ")')"
+    secret = "regexp_extract(m, '^(?:" + cues(pii.SECRET_CUES) + ")" + pii.SECRET_SIGN.replace("'", "''") + "')"
     value = "CASE WHEN ascii(c) >= 65 THEN ascii(c) - 55 ELSE ascii(c) - 48 END"
     remainder = (f"list_reduce(list_prepend(0, list_transform(string_split(substr(x, 5) || substr(x, 1, 4), ''), "
                  f"lambda c: {value})), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)")

@@ -4,6 +4,10 @@ Every record hashes into one of ``slots`` virtual slots, for good.  Bytes are
 aggregated per slot, and a versioned map says which shard holds which slot.
 Rebalancing edits the map (whole slots move) and never rehashes a record.  The
 map has ``slots`` rows whatever the data, so it may be collected and broadcast.
+
+Maps are stored as versions of a table (``stored_map``): a later run loads the newest
+one and keeps to it; for another number of shards it edits that map and publishes the
+edited one beside it.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
+from tidemark.session import scratch_path
+from tidemark.sources import versions
 
 SLOTS = 8192
 RECORD_BYTES = 16  # counted for each record besides its text
@@ -103,33 +109,70 @@ def rebalance(old: SlotMap, weights: list[int], shards: int) -> SlotMap:
     return SlotMap(old.version + 1, shards, tuple(owner))
 
 
-def shard(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """``docs`` with size, text_crc32, virtual_slot and shard, and the map used.
+def publish_map(spark: SparkSession, path: str, slot_map: SlotMap) -> None:
+    """Store ``slot_map`` as the newest version of the maps at ``path``."""
+    folder = versions.attempt_folder(path)
+    slot_map.frame(spark).coalesce(1).write.parquet(folder)
+    versions.commit(spark, path, [folder], map_version=slot_map.version, shards=slot_map.shards)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """The newest map stored at ``path``, or the one of that version; None if there is none."""
+    for held in versions.history(spark, path):
+        if version in (None, held.body["map_version"]):
+            rows = spark.read.parquet(*held.folders).orderBy("virtual_slot").collect()  # one a slot
+            return SlotMap(held.body["map_version"], held.body["shards"], tuple(r["shard"] for r in rows))
+    return None
+
+
+def stored_map(spark: SparkSession, path: str, weights: list[int], shards: int) -> SlotMap:
+    """The map to place records by: the stored one where it is for ``shards`` shards;
+    edited from it (``rebalance``) for another number; made from the bytes per slot
+    (``weights``) where none is stored.  A map that is made or edited is published."""
+    held = load_map(spark, path)
+    if held is not None and (held.shards, len(held.owner)) == (shards, len(weights)):
+        return held
+    if held is not None and len(held.owner) != len(weights):
+        raise ValueError(f"the maps at {path} have {len(held.owner)} slots, not {len(weights)}")
+    made = balanced_map(weights, shards) if held is None else rebalance(held, weights, shards)
+    publish_map(spark, path, made)
+    return made
+
+
+def shard(docs: DataFrame, shards: int, slots: int = SLOTS, maps: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """``docs`` with size, text_crc32, virtual_slot and shard, and the map used, which is
+    kept at ``maps`` (by default in a scratch folder of the run).
 
     Sizes of shards come near equal; a record is never split.  Null text has
     size RECORD_BYTES.  Repeated records share a slot.  Columns of ``docs`` with
     the added names are replaced.
     """
+    spark = docs.sparkSession
     placed = with_slots(docs.drop("size", "text_crc32", "virtual_slot", "shard"), slots)
-    slot_map = balanced_map(slot_bytes(placed.select("virtual_slot", "size"), slots), shards)
+    weights = slot_bytes(placed.select("virtual_slot", "size"), slots)
+    slot_map = stored_map(spark, maps or scratch_path(spark, "slot_maps"), weights, shards)
     return place(placed, slot_map), slot_map
 
 
 def place(placed: DataFrame, slot_map: SlotMap) -> DataFrame:
-    table = stage(slot_map.frame(placed.sparkSession), f"slot_map_v{slot_map.version}")
-    return placed.join(F.broadcast(table.select("virtual_slot", "shard")), "virtual_slot")  # SLOTS rows
+    table = slot_map.frame(placed.sparkSession).select("virtual_slot", "shard")  # a row per slot
+    return placed.join(F.broadcast(table), "virtual_slot")
 
 
-def shard_positions(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+def shard_positions(docs: DataFrame, shards: int, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, shard, slot and
-    virtual_slot; ``slot`` numbers the records of a shard from 0 without gaps.
+    virtual_slot; ``slot`` numbers the records of a shard from 0 without gaps.  The map
+    is kept at ``maps`` (by default in a scratch folder of the run).  Null texts and ids
+    are placed as ``with_slots`` says; repeated rows have numbers of their own; an empty
+    table gives an empty result; other columns are ignored.
 
     Records are numbered inside their virtual slot, then moved up by the records
     in the slots before it in the shard: no task sees a whole shard.
     """
     thin = stage(with_slots(docs.select("doc_id", "text"), slots).drop("text"), "shard_rows")
-    slot_map = balanced_map(slot_bytes(thin, slots), shards)
-    owner = stage(slot_map.frame(docs.sparkSession), f"slot_map_v{slot_map.version}")
+    spark = docs.sparkSession
+    slot_map = stored_map(spark, maps or scratch_path(spark, "slot_maps"), slot_bytes(thin, slots), shards)
+    owner = slot_map.frame(spark)
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = (thin.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(F.broadcast(owner), "virtual_slot")
               .select("virtual_slot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")))

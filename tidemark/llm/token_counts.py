@@ -26,6 +26,7 @@ from tidemark.llm.common import byte_blocks
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"      # begins every pre-token
 MAX_NODES = 600_000
+MAX_HELD = 64 << 20  # bytes of pre-tokens whose counts are kept
 DEEP = 48            # prefixes longer than this are not kept in the trie
 BLOCK = 4 << 20
 
@@ -120,16 +121,18 @@ def token_counts(docs: DataFrame, model: UnigramModel | None = None) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PrefixTrie(shared.value)
         counts: dict[bytes, int] = {}
+        held = 0
         for block in byte_blocks(batches, "text", BLOCK):
             words_of, tokens_of = [], []
             for text in block.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist():
                 words = text.split() if text else []
                 for word in sorted(set(words).difference(counts)):
                     counts[word] = trie.count(MARK + word.decode("utf-8", "replace"))
+                    held += len(word)
                 words_of.append(len(words))
                 tokens_of.append(sum(map(counts.__getitem__, words)))
-                if len(trie) > MAX_NODES:
-                    trie, counts = PrefixTrie(shared.value), {}
+                if len(trie) > MAX_NODES or held > MAX_HELD:  # begun anew; no count depends on it
+                    trie, counts, held = PrefixTrie(shared.value), {}, 0
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id").combine_chunks(), pa.array(words_of, pa.int64()), pa.array(tokens_of, pa.int64())],
                 ["doc_id", "n_pretokens", "n_tokens"])
