@@ -18,7 +18,7 @@ PY_NODES = ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "
 def test_every_query_has_oracle_sql():
     from tidemark.plans import registry
     q, o = registry.queries(), registry.oracle_sql()
-    assert len(q) == 95 and set(q) == set(o)  # the 92 operators, the event path, page borders and streamed state changes
+    assert len(q) == 96 and set(q) == set(o)  # the 92 operators, the event path, page borders, streamed changes, refreshed months
     assert set(q) <= set(entry_mod.queries()) and set(o) <= set(entry_mod.oracle_sql())
 
 

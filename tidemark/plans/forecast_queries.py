@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark import vocab
 from tidemark.functions import scalars as S
+from tidemark.operators import etl
 from tidemark.operators import forecast as FC
 from tidemark.operators import validate as Val
 from tidemark.plans import views as V
 from tidemark.plans.oracle_views import baseline_sql, forecast_id_sql, next_period_sql, q, round_exact_sql
 from tidemark.plans.registry import register
+from tidemark.session import scratch_path
+from tidemark.sources import parts, versions
 
+LAST_INTAKE = dt.datetime(2001, 7, 1)  # what came in from here on is new in the second night
 WHAT_IF_SCALE = 1.5
 WHAT_IF_HORIZON = 3
 
@@ -26,6 +32,25 @@ def monthly_demand(spark, sf):
     return FC.monthly_demand(V.curated_sales(spark, sf))
 
 
+def refresh_demand(curated):
+    """The monthly demand of some curated months, with the columns that name the month."""
+    d = FC.monthly_demand(curated)
+    return d.withColumns({"year": F.substring("period", 1, 4).cast("int"), "month": F.substring("period", 6, 2).cast("int")})
+
+
+@register("monthly_demand_refreshed", "SELECT product_id, period, demand FROM demand_history", ("demand_history",))
+def monthly_demand_refreshed(spark, sf):
+    """Two nights: the first without the orders that came in last, the second with all.
+    The second refresh aggregates the months that changed and keeps the others."""
+    raw = V.sales_raw(spark, sf)
+    curated, demand = scratch_path(spark, "curated_parts"), scratch_path(spark, "demand_parts")
+    months = ("year", "month")
+    for night in (raw.filter(F.col("ingested_at").isNull() | (F.col("ingested_at") < LAST_INTAKE)), raw):
+        parts.publish_parts(etl.curate(night), curated, months)
+        parts.refresh(spark, curated, demand, months, refresh_demand)
+    return parts.read_parts(spark, versions.latest(spark, demand)).select("product_id", "period", "demand")
+
+
 @register("collect_history", """
 SELECT product_id, CAST(count(*) AS INTEGER) AS n_points, min(period) AS first_period, max(period) AS last_period,
        string_agg(period || ':' || CAST(demand AS VARCHAR), ',' ORDER BY period) AS history

@@ -173,6 +173,12 @@ def catalog_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.option("ignoreMissingFiles", "true").table(name)
 
 
+def delete_folders(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 NEVER = "never"  # the expiry folder of rows that do not expire
 
 
@@ -211,8 +217,7 @@ def drop_expired(spark: SparkSession, path: str, as_of_epoch: int) -> list[str]:
     days = {s.getPath().getName().partition("=")[2]: s.getPath() for s in fs.listStatus(root)
             if s.getPath().getName().startswith("expires_on=")}
     gone = sorted(d for d in days if d != NEVER and d < today)
-    for d in gone:
-        fs.delete(days[d], True)
+    delete_folders(spark, [days[d].toString() for d in gone])
     return gone
 
 
