@@ -83,13 +83,14 @@ def write_attempt(df: DataFrame, path: str, partition_cols: tuple[str, ...] = ()
     return folder
 
 
-def publish_index(df: DataFrame, path: str, key: str, order: list[Column], ranges: int = 8) -> versions.Version:
+def publish_index(df: DataFrame, path: str, key: str, order: list[Column]) -> versions.Version:
     """Publish ``df`` as an index on ``key``: range-partitioned and sorted by (key, order),
     so that the rows of a key lie together in one or few files, and row groups are skipped
     by their statistics and by Bloom filters on the key.  A hot key fills as many ranges
     as it needs, as the order column splits it."""
     folder = versions.attempt_folder(path)
-    (df.repartitionByRange(ranges, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(tasks, F.col(key), *order).sortWithinPartitions(F.col(key), *order)
        .write.option("compression", "snappy").option("parquet.block.size", INDEX_ROW_GROUP)
        .option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(folder))
     return versions.commit(df.sparkSession, path, [folder])

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tidemark.sources import versions
 from tidemark.sources.versions import Version, VersionConflict
 
-RANGES = 8
+RANGES = 1024     # most key ranges of a table; a range may hold several files
 PROBE = 1000      # distinct keys that are looked up as literals, pushed down to row groups
 KEPT_BATCHES = 10_000  # batch ids remembered; an older batch must not be applied again
 ATTEMPTS = 5
@@ -39,8 +39,9 @@ class KeyedTable:
     # --- writing -------------------------------------------------------------
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, rows: DataFrame, key: str, ranges: int = RANGES) -> KeyedTable:
-        """Store ``rows`` as the first version of the table at ``path``."""
+    def create(cls, spark: SparkSession, path: str, rows: DataFrame, key: str, ranges: int | None = None) -> KeyedTable:
+        """Store ``rows`` as the first version of the table at ``path``, in as many ranges as
+        a shuffle has partitions (``RANGES`` at most) unless ``ranges`` says how many."""
         table = cls(spark, path, key)
         base = table._write_ranges(rows, ranges)
         versions.commit(spark, path, [r["folder"] for r in base], None, only_after=True, base=base, changes=[], batches=[],
@@ -54,10 +55,15 @@ class KeyedTable:
                         **{k: body[k] for k in ("base", "changes", "batches", "schema")})
         return KeyedTable(self.spark, path, self.key)
 
-    def _write_ranges(self, rows: DataFrame, ranges: int) -> list[dict]:
-        """Write ``rows`` in ranges of the key; each range with its folder and last key."""
+    def _write_ranges(self, rows: DataFrame, ranges: int | None = None) -> list[dict]:
+        """Write ``rows`` in ranges of the key; each range with its folder and last key.
+        There are as many sorted files as a shuffle has partitions, several to a range
+        where that is more than the ranges."""
         folder = versions.attempt_folder(self.path)
-        placed = rows.repartitionByRange(ranges, self.key).withColumn("_range", F.spark_partition_id())
+        ranges = ranges or min(self._tasks(), RANGES)
+        tasks = max(ranges, self._tasks())
+        number = F.floor(F.spark_partition_id() * ranges / tasks).cast("int")
+        placed = rows.repartitionByRange(tasks, self.key).withColumn("_range", number)
         (placed.sortWithinPartitions(self.key).write.option("compression", "snappy")
          .option(f"parquet.bloom.filter.enabled#{self.key}", "true").partitionBy("_range").parquet(folder))
         stored = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_range", T.IntegerType())])).parquet(folder)
@@ -99,7 +105,7 @@ class KeyedTable:
             return version
         newest = self._newest(version)
         if not body["base"]:
-            base = self._write_ranges(newest, RANGES)
+            base = self._write_ranges(newest)
             return versions.commit(self.spark, self.path, [r["folder"] for r in base], version, only_after=True, base=base,
                                    changes=[], batches=body["batches"], schema=body["schema"])
         hit = sorted(r[0] for r in newest.select(self._range_of(version, F.col(self.key))).distinct().collect())  # at most the ranges
@@ -107,7 +113,8 @@ class KeyedTable:
         rows = self._merged(old, newest)
         folder = versions.attempt_folder(self.path)
         placed = rows.withColumn("_range", self._range_of(version, F.col(self.key)))
-        (placed.repartition(len(hit), "_range").sortWithinPartitions("_range", self.key).write.option("compression", "snappy")
+        files = len(hit) * -(-self._tasks() // len(body["base"]))
+        (placed.repartitionByRange(files, "_range", self.key).sortWithinPartitions("_range", self.key).write.option("compression", "snappy")
          .option(f"parquet.bloom.filter.enabled#{self.key}", "true").partitionBy("_range").parquet(folder))
         base = [dict(r) for r in body["base"]]
         ends = {r["_range"]: r["last"] for r in placed.groupBy("_range").agg(F.max(self.key).cast("string").alias("last")).collect()}
@@ -158,6 +165,9 @@ class KeyedTable:
 
     # --- parts ---------------------------------------------------------------
 
+    def _tasks(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def _schema(self, version: Version) -> T.StructType:
         return T.StructType.fromJson(json.loads(version.body["schema"]))
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
@@ -78,18 +79,22 @@ def _read(spark: SparkSession, path: str, number: int) -> Version | None:
     return Version(number, body) if isinstance(body, dict) and "folders" in body else None
 
 
-def latest(spark: SparkSession, path: str) -> Version | None:
-    """The newest whole version; None for a table that was never published."""
+def newest_first(spark: SparkSession, path: str) -> Iterator[Version]:
+    """The whole versions, newest first; each file is read when it is asked for."""
     for number in _numbers(spark, path):
         version = _read(spark, path, number)
         if version is not None:
-            return version
-    return None
+            yield version
+
+
+def latest(spark: SparkSession, path: str) -> Version | None:
+    """The newest whole version; None for a table that was never published."""
+    return next(newest_first(spark, path), None)
 
 
 def history(spark: SparkSession, path: str) -> list[Version]:
     """All whole versions, newest first."""
-    return [v for n in _numbers(spark, path) if (v := _read(spark, path, n)) is not None]
+    return list(newest_first(spark, path))
 
 
 def commit(spark: SparkSession, path: str, folders: list[str], after: Version | None = None, only_after: bool = False,

@@ -29,6 +29,7 @@ from tidemark.sources import files, versions
 
 
 DUPLICATES_WITHIN = "1 day"
+RETIRE_EVERY = 100  # batches after which old alarm states are dropped
 
 
 def _run(writer, available_now: bool = True):
@@ -194,7 +195,7 @@ class ConsecutiveAlarms:
     def _before(self, batch_id: int) -> tuple[DataFrame, str | None]:
         """The last periods of each rule and the time up to which all is closed, as the
         batches before ``batch_id`` left them."""
-        for version in versions.history(self.spark, f"{self.path}/state"):
+        for version in versions.newest_first(self.spark, f"{self.path}/state"):
             if version.body["batch"] < batch_id:
                 return self.spark.read.schema(EVALUATED).parquet(*version.folders), version.body["closed_until"]
         return self.spark.createDataFrame([], EVALUATED), None
@@ -232,6 +233,8 @@ class ConsecutiveAlarms:
         needed = F.col("period_end") > end - _seconds(F.col("periods") * self.period)
         folder = files.write_attempt(periods.filter(needed).coalesce(1), f"{self.path}/state")
         versions.commit(self.spark, f"{self.path}/state", [folder], batch=batch_id, closed_until=closed)
+        if batch_id % RETIRE_EVERY == RETIRE_EVERY - 1:
+            versions.retire(self.spark, f"{self.path}/state", keep=5, older_than_seconds=3600)
 
     def tick(self, now: str) -> None:
         """Let time go on to ``now`` without new periods (a query that idles; the end of a

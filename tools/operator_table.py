@@ -15,7 +15,7 @@ sys.path.insert(0, ROOT)
 
 ALIASES = {"etl": "operators.etl", "R": "operators.records", "U": "operators.updates", "A": "operators.alerts",
            "M": "operators.metrics", "ME": "operators.metric_events", "FC": "operators.forecast", "Val": "operators.validate", "S": "functions.scalars",
-           "E": "sources.events", "files": "sources.files", "ST": "streaming.alarms", "V": "plans.views"}
+           "E": "sources.events", "files": "sources.files", "parts": "sources.parts", "versions": "sources.versions", "stored": "plans.stored", "ST": "streaming.alarms", "V": "plans.views"}
 
 
 def _trees(fn, seen=None):
@@ -46,6 +46,9 @@ def views_used(fn) -> list[str]:
                 and isinstance(node.func.value, ast.Name) and node.func.value.id == "V"
                 and node.func.attr not in out):
             out.append(node.func.attr)
+        if (isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name)
+                and node.func.value.id == "stored" and node.args[2].value not in out):
+            out.append(node.args[2].value)  # stored.keyed(spark, sf, view, ...)
     return out
 
 
