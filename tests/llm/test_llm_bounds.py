@@ -238,3 +238,40 @@ def test_many_long_words_are_not_all_held(spark, monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_HELD", 10_000)
     monkeypatch.setattr(token_counts, "MAX_NODES", 1 << 30)
     assert multiset(token_counts.token_counts(docs).collect()) == multiset(want)
+
+
+# --- repeated passages --------------------------------------------------------------
+
+def test_bucket_identifiers_are_exact():
+    """Equal identifiers for equal bytes and for no others, at every width on the way."""
+    import pyarrow as pa
+
+    from tidemark.llm import suffix_dedup
+    rng = random.Random(2)
+    pieces = ["".join(rng.choice("ab") for _ in range(rng.choice([30, 70]))) for _ in range(6)]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(2, 6))) for _ in range(40)] + ["é" * 60, "a" * 300]
+    table = pa.table({"part": pa.array([0] * len(texts), pa.int32()), "doc_id": pa.array(range(len(texts)), pa.int64()),
+                      "text": pa.array(texts)})
+    part = suffix_dedup.Part(table, suffix_dedup.Plan(1, 6, 0, 2))
+    at = np.concatenate([np.arange(a, b - 49) for a, b in zip(part.offsets, part.offsets[1:])])
+    raw = part.data.tobytes()
+    for width in (8, 24, 50):
+        found = part._buckets(at, width)
+        assert len(set(zip(found.tolist(), (raw[i:i + width] for i in at.tolist())))) == len(set(found.tolist())) == len(
+            {raw[i:i + width] for i in at.tolist()})
+    rare = np.sort(np.random.default_rng(1).choice(at, 50, replace=False))  # places that are not neighbours
+    assert len(set(part._buckets(rare, 50).tolist())) == len({raw[i:i + 50] for i in rare.tolist()})
+
+
+def test_a_collision_of_names_removes_nothing():
+    """Strings of different bytes whose 64-bit names are forced to be equal stay apart."""
+    import pyarrow as pa
+
+    from tidemark.llm import suffix_dedup
+    names, tails = [7, 7, 7], [1, 2, 1]
+    table = pa.table({"bucket": pa.array([0] * 3, pa.int32()), "part": pa.array([0, 1, 2], pa.int32()),
+                      "pointers": [np.array([n], "<u8").tobytes() for n in names],
+                      "more": [np.array([t], "<u4").tobytes() for t in tails],
+                      "ids": [np.array([i], "<u8").tobytes()[:2] for i in (5, 6, 9)]})
+    *_, answer_strings, _ = suffix_dedup._steps(suffix_dedup.Plan(3, 6, 0, 2))
+    assert answer_strings(table).column("part").to_pylist() == [2]  # 9 repeats 5; 6 is another string

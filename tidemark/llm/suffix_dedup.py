@@ -12,8 +12,11 @@ step, and a step only looks at what the step before left open:
    by a pointer (a hash) that is built from the pointers of its pieces.  In a
    refined bucket all strings are equal, so the smallest doc_id settles the whole
    run at once.  A bucket that stays in one piece is closed.
-3. Runs that split a bucket are refined to their single strings of LENGTH bytes, and
-   each string goes to the smallest doc_id that holds it.
+3. Runs that split a bucket are refined to their single strings of LENGTH bytes: words
+   of eight bytes are the first buckets, and wider ones are made from the identifiers of
+   the buckets that the suffixes at later offsets are in, recursively, until all LENGTH
+   bytes are told apart.  Identifiers are integers and exact within a part; parts meet
+   by 96 bits that name a bucket's string, and it goes to the smallest doc_id.
 
 Documents are dealt into parts by a hash, and the shuffled texts are used by all
 steps.  A step sends a part's distinct pointers, sorted and packed, to the buckets'
@@ -28,6 +31,7 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,6 +141,46 @@ class Part:
         new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         return place[new] + begin, start[new] + begin, start[np.r_[new[1:], len(place)] - 1] + begin
 
+    def _buckets(self, at: np.ndarray, width: int) -> np.ndarray:
+        """The bucket identifier (an integer from 0 on) of the ``width`` bytes at each place;
+        equal bytes, and they alone, have equal identifiers.
+
+        A bucket of a third of the width or more is refined by the identifiers of the
+        buckets that the suffixes at later offsets are in.  These are the same
+        identifiers, found once for all places that are read, and made the same way from
+        narrower buckets, down to words of eight bytes.
+        """
+        if width == 8:
+            return pd.factorize(self.words[at])[0]
+        part = 8
+        while 3 * part < width:
+            part *= 3
+        later = [*range(0, width - part, part), width - part]
+        read = np.zeros(len(self.words), bool)
+        for offset in later:
+            read[at + offset] = True
+        places = np.flatnonzero(read)
+        found = self._buckets(places, part)
+        where = np.zeros(len(self.words), np.int32)
+        where[places] = found
+        distinct = int(found.max()) + 1 if len(found) else 1
+        out, held = where[at].astype(np.int64), distinct
+        for offset in later[1:]:
+            if held * distinct >= 1 << 63:  # too many for one number: name the pairs so far
+                out, names = pd.factorize(out)
+                held = len(names)
+            out = out * distinct + where[at + offset]
+            held *= distinct
+        return pd.factorize(out)[0]
+
+    def _tails(self, start: np.ndarray) -> np.ndarray:
+        """32 more bits for the strings of LENGTH bytes, made apart from ``_pointers``."""
+        out = np.zeros(len(start), np.uint64)
+        for i in range(0, LENGTH, 8):
+            out = (out ^ self.words[start + min(i, LENGTH - 8)]) * np.uint64(0xC2B2AE3D27D4EB4F)
+            out ^= out >> np.uint64(32)
+        return out >> np.uint64(32)
+
     def _pointers(self, start: np.ndarray, size: np.ndarray, longest: int) -> np.ndarray:
         """A 64-bit pointer of ``size`` bytes (eight at least) from each start on."""
         out = mix64(size.astype(np.uint64) + np.uint64(LENGTH))
@@ -196,13 +240,18 @@ class Part:
         left = runs.at[~settled & split[runs.group]]
         size = self.last[left] - self.first[left] + 1
         start = np.repeat(self.first[left], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        name = self._pointers(start, np.full(len(start), LENGTH), LENGTH)
         owner = np.repeat(self.owner[left], size)
-        order = np.lexsort((owner, name))
-        start, name, owner = start[order], name[order], owner[order]
-        new = np.r_[True, name[1:] != name[:-1]] if len(name) else np.zeros(0, bool)
-        cut = np.flatnonzero(new)
-        strings = Strings(start, np.cumsum(new) - 1, name[cut], owner[cut], owner)
+        bucket = self._buckets(start, LENGTH)  # exact: equal strings of this part, and no others
+        held = int(bucket.max()) + 1 if len(bucket) else 0
+        low, some = np.full(held, np.iinfo(np.int64).max), np.zeros(held, np.int64)
+        np.minimum.at(low, bucket, owner)
+        some[bucket] = start
+        name = self._pointers(some, np.full(held, LENGTH), LENGTH)
+        tail = self._tails(some)
+        order = np.argsort(name, kind="stable")
+        place = np.empty(held, np.int64)
+        place[order] = np.arange(held)
+        strings = Strings(start, place[bucket], name[order], tail[order], low[order], owner)
         done = runs.at[settled]
         return strings, self.first[done], self.last[done]
 
@@ -238,11 +287,13 @@ class Runs:
 
 @dataclass(frozen=True)
 class Strings:
-    """Open strings sorted by name, and per name the smallest document; ``owner`` per string."""
+    """Open strings with their bucket (``group``) and document (``owner``); and per bucket,
+    sorted by name, 96 bits that name its string and the smallest document."""
 
     start: np.ndarray
     group: np.ndarray
     name: np.ndarray
+    tail: np.ndarray
     low: np.ndarray
     owner: np.ndarray
 
@@ -351,15 +402,18 @@ def _steps(plan: Plan):
             return _asked(0, np.zeros(0, np.uint64), None)
         strings, _, _ = Part(left, plan).strings(Answers(right))
         return _asked(_number(left), strings.name >> np.uint64(64 - plan.bucket_bits), lambda lo, hi: (
-            strings.name[lo:hi].astype("<u8").tobytes(), b"", plan.pack_ids(strings.low[lo:hi])))
+            strings.name[lo:hi].astype("<u8").tobytes(), _low32(strings.tail[lo:hi]), plan.pack_ids(strings.low[lo:hi])))
 
     def answer_strings(table: pa.Table) -> pa.Table:
         name, sizes = _unpacked(table, "pointers", "<u8")
+        tail, _ = _unpacked(table, "more", "<u4")
         low = np.concatenate([plan.unpack_ids(x) for x in table.column("ids").to_pylist()])
-        _, which = np.unique(name, return_inverse=True)
-        least = np.full(which.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, which, low)
-        return _answered(table, 3, low > least[which], sizes)
+        order = np.lexsort((low, tail, name))
+        n, t, d = name[order], tail[order], low[order]
+        new = np.r_[True, (n[1:] != n[:-1]) | (t[1:] != t[:-1])]
+        taken = np.zeros(len(name), bool)
+        taken[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return _answered(table, 3, taken, sizes)
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         part = Part(left, plan)
