@@ -9,7 +9,7 @@ each term to stand a few words off its place.
 
 Shards are made and searched where the documents are, so postings are not
 shuffled.  The benchmark goes to every task in blocks of bounded size, one block at a
-time; documents are staged under row numbers first where there are several.
+time; a block's postings are deleted once its hits are staged.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bloom
-from tidemark.llm.common import byte_blocks, free_names, stage, text_bytes, word_hashes, word_spans
+from tidemark.llm.common import byte_blocks, free_names, stage, text_bytes, unstage, word_hashes, word_spans
 
 WINDOW = 13
 GAP = 64                      # free positions between documents, more than a window and its slop
@@ -185,9 +185,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def build_index(rows: DataFrame, windows: Windows) -> DataFrame:
     """Stored postings of ``rows`` (row, doc_id, text) for the terms of ``windows``: a row
-    per shard."""
+    per shard.  ``row`` is whatever tells rows apart."""
     vocabulary = rows.sparkSession.sparkContext.broadcast(windows.vocabulary)
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    row_type, id_type = (rows.schema[c].dataType.simpleString() for c in ("row", "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in byte_blocks(batches, "text", SHARD):
@@ -199,14 +199,14 @@ def build_index(rows: DataFrame, windows: Windows) -> DataFrame:
                 ["rows", "doc_ids", "bounds", "first", "positions"])
 
     made = rows.select("row", "doc_id", "text").mapInArrow(
-        run, f"rows array<long>, doc_ids array<{id_type}>, bounds array<long>, first array<long>, positions array<long>")
+        run, f"rows array<{row_type}>, doc_ids array<{id_type}>, bounds array<long>, first array<long>, positions array<long>")
     return stage(made, "postings")
 
 
 def search_index(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
     """row, doc_id, n_words, runs, items and near per indexed document."""
     shared = index.sparkSession.sparkContext.broadcast(windows)
-    id_type = index.schema["doc_ids"].dataType.elementType.simpleString()
+    row_type, id_type = (index.schema[c].dataType.elementType.simpleString() for c in ("rows", "doc_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,23 +218,24 @@ def search_index(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame
                 yield pa.RecordBatch.from_arrays([rows, ids, pa.array(np.diff(bounds)), *found],
                                                  ["row", "doc_id", "n_words", "runs", "items", "near"])
 
-    return index.mapInArrow(run, f"row long, doc_id {id_type}, n_words long, "
+    return index.mapInArrow(run, f"row {row_type}, doc_id {id_type}, n_words long, "
                                  "runs array<struct<s:long,n:long>>, items array<string>, near array<string>")
 
 
 def _found(rows: DataFrame, benchmark: DataFrame, slop: int, block_bytes: int) -> DataFrame:
-    """``search_index`` over all blocks of the benchmark, one row per row of ``rows``.  With
-    several blocks ``rows`` must be staged."""
+    """``search_index`` over all blocks of the benchmark, merged by ``row`` where there are
+    several."""
     found, blocks = None, block_total(benchmark, block_bytes)
     for b in range(blocks):
         windows = benchmark_block(benchmark, b, blocks)
-        hit = search_index(build_index(rows, windows), windows, slop)
-        if blocks == 1:
-            return hit
-        hit = stage(hit, "benchmark_hits")  # its block can go before the next one comes
+        index = build_index(rows, windows)
+        hit = stage(search_index(index, windows, slop), "benchmark_hits")
+        unstage(index)
         found = hit if found is None else found.unionByName(hit)
+    if blocks == 1:
+        return found
     return found.groupBy("row", "doc_id", "n_words").agg(
-        *[F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items", "near")])  # one entry per block
+        *[F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items", "near")])  # rows of one text, one per block
 
 
 def hit_words(runs: Column) -> Column:
@@ -274,15 +275,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BENCHMARK_BL
     are called: null and empty texts have no words and stay, texts of any length are
     read whole, repeated rows share their fate, an empty table gives an empty result.
 
-    The rows are staged under a number and indexed, block by block of the benchmark.  A
-    Bloom filter over the contaminated numbers lets all other rows pass straight
-    through; only rows that may be contaminated are joined, so few texts move.
+    Whether a text is contaminated depends on the text alone, so rows are told by its
+    digest, whatever plan they come from.  A Bloom filter over the contaminated texts
+    lets all other rows pass straight through; only rows that may be contaminated are
+    joined with the digests of those that are, so few texts move.
     """
-    number, bad = free_names(docs, "row", "contaminated_row")
-    staged = stage(docs.withColumn(number, F.monotonically_increasing_id()), "numbered_docs")
+    (bad,) = free_names(docs, "contaminated_text")
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     n_hit = hit_words(F.col("runs"))
-    found = _found(staged.select(F.col(number).alias("row"), "doc_id", "text"), benchmark, 0, block_bytes)
-    dirty = stage(found.filter(contaminated(n_hit, F.col("n_words"))).select(F.col("row").alias(bad)), "contaminated_rows")
+    found = _found(docs.select(digest.alias("row"), F.lit(0).alias("doc_id"), "text"), benchmark, 0, block_bytes)
+    dirty = stage(found.filter(contaminated(n_hit, F.col("n_words"))).select(F.col("row").alias(bad)).distinct(), "contaminated_texts")
     hashes = dirty.select(F.xxhash64(bad).alias("h"))
     bitmap = docs.sparkSession.sparkContext.broadcast(bloom.build(hashes, dirty.count()))
 
@@ -291,6 +293,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BENCHMARK_BL
         slots = bloom.hash_slots(h.to_numpy(np.int64).view(np.uint64), len(bitmap.value) * 8)
         return pd.Series(bloom.has(bitmap.value, slots).all(axis=1))
 
-    suspect = maybe(F.xxhash64(number))
-    kept = staged.filter(suspect).join(dirty, F.col(number) == F.col(bad), "left_anti")
-    return staged.filter(~suspect).unionByName(kept).drop(number)
+    suspect = maybe(F.xxhash64(digest))
+    return docs.filter(~suspect).unionByName(docs.filter(suspect).join(dirty, digest == F.col(bad), "left_anti"))
