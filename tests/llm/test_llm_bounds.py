@@ -7,6 +7,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from corpus import BENCH_WORD, LOWER, corpus, frame, multiset, sentence  # noqa:
 
 from tidemark.llm import decontaminate, near_dup, pii, quality, sharding, url_filter  # noqa: E402
 from tidemark.llm.queries import benchmark_hits as query_hits  # noqa: E402
-from tidemark.session import scratch_path  # noqa: E402
+from tidemark.session import scratch_path, ship_package  # noqa: E402
 from tidemark.sources import versions  # noqa: E402
 
 
@@ -275,3 +276,36 @@ def test_a_collision_of_names_removes_nothing():
                       "ids": [np.array([i], "<u8").tobytes()[:2] for i in (5, 6, 9)]})
     *_, answer_strings, _ = suffix_dedup._steps(suffix_dedup.Plan(3, 6, 0, 2))
     assert answer_strings(table).column("part").to_pylist() == [2]  # 9 repeats 5; 6 is another string
+
+
+# --- memory of workers --------------------------------------------------------------
+
+def test_batches_to_workers_are_bounded_by_bytes(spark):
+    """Long texts go to a worker in batches of some MB, not 10,000 rows at once."""
+    ship_package(spark)
+    docs = spark.range(2000, numPartitions=1).select(F.repeat(F.lit("text "), 2000).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    seen = docs.mapInArrow(run, "size long, n long").collect()
+    assert sum(r["n"] for r in seen) == 2000
+    assert max(r["size"] for r in seen) <= 6 << 20
+
+
+def test_texts_of_a_tile_are_cut_block_by_block(monkeypatch):
+    """A crowded tile is settled alike when its texts are hashed a few at a time."""
+    words = sentence(random.Random(1), 60).split()
+    texts = [" ".join(words[:50 + i]) for i in range(6)]
+    place = [0, 1, 2, near_dup.COMPARE, near_dup.COMPARE + 1, near_dup.COMPARE + 2]
+    group = pa.RecordBatch.from_arrays(
+        [pa.array([1] * 6), pa.array(place, pa.int32()), pa.array([b"%d" % i for i in range(6)]),
+         pa.array([np.packbits([1, 1, 1]).tobytes()] * 3 + [None] * 3, pa.binary()), pa.array(texts)],
+        ["tile", "place", "v", "mask", "text"])
+    seen, real = [], near_dup.shingle_sets
+    monkeypatch.setattr(near_dup, "shingle_sets", lambda t: seen.append(len(t)) or real(t))
+    whole = [b.to_pylist() for b in near_dup._settle(iter([group]))]
+    monkeypatch.setattr(near_dup, "BLOCK", 500)
+    assert [b.to_pylist() for b in near_dup._settle(iter([group]))] == whole and whole
+    assert len(seen) > 2 and max(seen[1:]) < 6

@@ -36,8 +36,8 @@ SIMILAR = 75          # per cent of the union that two sets share at least
 PLACES = 256          # components of a signature
 BANDED = 128          # components that make bands; all of them make estimates
 ROWS = 4              # components of a band: a pair at 75 % misses all 32 bands once in 190,000
-BLOCK = 1 << 20
-VERIFY_BLOCK = 1 << 20
+BLOCK = 1 << 18       # text bytes handled at once
+VERIFY_BLOCK = 1 << 18
 STAR_ROUNDS = 4       # rounds of pivots at most before signatures are compared
 HARDLY_ANY = 0.01     # links confirmed per member in the last round of pivots
 GROUP = 2048          # members of a bucket compared in one task; larger ones are dealt into blocks
@@ -337,7 +337,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest: a link that joins what the tile's other links join is left out."""
     for group in _runs(batches, "tile"):
         place, v, masks = (group.column(c).to_pylist() for c in ("place", "v", "mask"))
-        sets = shingle_sets(group.column("text"))
+        sets = [s for block in byte_blocks(group.to_batches(), "text", BLOCK) for s in shingle_sets(block.column("text"))]
         left = [i for i, k in enumerate(place) if k < COMPARE]
         right = [i for i, k in enumerate(place) if k >= COMPARE]
         at = np.array([place[i] - COMPARE for i in right])

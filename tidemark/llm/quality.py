@@ -27,7 +27,7 @@ from tidemark.llm.common import byte_blocks, text_bytes, word_hashes, word_spans
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
-BLOCK = 1 << 20  # text bytes handled at once
+BLOCK = 1 << 18  # text bytes handled at once
 
 # character classes of bytes; everything from 0x80 on counts as a letter of another script
 _UPPER, _LOWER, _DIGIT, _SPACE, _LINE, _STOP, _BANG, _MARK, _OTHER = range(9)
