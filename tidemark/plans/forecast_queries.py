@@ -42,11 +42,11 @@ def refresh_demand(curated):
 def monthly_demand_refreshed(spark, sf):
     """Two nights: the first without the orders that came in last, the second with all.
     The second refresh aggregates the months that changed and keeps the others."""
-    raw = V.sales_raw(spark, sf)
+    raw = V.sales_by_order(spark, sf)
     curated, demand = scratch_path(spark, "curated_parts"), scratch_path(spark, "demand_parts")
     months = ("year", "month")
     for night in (raw.filter(F.col("ingested_at").isNull() | (F.col("ingested_at") < LAST_INTAKE)), raw):
-        parts.publish_parts(etl.curate(night), curated, months)
+        parts.publish_parts(etl.curate(night, (V.SALES_ORDER,), dealt=True), curated, months, dealt=True)
         parts.refresh(spark, curated, demand, months, refresh_demand)
     return parts.read_parts(spark, versions.latest(spark, demand)).select("product_id", "period", "demand")
 

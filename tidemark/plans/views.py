@@ -63,7 +63,15 @@ def _epoch_seconds(ts: Column) -> Column:
 
 # --- V1 sales_raw -------------------------------------------------------------
 
+SALES_ORDER = "_l_orderkey"  # the order of a row of ``sales_by_order``, by which its join deals rows out
+
+
 def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_by_order(spark, sf_dir).drop(SALES_ORDER)
+
+
+def sales_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sales_raw`` with SALES_ORDER, which an order_id decides."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                  "l_quantity", "l_extendedprice", "l_shipdate"])
     o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_orderpriority"])
@@ -82,6 +90,7 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.col("o_orderpriority")).alias("channel"),
         F.when(F.col("l_linenumber") == 7, F.lit(None).cast("timestamp"))
          .otherwise(F.col("l_shipdate").cast("timestamp")).alias("ingested_at"),
+        F.col("l_orderkey").alias(SALES_ORDER),
     )
 
 
@@ -190,7 +199,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curated_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.operators import etl
-    return etl.curate(sales_raw(spark, sf_dir))
+    return etl.curate(sales_by_order(spark, sf_dir), (SALES_ORDER,))
 
 
 def demand_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,10 +207,12 @@ def demand_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.monthly_demand(curated_sales(spark, sf_dir))
 
 
-def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Baseline forecasts from the whole history, horizon 6, made at FORECAST_AS_OF."""
+def forecasts(spark: SparkSession, sf_dir: str, demand: DataFrame | None = None) -> DataFrame:
+    """Baseline forecasts from the whole history, horizon 6, made at FORECAST_AS_OF.
+    ``demand`` is the demand history where a job has stored it."""
     from tidemark.operators import forecast
-    preds = forecast.baseline_quantiles(demand_history(spark, sf_dir), horizon=FORECAST_HORIZON)
+    demand = demand_history(spark, sf_dir) if demand is None else demand
+    preds = forecast.baseline_quantiles(demand, horizon=FORECAST_HORIZON)
     pid = F.col("product_id").cast("long")  # for a third of the products the model states an accuracy
     preds = preds.withColumn("accuracy", F.when(pid % 3 == 0, (pid % 10 + 90).cast("double")))
     return forecast.forecast_record(preds, FORECAST_AS_OF, BASELINE_MODEL_VERSION)
@@ -213,9 +224,10 @@ def forecast_id(product: Column) -> Column:
     return S.stable_id("fc-", product, as_of, F.lit(BASELINE_MODEL_VERSION))
 
 
-def forecast_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forecast records of the last FORECAST_RUNS nightly runs, newest at FORECAST_AS_OF."""
-    latest = forecasts(spark, sf_dir).drop("forecast_id", "created_at")
+def forecast_runs(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
+    """Forecast records of the last FORECAST_RUNS nightly runs, newest at FORECAST_AS_OF.
+    ``records`` are the ``forecasts`` where a job has stored them."""
+    latest = (forecasts(spark, sf_dir) if records is None else records).drop("forecast_id", "created_at")
     back = F.explode(F.sequence(F.lit(0), F.lit(FORECAST_RUNS - 1))).alias("_back")
     runs = latest.select("*", back).withColumn(
         "created_at", F.timestamp_add("DAY", -F.col("_back"), F.lit(FORECAST_AS_OF).cast("timestamp_ntz"))).drop("_back")
@@ -473,11 +485,12 @@ def alert_create_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inference_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inference_requests(spark: SparkSession, sf_dir: str, demand: DataFrame | None = None) -> DataFrame:
     """One request per product: its whole monthly history, a horizon in 0..29;
-    every 17th product sends an empty history, every 19th no demand for its last month."""
+    every 17th product sends an empty history, every 19th no demand for its last month.
+    ``demand`` is the demand history where a job has stored it."""
     from tidemark.operators import forecast
-    hist = forecast.collect_history(demand_history(spark, sf_dir))
+    hist = forecast.collect_history(demand_history(spark, sf_dir) if demand is None else demand)
     pid = F.col("product_id").cast("long")
     empty = F.filter(F.col("history"), lambda x: F.lit(False))
     last = F.size("history") - 1

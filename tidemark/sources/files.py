@@ -73,11 +73,11 @@ def publish_snapshot(df: DataFrame, path: str, partition_cols: tuple[str, ...] =
     return versions.commit(df.sparkSession, path, [write_attempt(df, path, partition_cols)], **info)
 
 
-def write_attempt(df: DataFrame, path: str, partition_cols: tuple[str, ...] = ()) -> str:
+def write_attempt(df: DataFrame, path: str, partition_cols: tuple[str, ...] = (), dealt: bool = False) -> str:
     """Write ``df`` to a new folder of table ``path``; it is no part of the table until
-    ``versions.commit`` names it."""
+    ``versions.commit`` names it.  With ``dealt`` its rows lie by partition already."""
     folder = versions.attempt_folder(path)
-    df = df.hint("rebalance", *partition_cols) if partition_cols else df
+    df = df.hint("rebalance", *partition_cols) if partition_cols and not dealt else df
     writer = df.write.option("compression", "snappy")
     (writer.partitionBy(*partition_cols) if partition_cols else writer).parquet(folder)
     return folder

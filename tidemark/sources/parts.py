@@ -28,13 +28,14 @@ def _parts_of(spark: SparkSession, attempt: str) -> DataFrame:
     return sealed.select("part", F.concat_ws(":", "n", "x", "s").alias("seal"))
 
 
-def publish_parts(df: DataFrame, path: str, partition_cols: tuple[str, ...], **info) -> Version:
+def publish_parts(df: DataFrame, path: str, partition_cols: tuple[str, ...], dealt: bool = False, **info) -> Version:
     """Publish a full recompute of a partitioned table.  Partitions with the same rows as
-    before stay where they are; those that have no rows any more are left out."""
+    before stay where they are; those that have no rows any more are left out.  ``dealt``
+    as in ``files.write_attempt``."""
     spark = df.sparkSession
     before = versions.latest(spark, path)
     known = before.body["parts"] if before else {}
-    attempt = files.write_attempt(df, path, partition_cols)
+    attempt = files.write_attempt(df, path, partition_cols, dealt)
     parts, spare = {}, []
     for r in _parts_of(spark, attempt).collect():  # a row per partition
         same = known.get(r["part"], {}).get("seal") == r["seal"]
