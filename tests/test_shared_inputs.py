@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 
 from tidemark.operators import etl
-from tidemark.plans import forecast_queries
+from tidemark.plans import forecast_queries, metric_queries
 from tidemark.plans import views as V
 
 DAY = dt.datetime(2001, 5, 3)
@@ -52,3 +52,26 @@ def test_rows_dealt_by_month_are_the_curated_rows(spark, sales_dir):
     plain = etl.curate(V.sales_raw(spark, sales_dir))
     assert dealt.schema == plain.schema and rows(dealt) == rows(plain)
     assert rows(forecast_queries.monthly_demand_refreshed(spark, sales_dir)) == rows(forecast_queries.monthly_demand(spark, sales_dir))
+
+
+def test_metric_events_make_the_demand_once(spark, sales_dir, monkeypatch):
+    """The sites that report on forecasts and requests read one stored demand history."""
+    made, real = [], V.demand_history
+    monkeypatch.setattr(V, "demand_history", lambda *a: made.append(1) or real(*a))
+    for name in ("alerts", "scenarios", "scenario_run_requests", "optimizations", "apply_requests", "access_controls", "access_requests"):
+        monkeypatch.setattr(V, name, lambda *a: None)
+    empty = lambda *a: None
+    monkeypatch.setattr(metric_queries.U, "report_generate", lambda *a: (None, None))
+    monkeypatch.setattr(metric_queries.U, "scenario_run_record", lambda *a: (None, None))
+    monkeypatch.setattr(metric_queries.U, "apply_if_proposed", lambda *a: (None, None))
+    monkeypatch.setattr(metric_queries.U, "access_replace", lambda *a: (None, None, None))
+    monkeypatch.setattr(V, "reports", empty)
+    monkeypatch.setattr(V, "report_requests", empty)
+    none = metric_queries.ME.forecast_generated(spark.createDataFrame([], "forecast_id string"))
+    for name in ("alerts_created", "optimization_run_started", "optimization_applied", "report_generated", "access_control_changed"):
+        monkeypatch.setattr(metric_queries.ME, name, lambda df: none)
+    events = metric_queries.metric_events(spark, sales_dir)
+    assert len(made) == 1
+    assert "lineitem" not in events._jdf.queryExecution().executedPlan().toString()
+    names = {r["metric_name"] for r in events.collect()}
+    assert {"ForecastsRetrieved", "ForecastGenerated", "DirectInference"} <= names

@@ -79,14 +79,23 @@ def alarm_transitions(spark, sf):
     return M.alarm_transitions(_consecutive(spark, sf), last=now).select("alarm", "changed_at", "state")
 
 
+def _stored(df, name):
+    """``df`` written once, for several readers."""
+    path = scratch_path(df.sparkSession, name)
+    files.sink_parquet(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def metric_events(spark, sf):
-    """The events of all emission sites over the views."""
+    """The events of all emission sites over the views.  Demand and forecast records,
+    which several sites report on, are made once; no site reports on predictions."""
     artifacts = U.report_generate(V.reports(spark, sf), V.report_requests(spark, sf))[1]
-    forecasts = V.forecasts(spark, sf)
-    requests = Val.validate_inference_request(V.inference_requests(spark, sf)).filter(F.col("status_code") == 200)
+    demand = _stored(V.demand_history(spark, sf), "metric_demand")
+    forecasts = _stored(V.forecasts(spark, sf, demand).drop("predictions"), "metric_forecasts")
+    requests = Val.validate_inference_request(V.inference_requests(spark, sf, demand)).filter(F.col("status_code") == 200)
     parts = [
         ME.alerts_created(V.alerts(spark, sf)),
-        ME.forecasts_retrieved(R.forecasts_by_product(V.forecast_runs(spark, sf))),
+        ME.forecasts_retrieved(R.forecasts_by_product(V.forecast_runs(spark, sf, forecasts))),
         ME.forecast_generated(forecasts),
         ME.forecast_accuracy(forecasts),
         ME.direct_inference(requests),
